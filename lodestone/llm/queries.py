@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.decontaminate import decontaminate
+from lodestone.llm.line_dedup import line_dedup
 from lodestone.llm.topk import exact_top_k
 
 
@@ -31,9 +33,62 @@ SELECT * FROM r WHERE rank <= 5
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their source as the host; lines on over a tenth of a source's documents go."""
+    out = line_dedup(_table(spark, sf_dir, "documents"), F.col("source"), "text", ratio=0.1, min_pages=3)
+    return out.select("doc_id", "source", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH l AS (
+  SELECT doc_id, source, pos, line FROM (
+    SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
+), t AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+b AS (
+  SELECT l.source, line FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source WHERE trim(line) <> ''
+  GROUP BY l.source, line, pages HAVING count(DISTINCT doc_id) > pages * 0.1::DOUBLE AND count(DISTINCT doc_id) >= 3
+), m AS (
+  SELECT l.*, b.line IS NOT NULL AS gone FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND l.line = b.line
+), g AS (
+  SELECT doc_id, source, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id, source
+)
+SELECT doc_id, source, n_lines, n_dropped, length(kept) AS kept_chars, sha256(kept) AS kept_sha256 FROM g
+"""
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", window=10, k=5)
+    n_items = F.size("items").cast("long")
+    return out.select(F.col("id").cast("long").alias("doc_id"), "n_words", "n_hit", n_items.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item, m, array_to_string(w[p:p + m - 1], ' ') AS wtext
+  FROM (SELECT item, w, least(len(w), 10) AS m, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM i WHERE len(w) > 0)
+), ms AS (SELECT DISTINCT m FROM iw),
+dw AS (
+  SELECT doc_id, p, m, array_to_string(w[p:p + m - 1], ' ') AS wtext
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, ms WHERE len(w) >= m)
+), h AS (SELECT DISTINCT doc_id, item, p, dw.m AS m FROM dw JOIN iw ON dw.wtext = iw.wtext AND dw.m = iw.m),
+n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS q FROM h) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n.n_hit, 0) AS n_hit, coalesce(k.n_items, 0) AS n_items,
+  sha256(coalesce(k.items, '')) AS items_sha256, coalesce(n.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {"op1_exact_topk": op1_exact_topk}
+    return {
+        "op1_exact_topk": op1_exact_topk,
+        "op3_line_dedup": op3_line_dedup,
+        "op8_decontaminate": op8_decontaminate,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_decontaminate": OP8_SQL}
