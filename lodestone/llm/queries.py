@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.line_dedup import line_dedup
+from lodestone.llm.packing import best_fit_pack
+from lodestone.llm.token_counts import token_counts
 from lodestone.llm.topk import exact_top_k
 
 
@@ -57,6 +59,22 @@ SELECT doc_id, source, n_lines, n_dropped, length(kept) AS kept_chars, sha256(ke
 """
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts(docs, "text", tokenizer_path())
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(_table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path(), separator=2, tokens=1024)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", window=10, k=5)
     n_items = F.size("items").cast("long")
@@ -86,7 +104,9 @@ def queries() -> dict:
     return {
         "op1_exact_topk": op1_exact_topk,
         "op3_line_dedup": op3_line_dedup,
+        "op6_token_counts": op6_token_counts,
         "op8_decontaminate": op8_decontaminate,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
