@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.decontaminate import decontaminate
+from lodestone.llm.jaccard import jaccard_components
 from lodestone.llm.line_dedup import line_dedup
 from lodestone.llm.packing import best_fit_pack
 from lodestone.llm.token_counts import token_counts
@@ -59,6 +60,11 @@ SELECT doc_id, source, n_lines, n_dropped, length(kept) AS kept_chars, sha256(ke
 """
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_components(_table(spark, sf_dir, "documents"), "doc_id", "text", k=5, percent=80)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -104,6 +110,7 @@ def queries() -> dict:
     return {
         "op1_exact_topk": op1_exact_topk,
         "op3_line_dedup": op3_line_dedup,
+        "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_token_counts": op6_token_counts,
         "op8_decontaminate": op8_decontaminate,
         "op10_best_fit_packing": op10_best_fit_packing,
