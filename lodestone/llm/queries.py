@@ -12,6 +12,7 @@ from lodestone.llm.packing import best_fit_pack
 from lodestone.llm.substring_dedup import substring_dedup
 from lodestone.llm.token_counts import token_counts
 from lodestone.llm.topk import exact_top_k
+from lodestone.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,13 @@ SELECT * FROM r WHERE rank <= 5
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    out = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", usable=fold != 1)
+    held = F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 1
+    return out.select(F.col("id").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their source as the host; lines on over a tenth of a source's documents go."""
     out = line_dedup(_table(spark, sf_dir, "documents"), F.col("source"), "text", ratio=0.1, min_pages=3)
@@ -115,6 +123,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 def queries() -> dict:
     return {
         "op1_exact_topk": op1_exact_topk,
+        "op2_toxicity": op2_toxicity,
         "op3_line_dedup": op3_line_dedup,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_token_counts": op6_token_counts,
