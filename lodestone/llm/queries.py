@@ -9,6 +9,7 @@ from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.jaccard import jaccard_components
 from lodestone.llm.line_dedup import line_dedup
 from lodestone.llm.packing import best_fit_pack
+from lodestone.llm.quality import quality
 from lodestone.llm.substring_dedup import substring_dedup
 from lodestone.llm.token_counts import token_counts
 from lodestone.llm.topk import exact_top_k
@@ -86,6 +87,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    out = quality(docs, _table(spark, sf_dir, "labels"), "doc_id", "text", F.col("source"), F.concat_ws("/", "source", "lang"))
+    return out.select("doc_id", "source", "lang", "quality_score", "quality_keep")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_table(spark, sf_dir, "documents"), "doc_id", "text", length=100)
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -127,6 +134,7 @@ def queries() -> dict:
         "op3_line_dedup": op3_line_dedup,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_token_counts": op6_token_counts,
+        "op7_quality": op7_quality,
         "op8_decontaminate": op8_decontaminate,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
