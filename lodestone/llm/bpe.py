@@ -251,13 +251,24 @@ class Counter:
         return ids[::-1]
 
 
+    def ranked(self):
+        """A library's merger of single pre-tokens, where tokens are numbered in the order of their merges; else None."""
+        import tiktoken
+
+        base = len(self.vocab) - len(self.rank)
+        if any(new != base + k for k, new in self.rank.values()):
+            return None
+        return tiktoken.Encoding("ranked", pat_str=".", mergeable_ranks=self.vocab, special_tokens={})._core_bpe.encode_single_piece
+
+
 class Compiled:
     """Known pre-tokens of one tokenizer: hash -> count and tokens; refilled when it grows past its bound."""
 
     LIMIT = 3_000_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, quick: bool = False):
         self.counter = Counter(path)
+        self.tokens = (self.counter.ranked() if quick else None) or self.counter.tokens
         self._clear()
 
     def _clear(self) -> None:
@@ -268,7 +279,7 @@ class Compiled:
 
     def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         """Add the pre-tokens ``words`` with their sorted hashes ``keys``."""
-        new = [self.counter.tokens(w) for w in words]
+        new = [self.tokens(w) for w in words]
         n = np.fromiter(map(len, new), np.int64, len(new))
         flat = np.fromiter((t for x in new for t in x), np.uint32, int(n.sum()))
         starts = np.concatenate([np.cumsum(n) - n + len(self.ids), self.starts()])
@@ -289,16 +300,17 @@ class Compiled:
 
 
 @lru_cache(maxsize=2)
-def compiled(path: str) -> Compiled:
-    return Compiled(path)
+def compiled(path: str, quick: bool = False) -> Compiled:
+    return Compiled(path, quick)
 
 
-def encode(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray, Compiled]:
+def encode(texts: list[str], path: str, quick: bool = False) -> tuple[np.ndarray, np.ndarray, Compiled]:
     """(text number of each pre-token, its place in the compiled table, the table).
 
+    ``quick`` takes the tokens of new pre-tokens from a library instead of the byte transducer.
     A special token's string inside a text is a pre-token of its own, as the library has it.
     """
-    table = compiled(path)
+    table = compiled(path, quick)
     if len(table.keys) > table.LIMIT:
         table._clear()
     special = table.counter.special

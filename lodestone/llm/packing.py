@@ -42,7 +42,7 @@ def _cutter(path: str, separator: int, most: int):
         task, seen = TaskContext.get().partitionId(), np.zeros(most + 1, np.int64)
         for batch in batches:
             for a, b, texts in slices(batch, 1):
-                owner, place, table = encode(texts, path)
+                owner, place, table = encode(texts, path, quick=True)
                 n = np.bincount(owner, weights=table.counts[place], minlength=len(texts)).astype(np.int64)
                 ids = text_ids(place, table)
                 end = np.cumsum(n)
