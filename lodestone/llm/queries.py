@@ -9,6 +9,7 @@ from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.jaccard import jaccard_components
 from lodestone.llm.line_dedup import line_dedup
 from lodestone.llm.packing import best_fit_pack
+from lodestone.llm.pii import replace_pii
 from lodestone.llm.quality import quality
 from lodestone.llm.substring_dedup import substring_dedup
 from lodestone.llm.token_counts import token_counts
@@ -70,6 +71,12 @@ SELECT doc_id, source, n_lines, n_dropped, length(kept) AS kept_chars, sha256(ke
 """
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is a fixed one here; a deployment passes its own secret."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return replace_pii(docs, "doc_id", "text", secret="lodestone-demo-key")
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_components(_table(spark, sf_dir, "documents"), "doc_id", "text", k=5, percent=80)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -132,6 +139,7 @@ def queries() -> dict:
         "op1_exact_topk": op1_exact_topk,
         "op2_toxicity": op2_toxicity,
         "op3_line_dedup": op3_line_dedup,
+        "op4_pii_surrogates": op4_pii_surrogates,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_token_counts": op6_token_counts,
         "op7_quality": op7_quality,
