@@ -127,7 +127,8 @@ def _collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most_rows: int) -> Evidence | None:
     picked, share = _sample(labels, id_col, label_col, most_rows)
-    sample = docs.join(F.broadcast(picked), docs[id_col] == F.col("lid")).select(F.col("lid").cast("long").alias("lid"), "y", F.col(text_col).alias("t"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    sample = texts.join(F.broadcast(picked), F.col("__id") == F.col("lid")).select(F.col("lid").cast("long").alias("lid"), "y", F.col("__text").alias("t"))
     rows = sorted(sample.mapInArrow(_collect_features, "lid long, y int, x array<double>").collect(), key=lambda r: (r.lid, r.x))
     if not rows:
         return None

@@ -329,7 +329,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     rows = picked.collect()  # at most 2 * most_rows ids
     picked = spark.createDataFrame(rows, known.schema)
     # the sample's texts come as their distinct words, so that long texts stay small on the driver
-    sample = docs.join(F.broadcast(picked), F.col(id_col) == F.col("lid")).select("lid", "y", F.array_join(F.array_distinct(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"\s+")), " ").alias("t"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("__text"))
+    sample = texts.join(F.broadcast(picked), F.col("__id") == F.col("lid")).select("lid", "y", F.array_join(F.array_distinct(F.split("__text", r"\s+")), " ").alias("t"))
     train = sorted(sample.toLocalIterator(), key=lambda r: (r.lid, r.t))
     y = np.array([r.y for r in train], int)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

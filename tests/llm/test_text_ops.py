@@ -1,0 +1,171 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm.decontaminate import decontaminate
+from lodestone.llm.line_dedup import line_dedup
+from lodestone.llm.pii import replace_pii
+from lodestone.llm.substring_dedup import substring_dedup
+from lodestone.llm.suffix import suffix_array
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def brute_hits(docs, items):
+    wins = {}
+    for item, text in items:
+        w = words(text)
+        m = min(10, len(w))
+        for i in range(len(w) - m + 1) if w else []:
+            wins.setdefault(tuple(w[i : i + m]), set()).add(str(item))
+    out = {}
+    for i, text in docs:
+        w, hit, found = words(text), set(), set()
+        for m in {len(x) for x in wins}:
+            for p in range(len(w) - m + 1):
+                if (t := tuple(w[p : p + m])) in wins:
+                    hit |= set(range(p, p + m))
+                    found |= wins[t]
+        out[i] = (len(w), len(hit), sorted(found))
+    return out
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abé1") for _ in range(3))
+    items = [(k, " ".join(word() for _ in range(rng.choice([12, 25, 40])))) for k in range(8)] + [(50, "Lone pair"), (51, None), (52, "..."), (53, "x1 y2 z3 w4")]
+    docs = []
+    for i in range(60):
+        w = [word() for _ in range(rng.choice([3, 9, 10, 60]))]
+        src = words(items[rng.randrange(8)][1])
+        if rng.random() < 0.7:
+            a = rng.randrange(len(src) - 9)
+            w[rng.randrange(len(w)) :] = src[a : a + rng.choice([9, 10, 11, 30])] + [word()]
+        if rng.random() < 0.2:
+            w += ["LONE", "pair"]
+        docs.append((i, rng.choice([" ", ", ", "\n"]).join(w)))
+    docs += [(100, None), (101, ""), (102, "lone-pair x1 y2 z3 w4")]
+    d = spark.createDataFrame([(i, t, "k") for i, t in docs], "doc_id long, text string, marks string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate(d, b, "doc_id", "text", "item_id", "text").collect()}
+    assert got == brute_hits(docs, items)
+    clean = decontaminate(d, b.limit(0), "doc_id", "text", "item_id", "text").collect()
+    assert len(clean) == len(docs) and all(r.n_hit == 0 for r in clean)
+    assert decontaminate(d.limit(0), b, "doc_id", "text", "item_id", "text").collect() == []
+
+
+def test_decontamination_of_repeats_and_null_ids(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    d = spark.createDataFrame([(1, item), (1, item), (1, "other"), (None, "see " + item)], "doc_id long, text string")
+    b = spark.createDataFrame([(9, item)], "item_id long, text string")
+    got = sorted(((r.id, r.n_words, r.n_hit) for r in decontaminate(d, b, "doc_id", "text", "item_id", "text").collect()), key=str)
+    assert got == [(1, 1, 0), (1, 12, 12), (None, 13, 12)]
+
+
+@pytest.mark.parametrize("n,a", [(1, 1), (2, 1), (50, 1), (300, 2), (2000, 3), (3000, 200)])
+def test_suffix_array(n, a):
+    t = np.random.default_rng(n).integers(0, a, n).astype(np.uint8)
+    b = t.tobytes()
+    assert suffix_array(t).tolist() == sorted(range(n), key=lambda i: b[i:])
+
+
+def brute_removed(docs, length=100):
+    seen, out = set(), {}
+    for i, text in sorted(docs):
+        b = (text or "").encode()
+        gone = np.zeros(len(b) + 1, int)
+        for p in range(len(b) - length + 1):
+            w = b[p : p + length]
+            if w in seen:
+                gone[p] += 1
+                gone[p + length] -= 1
+            seen.add(w)
+        c = np.cumsum(gone)[:-1] > 0
+        spans = int((np.diff(np.r_[0, c.astype(int)]) > 0).sum())
+        out[i] = (len(b), int(c.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~c].tobytes()).hexdigest())
+    return out
+
+
+def test_substring_dedup_matches_brute_force(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
+    passages = [text(rng.choice([98, 100, 130, 400])) for _ in range(6)]
+    docs = []
+    for i in range(60):
+        parts = [text(rng.randint(0, 150))]
+        for _ in range(rng.randint(0, 3)):
+            p = rng.choice(passages)
+            cut = rng.randint(0, 20)
+            parts += [p[cut:], text(rng.randint(0, 60))]
+        docs.append((i, "".join(parts)))
+    docs += [(70, None), (71, ""), (72, "x" * 5000), (73, "x" * 300), (74, "ab" * 400), (75, docs[3][1]), (76, docs[3][1])]
+    d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, key int").repartition(3)
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup(d, "doc_id", "text").collect()}
+    assert got == brute_removed(docs)
+
+
+def test_substring_dedup_of_repeats_null_ids_and_nothing(spark):
+    t = "0123456789" * 3 + "".join(chr(97 + i % 23) + chr(65 + i % 19) for i in range(60))
+    d = spark.createDataFrame([(1, t), (1, t), (None, t), (2, t)], "doc_id long, text string")
+    got = sorted(((r.id, r.n_removed) for r in substring_dedup(d, "doc_id", "text").collect()), key=str)
+    assert got == [(1, 0), (1, 0), (2, len(t)), (None, 0)]
+    assert substring_dedup(d.limit(0), "doc_id", "text").collect() == []
+
+
+def test_line_dedup(spark):
+    rows = [(i, "big", f"shared\nown {i}\n\nshared", 0) for i in range(20)] + [(100 + i, "small", "shared", 0) for i in range(2)] + [(200, None, None, 0), (201, "big", "", 0), (202, "big", "own 3", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string, n_dropped int")
+    got = {r.doc_id: r for r in line_dedup(d, F.col("source"), "text", ratio=0.5, min_pages=3).collect()}
+    assert got[4].text == "own 4\n" and got[100].text == "shared" and got[202].text == "own 3" and got[201].text == "" and got[200].text == ""
+    assert got[4].n_lines == 4 and got[4].n_dropped == 0  # a taken name keeps its column
+    assert line_dedup(d.limit(0), F.col("source"), "text").collect() == []
+
+
+def test_pii_surrogates(spark):
+    rows = [
+        (1, "Mr. John Smith met Mrs Anna Lee and Dr. John Smith; (212) 555-1234 or 212-555-1234. IBAN DE89 3704 0044 0532 0130 00, SSN 123-45-6789"),
+        (2, "Господин Иван Петров: AB.c@Example.COM ab.c@example.com 4111 1111 1111 1111 4111-1111-1111-1111 10.0.0.1"),
+        (None, None), (3, ""), (3, "x@y.org, nothing else"), (4, "Mr. John Smith at x@y.org"), (5, "plain text 12 and 3.14"), (5, "plain text 12 and 3.14"),
+    ]
+    d = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, swap string")
+    out = [(r.doc_id, r.text, r.n_entities) for r in replace_pii(d, "doc_id", "text", "secret").collect()]
+    by = {}
+    for i, t, _ in out:
+        by.setdefault(i, []).append(t)
+    one, two, four = by[1][0], by[2][0], by[4][0]
+    assert "John Smith" not in one and "Anna Lee" not in one and "555" not in re.findall(r"\(\d+\) \d+-\d+", one)[0][6:9] + "x"
+    name = re.match(r"Mr\. (\w+ \w+) met", one)[1]
+    assert one.count(name) == 2 and f"Mr. {name}" in four
+    assert re.sub(r"\D", "", re.search(r"\(\d{3}\) \d{3}-\d{4}", one)[0]) == re.sub(r"\D", "", re.search(r" (\d{3}-\d{3}-\d{4})\.", one)[1])
+    iban = re.search(r"DE\d{2}(?: \d{4}){4} \d{2}", one)[0].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    cards = re.findall(r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", two)
+    assert len({re.sub(r"\D", "", c) for c in cards}) == 1 and "4111" not in cards[0]
+    digits = [int(c) for c in re.sub(r"\D", "", cards[0])][::-1]
+    assert sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(digits)) % 10 == 0
+    mails = re.findall(r"\S+@\S+", two)
+    assert len({m.lower() for m in mails}) == 1 and mails[0].lower() != "ab.c@example.com" and mails[0].endswith(".com")
+    assert re.search(r"Господин [А-Я][а-я]+ [А-Я][а-я]+:", two)
+    assert by[5] == ["plain text 12 and 3.14"] * 2 and by[None] == [None] and "" in by[3]
+    assert re.search(r"\S+@\S+", four)[0] == re.search(r"\S+@[^,]+", [t for t in by[3] if t][0])[0]
+    again = [(r.doc_id, r.text, r.n_entities) for r in replace_pii(d, "doc_id", "text", "secret").collect()]
+    other = [(r.doc_id, r.text, r.n_entities) for r in replace_pii(d, "doc_id", "text", "another").collect()]
+    assert sorted(again, key=str) == sorted(out, key=str) != sorted(other, key=str)
+    assert replace_pii(d.limit(0), "doc_id", "text", "s").collect() == []
+
+
+def test_pii_surrogates_stay_distinct(spark):
+    rows = [(i, f"call 10.0.{i // 250}.{i % 250} or {1000000000000000 + i}") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in replace_pii(d, "doc_id", "text", "k").collect()}
+    real = {w for _, t in rows for w in t.split()[1::2]}
+    made = [w for t in out.values() for w in t.split()[1::2]]
+    assert len(set(made)) == 800 and not set(made) & real
