@@ -111,7 +111,8 @@ def gaps(changes: DataFrame, epoch: int, sequence: int) -> DataFrame:
     """Changes of a bundle that don't follow their predecessor (the first: the cursor) by one in one epoch."""
     w = Window.orderBy("epoch", "sequence")  # one bundle, bounded by the sender's limit
     before = F.coalesce(F.lag("sequence").over(w), F.when(F.col("epoch") == epoch, F.lit(sequence)).otherwise(F.lit(0)))
-    return changes.withColumn("__before", before).where((F.col("sequence") != F.col("__before") + 1) | (F.coalesce(F.lag("epoch").over(w), F.col("epoch")) != F.col("epoch"))).drop("__before")
+    marked = changes.withColumn("__before", before).withColumn("__epoch", F.coalesce(F.lag("epoch").over(w), F.col("epoch")))
+    return marked.where("sequence <> __before + 1 OR __epoch <> epoch").drop("__before", "__epoch")
 
 
 def flag_divergence(state: PersonalState, a: str, b: str) -> PersonalState:
