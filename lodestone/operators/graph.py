@@ -34,10 +34,22 @@ def walk(seeds: DataFrame, edges: DataFrame, hops: int, direction: str = "forwar
     for depth in range(1, hops + 1):
         frontier = frontier.join(steps, "node").select("seed", F.col("next").alias("node")).distinct()
         frontier = frontier.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        if depth < hops:  # each level is stored once: its plan would be part of every later one, twice
+            frontier = _stored(frontier)
+            if frontier.isEmpty():
+                break
         seen = seen.unionByName(frontier)
     return seen
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the session's shared folder; a folder is set only where there is none."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestone-checkpoints")
+    return df.checkpoint()
+
+
 def trace(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int) -> DataFrame:
     """Forward walk without the seeds: depth, kinds of all edges into the node, and its claim (null where it dangles)."""
     kinds = edges.groupBy(F.col("dst").alias("node")).agg(F.sort_array(F.collect_list("edge_kind")).alias("edge_kinds"))
@@ -72,20 +84,17 @@ def coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node, component: the smallest node of each connected part, by minimum labels with path halving.
 
-    Each round's labels are checkpointed when the session has a checkpoint directory, so plans stay short.
+    Each round's labels are checkpointed, so plans stay short.
     """
     e = existing(edges, nodes).select("src", "dst").where("src <> dst")
     both = e.union(e.select("dst", "src")).toDF("node", "other").distinct()
     labels = nodes.select("node").distinct().withColumn("component", F.col("node"))
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestone-checkpoints")
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
         new = labels.join(near, "node", "left").select("node", "component", F.least("component", "near").alias("least"))
         # a label's own label is a shorter way
         over = labels.select(F.col("node").alias("least"), F.col("component").alias("over"))
-        new = new.join(over, "least", "left").select("node", "component", F.least("least", "over").alias("next")).checkpoint()
+        new = _stored(new.join(over, "least", "left").select("node", "component", F.least("least", "over").alias("next")))
         changed = not new.where("component <> next").isEmpty()
         labels = new.select("node", F.col("next").alias("component"))
         if not changed:
