@@ -4,12 +4,12 @@
 2. A fixed-size frequency sketch orders shingles, rare ones first. A set posts the shingles of its
    prefix: two sets with the wanted similarity share one (any common order keeps this exact, so the
    sketch's errors cost time only).
-3. A posting list is read in order of size and cut into blocks by size; each block has a leader.
-   Whole blocks and positions that no overlap can reach are skipped; only (leader, member) pairs
-   are verified, on the full sets.
-4. The other pairs of a list are answered from the leader's answers: two members that both link to
-   the leader are connected already; for the rest the leader's overlaps bound the pair's overlap
-   from both sides, and only pairs that the bounds leave open are verified.
+3. A posting list's leader is the set that the most lists hold. Blocks of the list that sizes and
+   positions rule out are skipped; the leader's pairs with the others are verified on full sets.
+4. The other pairs of a list are answered from the leader's answers: sets that its links connect
+   need no answer of their own; for the rest the leader's overlaps bound the pair's overlap from
+   both sides. Where lists stay in parts a second leader is taken from another part, and only pairs
+   that both leaders' answers leave open are verified one by one.
 5. Links are turned into connected components; copies follow their set.
 
 Defined cases: null and wordless texts have the empty set and link with nothing; texts of fewer
@@ -134,73 +134,80 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tu
         yield np.zeros(1, np.int64), held
 
 
-def _lead(percent: int):
-    """(leader, member) candidates; for lists of three and more also the list's rows."""
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of lists that hold two sets and more; copies posted by several tasks once."""
+    for starts, (token, fp, n, pos) in _lists(batches, ["token", "fp", "n", "pos"]):
+        keep = np.r_[True, (token[1:] != token[:-1]) | (fp[1:] != fp[:-1])]
+        owner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(token)]))
+        size = np.bincount(owner[keep], minlength=len(starts))
+        keep &= size[owner] > 1
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, fp, n, pos)], names=["token", "fp", "n", "pos"])
+
+
+def _bounds(n_x, n_y, need, known: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(open, sure) for pairs of sets, from the overlaps (leader's size, with x, with y) of earlier leaders; -1: unknown."""
+    open_, sure = np.ones(np.broadcast(n_x, n_y).shape, bool), np.zeros(np.broadcast(n_x, n_y).shape, bool)
+    for size, x, y in known:
+        both = (x >= 0) & (y >= 0)
+        open_ &= ~both | (np.minimum(x, y) + np.minimum(n_x - x, n_y - y) >= need)
+        sure |= both & (x + y - size >= need)
+    return open_, sure & open_
+
+
+LIST = ["token", "fp", "n", "pos", "fame", "root", "size1", "shared1"]
+LED = "token long, fp long, n int, pos int, fame long, root long, size1 long, shared1 long, leader long, leader_n int, pair boolean, sure boolean"
+
+
+def _lead(percent: int, later: bool):
+    """Each list's rows with its leader, and whether (leader, row) is a pair to verify, or proven.
+
+    Rows come by fame, so the leader is the set that most lists hold: the centre of its group. In
+    the later round it is the first set that the links so far don't connect to that one; lists
+    that are wholly connected are settled.
+    """
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "leader", "leader_n", "fp", "n", "pos", "block", "size", "pair"]
-        for starts, (token, fp, n, pos) in _lists(batches, ["token", "fp", "n", "pos"]):
-            # copies posted by other tasks stand side by side
-            keep = np.r_[True, (token[1:] != token[:-1]) | (fp[1:] != fp[:-1])]
-            owner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(token)]))[keep]
-            token, fp, n, pos = token[keep], fp[keep], n[keep].astype(np.int64), pos[keep].astype(np.int64)
-            size = np.bincount(owner, minlength=len(starts))
-            many = size[owner] > 1
-            token, fp, n, pos, owner = token[many], fp[many], n[many], pos[many], owner[many]
-            if not len(token):
-                continue
-            m = len(token)
-            size = size[owner]
-            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            end = np.repeat(np.r_[first[1:], m], np.diff(np.r_[first, m]))
-            # blocks by size: the leader is the smallest set, the members those that it can reach
-            lead_at, block = np.empty(m, np.int64), np.empty(m, np.int32)
-            at, number = first.copy(), np.zeros(len(first), np.int32)
-            active = np.arange(len(first))
-            reach = n * 100 // percent
-            key = owner * (1 << 40) + n
-            while len(active):
-                a = at[active]
-                b = np.minimum(np.searchsorted(key, owner[a] * (1 << 40) + reach[a], "right"), end[a])
-                span = b - a
-                idx = np.repeat(a, span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-                lead_at[idx], block[idx] = np.repeat(a, span), np.repeat(number[active], span)
-                at[active] = b
-                number[active] += 1
-                active = active[b < end[a]]
-            ln, lp = n[lead_at], pos[lead_at]
-            open_ = np.minimum(n - pos, ln - lp) >= pair_overlap(n, ln, percent)
-            pair = open_ & (lead_at != np.arange(m))
-            out = pair | (size > 2)
-            cols = [token, fp[lead_at], ln, fp, n, pos, block, size, pair]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c[out].astype(t.to_pandas_dtype()), t) for c, t in zip(cols, kinds, strict=True)], names=names)
+        for starts, cols in _lists(batches, LIST):
+            token, fp, n, pos, fame, root, size1, shared1 = cols
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            count = np.diff(np.r_[starts, len(token)])
+            leader = np.repeat(starts, count)
+            if later:
+                apart = np.where(root != root[leader], np.arange(len(token)), len(token))
+                first = np.minimum.reduceat(apart, starts)
+                on = np.repeat(first < len(token), count)
+                leader = np.repeat(np.minimum(first, len(token) - 1), count)
+            else:
+                on = np.ones(len(token), bool)
+            # a block of rows that the sizes and positions rule out is skipped as a whole
+            need = pair_overlap(n, n[leader], percent)
+            pair = on & (root != root[leader]) & (np.minimum(n - pos, n[leader] - pos[leader]) >= need)
+            open_, sure = _bounds(n, n[leader], need, [(size1, shared1, shared1[leader])])
+            pair &= open_
+            out = [*cols, fp[leader], n[leader].astype(np.int32), pair, sure & pair]
+            yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in out], names=[*LIST, "leader", "leader_n", "pair", "sure"])
 
     return lead
 
 
-def _rest(percent: int, block_cells: int = 1 << 22):
-    """Pairs of a list that the leaders' answers don't settle; ``sure`` marks those that they prove."""
+def _rest(percent: int, block_cells: int = 1 << 20):
+    """Pairs that are still apart and that neither leader's answers settle; ``sure`` marks those that they prove."""
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for starts, (_, fp, n, pos, block, leader_n, shared) in _lists(batches, ["token", "fp", "n", "pos", "block", "leader_n", "shared"]):
-            n, pos, leader_n, shared = (x.astype(np.int64) for x in (n, pos, leader_n, shared))
-            linked = shared >= pair_overlap(n, leader_n, percent)
+        for starts, cols in _lists(batches, ["token", "fp", "n", "pos", "root", "size1", "shared1", "size2", "shared2"]):
+            _, fp, n, pos, root, size1, shared1, size2, shared2 = cols
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
             ends = np.r_[starts[1:], len(fp)]
-            bad = np.add.reduceat(~linked, starts) + np.add.reduceat(block > 0, starts)
+            bad = np.maximum.reduceat(root, starts) != np.minimum.reduceat(root, starts)
             out = []
-            for a, b in zip(starts[bad > 0].tolist(), ends[bad > 0].tolist(), strict=True):
+            for a, b in zip(starts[bad].tolist(), ends[bad].tolist(), strict=True):
                 step = max(1, block_cells // (b - a))
                 for i in range(a, b, step):
                     x, y = np.arange(i, min(b, i + step))[:, None], np.arange(a, b)[None, :]
                     need = pair_overlap(n[x], n[y], percent)
-                    open_ = (y > x) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need)
-                    same = block[x] == block[y]
-                    known = same & (shared[x] >= 0) & (shared[y] >= 0)
-                    open_ &= ~(same & linked[x] & linked[y])
-                    open_ &= ~(known & (np.minimum(shared[x], shared[y]) + np.minimum(n[x] - shared[x], n[y] - shared[y]) < need))
-                    sure = open_ & known & (shared[x] + shared[y] - leader_n[x] >= need)
-                    p, q = np.nonzero(open_)
+                    pair = (y > x) & (root[x] != root[y]) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need)
+                    open_, sure = _bounds(n[x], n[y], need, [(size1[x], shared1[x], shared1[y]), (size2[x], shared2[x], shared2[y])])
+                    p, q = np.nonzero(pair & open_)
                     if len(p):
                         out.append((fp[i + p], n[i + p], fp[a + q], n[a + q], sure[p, q]))
             if out:
@@ -232,6 +239,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, ws: Work
     return out
 
 
+def _with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with their set's root: itself where no link holds it."""
+    r = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    return rows.drop("root").join(r, F.col("fp") == F.col("__node"), "left").withColumn("root", F.coalesce("__root", "fp")).drop("__node", "__root")
+
+
 def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
@@ -246,27 +259,52 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
 
     posts = d.where(F.col("id").isNotNull()).select("text").mapInArrow(_post(k, percent, levels.tobytes()), "token long, fp long, n int, pos int")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    lists = ws.save(posts.repartition(parts, "token").sortWithinPartitions("token", "n", "fp").mapInArrow(_lead(percent), "token long, leader long, leader_n int, fp long, n int, pos int, block int, size long, pair boolean"), "lists")
+    by_list = lambda x, *order: x.repartition(parts, "token").sortWithinPartitions("token", *order)
+    lists = ws.save(by_list(posts, "n", "fp").mapInArrow(_gather, "token long, fp long, n int, pos int"), "lists")
+    ws.release()
+    exact = F.col("shared") * (100 + percent) >= F.lit(percent) * (F.col("n") + F.col("leader_n"))
+    unknown = F.lit(-1).cast("long")
+
+    # first leaders: the set that the most lists hold
+    fame = lists.groupBy("fp").agg(F.count("*").alias("fame"))
+    known = lists.join(fame, "fp").select("token", "fp", "n", "pos", "fame", F.col("fp").alias("root"), F.lit(0).cast("long").alias("size1"), unknown.alias("shared1"))
+    led = ws.save(by_list(known, F.desc("fame"), "fp").mapInArrow(_lead(percent, False), LED), "led1")
+    ws.drop("lists")
+    first = _verify(led.where("pair").select("leader", "leader_n", "fp", "n").distinct(), d, reps, k, ws, "first")
+    links = first.where(exact).select("leader", "fp")
+    roots = components(links.select(F.col("leader").alias("a"), F.col("fp").alias("b")), Workspace(spark, "links1"))
     ws.release()
-    pairs = ws.save(lists.where("pair").select("leader", "leader_n", "fp", "n").distinct(), "pairs")
-    first = _verify(pairs, d, reps, k, ws, "first")
+
+    # later leaders: in lists that the links leave in parts
+    answers = first.select("leader", "fp", F.col("shared").cast("long").alias("s"))
+    known = _with_root(led.join(answers, ["leader", "fp"], "left"), roots)
+    own = F.when(F.col("leader") == F.col("fp"), F.col("n").cast("long")).otherwise(F.coalesce("s", unknown))
+    known = known.select("token", "fp", "n", "pos", "fame", "root", F.col("leader_n").cast("long").alias("size1"), own.alias("shared1"))
+    led = ws.save(by_list(known, F.desc("fame"), "fp").mapInArrow(_lead(percent, True), LED), "led2")
+    ws.drop("led1")
+    second = _verify(led.where("pair and not sure").select("leader", "leader_n", "fp", "n").distinct(), d, reps, k, ws, "second")
+    links = links.union(second.where(exact).select("leader", "fp")).union(ws.save(led.where("sure").select("leader", "fp").distinct(), "proven"))
+    roots = components(links.select(F.col("leader").alias("a"), F.col("fp").alias("b")), Workspace(spark, "links2"))
     ws.release()
 
-    answers = first.select("leader", "fp", "shared")
-    long_lists = lists.where("size > 2").join(answers, ["leader", "fp"], "left")
-    shared = F.when(F.col("leader") == F.col("fp"), F.col("n")).otherwise(F.coalesce("shared", F.lit(-1)))
-    long_lists = long_lists.select("token", "fp", "n", "pos", "block", "leader_n", shared.alias("shared"))
-    more = long_lists.repartition(parts, "token").sortWithinPartitions("token", "n", "fp").mapInArrow(_rest(percent), "leader long, leader_n int, fp long, n int, sure boolean")
+    # what is still apart and open after two leaders' answers is verified pair by pair
+    answers = second.select("leader", "fp", F.col("shared").cast("long").alias("s"))
+    known = _with_root(led.drop("root").join(answers, ["leader", "fp"], "left"), roots)
+    known = known.select("token", "fp", "n", "pos", "root", "size1", "shared1", F.col("leader_n").cast("long").alias("size2"), own.alias("shared2"))
+    more = by_list(known, "fp").mapInArrow(_rest(percent), "leader long, leader_n int, fp long, n int, sure boolean")
     more = ws.save(more.groupBy("leader", "leader_n", "fp", "n").agg(F.max("sure").alias("sure")), "more")
-    ws.drop("lists")
-    second = _verify(more.where("not sure").drop("sure"), d, reps, k, ws, "second")
+    ws.drop("led2")
+    third = _verify(more.where("not sure").drop("sure"), d, reps, k, ws, "third")
+    links = links.union(third.where(exact).select("leader", "fp")).union(more.where("sure").select("leader", "fp"))
+    roots = components(links.select(F.col("leader").alias("a"), F.col("fp").alias("b")), Workspace(spark, "links3"))
     ws.release()
 
-    exact = F.col("shared") * (100 + percent) >= F.lit(percent) * (F.col("n") + F.col("leader_n"))
-    links = first.where(exact).select("leader", "fp").union(second.where(exact).select("leader", "fp")).union(more.where("sure").select("leader", "fp"))
-    a, b = (reps.select(F.col("fp").alias(f), F.col("rep").alias(r)) for f, r in (("leader", "a"), ("fp", "b")))
-    roots = components(links.join(a, "leader").join(b, "fp").select("a", "b"), ws)
-    moved = ws.save(reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("root")).join(rows.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp").union(links.select(F.explode(F.array("leader", "fp")).alias("fp"))).distinct(), "fp", "left_semi"), "moved")
+    # a class is named by its smallest document
+    rooted = _with_root(reps, roots)
+    classes = rooted.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("sets"))
+    copied = rows.groupBy("fp").agg(F.count("*").alias("copies")).where("copies > 1").select("fp")
+    moved = rooted.join(classes, "root").join(copied.withColumn("copied", F.lit(True)), "fp", "left").where("sets > 1 or copied").select("fp", F.col("least").alias("root"))
+    moved = ws.save(moved, "moved")
     out = by_row_id(rows, moved, "fp", 16)
     own = F.when(F.col("doc_id").isNull(), None).when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     return out.select(F.col("doc_id").alias("id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
