@@ -228,13 +228,21 @@ def _arrays(k: int):
 
 def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, ws: Workspace, name: str) -> DataFrame:
     """leader, leader_n, fp, n, shared for each pair: overlaps of the full sets."""
-    wanted = ws.save(pairs.select(F.explode(F.array("leader", "fp")).alias("fp")).distinct().join(reps, "fp").select("rep").distinct(), f"{name}-wanted")
+    pairs = ws.save(pairs.select("leader", "leader_n", "fp", "n"), f"{name}-pairs")
+    ids = pairs.select(F.explode(F.array("leader", "fp")).alias("fp")).distinct()
+    wanted = ws.save(ids.join(reps, "fp").select("rep").distinct(), f"{name}-wanted")
     w = F.broadcast(wanted) if bounded(wanted, 8) else wanted
     sets = docs.join(w, F.col("id") == F.col("rep"), "left_semi").select("text").mapInArrow(_arrays(k), "fp long, set array<long>")
-    sets = ws.save(sets, f"{name}-sets").dropDuplicates(["fp"])
-    leaders = sets.join(pairs.select(F.col("leader").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("leader"), F.col("set").alias("theirs"))
-    met = pairs.join(sets, "fp").join(leaders, "leader")
-    out = ws.save(met.select("leader", "leader_n", "fp", "n", F.size(F.array_intersect("set", "theirs")).alias("shared")), f"{name}-shared")
+    sets = ws.save(sets, f"{name}-sets")
+    # the sets stay where they are as long as the pairs' ids are few: only the members' sets travel, to their leaders
+    few = bounded(pairs, 32)
+    heads = pairs.select(F.col("leader").alias("fp")).distinct()
+    p, heads = (F.broadcast(pairs), F.broadcast(heads)) if few else (pairs, heads)
+    leaders = sets.join(heads, "fp", "left_semi").select(F.col("fp").alias("leader"), F.col("set").alias("theirs"))
+    met = sets.join(p, "fp").join(leaders.hint("shuffle_merge"), "leader")
+    # rows that repeat an id bring their set twice: one answer a pair
+    shared = met.select("leader", "leader_n", "fp", "n", F.size(F.array_intersect("set", "theirs")).alias("shared")).groupBy("leader", "leader_n", "fp", "n").agg(F.max("shared").alias("shared"))
+    out = ws.save(shared, f"{name}-shared")
     ws.drop(f"{name}-sets")
     return out
 
