@@ -40,6 +40,8 @@ HELD = 1 << 21
 #: Bytes of a shard's suffix array, but for a single anchor's segments.
 SHARD = 4 << 20
 PLACE_BITS = 24
+#: Per-document lists are broadcast up to this size only: most corpora join by id at any size.
+SMALL = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -207,6 +209,8 @@ def _sort(length: int):
             cols = [batch.column("key").to_numpy(), batch.column("doc").to_numpy(), batch.column("start").to_numpy()]
             parts = batch.column("bytes").to_pylist()
             for i, p in enumerate(parts):
+                if held[0] and (cols[0][i], cols[1][i], cols[2][i]) == (held[0][-1], held[1][-1], held[2][-1]):
+                    continue  # a repeated row's segment
                 if size >= SHARD and cols[0][i] != held[0][-1]:
                     yield shard(*(np.array(c) for c in held[:3]), held[3])
                     held, size = [[], [], [], []], 0
@@ -273,13 +277,13 @@ def substring_dedup(docs: DataFrame, id_col: str, text_col: str, length: int = 1
     ws.release()
     wanted = ws.save(found.where(F.col("key").isNotNull()).groupBy("doc").agg(F.collect_list(F.struct("key", "start", "windows")).alias("wanted")), "wanted")
     # one row of `wanted` is a document's segments: far below its text, some 24 bytes for each
-    texts = by_row_id(named, wanted.withColumnRenamed("doc", "id"), "id", 512).where(F.col("wanted").isNotNull())
-    pieces = texts.mapInArrow(_fetch(length), "key long, doc long, start long, bytes binary").dropDuplicates(["key", "doc", "start"])
+    texts = by_row_id(named, wanted.withColumnRenamed("doc", "id"), "id", 512, SMALL).where(F.col("wanted").isNotNull())
+    pieces = texts.mapInArrow(_fetch(length), "key long, doc long, start long, bytes binary")
     more = pieces.repartition(parts, "key").sortWithinPartitions("key", "doc", "start").mapInArrow(_sort(length), "doc long, start long, windows long")
     gone = found.where(F.col("key").isNull()).select("doc", "start", "windows").union(more)
     ranges = gone.repartition(parts, "doc").sortWithinPartitions("doc", "start").mapInArrow(_merge(length), "doc long, a long, b long")
     cuts = ws.save(ranges.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("a", "b")).alias("cuts")), "cuts")
     ws.release()
     cuts_type = "array<struct<a:bigint,b:bigint>>"
-    out = by_row_id(d, cuts, "id", 256)
+    out = by_row_id(d, cuts, "id", 256, SMALL)
     return out.mapInArrow(_remove, f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, cuts {cuts_type}")
