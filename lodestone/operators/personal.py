@@ -92,11 +92,11 @@ def forget(state: PersonalState, digest: str) -> PersonalState:
     return _number(state.having(canonical_records=gone), one, "tombstone")
 
 
-def export_changes(changes: DataFrame, epoch: int, sequence: int, limit: int) -> DataFrame:
-    """The next changes after a cursor in order, of the first epoch that has any."""
+def export_changes(changes: DataFrame, epoch: int, sequence: int) -> DataFrame:
+    """The changes after a cursor in order, to the end of the first epoch that has any."""
     after = changes.where(cursor_after(F.col("epoch"), F.col("sequence"), epoch, sequence))
     first = after.agg(F.min("epoch").alias("first"))
-    return after.join(F.broadcast(first), F.col("epoch") == F.col("first"), "left_semi").orderBy("epoch", "sequence").limit(limit)
+    return after.join(F.broadcast(first), F.col("epoch") == F.col("first"), "left_semi").orderBy("epoch", "sequence")
 
 
 def acknowledge(state: PersonalState, epoch: int, sequence: int) -> PersonalState:
@@ -109,7 +109,7 @@ def acknowledge(state: PersonalState, epoch: int, sequence: int) -> PersonalStat
 
 def gaps(changes: DataFrame, epoch: int, sequence: int) -> DataFrame:
     """Changes of a bundle that don't follow their predecessor (the first: the cursor) by one in one epoch."""
-    w = Window.orderBy("epoch", "sequence")  # one bundle, bounded by the sender's limit
+    w = Window.orderBy("epoch", "sequence")  # one bundle: the rest of an epoch, in one task
     before = F.coalesce(F.lag("sequence").over(w), F.when(F.col("epoch") == epoch, F.lit(sequence)).otherwise(F.lit(0)))
     marked = changes.withColumn("__before", before).withColumn("__epoch", F.coalesce(F.lag("epoch").over(w), F.col("epoch")))
     return marked.where("sequence <> __before + 1 OR __epoch <> epoch").drop("__before", "__epoch")

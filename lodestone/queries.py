@@ -486,7 +486,7 @@ LOG = "g AS (SELECT *, event_id // 1000 AS epoch, row_number() OVER (PARTITION B
 @query(f"WITH {LOG}, a AS (SELECT * FROM g WHERE epoch > 3 OR (epoch = 3 AND sequence > 400)) SELECT epoch, sequence, event_id FROM a WHERE epoch = (SELECT min(epoch) FROM a) ORDER BY sequence LIMIT 500")
 def change_export(spark, d):
     """ST4, PF9, WN2: the changes after (3, 400), to the end of their epoch."""
-    return personal.export_changes(_log(spark, d), 3, 400, 500).select("epoch", "sequence", "event_id")
+    return personal.export_changes(_log(spark, d), 3, 400).select("epoch", "sequence", "event_id")
 
 
 @query(f"""WITH {LOG}, h AS (SELECT * FROM g WHERE sequence % 50 <> 0), l AS (SELECT *, lag(sequence) OVER (PARTITION BY epoch ORDER BY sequence) AS before FROM h)

@@ -210,3 +210,10 @@ def test_personal_store(spark):
     with pytest.raises(ConstraintError):
         personal.acknowledge(s, 9, 9)
     assert personal.acknowledge(s, 1, 1)["promotion_outbox"].first().state == "promoted"
+
+
+def test_export_runs_to_the_end_of_the_epoch(spark):
+    rows = [(3, s) for s in range(1, 1001)] + [(4, s) for s in range(1, 11)]
+    changes = spark.createDataFrame(rows, "epoch long, sequence long").repartition(3)
+    assert [(r.epoch, r.sequence) for r in personal.export_changes(changes, 3, 400).collect()] == [(3, s) for s in range(401, 1001)]
+    assert personal.export_changes(changes, 3, 1000).count() == 10 and personal.export_changes(changes, 4, 10).count() == 0
