@@ -37,7 +37,8 @@ SYLLABLES = {
     "Cyrillic": ["ба", "вол", "гор", "дан", "зор", "кар", "лес", "мир", "нов", "пет", "рад", "сол", "тов", "чер", "шам", "яр"],
     "Greek": ["αν", "βασ", "γαλ", "δημ", "ζαχ", "θεο", "καρ", "λαμ", "μαν", "νικ", "παν", "ραλ", "σαβ", "τσα", "φιλ", "χρι"],
 }
-_NAME = r"\p{Lu}[\p{Ll}\p{M}'’-]+"
+#: A name's part: a capital, then a small letter or mark, then any letters; dotted initials may precede it.
+_NAME = r"(?:\p{Lu}\.[ -]?){0,9}+\p{Lu}[\p{Ll}\p{M}'’-][\p{L}\p{M}'’-]*+"
 #: Patterns by type, tried in this order at each place. No pattern backtracks over what it has passed.
 PATTERNS = {
     "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
@@ -50,8 +51,8 @@ PATTERNS = {
     "PERSON": r"(?<=(?<![\p{L}])(?:" + "|".join(TITLES) + r")\.? )" + _NAME + "(?: " + _NAME + "){0,2}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Texts without these cannot hold an entity.
-HINT = r"[@\d]|(?<![\p{L}])(?:" + "|".join(TITLES) + r")\.? \p{Lu}"
+#: Texts without these cannot hold an entity; the keys and [a-f]{32} are tokens that need no digit.
+HINT = r"[@\d]|AKIA|gh[pousr]_|sk-|[a-f]{32}|(?<![\p{L}])(?:" + "|".join(TITLES) + r")\.? \p{Lu}"
 
 
 def entity_type(s: Column) -> Column:
@@ -146,7 +147,8 @@ def surrogate(kind: Column, canon: Column, gender: Column, seed: Column) -> Colu
     syllables = F.element_at(_name_lists(SYLLABLES), script(canon))
     family = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.element_at(syllables, _draw(seed, i, 16).cast("int") + 1)), ""))
     first = F.element_at(given, (_draw(seed, 0, 8)).cast("int") + 1)
-    person = F.when(F.size(parts) == 1, family).when(F.size(parts) == 2, F.concat_ws(" ", first, family)).otherwise(F.concat_ws(" ", first, F.element_at(given, _draw(seed, 7, 8).cast("int") + 1), family))
+    middle = F.transform(F.sequence(F.lit(7), F.size(parts) + 4), lambda i: F.element_at(given, _draw(seed, i, 8).cast("int") + 1))
+    person = F.when(F.size(parts) == 1, family).when(F.size(parts) == 2, F.concat_ws(" ", first, family)).otherwise(F.concat_ws(" ", first, middle, family))
     return (
         F.when(kind == "CARD", F.concat(body, check.cast("string")))
         .when(kind == "PHONE", phone)
