@@ -31,4 +31,6 @@ def components(edges: DataFrame, ws: Workspace, most_rounds: int = 60) -> DataFr
         if state == before:
             break
         before = state
+    else:
+        raise ValueError(f"components aren't settled after {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -82,21 +82,27 @@ def coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component: the smallest node of each connected part, by minimum labels with path halving.
+    """node, component: the smallest node of each connected part, by alternating large-star and small-star steps.
 
-    Each round's labels are checkpointed, so plans stay short.
+    Each step's links are checkpointed, so plans stay short. Links that ``rounds`` don't settle are an error.
     """
-    e = existing(edges, nodes).select("src", "dst").where("src <> dst")
-    both = e.union(e.select("dst", "src")).toDF("node", "other").distinct()
-    labels = nodes.select("node").distinct().withColumn("component", F.col("node"))
+    e = existing(edges, nodes).where("src <> dst")
+    links = _stored(e.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        new = labels.join(near, "node", "left").select("node", "component", F.least("component", "near").alias("least"))
-        # a label's own label is a shorter way
-        over = labels.select(F.col("node").alias("least"), F.col("component").alias("over"))
-        new = _stored(new.join(over, "least", "left").select("node", "component", F.least("least", "over").alias("next")))
-        changed = not new.where("component <> next").isEmpty()
-        labels = new.select("node", F.col("next").alias("component"))
-        if not changed:
+        both = links.union(links.select("v", "u"))
+        large = _stored(both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        met = large.join(_least(large), "u")
+        new = _stored(met.select("u", F.col("m").alias("v")).union(met.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
+        settled = new.count() == links.count() and new.join(links, ["u", "v"], "left_anti").isEmpty()
+        links = new
+        if settled:
             break
-    return labels
+    else:
+        raise ValueError(f"components aren't settled after {rounds} rounds")
+    roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return nodes.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+
+
+def _least(links: DataFrame) -> DataFrame:
+    """u, m: the smallest of each node and its neighbours."""
+    return links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

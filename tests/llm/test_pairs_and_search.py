@@ -117,3 +117,8 @@ def test_components_of_chains_and_stars(spark):
             want[n] = min(seen)
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "test")).collect()}
     assert {n: got.get(n, n) for n in want} == want
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    with pytest.raises(ValueError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"), Workspace(spark, "test"), most_rounds=1)

@@ -217,3 +217,14 @@ def test_export_runs_to_the_end_of_the_epoch(spark):
     changes = spark.createDataFrame(rows, "epoch long, sequence long").repartition(3)
     assert [(r.epoch, r.sequence) for r in personal.export_changes(changes, 3, 400).collect()] == [(3, s) for s in range(401, 1001)]
     assert personal.export_changes(changes, 3, 1000).count() == 10 and personal.export_changes(changes, 4, 10).count() == 0
+
+
+def test_components_of_long_chains_are_whole_or_an_error(spark):
+    name = lambda i: f"n{i:03d}"
+    chain = [1, *range(300, 1, -1)]
+    nodes = spark.createDataFrame([(name(i),) for i in chain] + [("alone",)], "node string")
+    e = spark.createDataFrame([(name(a), name(b), "supports") for a, b in zip(chain, chain[1:])], "src string, dst string, edge_kind string")
+    got = {r.node: r.component for r in graph.components(nodes, e).collect()}
+    assert got == {name(i): name(1) for i in chain} | {"alone": "alone"}
+    with pytest.raises(ValueError):
+        graph.components(nodes, e, rounds=1)
