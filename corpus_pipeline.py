@@ -7,7 +7,7 @@ own rules.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.decontaminate import decontaminate
@@ -19,11 +19,11 @@ from lodestone.llm.queries import tokenizer_path
 from lodestone.llm.workspace import Workspace, bounded
 
 
-def _without(docs: DataFrame, gone: DataFrame, label: str) -> DataFrame:
-    """The documents whose id isn't among ``gone`` (one column, id)."""
+def _without(docs: DataFrame, gone: DataFrame, label: str, key: Column, key_bytes: int) -> DataFrame:
+    """The documents whose ``key`` isn't among ``gone`` (column id); a null key stays."""
     gone = Workspace(docs.sparkSession, label).save(gone.select(F.col("id").alias("__id")).distinct(), "gone")
-    gone = F.broadcast(gone) if bounded(gone, 8) else gone
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    gone = F.broadcast(gone) if bounded(gone, key_bytes) else gone
+    return docs.join(gone, key == gone["__id"], "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +42,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
     classes = jaccard_components(docs, "doc_id", "text", k=5, percent=80)
-    return _without(docs, classes.where("id <> component_id"), "near")
+    return _without(docs, classes.where("id <> component_id"), "near", F.col("doc_id"), 8)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
+    """Documents with a benchmark window go, told by their text: ids may be null or shared with clean documents."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate(docs, bench, "doc_id", "text", "item_id", "text").where("n_hit > 0"), "leaks")
+    key = F.sha2("text", 256)
+    leaks = decontaminate(docs.select(key.alias("key"), "text"), bench, "key", "text", "item_id", "text").where("n_hit > 0")
+    return _without(docs, leaks, "leaks", key, 64)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

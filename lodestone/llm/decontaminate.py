@@ -8,7 +8,7 @@ and are found by that length's grams.
 
 Defined cases: null or wordless texts have no words and no hits; rows that repeat (id, text) give
 one row, rows that repeat an id with other texts give one row each; null ids are kept and match
-only themselves; an empty benchmark leaves every document clean; columns other than the named ones
+only themselves; items without an id are found like others, with a null among ``items``; an empty benchmark leaves every document clean; columns other than the named ones
 are ignored, so they may have any name.
 """
 
@@ -91,13 +91,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str,
     met = by_row_id(d, ws.save(found, "found"), "id", 256)
     near = met.select("id", F.xxhash64("text").alias("h"), let(alnum_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.when(F.col("marks").isNotNull(), starts(w)).alias("at"))).alias("x"))
     hits = near.select("id", "h", F.col("x.n").alias("n_words"), F.explode_outer("x.at").alias("s")).select("id", "h", "n_words", "s.start", "s.m", "s.wtext")
-    wins = wins.drop("m")
+    wins = wins.drop("m").withColumn("found", F.lit(True))  # a hit is told by this mark: an item's id may be null
     if bounded(wins, 256):
         found_in = hits.join(F.broadcast(wins), "wtext", "left")
     else:  # rows without a window get keys of their own, so that no task gathers them
         key = F.coalesce("wtext", F.concat(F.lit("\u0000"), F.xxhash64("id", "h").cast("string")))
         found_in = hits.withColumn("wtext", key).join(wins, "wtext", "left")
-    spans = F.collect_set(F.when(F.col("item").isNotNull(), F.struct("start", "m")))
+    spans = F.collect_set(F.when(F.col("found"), F.struct("start", "m")))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["m"] - 1)))))
-    out = found_in.groupBy("id", "h", "n_words").agg(spans.alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    # in a struct, as a set leaves out bare nulls
+    items = F.transform(F.collect_set(F.when(F.col("found"), F.struct("item"))), lambda s: s["item"])
+    out = found_in.groupBy("id", "h", "n_words").agg(spans.alias("spans"), F.sort_array(items).alias("items"))
     return out.select("id", "n_words", covered.cast("long").alias("n_hit"), "items")

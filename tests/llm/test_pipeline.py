@@ -41,3 +41,13 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert seen[2] - seen[3] == {502}
     assert seen[4] == seen[3]
     assert {r.doc_id for r in cp.run(spark, d).select("doc_id").distinct().collect()} == seen[4]
+
+
+def test_benchmark_stage_drops_leaks_without_an_id_and_nothing_else(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    item = " ".join(f"w{i}" for i in range(12))
+    spark.createDataFrame([(None, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, "see " + item), (None, "clean"), (None, None), (4, item), (4, "clean too"), (5, "fine")], "doc_id long, text string")
+    left = sorted(((r.doc_id, r.text) for r in cp.benchmark_stage(spark, docs, str(tmp_path)).collect()), key=str)
+    assert left == sorted([(None, "clean"), (None, None), (4, "clean too"), (5, "fine")], key=str)

@@ -70,6 +70,14 @@ def test_decontamination_of_repeats_and_null_ids(spark):
     assert got == [(1, 1, 0), (1, 12, 12), (None, 13, 12)]
 
 
+def test_decontamination_finds_items_without_an_id(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    d = spark.createDataFrame([(1, item), (2, "other"), (3, item + " lone pair")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, item), (9, "lone pair")], "item_id long, text string")
+    got = sorted((r.id, r.n_words, r.n_hit, r["items"]) for r in decontaminate(d, b, "doc_id", "text", "item_id", "text").collect())
+    assert got == [(1, 12, 12, [None]), (2, 1, 0, []), (3, 14, 14, [None, "9"])]
+
+
 @pytest.mark.parametrize("n,a", [(1, 1), (2, 1), (50, 1), (300, 2), (2000, 3), (3000, 200)])
 def test_suffix_array(n, a):
     t = np.random.default_rng(n).integers(0, a, n).astype(np.uint8)
