@@ -5,7 +5,7 @@ the same document). Strings are dealt to shards by content: each window of ``len
 anchor, the smallest hash of its short grams, so equal windows always meet in one shard. A run of
 windows with one anchor is a segment of at most twice the length. Segments of equal content are
 collapsed into the earliest; of anchors with several contents, the segments' bytes are sorted into
-a suffix array per shard by induced sorting, neighbours' permuted common prefixes give the classes
+a suffix array per shard by induced sorting, direct comparison of neighbours' bytes gives the classes
 of equal windows, and all but the earliest of a class go.
 
 Defined cases: a null text is an empty one; texts shorter than ``length`` lose nothing; rows with

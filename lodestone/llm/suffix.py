@@ -125,7 +125,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
 
 
 def permuted_equal(t: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Whether the suffixes at a and b share their first ``length`` bytes: the permuted common prefix, cut at that length."""
+    """Whether the suffixes at a and b share their first ``length`` bytes, compared directly (no common-prefix array is made)."""
     padded = np.r_[t, np.zeros(8, np.uint8)]
     word = np.zeros(len(t) + 1, np.uint64)
     for k in range(8):
