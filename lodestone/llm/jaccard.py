@@ -4,8 +4,8 @@
 2. A fixed-size frequency sketch orders shingles, rare ones first. A set posts the shingles of its
    prefix: two sets with the wanted similarity share one (any common order keeps this exact, so the
    sketch's errors cost time only).
-3. A posting list's leader is the set that the most lists hold. Blocks of the list that sizes and
-   positions rule out are skipped; the leader's pairs with the others are verified on full sets.
+3. A posting list's leader is the set that the most lists hold. Rows of the list that sizes and
+   positions rule out are masked; the leader's pairs with the others are verified on full sets.
 4. The other pairs of a list are answered from the leader's answers: sets that its links connect
    need no answer of their own; for the rest the leader's overlaps bound the pair's overlap from
    both sides. Where lists stay in parts a second leader is taken from another part, and only pairs
@@ -179,7 +179,7 @@ def _lead(percent: int, later: bool):
                 leader = np.repeat(np.minimum(first, len(token) - 1), count)
             else:
                 on = np.ones(len(token), bool)
-            # a block of rows that the sizes and positions rule out is skipped as a whole
+            # rows that the sizes and positions rule out are masked after the list was read
             need = pair_overlap(n, n[leader], percent)
             pair = on & (root != root[leader]) & (np.minimum(n - pos, n[leader] - pos[leader]) >= need)
             open_, sure = _bounds(n, n[leader], need, [(size1, shared1, shared1[leader])])
