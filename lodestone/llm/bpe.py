@@ -22,6 +22,9 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from lodestone.llm.hashing import span_hashes
+from lodestone.llm.worker import held
+
 #: Character classes: letters of contractions have their own, as the splitter looks ahead by them.
 OTHER, LETTER, NUMBER, SPACE, GAP, QUOTE, STMD, RV, EL, E, END = range(11)
 CLASSES = 11
@@ -124,40 +127,6 @@ def begins(classes: np.ndarray, chunk: int = 512) -> np.ndarray:
     return first
 
 
-#: Fixed random multipliers for hashing characters and places; any odd numbers would do.
-_RNG = np.random.default_rng(20240229)
-_SALT = _RNG.integers(1, 2**63, 4, np.uint64) | np.uint64(1)
-_BASE = int(_SALT[0]) | 5
-_STEP = 1 << 20
-
-
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 2**64)
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE, np.uint64)]), dtype=np.uint64)
-        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, inverse, np.uint64)]), dtype=np.uint64)
-    return up, down
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit words."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-def span_hashes(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [a, b) of a stream of code points, independent of where they stand."""
-    n = len(codes)
-    up, down = _powers(-(-(n + 1) // _STEP) * _STEP)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(codes.astype(np.uint64) + _SALT[1]) * up[:n], out=total[1:])
-        return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * _SALT[2])
-
-
 def _byte_letters() -> dict[str, int]:
     """The vocabulary file's letters for bytes: printable bytes stand for themselves, others follow from 256."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -209,7 +178,7 @@ class Counter:
         """Whether tokens x, y can follow each other in an encoding."""
         key = (x, y)
         if (ok := self._fits.get(key)) is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 300_000:
                 self._fits.clear()
             ok = self._fits[key] = self.merge(self.bytes[x] + self.bytes[y]) == [x, y]
         return ok
@@ -232,7 +201,7 @@ class Counter:
             if known is None:
                 known = self._step(states, word, end)
                 if end <= 32:
-                    if len(self._trie) > 1_000_000:
+                    if len(self._trie) > 300_000:
                         self._trie.clear()
                     self._trie[word[:end]] = known
             states.append(known)
@@ -264,7 +233,7 @@ class Counter:
 class Compiled:
     """Known pre-tokens of one tokenizer: hash -> count and tokens; refilled when it grows past its bound."""
 
-    LIMIT = 3_000_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str, quick: bool = False):
         self.counter = Counter(path)
@@ -299,9 +268,9 @@ class Compiled:
         return i, self.keys[i] == keys
 
 
-@lru_cache(maxsize=2)
 def compiled(path: str, quick: bool = False) -> Compiled:
-    return Compiled(path, quick)
+    """The worker's table of this tokenizer; it goes when another operator's task begins."""
+    return held(("tokenizer", path, quick), lambda: Compiled(path, quick))
 
 
 def encode(texts: list[str], path: str, quick: bool = False) -> tuple[np.ndarray, np.ndarray, Compiled]:

@@ -29,22 +29,13 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
 from lodestone.llm.exprs import by_row_id
-from lodestone.llm.shingles import set_prints, shingle_sets
+from lodestone.llm.shingles import runs, set_prints, shingle_sets
+from lodestone.llm.worker import tidy
 from lodestone.llm.workspace import Workspace, bounded
 
 #: Cells of the frequency sketch: its size doesn't follow the data.
 SKETCH_BITS = 20
 CHUNK = 1 << 16
-#: Text of about so many bytes is handled at a time.
-STREAM = 4 << 20
-
-
-def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        size = b.column(column).nbytes
-        step = max(1, int(b.num_rows / max(1, -(-size // STREAM))))
-        for i in range(0, b.num_rows, step):
-            yield b.slice(i, step)
 
 
 def _cells(g: np.ndarray) -> np.ndarray:
@@ -57,7 +48,7 @@ def _scan(k: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         names = ["doc_id", "n", "fp", "chunk", "cells"]
-        for b in _runs(batches, 1):
+        for b in runs(batches, 1):
             g, at = shingle_sets(b.column(1), k)
             sketch += np.bincount(_cells(g), minlength=len(sketch)).astype(np.uint32)
             m = b.num_rows
@@ -67,7 +58,7 @@ def _scan(k: int):
         m = len(parts)
         yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64())] * 3 + [pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
 
-    return scan
+    return tidy(scan)
 
 
 def _add(key: tuple, table: pa.Table) -> pa.Table:
@@ -93,7 +84,7 @@ def _post(k: int, percent: int, levels: bytes):
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task's copies post once
-        for b in _runs(batches, 0):
+        for b in runs(batches, 0):
             g, at = shingle_sets(b.column(0), k)
             n, fp = np.diff(at), set_prints(g, at)
             fresh = np.zeros(len(n), bool)
@@ -112,31 +103,43 @@ def _post(k: int, percent: int, levels: bytes):
             row, h, pos = row[head], h[head], pos[head]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(fp[row].view(np.int64)), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["token", "fp", "n", "pos"])
 
-    return post
+    return tidy(post)
+
+
+def whole_lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Rows sorted by the first column, with each of its values' rows together: (starts of the lists, columns)."""
+    held: list[list[np.ndarray]] = []
 
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate(c) for c in zip(*held, strict=True)]
 
-def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Whole posting lists, many at a time: (starts of the lists, columns)."""
-    held: list[np.ndarray] | None = None
     for b in batches:
         cols = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        if held is not None:
-            cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
-        if not len(cols[0]):
-            continue
         t = cols[0]
-        new = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-        last = new[-1]
-        held = [c[last:] for c in cols]
-        if last:
-            yield new[:-1], [c[:last] for c in cols]
-    if held is not None and len(held[0]):
-        yield np.zeros(1, np.int64), held
+        if not len(t):
+            continue
+        last = 0 if t[0] == t[-1] else int(np.flatnonzero(t[1:] != t[:-1])[-1]) + 1
+        if held and (last or t[0] != held[-1][0][-1]):
+            held.append([c[:last] for c in cols])
+            done = joined()
+            held = []
+            yield _starts(done[0]), done
+        elif last:
+            yield _starts(t[:last]), [c[:last] for c in cols]
+        held.append([c[last:] for c in cols])
+    if held:
+        done = joined()
+        yield _starts(done[0]), done
+
+
+def _starts(t: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
 
 
+@tidy
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of lists that hold two sets and more; copies posted by several tasks once."""
-    for starts, (token, fp, n, pos) in _lists(batches, ["token", "fp", "n", "pos"]):
+    for starts, (token, fp, n, pos) in whole_lists(batches, ["token", "fp", "n", "pos"]):
         keep = np.r_[True, (token[1:] != token[:-1]) | (fp[1:] != fp[:-1])]
         owner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(token)]))
         size = np.bincount(owner[keep], minlength=len(starts))
@@ -167,7 +170,7 @@ def _lead(percent: int, later: bool):
     """
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for starts, cols in _lists(batches, LIST):
+        for starts, cols in whole_lists(batches, LIST):
             token, fp, n, pos, fame, root, size1, shared1 = cols
             n, pos = n.astype(np.int64), pos.astype(np.int64)
             count = np.diff(np.r_[starts, len(token)])
@@ -187,14 +190,14 @@ def _lead(percent: int, later: bool):
             out = [*cols, fp[leader], n[leader].astype(np.int32), pair, sure & pair]
             yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in out], names=[*LIST, "leader", "leader_n", "pair", "sure"])
 
-    return lead
+    return tidy(lead)
 
 
 def _rest(percent: int, block_cells: int = 1 << 20):
     """Pairs that are still apart and that neither leader's answers settle; ``sure`` marks those that they prove."""
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for starts, cols in _lists(batches, ["token", "fp", "n", "pos", "root", "size1", "shared1", "size2", "shared2"]):
+        for starts, cols in whole_lists(batches, ["token", "fp", "n", "pos", "root", "size1", "shared1", "size2", "shared2"]):
             _, fp, n, pos, root, size1, shared1, size2, shared2 = cols
             n, pos = n.astype(np.int64), pos.astype(np.int64)
             ends = np.r_[starts[1:], len(fp)]
@@ -214,16 +217,16 @@ def _rest(percent: int, block_cells: int = 1 << 20):
                 c = [np.concatenate(z) for z in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1].astype(np.int32)), pa.array(c[2]), pa.array(c[3].astype(np.int32)), pa.array(c[4])], names=["leader", "leader_n", "fp", "n", "sure"])
 
-    return rest
+    return tidy(rest)
 
 
 def _arrays(k: int):
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _runs(batches, 0):
+        for b in runs(batches, 0):
             g, at = shingle_sets(b.column(0), k)
             yield pa.RecordBatch.from_arrays([pa.array(set_prints(g, at).view(np.int64)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(g.view(np.int64)))], names=["fp", "set"])
 
-    return arrays
+    return tidy(arrays)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, ws: Workspace, name: str) -> DataFrame:

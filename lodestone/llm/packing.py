@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.token_counts import slices
+from lodestone.llm.worker import tidy
 from lodestone.llm.workspace import Workspace
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"
@@ -67,7 +68,7 @@ def _cutter(path: str, separator: int, most: int):
                 doc_id = batch.column(0).slice(a, b - a).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([doc_id, pa.array(k.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(doc), task, np.int32)), pa.array(rank)], names=[c.split()[0] for c in PIECE.split(", ")])
 
-    return cut
+    return tidy(cut, keeps=True)
 
 
 def plan_bins(counts: dict[int, int], tokens: int, documents: int, attention: int, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), by: str = "norm") -> list[tuple[int, int, int, int, int]]:
@@ -141,7 +142,7 @@ def _placer(runs: list[tuple[int, int, int, int, int]], names: list[str]):
                 off[at] = r[i, 3]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
-    return put
+    return tidy(put)
 
 
 def best_fit_pack(docs: DataFrame, id_col: str, text_col: str, path: str, separator: int, tokens: int = 1024, documents: int | None = None, attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), by: str = "norm") -> DataFrame:

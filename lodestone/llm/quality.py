@@ -26,8 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.bpe import span_hashes
-from lodestone.llm.shingles import text_bytes, words
+from lodestone.llm.hashing import span_hashes
+from lodestone.llm.shingles import runs, text_bytes, words
+from lodestone.llm.worker import tidy
 from lodestone.llm.workspace import Workspace, bounded
 
 KINDS = 10
@@ -54,8 +55,9 @@ def features(column: pa.Array) -> np.ndarray:
     raw, at = text_bytes(column)
     rows = len(at) - 1
     size = np.diff(at)
-    owner = np.repeat(np.arange(rows), size)
-    counts = np.bincount(owner * KINDS + _byte_kinds()[raw], minlength=rows * KINDS).reshape(rows, KINDS)
+    owner = np.repeat(np.arange(rows, dtype=np.int32) * KINDS, size)
+    owner += _byte_kinds()[raw]
+    counts = np.bincount(owner, minlength=rows * KINDS).reshape(rows, KINDS)
     share = counts / np.maximum(size, 1)[:, None]
     row, h, n = words(raw, at)
     variety = _distinct(row, h, rows) / np.maximum(n, 1)
@@ -102,13 +104,11 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, each: np.ndarray | Non
 
 def _appender(model: Evidence | None, column: int, name: str):
     def append(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                batch = whole.slice(i, 1000)
-                e = model.logit(features(batch.column(column))) if model else np.zeros(batch.num_rows)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(e)], names=[*batch.schema.names, name])
+        for batch in runs(batches, column):
+            e = model.logit(features(batch.column(column))) if model else np.zeros(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(e)], names=[*batch.schema.names, name])
 
-    return append
+    return tidy(append)
 
 
 def _sample(labels: DataFrame, id_col: str, label_col: str, most: int) -> tuple[DataFrame, dict[int, float]]:
@@ -119,8 +119,9 @@ def _sample(labels: DataFrame, id_col: str, label_col: str, most: int) -> tuple[
     return labels.sparkSession.createDataFrame(rows, known.schema), {y: n / min(n, most) for y, n in every.items()}
 
 
+@tidy
 def _collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in runs(batches, 2):
         x = features(b.column(2))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["lid", "y", "x"])
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lodestone.llm.bpe import mix, span_hashes
+from lodestone.llm.hashing import mix, span_hashes
 
 #: Bytes that part words: space, and tab to carriage return.
 GAPS = np.zeros(256, bool)
 GAPS[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of text that are handled at a time; a longer text is handled alone.
+STREAM = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -27,6 +31,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]] if len(at) else raw[:0], at - at[0]
 
 
+def runs(batches: Iterator[pa.RecordBatch], column: int, most: int = STREAM) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about ``most`` bytes of text in ``column``."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(size, dtype=np.int64)
+        a = 0
+        while a < len(total):
+            e = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+            yield b.slice(a, e - a)
+            a = e
+
+
 def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, hash) of every word, in order, and the words of each row."""
     n = len(raw)

@@ -3,14 +3,15 @@
 Suffixes are classified as larger or smaller than their right neighbour; the leftmost smaller ones
 are sorted by their substrings (one induction, then names; names that repeat are a shorter string,
 sorted by the same order of its suffixes); a last induction places every suffix in linear time.
-The base of the recursion, a string of names, is ordered by doubling ranks.
+The string of names, which is the recursion's next level, is ordered by doubling ranks among those
+names that are still tied. Common prefixes of neighbours in the order are kept in text order.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from lodestone.llm.bpe import span_hashes
+from lodestone.llm.hashing import span_hashes
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -85,18 +86,27 @@ def induce(t: np.ndarray, smaller: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def order_names(names: np.ndarray) -> np.ndarray:
-    """Suffix order of a string of names, by doubling."""
+    """Suffix order of a string of names, by doubling; only names that are still tied are sorted again."""
     n, k = len(names), 1
-    rank = names.astype(np.int64)
+    o = np.argsort(names, kind="stable")
+    key = names[o].astype(np.int64)
+    at = np.arange(n)  # places in the order whose group has several members
+    rank = np.empty(n, np.int64)
     while True:
-        following = np.full(n, -1, np.int64)
-        following[: max(0, n - k)] = rank[k:]
-        o = np.lexsort((following, rank))
-        new = np.r_[0, np.cumsum((rank[o][1:] != rank[o][:-1]) | (following[o][1:] != following[o][:-1]))]
-        rank = np.empty(n, np.int64)
-        rank[o] = new
-        if new[-1] == n - 1 or k >= n:
+        new = np.r_[True, key[1:] != key[:-1]]
+        first = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        rank[o[at]] = first
+        tied = ~(new & np.r_[new[1:], True])
+        at = at[tied]
+        if not len(at):
             return o
+        i = o[at]
+        following = np.zeros(len(i), np.int64)
+        inside = i + k < n
+        following[inside] = rank[i[inside] + k] + 1
+        key = (rank[i] << 32) | following
+        s = np.argsort(key, kind="stable")
+        o[at], key = i[s], key[s]
         k *= 2
 
 
@@ -124,20 +134,39 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return induce(t, smaller, lms)
 
 
-def permuted_equal(t: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Whether the suffixes at a and b share their first ``length`` bytes, compared directly (no common-prefix array is made)."""
-    padded = np.r_[t, np.zeros(8, np.uint8)]
-    word = np.zeros(len(t) + 1, np.uint64)
-    for k in range(8):
-        word[: len(t)] |= padded[k : k + len(t)].astype(np.uint64) << np.uint64(8 * k)
-    alive = np.arange(len(a))
-    steps = [*range(0, length - 7, 8)]
-    if length % 8 and length > 8:
-        steps.append(length - 8)
-    for k in steps if length >= 8 else []:
-        alive = alive[word[a[alive] + k] == word[b[alive] + k]]
-    for k in range(length) if length < 8 else []:
-        alive = alive[padded[a[alive] + k] == padded[b[alive] + k]]
-    same = np.zeros(len(a), bool)
-    same[alive] = True
-    return same
+def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
+    """For each place of the text the prefix (at most ``cap`` bytes) that its suffix shares with the one before it in the order.
+
+    In text order a place's value is at least its left neighbour's less one: places are filled at
+    halving strides, each starting from what the nearest filled place to its left leaves.
+    """
+    n = len(t)
+    padded = np.r_[t, np.zeros(cap + 16, np.uint8)]
+    word = np.lib.stride_tricks.as_strided(padded, (n + cap + 8, 8), (1, 1)).copy().view("<u8").ravel()
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    shared = np.zeros(n, np.int64)
+
+    def fill(i: np.ndarray, known: np.ndarray) -> None:
+        on = before[i] >= 0
+        i, length = i[on], known[on]
+        j = before[i]
+        most = np.minimum(cap, n - np.maximum(i, j))  # the shorter suffix ends there
+        at = np.arange(len(i))
+        while len(at):
+            diff = word[i[at] + length[at]] ^ word[j[at] + length[at]]
+            low = diff & (~diff + np.uint64(1))
+            step = np.where(diff == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) >> 3)
+            length[at] += step
+            at = at[(diff == 0) & (length[at] < most[at])]
+        shared[i] = np.minimum(length, most)
+
+    stride = 1 << max(1, cap.bit_length())
+    i = np.arange(0, n, stride)
+    fill(i, np.zeros(len(i), np.int64))
+    while stride > 1:
+        half = stride // 2
+        i = np.arange(half, n, stride)
+        fill(i, np.maximum(shared[i - half] - half, 0))
+        stride = half
+    return shared

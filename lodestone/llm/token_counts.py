@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of text that are encoded at a time, and rows a batch from Spark at most.
-STREAM = 1 << 20
+from lodestone.llm.worker import tidy
+
+#: Characters of text that are encoded at a time.
+STREAM = 1 << 19
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = STREAM) -> Iterator[tuple[int, int, list[str]]]:
@@ -45,7 +47,7 @@ def _counter(path: str, column: int, schema: pa.Schema):
             cells = [batch.column(i) for i in range(batch.num_columns) if i != column]
             yield pa.RecordBatch.from_arrays([*cells, size, pa.array(n)], schema=pa.schema([*(f for i, f in enumerate(batch.schema) if i != column), *schema]))
 
-    return count
+    return tidy(count, keeps=True)
 
 
 def token_counts(docs: DataFrame, text_col: str, path: str) -> DataFrame:

@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.worker import tidy
+
 #: Component integers are held to this range, so that they fit the packed blocks.
 COMPONENT_LIMIT = 2**31 - 1
 BLOCK = "stripe int, uid long, ids binary, ptr binary, pos binary, w binary"
@@ -76,7 +78,7 @@ def _packer(scale: float, size: int, stripes: int, by_term: bool):
         if n:
             yield emit(pa.Table.from_batches(held))
 
-    return pack
+    return tidy(pack)
 
 
 def _scores(q_terms: np.ndarray, q_w: np.ndarray, ptr: np.ndarray, pos: np.ndarray, w: np.ndarray, n: int, kind) -> np.ndarray:
@@ -132,7 +134,7 @@ def _search(k: int):
                 cols = [np.concatenate(c) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "query_row", "vec_id", "score"])
 
-    return search
+    return tidy(search)
 
 
 def exact_top_k(rows: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int = 5, scale: float = 1.0, block_rows: int = 8192, query_rows: int = 512, stripes: int | None = None) -> DataFrame:

@@ -30,8 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import GAP, NUMBER, OTHER, QUOTE, SPACE, char_classes, span_hashes
+from lodestone.llm.bpe import GAP, NUMBER, OTHER, QUOTE, SPACE, char_classes
+from lodestone.llm.hashing import span_hashes
 from lodestone.llm.token_counts import slices
+from lodestone.llm.worker import tidy
 
 ALPHABET, DECAY, REACH = 48, 0.8, 9
 LONG = 14
@@ -267,7 +269,7 @@ def fit(texts: list[list[str]], toxic: np.ndarray, landmarks: int, shares: tuple
 class _Scores:
     """Margins of the words that a task has met; refilled when it grows past its bound."""
 
-    LIMIT = 4_000_000
+    LIMIT = 1_000_000
 
     def __init__(self, machine: Machine):
         self.machine = machine
@@ -305,7 +307,7 @@ def _scorer(machine: Machine, column: int):
             cells = [batch.column(i) for i in range(batch.num_columns) if i != column]
             yield pa.RecordBatch.from_arrays([*cells, pa.array(p)], names=[*(n for i, n in enumerate(batch.schema.names) if i != column), "score"])
 
-    return score
+    return tidy(score)
 
 
 def bags(texts: list[str]) -> list[list[str]]:

@@ -10,7 +10,7 @@ from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.line_dedup import line_dedup
 from lodestone.llm.pii import replace_pii
 from lodestone.llm.substring_dedup import substring_dedup
-from lodestone.llm.suffix import suffix_array
+from lodestone.llm.suffix import permuted_common_prefixes, suffix_array
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -82,7 +82,16 @@ def test_decontamination_finds_items_without_an_id(spark):
 def test_suffix_array(n, a):
     t = np.random.default_rng(n).integers(0, a, n).astype(np.uint8)
     b = t.tobytes()
-    assert suffix_array(t).tolist() == sorted(range(n), key=lambda i: b[i:])
+    sa = suffix_array(t)
+    assert sa.tolist() == sorted(range(n), key=lambda i: b[i:])
+    for cap in (5, 100):
+        want = [0] * n
+        for x, y in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True):
+            k = 0
+            while k < cap and max(x, y) + k < n and b[x + k] == b[y + k]:
+                k += 1
+            want[y] = k
+        assert permuted_common_prefixes(t, sa, cap).tolist() == want
 
 
 def brute_removed(docs, length=100):
@@ -102,7 +111,8 @@ def brute_removed(docs, length=100):
     return out
 
 
-def test_substring_dedup_matches_brute_force(spark):
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_substring_dedup_matches_brute_force(spark, hot):
     rng = random.Random(8)
     text = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
     passages = [text(rng.choice([98, 100, 130, 400])) for _ in range(6)]
@@ -116,7 +126,7 @@ def test_substring_dedup_matches_brute_force(spark):
         docs.append((i, "".join(parts)))
     docs += [(70, None), (71, ""), (72, "x" * 5000), (73, "x" * 300), (74, "ab" * 400), (75, docs[3][1]), (76, docs[3][1])]
     d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, key int").repartition(3)
-    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup(d, "doc_id", "text").collect()}
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup(d, "doc_id", "text", hot=hot).collect()}
     assert got == brute_removed(docs)
 
 
