@@ -4,18 +4,22 @@
 2. A fixed-size frequency sketch orders shingles, rare ones first. A set posts the shingles of its
    prefix: two sets with the wanted similarity share one (any common order keeps this exact, so the
    sketch's errors cost time only).
-3. A posting list's leader is the set that the most lists hold. Rows of the list that sizes and
-   positions rule out are masked; the leader's pairs with the others are verified on full sets.
+3. A posting list's leader is the set that the most lists hold; the pairs of the leader with the
+   rows that sizes and positions leave are verified: first by bitmaps of the sets, which bound the
+   overlap from above, then on the full sets.
 4. The other pairs of a list are answered from the leader's answers: sets that its links connect
    need no answer of their own; for the rest the leader's overlaps bound the pair's overlap from
-   both sides. Where lists stay in parts a second leader is taken from another part, and only pairs
-   that both leaders' answers leave open are verified one by one.
+   both sides. Where lists stay in parts a second leader is taken from another part. Pairs that both
+   leaders' answers leave open are looked up in blocks of the list in order of size: a pair of
+   blocks is skipped as a whole where sizes, or the blocks' best positions, rule all its pairs out.
 5. Links are turned into connected components; copies follow their set.
 
 Defined cases: null and wordless texts have the empty set and link with nothing; texts of fewer
-words than a shingle are one shingle; rows that repeat an id are answered each, and an id's rows
-count as one node; rows with a null id get their set's size and no component; an empty table gives
-no rows; other columns are ignored. Sets are told apart by 64-bit hashes.
+words than a shingle are one shingle; texts of any length are read whole; rows that repeat an id
+are nodes of their own, so that an id may have rows in two components, each named by the smallest
+id in it; rows with a null id get their set's size and no component; ties of size or order don't
+matter, as every list row is a set's; an empty table gives no rows; other columns are ignored. Sets
+are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.exprs import by_row_id
 from lodestone.llm.shingles import runs, set_prints, shingle_sets
 from lodestone.llm.worker import tidy
 from lodestone.llm.workspace import Workspace, bounded
@@ -43,20 +46,20 @@ def _cells(g: np.ndarray) -> np.ndarray:
 
 
 def _scan(k: int):
-    """doc_id, n, fp for each row; then the task's sketch, in chunks."""
+    """doc_id, text_hash, n, fp for each row; then the task's sketch, in chunks."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc_id", "n", "fp", "chunk", "cells"]
+        names = ["doc_id", "text_hash", "n", "fp", "chunk", "cells"]
         for b in runs(batches, 1):
             g, at = shingle_sets(b.column(1), k)
             sketch += np.bincount(_cells(g), minlength=len(sketch)).astype(np.uint32)
             m = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), pa.array(set_prints(g, at).view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(at)), pa.array(set_prints(g, at).view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         parts = [(i, sketch[i * CHUNK : (i + 1) * CHUNK]) for i in range(len(sketch) // CHUNK)]
         parts = [(i, x.tobytes()) for i, x in parts if x.any()]
         m = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64())] * 3 + [pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64())] * 4 + [pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
 
     return tidy(scan)
 
@@ -147,18 +150,25 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, fp, n, pos)], names=["token", "fp", "n", "pos"])
 
 
+#: An overlap that nothing is known of. Negative overlaps are bounds from above: -1 - bound.
+UNKNOWN = -(1 << 40)
+
+
 def _bounds(n_x, n_y, need, known: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """(open, sure) for pairs of sets, from the overlaps (leader's size, with x, with y) of earlier leaders; -1: unknown."""
+    """(open, sure) for pairs of sets, from the overlaps (leader's size, with x, with y) of earlier leaders."""
     open_, sure = np.ones(np.broadcast(n_x, n_y).shape, bool), np.zeros(np.broadcast(n_x, n_y).shape, bool)
     for size, x, y in known:
-        both = (x >= 0) & (y >= 0)
-        open_ &= ~both | (np.minimum(x, y) + np.minimum(n_x - x, n_y - y) >= need)
+        whole_x, whole_y = x >= 0, y >= 0
+        both = whole_x & whole_y
+        # what x and y share lies in the leader, or outside it in what each has left
+        most = np.where(both, np.minimum(x, y) + np.minimum(n_x - x, n_y - y), np.where(whole_x, -1 - y + n_x - x, np.where(whole_y, -1 - x + n_y - y, need)))
+        open_ &= most >= need
         sure |= both & (x + y - size >= need)
     return open_, sure & open_
 
 
 LIST = ["token", "fp", "n", "pos", "fame", "root", "size1", "shared1"]
-LED = "token long, fp long, n int, pos int, fame long, root long, size1 long, shared1 long, leader long, leader_n int, pair boolean, sure boolean"
+LED = "token long, fp long, n int, pos int, fame long, root long, size1 long, shared1 long, leader long, leader_n int, pair boolean, sure boolean, more boolean"
 
 
 def _lead(percent: int, later: bool):
@@ -187,32 +197,44 @@ def _lead(percent: int, later: bool):
             pair = on & (root != root[leader]) & (np.minimum(n - pos, n[leader] - pos[leader]) >= need)
             open_, sure = _bounds(n, n[leader], need, [(size1, shared1, shared1[leader])])
             pair &= open_
-            out = [*cols, fp[leader], n[leader].astype(np.int32), pair, sure & pair]
-            yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in out], names=[*LIST, "leader", "leader_n", "pair", "sure"])
+            more = np.repeat(count > 2, count)  # two rows are one pair, which the leader's answer settles
+            on &= more | pair
+            out = [*cols, fp[leader], n[leader].astype(np.int32), pair, sure & pair, more]
+            yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in out], names=[*LIST, "leader", "leader_n", "pair", "sure", "more"])
 
     return tidy(lead)
 
 
-def _rest(percent: int, block_cells: int = 1 << 20):
+def _rest(percent: int, side: int = 512):
     """Pairs that are still apart and that neither leader's answers settle; ``sure`` marks those that they prove."""
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for starts, cols in whole_lists(batches, ["token", "fp", "n", "pos", "root", "size1", "shared1", "size2", "shared2"]):
             _, fp, n, pos, root, size1, shared1, size2, shared2 = cols
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            n, left = n.astype(np.int64), n.astype(np.int64) - pos  # shingles from a row's position on
             ends = np.r_[starts[1:], len(fp)]
             bad = np.maximum.reduceat(root, starts) != np.minimum.reduceat(root, starts)
             out = []
             for a, b in zip(starts[bad].tolist(), ends[bad].tolist(), strict=True):
-                step = max(1, block_cells // (b - a))
-                for i in range(a, b, step):
-                    x, y = np.arange(i, min(b, i + step))[:, None], np.arange(a, b)[None, :]
-                    need = pair_overlap(n[x], n[y], percent)
-                    pair = (y > x) & (root[x] != root[y]) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need)
-                    open_, sure = _bounds(n[x], n[y], need, [(size1[x], shared1[x], shared1[y]), (size2[x], shared2[x], shared2[y])])
-                    p, q = np.nonzero(pair & open_)
-                    if len(p):
-                        out.append((fp[i + p], n[i + p], fp[a + q], n[a + q], sure[p, q]))
+                # rows come by size: a block's first and last row bound its sizes, its best row its positions
+                blocks = np.arange(a, b, side)
+                stop = np.minimum(blocks + side, b)
+                best = np.maximum.reduceat(left[a:b], blocks - a)
+                for i, (x0, x1) in enumerate(zip(blocks.tolist(), stop.tolist(), strict=True)):
+                    # no partner is larger than 100 / percent times the block's largest set
+                    last = a + int(np.searchsorted(n[a:b], n[x1 - 1] * 100 // percent, "right"))
+                    later = np.arange(i, max(i + 1, -(-(last - a) // side)))
+                    need = pair_overlap(n[x0], n[blocks[later]], percent)  # the least of any pair in the two blocks
+                    for j in later[np.minimum(best[i], best[later]) >= need].tolist():
+                        x, y = np.arange(x0, x1)[:, None], np.arange(blocks[j], stop[j])[None, :]
+                        need = pair_overlap(n[x], n[y], percent)
+                        pair = (y > x) & (root[x] != root[y]) & (np.minimum(left[x], left[y]) >= need)
+                        if not pair.any():
+                            continue
+                        open_, sure = _bounds(n[x], n[y], need, [(size1[x], shared1[x], shared1[y]), (size2[x], shared2[x], shared2[y])])
+                        p, q = np.nonzero(pair & open_)
+                        if len(p):
+                            out.append((fp[x0 + p], n[x0 + p], fp[blocks[j] + q], n[blocks[j] + q], sure[p, q]))
             if out:
                 c = [np.concatenate(z) for z in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1].astype(np.int32)), pa.array(c[2]), pa.array(c[3].astype(np.int32)), pa.array(c[4])], names=["leader", "leader_n", "fp", "n", "sure"])
@@ -220,32 +242,74 @@ def _rest(percent: int, block_cells: int = 1 << 20):
     return tidy(rest)
 
 
+def bitmap(g: np.ndarray) -> bytes:
+    """Which of the cells, a power of two and at least four a shingle, hold a shingle of the set."""
+    cells = 1 << max(6, int(4 * len(g) - 1).bit_length())
+    out = np.zeros(cells, bool)
+    out[(g & np.uint64(cells - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def most_shared(x: bytes, y: bytes, n_x: int, n_y: int) -> int:
+    """A bound from above on the overlap of two sets from their bitmaps: a cell that one set has alone costs it a shingle."""
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    bits_a, bits_b = 8 * len(x), 8 * len(y)
+    while bits_a != bits_b:  # the larger bitmap is folded
+        if bits_a > bits_b:
+            bits_a //= 2
+            a = (a >> bits_a) | (a & ((1 << bits_a) - 1))
+        else:
+            bits_b //= 2
+            b = (b >> bits_b) | (b & ((1 << bits_b) - 1))
+    return min(n_x - (a & ~b).bit_count(), n_y - (b & ~a).bit_count())
+
+
+def _possible(percent: int):
+    """The pairs with the bound that their bitmaps give (-1 - bound), and whether it leaves a link possible."""
+    names = ["leader", "leader_n", "fp", "n"]
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b.column("n").to_numpy(), b.column("leader_n").to_numpy()
+            need = pair_overlap(n.astype(np.int64), m.astype(np.int64), percent)
+            cells = zip(b.column("bits"), b.column("theirs"), n.tolist(), m.tolist(), strict=True)
+            most = np.fromiter((most_shared(x.as_py(), y.as_py(), i, j) for x, y, i, j in cells), np.int64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(-1 - most), pa.array(most >= need)], names=[*names, "shared", "possible"])
+
+    return tidy(possible)
+
+
 def _arrays(k: int):
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs(batches, 0):
             g, at = shingle_sets(b.column(0), k)
-            yield pa.RecordBatch.from_arrays([pa.array(set_prints(g, at).view(np.int64)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(g.view(np.int64)))], names=["fp", "set"])
+            bits = [bitmap(g[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(set_prints(g, at).view(np.int64)), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(g.view(np.int64)))], names=["fp", "bits", "set"])
 
     return tidy(arrays)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, ws: Workspace, name: str) -> DataFrame:
-    """leader, leader_n, fp, n, shared for each pair: overlaps of the full sets."""
+def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, ws: Workspace, name: str) -> DataFrame:
+    """leader, leader_n, fp, n, shared for the pairs: overlaps of the full sets, or -1 - bound where a bound rules a link out."""
     pairs = ws.save(pairs.select("leader", "leader_n", "fp", "n"), f"{name}-pairs")
     ids = pairs.select(F.explode(F.array("leader", "fp")).alias("fp")).distinct()
     wanted = ws.save(ids.join(reps, "fp").select("rep").distinct(), f"{name}-wanted")
     w = F.broadcast(wanted) if bounded(wanted, 8) else wanted
-    sets = docs.join(w, F.col("id") == F.col("rep"), "left_semi").select("text").mapInArrow(_arrays(k), "fp long, set array<long>")
+    sets = docs.join(w, F.col("id") == F.col("rep"), "left_semi").select("text").mapInArrow(_arrays(k), "fp long, bits binary, set array<long>")
     sets = ws.save(sets, f"{name}-sets")
+    bits = sets.select("fp", "bits")
+    # rows that repeat an id bring their set twice: one answer a pair, below
+    met = pairs.join(bits.hint("merge"), "fp").join(bits.select(F.col("fp").alias("leader"), F.col("bits").alias("theirs")).hint("merge"), "leader")
+    bound = ws.save(met.select("leader", "leader_n", "fp", "n", "bits", "theirs").mapInArrow(_possible(percent), "leader long, leader_n int, fp long, n int, shared long, possible boolean").distinct(), f"{name}-bound")
+    pairs = bound.where("possible").drop("shared", "possible")
     # the sets stay where they are as long as the pairs' ids are few: only the members' sets travel, to their leaders
     few = bounded(pairs, 32)
     heads = pairs.select(F.col("leader").alias("fp")).distinct()
     p, heads = (F.broadcast(pairs), F.broadcast(heads)) if few else (pairs, heads)
     leaders = sets.join(heads, "fp", "left_semi").select(F.col("fp").alias("leader"), F.col("set").alias("theirs"))
-    met = sets.join(p, "fp").join(leaders.hint("shuffle_merge"), "leader")
-    # rows that repeat an id bring their set twice: one answer a pair
-    shared = met.select("leader", "leader_n", "fp", "n", F.size(F.array_intersect("set", "theirs")).alias("shared")).groupBy("leader", "leader_n", "fp", "n").agg(F.max("shared").alias("shared"))
-    out = ws.save(shared, f"{name}-shared")
+    met = sets.select("fp", "set").join(p, "fp").join(leaders.hint("merge"), "leader")
+    shared = met.select("leader", "leader_n", "fp", "n", F.size(F.array_intersect("set", "theirs")).cast("long").alias("shared")).groupBy("leader", "leader_n", "fp", "n").agg(F.max("shared").alias("shared"))
+    out = ws.save(shared.union(bound.where("not possible").drop("possible")), f"{name}-shared")
     ws.drop(f"{name}-sets")
     return out
 
@@ -257,12 +321,12 @@ def _with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percent: int = 80) -> DataFrame:
-    """id, n_shingles, component_id for every row."""
+    """id, n_shingles, component_id for every row; group (the component's number) and text_hash (xxhash64) tell rows of one id apart."""
     spark = docs.sparkSession
     ws = Workspace(spark, "jaccard")
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scan = ws.save(d.mapInArrow(_scan(k), "doc_id long, n long, fp long, chunk int, cells binary"), "scan")
-    rows = scan.where(F.col("chunk").isNull()).select("doc_id", "n", "fp")
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    scan = ws.save(d.mapInArrow(_scan(k), "doc_id long, text_hash long, n long, fp long, chunk int, cells binary"), "scan")
+    rows = scan.where(F.col("chunk").isNull()).select("doc_id", "text_hash", "n", "fp")
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in scan.where(F.col("chunk").isNotNull()).groupBy("chunk").applyInArrow(_add, "chunk int, cells binary").collect():  # a fixed 1 MB
         levels[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.cells, np.uint8)
@@ -274,48 +338,46 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
     lists = ws.save(by_list(posts, "n", "fp").mapInArrow(_gather, "token long, fp long, n int, pos int"), "lists")
     ws.release()
     exact = F.col("shared") * (100 + percent) >= F.lit(percent) * (F.col("n") + F.col("leader_n"))
-    unknown = F.lit(-1).cast("long")
+    unknown = F.lit(UNKNOWN).cast("long")
 
     # first leaders: the set that the most lists hold
     fame = lists.groupBy("fp").agg(F.count("*").alias("fame"))
-    known = lists.join(fame, "fp").select("token", "fp", "n", "pos", "fame", F.col("fp").alias("root"), F.lit(0).cast("long").alias("size1"), unknown.alias("shared1"))
+    known = lists.join(fame.hint("merge"), "fp").select("token", "fp", "n", "pos", "fame", F.col("fp").alias("root"), F.lit(0).cast("long").alias("size1"), unknown.alias("shared1"))
     led = ws.save(by_list(known, F.desc("fame"), "fp").mapInArrow(_lead(percent, False), LED), "led1")
     ws.drop("lists")
-    first = _verify(led.where("pair").select("leader", "leader_n", "fp", "n").distinct(), d, reps, k, ws, "first")
+    first = _verify(led.where("pair").select("leader", "leader_n", "fp", "n").distinct(), d, reps, k, percent, ws, "first")
     links = first.where(exact).select("leader", "fp")
     roots = components(links.select(F.col("leader").alias("a"), F.col("fp").alias("b")), Workspace(spark, "links1"))
     ws.release()
 
     # later leaders: in lists that the links leave in parts
-    answers = first.select("leader", "fp", F.col("shared").cast("long").alias("s"))
-    known = _with_root(led.join(answers, ["leader", "fp"], "left"), roots)
+    answers = first.select("leader", "fp", F.col("shared").alias("s"))
+    known = _with_root(led.where("more").join(answers.hint("merge"), ["leader", "fp"], "left"), roots)
     own = F.when(F.col("leader") == F.col("fp"), F.col("n").cast("long")).otherwise(F.coalesce("s", unknown))
     known = known.select("token", "fp", "n", "pos", "fame", "root", F.col("leader_n").cast("long").alias("size1"), own.alias("shared1"))
     led = ws.save(by_list(known, F.desc("fame"), "fp").mapInArrow(_lead(percent, True), LED), "led2")
     ws.drop("led1")
-    second = _verify(led.where("pair and not sure").select("leader", "leader_n", "fp", "n").distinct(), d, reps, k, ws, "second")
+    second = _verify(led.where("pair and not sure").select("leader", "leader_n", "fp", "n").distinct(), d, reps, k, percent, ws, "second")
     links = links.union(second.where(exact).select("leader", "fp")).union(ws.save(led.where("sure").select("leader", "fp").distinct(), "proven"))
     roots = components(links.select(F.col("leader").alias("a"), F.col("fp").alias("b")), Workspace(spark, "links2"))
     ws.release()
 
     # what is still apart and open after two leaders' answers is verified pair by pair
-    answers = second.select("leader", "fp", F.col("shared").cast("long").alias("s"))
-    known = _with_root(led.drop("root").join(answers, ["leader", "fp"], "left"), roots)
+    answers = second.select("leader", "fp", F.col("shared").alias("s"))
+    known = _with_root(led.where("more").drop("root").join(answers.hint("merge"), ["leader", "fp"], "left"), roots)
     known = known.select("token", "fp", "n", "pos", "root", "size1", "shared1", F.col("leader_n").cast("long").alias("size2"), own.alias("shared2"))
-    more = by_list(known, "fp").mapInArrow(_rest(percent), "leader long, leader_n int, fp long, n int, sure boolean")
+    more = by_list(known, "n", "fp").mapInArrow(_rest(percent), "leader long, leader_n int, fp long, n int, sure boolean")
     more = ws.save(more.groupBy("leader", "leader_n", "fp", "n").agg(F.max("sure").alias("sure")), "more")
     ws.drop("led2")
-    third = _verify(more.where("not sure").drop("sure"), d, reps, k, ws, "third")
+    third = _verify(more.where("not sure").drop("sure"), d, reps, k, percent, ws, "third")
     links = links.union(third.where(exact).select("leader", "fp")).union(more.where("sure").select("leader", "fp"))
     roots = components(links.select(F.col("leader").alias("a"), F.col("fp").alias("b")), Workspace(spark, "links3"))
     ws.release()
 
     # a class is named by its smallest document
     rooted = _with_root(reps, roots)
-    classes = rooted.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("sets"))
-    copied = rows.groupBy("fp").agg(F.count("*").alias("copies")).where("copies > 1").select("fp")
-    moved = rooted.join(classes, "root").join(copied.withColumn("copied", F.lit(True)), "fp", "left").where("sets > 1 or copied").select("fp", F.col("least").alias("root"))
-    moved = ws.save(moved, "moved")
-    out = by_row_id(rows, moved, "fp", 16)
-    own = F.when(F.col("doc_id").isNull(), None).when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select(F.col("doc_id").alias("id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    classes = rooted.groupBy("root").agg(F.min("rep").alias("least"))
+    moved = ws.save(rooted.join(classes.hint("merge"), "root").select("fp", "least", F.col("root").alias("group")), "moved")
+    out = rows.join(moved.withColumnRenamed("fp", "__fp").hint("merge"), F.col("fp") == F.col("__fp"), "left")
+    named = F.col("doc_id").isNotNull()
+    return out.select(F.col("doc_id").alias("id"), F.col("n").alias("n_shingles"), F.when(named, F.coalesce("least", "doc_id")).alias("component_id"), F.when(named, F.col("group")).alias("group"), "text_hash")
