@@ -15,8 +15,9 @@ Bounds: ``most_rows`` labelled texts of each class are fitted on (the smallest h
 ids), ``landmarks`` landmarks. All texts are scored whole.
 
 Defined cases: null, empty and wordless texts score near 0 (never above an empty margin); repeated
-rows score alike; a text of any length is read whole; without labels of both classes every score
-is 0; extra columns are ignored.
+rows score alike, as equal texts (ties) do; a text or word of any length is read whole; rows with a
+null id are scored too; an empty table gives no rows; without labels of both classes every score is
+0; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ from lodestone.llm.token_counts import slices
 from lodestone.llm.worker import tidy
 
 ALPHABET, DECAY, REACH = 48, 0.8, 9
-LONG = 14
+#: Subsequences that are merged at a time, and the characters from which a word is summed in a dense vector instead.
+MERGED, DENSE = 1 << 20, 1 << 15
 NONE = 255
 #: Signs that stand for letters inside a word.
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -115,41 +117,88 @@ def _triples(codes: np.ndarray, first: np.ndarray, end: np.ndarray) -> Iterator[
             yield word[i], (wide[i] * ALPHABET + wide[i + d1]) * ALPHABET + wide[i + d2], DECAY ** (d2 + 1)
 
 
+def _dense(codes: np.ndarray, first: int, end: int) -> np.ndarray:
+    """The same sums for one long word, a stretch of its characters at a time."""
+    out = np.zeros(ALPHABET**3)
+    for lo in range(first, end, DENSE):
+        x = _letters()[0][codes[lo : min(end, lo + DENSE + REACH - 1)]]
+        letter, wide = x != NONE, x.astype(np.int64)
+        for d2 in range(2, REACH):
+            i = np.arange(max(0, min(DENSE, len(x) - d2)))
+            i = i[letter[i] & letter[i + d2]]
+            for d1 in range(1, d2):
+                at = i[letter[i + d1]]
+                out += DECAY ** (d2 + 1) * np.bincount((wide[at] * ALPHABET + wide[at + d1]) * ALPHABET + wide[at + d2], minlength=len(out))
+    return out
+
+
+def subsequences(codes: np.ndarray, first: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word number, triple, weight): a word's vector, in which equal triples are added up; words in runs, of bounded size."""
+    patterns = (REACH - 1) * (REACH - 2) // 2
+    total = np.cumsum((end - first) * patterns)
+    a = 0
+    while a < len(total):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + MERGED, "right")))
+        if b == a + 1 and end[a] - first[a] > DENSE:
+            v = _dense(codes, int(first[a]), int(end[a]))
+            t = np.flatnonzero(v)
+            yield np.full(len(t), a), t, v[t]
+        else:
+            parts = [(w * ALPHABET**3 + t, np.full(len(w), weight)) for w, t, weight in _triples(codes, first[a:b], end[a:b])]
+            if parts:
+                key, weight = (np.concatenate(c) for c in zip(*parts, strict=True))
+                o = np.argsort(key, kind="stable")
+                key = key[o]
+                at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                yield a + key[at] // ALPHABET**3, key[at] % ALPHABET**3, np.add.reduceat(weight[o], at)
+        a = b
+
+
 def word_margins(codes, first, end, table: np.ndarray) -> np.ndarray:
-    """Sum of the table's entries over each word's subsequences, divided by the word's norm."""
+    """The product of each word's vector and the table, divided by the vector's norm."""
     total, norm = np.zeros(len(first)), np.zeros(len(first))
-    long = (end - first) > LONG
-    merged: list[tuple[np.ndarray, np.ndarray]] = []
-    for word, triple, weight in _triples(codes, first, end):
-        total += np.bincount(word, weights=table[triple] * weight, minlength=len(first))
-        norm += np.bincount(word, minlength=len(first)) * weight**2
-        on = long[word]
-        if on.any():
-            merged.append((word[on] * ALPHABET**3 + triple[on], np.full(int(on.sum()), weight)))
-    if merged:
-        norm = np.where(long, _merged_norm(np.concatenate([k for k, _ in merged]), np.concatenate([w for _, w in merged]), len(first)), norm)
+    for word, triple, weight in subsequences(codes, first, end):
+        np.add.at(total, word, table[triple] * weight)
+        np.add.at(norm, word, weight * weight)
     return total / np.sqrt(np.maximum(norm, 1e-12))
 
 
-def _merged_norm(key: np.ndarray, weight: np.ndarray, words: int) -> np.ndarray:
-    """Squared norms with equal triples of a word added up first: in long words they repeat."""
-    keys, at = np.unique(key, return_inverse=True)
-    value = np.bincount(at, weights=weight)
-    return np.bincount(keys // ALPHABET**3, weights=value * value, minlength=words)
-
-
 def kernel_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word number, triple, normalised weight) of every subsequence of ``words``."""
-    codes, first, end = _encode_words(words)
-    parts = [(w, t, np.full(len(w), weight)) for w, t, weight in _triples(codes, first, end)]
+    """(word number, triple, weight) of the words' vectors, each of norm one: products of them are the kernel."""
+    parts = list(subsequences(*_encode_words(words)))
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     w, t, v = (np.concatenate(c) for c in zip(*parts, strict=True))
     norm = np.bincount(w, weights=v * v, minlength=len(words))
-    on = ((end - first) > LONG)[w]
-    if on.any():
-        norm = np.where((end - first) > LONG, _merged_norm(w[on] * ALPHABET**3 + t[on], v[on], len(words)), norm)
-    return w, t, v / np.sqrt(np.maximum(norm, 1e-12))[w]
+    return w, t, v / np.sqrt(norm)[w]
+
+
+class Landmarks:
+    """The Nyström map of the landmark words: k_m(w) K_mm^(-1/2)."""
+
+    def __init__(self, marks: list[str]):
+        w, t, v = kernel_rows(marks)
+        used, row = np.unique(t, return_inverse=True)
+        # only triples of landmarks have rows; the last one is for all others
+        self.row = np.full(ALPHABET**3, len(used), np.int32)
+        self.row[used] = np.arange(len(used))
+        self.basis = np.zeros((len(used) + 1, len(marks)))
+        np.add.at(self.basis, (row, w), v)
+        values, vectors = np.linalg.eigh(self.basis.T @ self.basis)
+        keep = values > 1e-6
+        self.root = vectors[:, keep] / np.sqrt(values[keep])
+
+    def features(self, words: list[str]) -> np.ndarray:
+        w, t, v = kernel_rows(words)
+        k = np.zeros((len(words), self.basis.shape[1]))
+        for lo in range(0, len(w), 1 << 14):
+            at = slice(lo, lo + (1 << 14))
+            np.add.at(k, w[at], self.basis[self.row[t[at]]] * v[at, None])
+        return k @ self.root
+
+    def table(self, beta: np.ndarray) -> np.ndarray:
+        """A weight for each triple: a word's vector times it is the word's features times ``beta``."""
+        return (self.basis @ (self.root @ beta))[self.row]
 
 
 def _encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,31 +251,21 @@ def fit(texts: list[list[str]], toxic: np.ndarray, landmarks: int, shares: tuple
     ranked = np.argsort(-odds, kind="stable")[: 16 * landmarks]
     clean = np.argsort(-np.where(sound, df0, -1), kind="stable")[: landmarks // 4]
     w, t, v = kernel_rows([vocab[i] for i in ranked])
-    dense: dict[int, np.ndarray] = {}
+    used, t = np.unique(t, return_inverse=True)
+    known = np.zeros((landmarks, len(used)), np.float32)
     chosen: list[int] = []
     for k in range(len(ranked)):
         if len(chosen) >= landmarks - len(clean) or odds[ranked[k]] <= 0:
             break
-        on = w == k
-        row = np.zeros(ALPHABET**3, np.float32)
-        np.add.at(row, t[on], v[on])
-        if all(float(row @ dense[c]) < 0.9 for c in chosen):
+        lo, hi = np.searchsorted(w, (k, k + 1))
+        if (known[: len(chosen), t[lo:hi]] @ v[lo:hi] < 0.9).all():
+            known[len(chosen), t[lo:hi]] = v[lo:hi]
             chosen.append(k)
-            dense[k] = row
     marks = [vocab[ranked[k]] for k in chosen] + [vocab[i] for i in clean]
-    lw, lt, lv = kernel_rows(marks)
-    basis = np.zeros((ALPHABET**3, len(marks)), np.float32)
-    np.add.at(basis, (lt, lw), lv)
-    values, vectors = np.linalg.eigh(basis.T.astype(np.float64) @ basis)
-    keep = values > 1e-6
-    root = vectors[:, keep] / np.sqrt(values[keep])
+    nystroem = Landmarks(marks)
 
     def features(words: np.ndarray) -> np.ndarray:
-        w, t, v = kernel_rows([vocab[i] for i in words])
-        k = np.zeros((len(words), len(marks)))
-        for lo in range(0, len(w), 1 << 16):
-            np.add.at(k, w[lo : lo + (1 << 16)], basis[t[lo : lo + (1 << 16)]] * v[lo : lo + (1 << 16), None])
-        return np.c_[k @ root, np.ones(len(words))]
+        return np.c_[nystroem.features([vocab[i] for i in words]), np.ones(len(words))]
 
     score = odds
     table, bias, top = np.zeros(ALPHABET**3), 0.0, np.full(len(texts), FLOOR)
@@ -251,7 +290,7 @@ def fit(texts: list[list[str]], toxic: np.ndarray, landmarks: int, shares: tuple
         # a word counts as the texts that it stands for
         weight = cost * np.r_[n, 1 + df0[rivals] * shares[0]]
         beta = _fit_svm(x, target, weight)
-        table, bias = basis.astype(np.float64) @ (root @ beta[:-1]), float(beta[-1])
+        table, bias = nystroem.table(beta[:-1]), float(beta[-1])
         score = np.where(sound, word_margins(codes, first, end, table) + bias, FLOOR)
     top = np.full(len(texts), FLOOR)
     np.maximum.at(top, doc[o], score[index[o]])

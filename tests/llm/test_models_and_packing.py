@@ -10,6 +10,7 @@ from lodestone.llm.packing import best_fit_pack, plan_bins
 from lodestone.llm.quality import quality
 from lodestone.llm.queries import tokenizer_path
 from lodestone.llm.token_counts import token_counts
+from lodestone.llm import toxicity as tox
 from lodestone.llm.toxicity import toxicity
 
 
@@ -112,6 +113,45 @@ def sentences(n, seed):
     return out
 
 
+def gapped(word):
+    """A word's vector by definition: every choice of three places within reach, each worth decay ** span."""
+    out = {}
+    x = [tox._letters()[0][ord(c)] for c in word]
+    for i in range(len(x)):
+        for k in range(i + 2, min(len(x), i + tox.REACH)):
+            for j in range(i + 1, k):
+                if tox.NONE not in (x[i], x[j], x[k]):
+                    t = (int(x[i]) * tox.ALPHABET + int(x[j])) * tox.ALPHABET + int(x[k])
+                    out[t] = out.get(t, 0.0) + tox.DECAY ** (k - i + 1)
+    norm = sum(v * v for v in out.values()) ** 0.5
+    return {t: v / norm for t, v in out.items()}
+
+
+@pytest.mark.parametrize("merged, dense", [(1 << 20, 1 << 15), (50, 10)])
+def test_kernel_and_landmarks_match_their_definition(monkeypatch, merged, dense):
+    monkeypatch.setattr(tox, "MERGED", merged)
+    monkeypatch.setattr(tox, "DENSE", dense)
+    rng = random.Random(11)
+    words = ["idiot", "idiiiot", "i-d-i-o-t", "mississippi", "a" * 10, "ha" * 7, "ha" * 20, "ab", "x.y.z"] + ["".join(rng.choice("aab-éo1") for _ in range(n)) for n in range(3, 41)]
+    vectors = [gapped(w) for w in words]
+    dot = lambda a, b: sum(v * b.get(t, 0.0) for t, v in a.items())
+    w, t, v = tox.kernel_rows(words)
+    rows = np.zeros((len(words), tox.ALPHABET**3))
+    np.add.at(rows, (w, t), v)
+    want = np.array([[dot(a, b) for b in vectors] for a in vectors])
+    assert np.allclose(rows @ rows.T, want)
+    table = np.random.default_rng(1).normal(size=tox.ALPHABET**3)
+    assert np.allclose(tox.word_margins(*tox._encode_words(words), table), rows @ table)
+    # the map in matrix form, and the table that it collapses into
+    marks = [0, 3, 5, 12, 20]
+    values, vectors = np.linalg.eigh(want[np.ix_(marks, marks)])
+    half = vectors / np.sqrt(values)
+    n = tox.Landmarks([words[i] for i in marks])
+    beta = np.random.default_rng(2).normal(size=len(marks))
+    assert np.allclose(n.features(words) @ n.features(words).T, want[:, marks] @ half @ half.T @ want[marks])
+    assert np.allclose(tox.word_margins(*tox._encode_words(words), n.table(beta)), n.features(words) @ beta)
+
+
 def test_toxicity_on_held_out_and_obfuscated_texts(spark):
     rows = sentences(600, 1)
     odd = [(1000, "you are an i-d-i-o-t really"), (1001, "such a st.upid plan"), (1002, "w0rthless work"), (1003, "m o r o n came in"), (1004, "idiiot here"), (1005, None), (1006, ""), (1007, "... 123"), (1008, "tuesday rain and roses"), (1008, "tuesday rain and roses")]
