@@ -16,12 +16,12 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def brute_top_k(rows, k, scale):
     import math
 
-    ok = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(scale * x) if abs(x) < 1e300 else int(x) * int(scale) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, qv in ok:
         if q % 50 == 0:
             scored = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in ok if i != q)
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+            out += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
@@ -32,9 +32,17 @@ def test_top_k_matches_brute_force(spark, blocks):
     rows += [(301, None), (302, [1.0, None]), (303, [float("nan"), 1.0]), (304, [float("inf")]), (None, [1.0, 2.0]), (350, []), (351, rows[0][1]), (352, rows[0][1]), (353, [3e38, -3e38])]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, stripe string, score int").repartition(3)
     exact = [(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect()]
-    clipped = [(i, v if v is None else [None if x is None else max(min(x, (2**31 - 1) / 256), -(2**31 - 1) / 256) if x == x and abs(x) != float("inf") else x for x in v]) for i, v in exact]
     got = exact_top_k(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5, 256.0, *blocks, stripes=3)
-    assert sorted(map(tuple, got.collect())) == brute_top_k(clipped, 5, 256.0)
+    assert sorted(map(tuple, got.collect())) == brute_top_k(exact, 5, 256.0)
+
+
+@pytest.mark.parametrize("blocks", [(8192, 512), (2, 1)])
+def test_top_k_of_large_components_is_exact(spark, blocks):
+    rows = [(0, [1e7]), (1, [1e7]), (2, [1.5e7]), (3, [1.25e7]), (4, [-1.5e7]), (5, [-1e7]), (6, [1.7e308]), (7, [1.6e308]), (8, [-1.6e308]), (50, [3e38]), (51, [9e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = exact_top_k(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0, 11, 256.0, *blocks, stripes=2)
+    assert sorted(map(tuple, got.collect())) == brute_top_k(rows, 11, 256.0)
+    assert [r.vec_id for r in got.where("query_id = 0").orderBy("rank").collect()][:4] == [6, 7, 50, 2]
 
 
 def test_top_k_of_nothing(spark):
