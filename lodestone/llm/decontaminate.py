@@ -6,10 +6,11 @@ hash are extended: around each matching gram the windows of ``window`` words are
 text, with the benchmark's windows. Items shorter than a window are one window of their own length
 and are found by that length's grams.
 
-Defined cases: null or wordless texts have no words and no hits; rows that repeat (id, text) give
-one row, rows that repeat an id with other texts give one row each; null ids are kept and match
-only themselves; items without an id are found like others, with a null among ``items``; an empty benchmark leaves every document clean; columns other than the named ones
-are ignored, so they may have any name.
+Defined cases: every input row gives one row, repeated rows and ids too; null or wordless texts have
+no words and no hits; null ids are kept; texts of any length are read whole; items without an id are
+found like others, with a null among ``items``; repeated items count once; an empty benchmark leaves
+every document clean; an empty table gives no rows; columns other than the named ones are ignored,
+so they may have any name.
 """
 
 from __future__ import annotations
@@ -64,7 +65,8 @@ def benchmark_windows(bench: DataFrame, item_col: str, text_col: str, window: in
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int = 10, k: int = 5) -> DataFrame:
     """id, n_words, n_hit (words inside an occurring window), items (sorted ids of items with one)."""
     ws = Workspace(docs.sparkSession, "decontaminate")
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    row = F.struct("id", "h").alias("row")  # what tells texts apart: ids may be null or repeat
     wins = benchmark_windows(bench, item_col, item_text_col, window)
     lengths = sorted(r.m for r in wins.select("m").distinct().collect())  # at most `window` values
     shapes = [(m, min(k, m) if m == window else m) for m in lengths]
@@ -79,27 +81,25 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str,
         part = wins.where(F.col("m") == m).select(F.array_min(grams).alias("mark"))
         marks = part if marks is None else marks.unionByName(part)
     if marks is None:
-        return d.distinct().select("id", F.size(alnum_words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        return d.select("id", F.size(alnum_words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     marks = marks.distinct()
+    marks = ws.save(marks, "marks")
     marks = F.broadcast(marks) if bounded(marks, 8) else marks
-    found = d.select("id", F.explode_outer(let(alnum_words(F.col("text")), prints)).alias("mark")).join(marks, "mark").groupBy("id").agg(F.collect_set("mark").alias("marks"))
+    found = d.select(row, F.explode_outer(let(alnum_words(F.col("text")), prints)).alias("mark")).join(marks, "mark").groupBy("row").agg(F.collect_set("mark").alias("marks"))
 
     def starts(w: Column) -> Column:
         return F.concat(*(_starts(w, m, g) for m, g in shapes))
 
-    # `marks` is null where no fingerprint met: such rows go on with an empty list
-    met = by_row_id(d, ws.save(found, "found"), "id", 256)
-    near = met.select("id", F.xxhash64("text").alias("h"), let(alnum_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.when(F.col("marks").isNotNull(), starts(w)).alias("at"))).alias("x"))
-    hits = near.select("id", "h", F.col("x.n").alias("n_words"), F.explode_outer("x.at").alias("s")).select("id", "h", "n_words", "s.start", "s.m", "s.wtext")
-    wins = wins.drop("m").withColumn("found", F.lit(True))  # a hit is told by this mark: an item's id may be null
-    if bounded(wins, 256):
-        found_in = hits.join(F.broadcast(wins), "wtext", "left")
-    else:  # rows without a window get keys of their own, so that no task gathers them
-        key = F.coalesce("wtext", F.concat(F.lit("\u0000"), F.xxhash64("id", "h").cast("string")))
-        found_in = hits.withColumn("wtext", key).join(wins, "wtext", "left")
-    spans = F.collect_set(F.when(F.col("found"), F.struct("start", "m")))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["m"] - 1)))))
+    # `marks` is null where no fingerprint met
+    met = by_row_id(d.select(row, "text"), ws.save(found, "found"), "row")
+    seen = let(alnum_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.when(F.col("marks").isNotNull(), starts(w)).alias("at")))
+    near = ws.save(met.select("row", seen.alias("x")).select("row", F.col("x.n").alias("n_words"), F.col("x.at").alias("at")), "near")
+    hits = near.where("at IS NOT NULL").select("row", F.explode("at").alias("s")).select("row", "s.start", "s.m", "s.wtext").distinct()
+    wins = ws.save(wins.drop("m"), "windows")
+    met = hits.join(F.broadcast(wins) if bounded(wins) else wins, "wtext")
+    covered = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "m")), lambda s: F.sequence(s["start"], s["start"] + s["m"] - 1)))))
     # in a struct, as a set leaves out bare nulls
-    items = F.transform(F.collect_set(F.when(F.col("found"), F.struct("item"))), lambda s: s["item"])
-    out = found_in.groupBy("id", "h", "n_words").agg(spans.alias("spans"), F.sort_array(items).alias("items"))
-    return out.select("id", "n_words", covered.cast("long").alias("n_hit"), "items")
+    items = F.sort_array(F.transform(F.collect_set(F.struct("item")), lambda s: s["item"]))
+    hit = ws.save(met.groupBy("row").agg(covered.cast("long").alias("n_hit"), items.alias("items")), "hit")
+    out = by_row_id(near.select("row", "n_words"), hit, "row")
+    return out.select("row.id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

@@ -24,8 +24,8 @@ def alnum_words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), ALNUM_GAP), "")
 
 
-def by_row_id(left: DataFrame, right: DataFrame, key: str, row_bytes: int, limit_bytes: int = 16 << 20) -> DataFrame:
-    """Left join on ``key`` (nulls match nulls); the right side is broadcast only if its checked size is below the limit."""
+def by_row_id(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on ``key`` (nulls match nulls) with a written table, which is broadcast only if its measured size is small."""
     r = right.withColumnRenamed(key, "__key")
-    r = F.broadcast(r) if bounded(right, row_bytes, limit_bytes) else r
+    r = F.broadcast(r) if bounded(right) else r
     return left.join(r, left[key].eqNullSafe(F.col("__key")), "left").drop("__key")

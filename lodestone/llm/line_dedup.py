@@ -10,7 +10,8 @@ lines, which are kept as one set per host.
 Defined cases: a null text is an empty one, with no lines; blank lines are never boilerplate; a
 line counts once a page; a null host is a host of its own; repeated rows are pages of their own;
 hosts whose line is on fewer than ``min_pages`` pages lose nothing; a page that loses every line
-keeps an empty text; columns that clash with the working names are not touched.
+keeps an empty text; texts of any length are read whole; an empty table gives no rows; the results
+replace input columns of their names (n_lines, n_dropped), which may serve as the host.
 """
 
 from __future__ import annotations
@@ -33,12 +34,12 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float, min_
     totals = p.groupBy("host").agg(F.count("*").alias("pages"))
     each = p.select("host", F.explode_outer(F.array_distinct(_lines(F.col("text")))).alias("line")).where(F.trim("line") != "")
     by_hash = each.groupBy("host", F.xxhash64("line").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    small = bounded(totals := ws.save(totals, "totals"), 64)
+    small = bounded(totals := ws.save(totals, "totals"))
     t = F.broadcast(totals) if small else totals
     above = (F.col("n") > F.col("pages") * F.lit(ratio)) & (F.col("n") >= min_pages)
     often = ws.save(by_hash.join(t.withColumnRenamed("host", "th"), F.col("host").eqNullSafe(F.col("th"))).where(above).select("host", "h"), "often")
     o = often.select(F.col("host").alias("oh"), F.col("h").alias("ohash"))
-    o = F.broadcast(o) if bounded(often, 64) else o
+    o = F.broadcast(o) if bounded(often) else o
     exact = each.join(o, F.col("host").eqNullSafe(F.col("oh")) & (F.xxhash64("line") == F.col("ohash")), "left_semi").groupBy("host", "line").agg(F.count("*").alias("n"))
     kept = exact.join(t.withColumnRenamed("host", "th"), F.col("host").eqNullSafe(F.col("th"))).where(above)
     return ws.save(kept.groupBy("host").agg(F.sort_array(F.collect_set("line")).alias("lines")), "boilerplate")
@@ -48,10 +49,10 @@ def line_dedup(pages: DataFrame, host: Column, text_col: str, ratio: float = 0.1
     """The pages with their text reduced, and n_lines, n_dropped beside the input's columns."""
     ws = Workspace(pages.sparkSession, "lines")
     drop = boilerplate(pages, host, F.col(text_col), ratio, min_pages, ws)
-    cols = pages.columns
+    cols = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
     d = pages.select(F.struct(*cols).alias("__row"), host.cast("string").alias("__host"), _lines(F.col(text_col)).alias("__lines"))
     b = drop.select(F.col("host").alias("__bh"), F.col("lines").alias("__drop"))
-    if bounded(drop.select(F.explode_outer("lines")), 512):
+    if bounded(drop):
         met = d.join(F.broadcast(b), F.col("__host").eqNullSafe(F.col("__bh")), "left")
     else:  # a host may hold a third of all pages: its pages are dealt over salts, its set goes to each
         salted = b.withColumn("__bs", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -60,5 +61,4 @@ def line_dedup(pages: DataFrame, host: Column, text_col: str, ratio: float = 0.1
     kept = F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~F.array_contains("__drop", x)))
     out = met.select("__row", F.size("__lines").cast("long").alias("__n"), kept.alias("__kept"))
     same = [F.array_join("__kept", "\n").alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in cols]
-    extra = [F.col("__n").alias("n_lines"), (F.col("__n") - F.size("__kept")).alias("n_dropped")]
-    return out.select(*same, *(x for x, c in zip(extra, ("n_lines", "n_dropped"), strict=True) if c not in cols))
+    return out.select(*same, F.col("__n").alias("n_lines"), (F.col("__n") - F.size("__kept")).alias("n_dropped"))

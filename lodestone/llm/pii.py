@@ -3,15 +3,21 @@
 Entities are found by patterns, brought to a canonical form (so that one entity written in several
 ways is one), and given a surrogate by a keyed hash of type and canonical form. Surrogates keep
 their type's format: phone numbers their country code and punctuation, cards their first digit
-and check digit, addresses their shape and top-level domain, tokens their character kinds, names
-their gender, script and number of parts. A collision check over all distinct entities finds
-surrogates that two entities share or that are themselves entities of the corpus; those are drawn
-again under the next attempt until none is left. One entity has one surrogate everywhere.
-
-Defined cases: a null text stays null; a text without entities stays as it is; rows that repeat
-an id share its entities and are rewritten each; null ids are rewritten too; texts of any length
-are read whole; an empty table gives no rows; other columns come back as they are (a column named
-n_entities is replaced).
+and check digit, addresses their shape and top-level domain, tokens their character kinds. A name
+is found after a title; its given names and its family name are entities of their own, so that
+"Dr. Maria Keller", "Frau Keller" and an untitled "Maria Keller" in the same text stay one person;
+given names keep script and gender, which the titles of the whole corpus or a list of known names
+tell, initials stay initials, particles (von, de) stay.
+
+A collision check over all distinct entities finds surrogates that two entities share or that are
+themselves entities of the corpus; those are drawn again under the next attempt, from formats that
+grow longer by the attempt, until none is left. One entity has one surrogate everywhere.
+
+Defined cases: a null text stays null; a text without entities stays as it is; rows are told apart
+by id and text, so null and repeated ids are rewritten each by their own text, and repeated rows
+alike; texts of any length are read whole; an empty table gives no rows; other columns come back
+as they are (a column named n_entities is replaced). Formats that can't grow (IP addresses, card
+numbers) end the job with an error when a corpus uses them up.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.exprs import by_row_id
-from lodestone.llm.workspace import Workspace
+from lodestone.llm.workspace import Workspace, bounded
 
 #: Courtesy titles and the gender that they tell (m, f; x: either).
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Господин": "m", "Κύριος": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f", "Госпожа": "f", "Κυρία": "f", "Dr": "x", "Prof": "x"}
@@ -37,8 +43,16 @@ SYLLABLES = {
     "Cyrillic": ["ба", "вол", "гор", "дан", "зор", "кар", "лес", "мир", "нов", "пет", "рад", "сол", "тов", "чер", "шам", "яр"],
     "Greek": ["αν", "βασ", "γαλ", "δημ", "ζαχ", "θεο", "καρ", "λαμ", "μαν", "νικ", "παν", "ραλ", "σαβ", "τσα", "φιλ", "χρι"],
 }
-#: A name's part: a capital, then a small letter or mark, then any letters; dotted initials may precede it.
-_NAME = r"(?:\p{Lu}\.[ -]?){0,9}+\p{Lu}[\p{Ll}\p{M}'’-][\p{L}\p{M}'’-]*+"
+#: Endings of invented given names by script and gender.
+ENDINGS = {"Latin": {"m": "us", "f": "ina"}, "Cyrillic": {"m": "ан", "f": "ина"}, "Greek": {"m": "ος", "f": "ίνα"}}
+#: Particles of family names, which stay.
+PARTICLES = ["von", "van", "der", "den", "dem", "zu", "zum", "de", "del", "della", "des", "du", "di", "da", "dos", "la", "le", "el", "bin", "al"]
+#: A name's part: a capital, then a small letter or mark, then any letters; dotted initials and particles may precede it.
+_NAME = r"(?:\p{Lu}\.[ -]?){0,9}+(?:(?:" + "|".join(PARTICLES) + r") ){0,3}+\p{Lu}[\p{Ll}\p{M}'’-][\p{L}\p{M}'’-]*+"
+#: After a title in capitals: one or two words in capitals.
+_CAPS = r"\p{Lu}[\p{Lu}\p{M}'’-]++(?![\p{L}\p{N}])"
+_TITLE = "|".join(TITLES)
+_CAPS_TITLE = "|".join(sorted({t.upper() for t in TITLES}))
 #: Patterns by type, tried in this order at each place. No pattern backtracks over what it has passed.
 PATTERNS = {
     "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
@@ -48,11 +62,13 @@ PATTERNS = {
     "IP": r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "SSN": r"(?<![\p{L}\p{N}])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}])",
     "TOKEN": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,})(?![\p{L}\p{N}])",
-    "PERSON": r"(?<=(?<![\p{L}])(?:" + "|".join(TITLES) + r")\.? )" + _NAME + "(?: " + _NAME + "){0,2}",
+    "PERSON": r"(?<=(?<![\p{L}])(?:" + _TITLE + r")\.? )" + _NAME + "(?: " + _NAME + "){0,2}|(?<=(?<![\\p{L}])(?:" + _CAPS_TITLE + r")\.? )" + _CAPS + "(?: " + _CAPS + ")?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: A title and its name, for the gender.
+TITLED = r"(?<![\p{L}])((?:" + _TITLE + r")\.? " + _NAME + "(?: " + _NAME + r"){0,2}|(?:" + _CAPS_TITLE + r")\.? " + _CAPS + "(?: " + _CAPS + ")?)"
 #: Texts without these cannot hold an entity; the keys and [a-f]{32} are tokens that need no digit.
-HINT = r"[@\d]|AKIA|gh[pousr]_|sk-|[a-f]{32}|(?<![\p{L}])(?:" + "|".join(TITLES) + r")\.? \p{Lu}"
+HINT = r"[@\d]|AKIA|gh[pousr]_|sk-|[a-f]{32}|(?<![\p{L}])(?:" + _TITLE + "|" + _CAPS_TITLE + r")\.? \p{L}"
 
 
 def entity_type(s: Column) -> Column:
@@ -125,39 +141,57 @@ def _name_lists(which: dict[str, list[str]]) -> Column:
     return F.create_map(*(x for k, v in which.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
 
 
-def surrogate(kind: Column, canon: Column, gender: Column, seed: Column) -> Column:
-    """The canonical form of the surrogate that ``seed`` draws."""
+def _genders() -> Column:
+    """The gender of each known given name."""
+    return F.create_map(*(F.lit(x) for by in GIVEN.values() for g, v in by.items() for name in v for x in (name.lower(), g)))
+
+
+def _syllables(seed: Column, canon: Column, n: int) -> Column:
+    """An invented word of n syllables."""
+    known = F.element_at(_name_lists(SYLLABLES), script(canon))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.element_at(known, _draw(seed, i, 16).cast("int") + 1)), "")
+
+
+def _given(canon: Column, gender: Column, seed: Column, attempt: int) -> Column:
+    """A given name of the script and gender: a known one, then two of them, then invented ones that grow."""
+    g = F.when(gender == "x", F.when(_draw(seed, 99, 2) == 0, "m").otherwise("f")).otherwise(gender)
+    at = F.concat(script(canon), g)
+    if attempt > 1:
+        endings = F.create_map(*(F.lit(x) for sc, by in ENDINGS.items() for k, v in by.items() for x in (sc + k, v)))
+        return F.initcap(F.concat(_syllables(seed, canon, attempt), F.element_at(endings, at)))
+    known = F.element_at(F.create_map(*(x for sc, by in GIVEN.items() for k, v in by.items() for x in (F.lit(sc + k), F.array(*map(F.lit, v))))), at)
+    one = lambda i: F.element_at(known, _draw(seed, i, 1 << 30).cast("int") % F.size(known) + 1)
+    return F.concat_ws("-", *(one(i) for i in range(attempt + 1)))
+
+
+def surrogate(kind: Column, canon: Column, gender: Column, seed: Column, attempt: int) -> Column:
+    """The canonical form of the surrogate that ``seed`` draws; from the fourth attempt on formats grow."""
+    wider = max(0, attempt - 2)
     n = F.length(canon)
     body = F.concat(F.substring(canon, F.lit(1), F.lit(1)), F.substring(_digits(seed, n), F.lit(2), n - 2))
     check = F.when(_luhn(canon) == 0, F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))), F.lit(10))).otherwise(F.pmod(F.lit(11) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)))
     country = F.regexp_extract(canon, r"^\+(1|7|[2-9]\d)", 0)
-    phone = F.concat(country, F.substring(_digits(seed, n), F.lit(1), n - F.length(country)))
+    phone = F.concat(country, F.substring(_digits(seed, n + wider), F.lit(1), n - F.length(country) + wider))
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_draw(seed, i, 254) + 1).cast("string")), ".")
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
+    more = _same_kind(F.concat(seed, F.lit("+")), F.lit("a" * wider)) if wider else F.lit("")
     # one domain has one surrogate: its seed doesn't depend on the mailbox or the attempt
-    email = F.concat(_same_kind(seed, local), F.lit("@"), _same_kind(F.concat(F.substring(F.col("secret"), F.lit(1), F.lit(64)), domain), F.substring(domain, F.lit(1), F.length(domain) - F.length(top))), top)
+    email = F.concat(_same_kind(seed, local), more, F.lit("@"), _same_kind(F.concat(F.substring(F.col("secret"), F.lit(1), F.lit(64)), domain), F.substring(domain, F.lit(1), F.length(domain) - F.length(top))), top)
     iban_body = _same_kind(seed, F.substring(canon, F.lit(5), n - 4))
     spelled = F.array_join(F.transform(_chars(F.concat(iban_body, F.substring(canon, F.lit(1), F.lit(2)), F.lit("00"))), lambda c: F.when(c.rlike(r"\d"), c).otherwise((F.ascii(c) - 55).cast("string"))), "")
     mod97 = F.aggregate(_chars(spelled), F.lit(0), lambda a, c: F.pmod(a * 10 + c.cast("int"), F.lit(97)))
     iban = F.concat(F.substring(canon, F.lit(1), F.lit(2)), F.lpad((98 - mod97).cast("string"), 2, "0"), iban_body)
-    parts = F.split(canon, " ")
-    firsts = F.create_map(*(x for sc, by in GIVEN.items() for g, v in by.items() for x in (F.lit(sc + g), F.array(*map(F.lit, v)))))
-    given = F.element_at(firsts, F.concat(script(canon), F.when(gender == "x", F.when(_draw(seed, 99, 2) == 0, "m").otherwise("f")).otherwise(gender)))
-    syllables = F.element_at(_name_lists(SYLLABLES), script(canon))
-    family = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.element_at(syllables, _draw(seed, i, 16).cast("int") + 1)), ""))
-    first = F.element_at(given, (_draw(seed, 0, 8)).cast("int") + 1)
-    middle = F.transform(F.sequence(F.lit(7), F.size(parts) + 4), lambda i: F.element_at(given, _draw(seed, i, 8).cast("int") + 1))
-    person = F.when(F.size(parts) == 1, family).when(F.size(parts) == 2, F.concat_ws(" ", first, family)).otherwise(F.concat_ws(" ", first, middle, family))
     return (
         F.when(kind == "CARD", F.concat(body, check.cast("string")))
         .when(kind == "PHONE", phone)
-        .when(kind == "SSN", F.substring(_digits(seed, n), F.lit(1), n))
+        .when(kind == "SSN", F.substring(_digits(seed, n + wider), F.lit(1), n + wider))
         .when(kind == "IP", octets)
         .when(kind == "EMAIL", email)
         .when(kind == "IBAN", iban)
         .when(kind == "TOKEN", F.when(canon.rlike("^[0-9a-f]+$"), _hex(seed, canon)).otherwise(F.concat(F.regexp_extract(canon, "^(AKIA|gh._|sk-)", 0), _same_kind(seed, F.regexp_replace(canon, "^(AKIA|gh._|sk-)", "")))))
-        .otherwise(person)
+        .when(kind == "GIVEN", _given(canon, gender, seed, attempt))
+        .otherwise(F.initcap(_syllables(seed, canon, 4 + attempt)))
     )
 
 
@@ -166,58 +200,97 @@ def render(kind: Column, surface: Column, canon: Column) -> Column:
     digits = F.regexp_replace(canon, r"\D", "")
     at = lambda i: F.length(F.regexp_replace(F.substring(surface, F.lit(1), i), r"\D", ""))
     by_digit = F.array_join(F.transform(_chars(surface), lambda c, i: F.when(c.rlike(r"^\d$"), F.substring(digits, at(i) + 1, F.lit(1))).otherwise(c)), "")
+    longer = F.substring(digits, F.length(F.regexp_replace(surface, r"\D", "")) + 1, F.length(digits))  # of a format that grew
     spaces = lambda i: F.length(F.regexp_replace(F.substring(surface, F.lit(1), i), " ", ""))
     by_char = F.array_join(F.transform(_chars(surface), lambda c, i: F.when(c == " ", c).otherwise(F.substring(canon, spaces(i) + 1, F.lit(1)))), "")
-    shout = (kind == "EMAIL") & (surface == F.upper(surface)) & (surface != F.lower(surface))
-    return F.when(kind.isin("CARD", "PHONE", "SSN"), by_digit).when(kind == "IBAN", by_char).when(shout, F.upper(canon)).otherwise(canon)
+    shout = kind.isin("EMAIL", "GIVEN", "FAMILY") & (F.length(surface) > 1) & (surface == F.upper(surface)) & (surface != F.lower(surface))
+    return F.when(kind.isin("CARD", "PHONE", "SSN"), F.concat(by_digit, longer)).when(kind == "IBAN", by_char).when(shout, F.upper(canon)).otherwise(canon)
+
+
+def name_parts(surface: Column) -> Column:
+    """A name's parts (place, part, kind): initials and particles stay what they are, the last other part is the family name."""
+    words = F.filter(F.split(F.regexp_replace(surface, r"(\p{Lu}\.)(?=[^ ])", "$1 "), "[ ]+"), lambda w: w != "")
+    kinds = F.transform(words, lambda w: F.when(w.rlike(r"^\p{Lu}\.-?$"), "INITIAL").when(w.isin(PARTICLES), "PARTICLE").otherwise("GIVEN"))
+    last = F.size(kinds) - F.array_position(F.reverse(kinds), "GIVEN").cast("int")
+    return F.zip_with(words, F.transform(kinds, lambda k, i: F.when((i == last) & (k == "GIVEN"), "FAMILY").otherwise(k)), lambda w, k: F.struct(w.alias("part"), k.alias("kind")))
 
 
-def surrogates(surfaces: DataFrame, secret: str, ws: Workspace, most_attempts: int = 20) -> DataFrame:
-    """surface, gender, replacement for distinct (surface, gender); distinct entities get distinct surrogates."""
-    typed = surfaces.withColumn("kind", entity_type(F.col("surface"))).withColumn("canon", canonical(F.col("kind"), F.col("surface")))
-    typed = ws.save(typed.withColumn("gender", F.when(F.col("kind") == "PERSON", F.col("gender")).otherwise("x")), "typed")
-    # a name met under a neutral title and under another is one person with the told gender
-    open_ = ws.save(typed.groupBy("kind", "canon").agg(F.min("gender").alias("gender")).withColumn("secret", F.sha2(F.lit(secret), 256)), "open0")
-    real = typed.select("kind", F.col("canon").alias("taken")).distinct()
+def drawn_apart(entities: DataFrame, secret: str, ws: Workspace, most_attempts: int = 40) -> DataFrame:
+    """kind, canon, gender, made for distinct (kind, canon, gender): no two share a surrogate, none is an entity."""
+    key = ["kind", "canon", "gender"]
+    open_ = ws.save(entities.withColumn("secret", F.sha2(F.lit(secret), 256)), "open0")
+    real = open_.select("kind", F.col("canon").alias("low")).distinct()
     settled: DataFrame | None = None
     for attempt in range(most_attempts):
-        seed = F.sha2(F.concat_ws("\u0001", "secret", "kind", "canon", F.lit(str(attempt))), 256)
-        drawn = open_.withColumn("seed", seed).withColumn("made", surrogate(F.col("kind"), F.col("canon"), F.col("gender"), F.col("seed")))
-        drawn = ws.save(drawn.select("kind", "canon", "gender", "secret", "made"), f"drawn{attempt}")
+        seed = F.sha2(F.concat_ws("\u0001", "secret", "kind", "canon", "gender", F.lit(str(attempt))), 256)
+        drawn = open_.withColumn("seed", seed).withColumn("made", surrogate(F.col("kind"), F.col("canon"), F.col("gender"), F.col("seed"), attempt))
+        drawn = ws.save(drawn.select(*key, "secret", "made", F.lower("made").alias("low")), f"drawn{attempt}")
         # the check: of a shared surrogate one entity keeps it; an entity's own text or an earlier surrogate frees it
-        taken = real if settled is None else real.union(settled.select("kind", F.col("made").alias("taken")))
-        keeper = drawn.groupBy("kind", F.lower("made").alias("low")).agg(F.min("canon").alias("canon"))
-        clear = drawn.join(keeper, (drawn["kind"] == keeper["kind"]) & (F.lower(drawn["made"]) == keeper["low"]) & (drawn["canon"] == keeper["canon"]), "left_semi")
-        low = taken.select("kind", F.lower("taken").alias("low")).distinct()
-        clear = clear.join(low, (clear["kind"] == low["kind"]) & (F.lower(clear["made"]) == low["low"]), "left_anti")
+        keeper = drawn.groupBy("kind", "low").agg(F.min(F.struct("canon", "gender")).alias("who")).select("kind", "low", "who.canon", "who.gender")
+        taken = real if settled is None else real.union(settled.select("kind", "low"))
+        clear = drawn.join(keeper, [*key, "low"], "left_semi").join(taken, ["kind", "low"], "left_anti")
         clear = ws.save(clear, f"clear{attempt}")
         settled = clear if settled is None else settled.union(clear)
-        open_ = ws.save(drawn.join(clear.select("kind", "canon"), ["kind", "canon"], "left_anti").select("kind", "canon", "gender", "secret"), f"open{attempt + 1}")
+        open_ = ws.save(drawn.join(clear.select(*key), key, "left_anti").select(*key, "secret"), f"open{attempt + 1}")
         if open_.isEmpty():
-            break
-    else:
-        raise ValueError("a type's surrogates are used up; give it a wider format")
-    return typed.drop("gender").distinct().join(settled.select("kind", "canon", "made"), ["kind", "canon"]).select("surface", render(F.col("kind"), F.col("surface"), F.col("made")).alias("replacement"), "kind")
+            return settled.select(*key, "made")
+    raise ValueError("a format that can't grow has no surrogates left")
+
+
+def surrogates(surfaces: DataFrame, secret: str, ws: Workspace) -> DataFrame:
+    """surface, replacement, kind for distinct (surface, gender); a name is put together from its parts."""
+    typed = ws.save(surfaces.withColumn("kind", entity_type(F.col("surface"))), "typed")
+    plain = typed.where("kind <> 'PERSON'").select("surface", "kind", canonical(F.col("kind"), F.col("surface")).alias("canon"), F.lit("x").alias("gender"))
+    people = typed.where("kind = 'PERSON'").groupBy("surface").agg(F.min("gender").alias("gender"))
+    parts = people.select("surface", "gender", F.posexplode(name_parts(F.col("surface"))).alias("place", "p")).select("surface", "gender", "place", "p.part", "p.kind").withColumn("canon", F.lower("part"))
+    # a given name's gender: what its own title tells, else other titles of the corpus, else the known names
+    told = parts.where("kind = 'GIVEN' AND gender <> 'x'").groupBy("canon").agg(F.min("gender").alias("told"))
+    gender = F.when(F.col("kind") != "GIVEN", "x").when(F.col("gender") != "x", F.col("gender")).otherwise(F.coalesce("told", F.try_element_at(_genders(), F.col("canon")), F.lit("x")))
+    parts = ws.save(parts.join(told, "canon", "left").withColumn("gender", gender).drop("told"), "parts")
+    key = ["kind", "canon", "gender"]
+    entities = plain.select(*key).union(parts.where("kind IN ('GIVEN', 'FAMILY')").select(*key)).distinct()
+    made = ws.save(drawn_apart(entities, secret, ws), "made")
+    plain = plain.join(made, key).select("surface", render(F.col("kind"), F.col("surface"), F.col("made")).alias("replacement"), "kind")
+    letter = F.substring("part", 1, 1)
+    seed = F.sha2(F.concat(F.lit(secret), letter), 256)
+    other = F.char(65 + F.pmod(F.ascii(letter) - 64 + _draw(seed, 0, 25), F.lit(26)))  # one of the 25 others
+    initial = F.concat(F.when(letter.rlike("^[A-Z]$"), other).otherwise(_same_kind(seed, letter)), F.lit("."))
+    part = F.when(F.col("kind") == "INITIAL", initial).when(F.col("kind") == "PARTICLE", F.col("part")).otherwise(render(F.col("kind"), F.col("part"), F.col("made")))
+    names = parts.join(made, key, "left").groupBy("surface").agg(F.array_sort(F.collect_list(F.struct("place", part.alias("text")))).alias("parts"))
+    return plain.union(names.select("surface", F.array_join(F.transform("parts", lambda p: p["text"]), " "), F.lit("PERSON")))
+
+
+def _known(name: Column) -> Column:
+    """A name as a pattern, where it stands alone."""
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), name, F.lit(r"\E(?![\p{L}\p{N}])"))
 
 
 def replace_pii(docs: DataFrame, id_col: str, text_col: str, secret: str) -> DataFrame:
     """The documents with every entity in ``text_col`` replaced, and n_entities (mentions) beside their columns."""
     ws = Workspace(docs.sparkSession, "pii")
-    hit = F.col("text").rlike(HINT)
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    d = docs.select(row.alias("row"), F.col(text_col).alias("text"))
     found = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    mentions = d.where(hit).select("id", "text", F.array_distinct(found).alias("found")).where(F.size("found") > 0)
+    mentions = d.where(F.col("text").rlike(HINT)).select("row", "text", F.array_distinct(found).alias("found")).where(F.size("found") > 0)
     # a name's title tells its gender
-    people = F.transform(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}])((?:" + "|".join(TITLES) + r")\.? " + _NAME + "(?: " + _NAME + "){0,2})"), F.lit(1)), lambda x: F.struct(F.regexp_replace(x, r"^[^ ]+ ", "").alias("surface"), F.element_at(F.create_map(*(F.lit(y) for kv in TITLES.items() for y in kv)), F.regexp_replace(F.substring_index(x, " ", 1), r"\.$", "")).alias("gender")))
+    title = lambda x: F.regexp_replace(F.substring_index(x, " ", 1), r"\.$", "")
+    told = F.create_map(*(F.lit(y) for t, g in {**TITLES, **{t.upper(): g for t, g in TITLES.items()}}.items() for y in (t, g)))
+    people = F.transform(F.regexp_extract_all("text", F.lit(TITLED), F.lit(1)), lambda x: F.struct(F.regexp_replace(x, r"^[^ ]+ ", "").alias("surface"), F.element_at(told, title(x)).alias("gender")))
     others = F.transform("found", lambda x: F.struct(x.alias("surface"), F.lit("x").alias("gender")))
-    each = ws.save(mentions.select("id", F.explode_outer(F.array_distinct(F.concat(others, people))).alias("m")).select("id", "m.surface", "m.gender").where("surface is not null").distinct(), "mentions")
+    each = ws.save(mentions.select("row", F.explode_outer(F.array_distinct(F.concat(others, people))).alias("m")).select("row", "m.surface", "m.gender").where("surface is not null").distinct(), "mentions")
     table = ws.save(surrogates(each.select("surface", "gender").distinct(), secret, ws), "surrogates")
-    per_doc = each.select("id", "surface").distinct().join(table.select("surface", "replacement"), "surface").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("surface", "replacement"))).alias("swap"))
-    per_doc = ws.save(per_doc, "swaps")
+    swaps = each.select("row", "surface").distinct().join(F.broadcast(table) if bounded(table) else table, "surface")
+    # full names that are known from a title are replaced without one, too, the longest first
+    full = F.array_sort(F.collect_list(F.when((F.col("kind") == "PERSON") & F.contains("surface", F.lit(" ")), F.struct((-F.length("surface")).alias("n"), "surface", "replacement"))))
+    per_row = swaps.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("surface", "replacement"))).alias("__swap"), full.alias("__names"))
+    per_row = ws.save(per_row.withColumnRenamed("row", "__row"), "swaps")
     cols = [c for c in docs.columns if c != "n_entities"]
-    met = by_row_id(docs.select(*cols, F.col(id_col).alias("__id")), per_doc.withColumnRenamed("id", "__id").withColumnRenamed("swap", "__swap"), "__id", 512)
-    parts, names = F.split(text_col, ANY, -1), F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0))
-    woven = F.array_join(F.flatten(F.zip_with(parts, names, lambda p, s: F.array(p, F.when(s.isNull(), "").otherwise(F.coalesce(F.try_element_at("__swap", s), s))))), "")
-    text = F.when(F.col("__swap").isNull(), F.col(text_col)).otherwise(woven)
-    n = F.when(F.col("__swap").isNull(), 0).otherwise(F.size(names)).cast("long")
-    return met.select(*(text.alias(c) if c == text_col else F.col(c) for c in cols), n.alias("n_entities"))
+    met = by_row_id(docs.select(*cols, row.alias("__row")), per_row, "__row")
+    parts, found = F.split(text_col, ANY, -1), F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0))
+    untitled = lambda p: F.aggregate("__names", p, lambda t, x: F.regexp_replace(t, _known(x["surface"]), x["replacement"]))
+    counted = lambda p: F.size(F.flatten(F.transform("__names", lambda x: F.regexp_extract_all(p, _known(x["surface"]), F.lit(0)))))
+    pieces = F.zip_with(parts, found, lambda p, s: F.struct(untitled(p).alias("part"), F.coalesce(F.try_element_at("__swap", s), s, F.lit("")).alias("made"), (counted(p) + F.when(s.isNull(), 0).otherwise(1)).alias("n")))
+    whole = met.select(*cols, F.when(F.col("__swap").isNotNull(), pieces).alias("__pieces"))
+    woven = F.array_join(F.transform("__pieces", lambda x: F.concat(x["part"], x["made"])), "")
+    n = F.aggregate("__pieces", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return whole.select(*(F.coalesce(woven, F.col(c)).alias(c) if c == text_col else F.col(c) for c in cols), F.coalesce(n, F.lit(0)).alias("n_entities"))

@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share.
+
+    Where it is unset, a local session (tests, a single machine) takes a temporary folder; on a
+    cluster that folder would be another one on every machine, so this is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _local_root()
     return root.rstrip("/")
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    """A folder of this process, removed at its end."""
+    root = tempfile.mkdtemp(prefix="lodestone-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 class Workspace:
     """Tables written once and reread, so that lineage is cut by storage that outlives executors."""
 
@@ -43,7 +60,14 @@ class Workspace:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def bounded(df: DataFrame, columns_bytes: int, limit_bytes: int = 16 << 20) -> bool:
-    """Whether ``df`` has so few rows that ``columns_bytes`` a row stay below the limit: the check before a broadcast."""
+def bounded(df: DataFrame, columns_bytes: int | None = None, limit_bytes: int = 16 << 20) -> bool:
+    """Whether a written table stays below the limit: the check before a broadcast.
+
+    Rows of a fixed width of ``columns_bytes`` are counted, up to the limit; without it, where rows
+    hold texts, lists or maps, the bytes of all rows are summed.
+    """
+    if columns_bytes is None:
+        size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 16).alias("size")).first().size
+        return (size or 0) <= limit_bytes
     most = max(1, limit_bytes // max(1, columns_bytes))
     return df.limit(most + 1).count() <= most
