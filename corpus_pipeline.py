@@ -1,13 +1,14 @@
 """The corpus pipeline: quality, line dedup, near duplicates, decontamination, packing.
 
 Each stage works on all that its predecessor kept and its decisions take effect; all but the last
-return the columns of documents. Repeated rows, null ids and empty tables follow the operators'
-own rules.
+return the columns of documents. Rows are told apart by id and text, never by id alone: ids may be
+null or repeat. Of rows that are equal in both, one stays where near duplicates go (rows without an
+id or without words have no duplicates). Empty tables pass every stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.decontaminate import decontaminate
@@ -19,11 +20,9 @@ from lodestone.llm.queries import tokenizer_path
 from lodestone.llm.workspace import Workspace, bounded
 
 
-def _without(docs: DataFrame, gone: DataFrame, label: str, key: Column, key_bytes: int) -> DataFrame:
-    """The documents whose ``key`` isn't among ``gone`` (column id); a null key stays."""
-    gone = Workspace(docs.sparkSession, label).save(gone.select(F.col("id").alias("__id")).distinct(), "gone")
-    gone = F.broadcast(gone) if bounded(gone, key_bytes) else gone
-    return docs.join(gone, key == gone["__id"], "left_anti")
+def _small(rows: DataFrame, row_bytes: int) -> DataFrame:
+    """``rows`` of fixed width, to be broadcast only where their number is checked to be small."""
+    return F.broadcast(rows) if bounded(rows, row_bytes) else rows
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +39,20 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    classes = jaccard_components(docs, "doc_id", "text", k=5, percent=80)
-    return _without(docs, classes.where("id <> component_id"), "near", F.col("doc_id"), 8)
+    """Of each group of near duplicates one row stays: the smallest by id, then by its text's hash."""
+    ws = Workspace(spark, "near")
+    classes = ws.save(jaccard_components(docs, "doc_id", "text", k=5, percent=80).where("`group` IS NOT NULL").select("id", "text_hash", "group"), "classes")
+    row = F.struct("id", "text_hash")
+    groups = classes.groupBy("group").agg(F.min(row).alias("kept"), F.count("*").alias("n"), F.countDistinct("id", "text_hash").alias("different")).where("n > 1")
+    groups = ws.save(groups, "groups")
+    kept = groups.select("kept.id", "kept.text_hash")
+    gone = classes.join(groups.select("group"), "group", "left_semi").select("id", "text_hash").distinct().join(kept, ["id", "text_hash"], "left_anti")
+    gone = _small(ws.save(gone, "gone"), 16)
+    mine = [F.col("doc_id") == F.col("id"), F.xxhash64("text") == F.col("text_hash")]
+    left = docs.join(gone, mine, "left_anti")
+    # equal rows of one id: only those that stay and have a twin are brought together
+    twins = _small(ws.save(groups.where("n > different").select("kept.id", "kept.text_hash"), "twins"), 16)
+    return left.join(twins, mine, "left_anti").unionByName(left.join(twins, mine, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +60,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     key = F.sha2("text", 256)
     leaks = decontaminate(docs.select(key.alias("key"), "text"), bench, "key", "text", "item_id", "text").where("n_hit > 0")
-    return _without(docs, leaks, "leaks", key, 64)
+    gone = Workspace(spark, "leaks").save(leaks.select(F.col("id").alias("__id")).distinct(), "gone")
+    return docs.join(_small(gone, 64), key == F.col("__id"), "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
