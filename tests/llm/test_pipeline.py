@@ -51,3 +51,24 @@ def test_benchmark_stage_drops_leaks_without_an_id_and_nothing_else(spark, tmp_p
     docs = spark.createDataFrame([(None, "see " + item), (None, "clean"), (None, None), (4, item), (4, "clean too"), (5, "fine")], "doc_id long, text string")
     left = sorted(((r.doc_id, r.text) for r in cp.benchmark_stage(spark, docs, str(tmp_path)).collect()), key=str)
     assert left == sorted([(None, "clean"), (None, None), (4, "clean too"), (5, "fine")], key=str)
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as cp
+
+    a, b = "one two three four five six seven", "red blue green white black brown grey"
+    rows = [(1, a), (9, a), (9, b), (20, b), (30, "lone words that no other document holds"), (30, "lone words that no other document holds"), (None, a), (None, a), (40, ""), (40, ""), (41, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, group string")
+    left = sorted(((r.doc_id, r.text) for r in cp.near_duplicate_stage(spark, docs, "").collect()), key=str)
+    assert left == sorted([(1, a), (9, b), (30, rows[4][1]), (None, a), (None, a), (40, ""), (40, ""), (41, None)], key=str)
+
+
+def test_every_stage_takes_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in cp.STAGES:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.collect() == [] and (name == "packing" or out.columns == empty.columns), name
