@@ -9,6 +9,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,8 +99,15 @@ def query_phrases(query: str | None) -> list[list[str]]:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def index_tokens_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Each distinct word is stemmed once a task."""
+    known: dict[str, str] = {}
     for s in batches:
-        yield s.map(index_tokens)
+        if len(known) > 500_000:
+            known.clear()
+        split = [re.findall(r"[^\W_]+", fold(t or "")) for t in s]
+        for w in {w for words in split for w in words} - known.keys():
+            known[w] = stem(w)
+        yield pd.Series([[known[w] for w in words] for words in split], dtype=object)
 
 
 def _number(x: float | int) -> str:
@@ -181,11 +189,16 @@ def fixed_text(value: float, decimals: int) -> str:
     return out[1:] if out.startswith("-") and not out.strip("-0.") else out
 
 
-@F.udf(T.StringType())
-def fixed_text_udf(value, decimals):
-    return None if value is None or decimals is None else fixed_text(value, decimals)
+@F.pandas_udf(T.StringType())
+def fixed_text_udf(value: pd.Series, decimals: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(v) or pd.isna(d) else fixed_text(v, int(d)) for v, d in zip(value, decimals, strict=True)], dtype=object)
 
 
-@F.udf(T.StringType())
-def nfc_udf(text):
-    return None if text is None else nfc(text)
+def nfc_column(text: Column) -> Column:
+    """Unicode normal form C; texts that are ASCII throughout stay on the JVM side."""
+    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfc(text))
+
+
+@F.pandas_udf(T.StringType())
+def _nfc(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFC")

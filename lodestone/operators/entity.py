@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestone.functions.scalar import live
 from lodestone.functions.seal import seal
 from lodestone.operators.keyed import replace_by_key
 
-SPANS = T.ArrayType(T.StructType([T.StructField("entity_id", T.StringType()), T.StructField("start_offset", T.IntegerType()), T.StructField("end_offset", T.IntegerType())]))
 ALGORITHM = "longest-match-word-bounded.v1"
 
 
@@ -24,48 +24,50 @@ class Dictionary:
         forms = {(form.lower(), eid) for eid, name, aliases in entities for form in [name, *aliases] if form.strip()}
         self.forms = sorted(forms, key=lambda f: (-len(f[0].encode()), f))
         self.identity = seal("entity-extractor", {"algorithm": ALGORITHM, "entityIdentities": [eid for eid, _, _ in entities]})
-        self.by_head: dict[bytes, list[tuple[bytes, str]]] = {}
+        self.entity: dict[bytes, str] = {}
         for form, eid in self.forms:
-            raw = form.encode()
-            self.by_head.setdefault(raw[:1], []).append((raw, eid))
+            self.entity.setdefault(form.encode(), eid)
+        # the longest form comes first, so that it is the one taken at a place
+        self._pattern = "|".join(re.escape(form) for form, _ in dict.fromkeys((f, 0) for f, _ in self.forms)).encode()
 
     @classmethod
     def of(cls, entities: DataFrame) -> Dictionary:
         """From the entity table, which is declared by hand and small."""
         return cls([(r.id, r.canonical_name, list(r.aliases or [])) for r in entities.select("id", "canonical_name", "aliases").collect()])
 
+    def spans(self, raw: bytes) -> Iterator[tuple[str, int, int]]:
+        """Non-overlapping spans in lower-cased bytes, bounded by other than ASCII letters and digits."""
+        if self.entity:
+            word = rb"[0-9A-Za-z]"
+            for m in re.finditer(rb"(?<!" + word + rb")(?:" + self._pattern + rb")(?!" + word + rb")", raw):
+                yield self.entity[m[0]], m.start(), m.end()
+
     def mentions(self, text: str | None) -> list[tuple[str, int, int]]:
-        """Non-overlapping spans in bytes of the lower-cased text, bounded by other than ASCII letters and digits."""
-        raw = (text or "").lower().encode()
-        word = lambda i: 0 <= i < len(raw) and raw[i : i + 1].isalnum()
-        out, i = [], 0
-        while i < len(raw):
-            for form, eid in self.by_head.get(raw[i : i + 1], []):
-                end = i + len(form)
-                if raw.startswith(form, i) and not word(i - 1) and not word(end):
-                    out.append((eid, i, end))
-                    i = end
-                    break
-            else:
-                i += 1
-        return out
+        """entity, start, end of one text's mentions, in bytes of the lower-cased text."""
+        return list(self.spans((text or "").lower().encode()))
 
 
-def extractor(dictionary: Dictionary):
-    """An Arrow-batched expression: text -> spans."""
+def _finder(dictionary: Dictionary):
+    """The mention rows of batches of (record_digest, claim): a batch is searched as one buffer."""
 
-    @F.pandas_udf(SPANS)
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: [{"entity_id": e, "start_offset": a, "end_offset": b} for e, a, b in dictionary.mentions(t)])
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [t.lower().encode() for t in b.column(1).to_pylist()]
+            at = np.cumsum([0, *(len(t) + 1 for t in raw)])
+            found = list(dictionary.spans(b"\x00".join(raw)))
+            start, end = (np.array([f[k] for f in found], np.int64) for k in (1, 2))
+            row = np.searchsorted(at, start, "right") - 1
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array([f[0] for f in found], pa.string()), pa.array((start - at[row]).astype(np.int32)), pa.array((end - at[row]).astype(np.int32))], names=["record_digest", "entity_id", "start_offset", "end_offset"])
 
-    return spans
+    return find
 
 
 def index_mentions(memories: DataFrame, dictionary: Dictionary) -> DataFrame:
     """The mention rows of every claim under this dictionary."""
-    found = memories.select("record_digest", F.explode(extractor(dictionary)("claim")).alias("m"))
-    return found.select("record_digest", "m.entity_id", "m.start_offset", "m.end_offset", F.lit(dictionary.identity).alias("extractor_identity"))
+    kind = memories.schema["record_digest"].dataType.simpleString()
+    claims = memories.where("claim IS NOT NULL").select("record_digest", "claim")
+    found = claims.mapInArrow(_finder(dictionary), f"record_digest {kind}, entity_id string, start_offset int, end_offset int")
+    return found.withColumn("extractor_identity", F.lit(dictionary.identity))
 
 
 def reindex(memories: DataFrame, mentions: DataFrame, dictionary: Dictionary) -> DataFrame:

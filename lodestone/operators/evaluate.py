@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,10 @@ def evaluate(ranked: DataFrame, relevant: DataFrame, recall_at: int = 5, rank_at
     return each.groupBy("class").agg(F.avg("recall").alias("recall"), F.avg("rr").alias("mrr"), F.count("*").alias("queries"))
 
 
-def upper_median(values: str):
-    """The upper middle of a sorted list."""
-    return F.get(F.sort_array(F.collect_list(values)), F.floor(F.count(values) / 2).cast("int"))
+def upper_medians(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """group, middle: each group's upper median from the counts of its distinct values, running in order."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(group)
+    running = F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.withColumn("upto", running).withColumn("all", F.sum("n").over(w))
+    return placed.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(group).agg(F.min(value).alias("middle"))

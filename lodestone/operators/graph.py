@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.stored import stored
+
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """src, dst, edge_kind in both directions."""
@@ -35,26 +37,23 @@ def walk(seeds: DataFrame, edges: DataFrame, hops: int, direction: str = "forwar
         frontier = frontier.join(steps, "node").select("seed", F.col("next").alias("node")).distinct()
         frontier = frontier.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
         if depth < hops:  # each level is stored once: its plan would be part of every later one, twice
-            frontier = _stored(frontier)
+            frontier = stored(frontier)
             if frontier.isEmpty():
                 break
         seen = seen.unionByName(frontier)
     return seen
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder; a folder is set only where there is none."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestone-checkpoints")
-    return df.checkpoint()
-
-
 def trace(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int) -> DataFrame:
     """Forward walk without the seeds: depth, kinds of all edges into the node, and its claim (null where it dangles)."""
     kinds = edges.groupBy(F.col("dst").alias("node")).agg(F.sort_array(F.collect_list("edge_kind")).alias("edge_kinds"))
     reached = walk(seeds, edges, hops).where("depth > 0")
-    return reached.join(kinds, "node", "left").join(nodes.select(F.col("record_digest").alias("node"), "claim"), "node", "left").withColumn("dangling", F.col("claim").isNull())
+    return reached.join(kinds, "node", "left").join(nodes.select(F.col("record_digest").alias("node"), "claim", F.lit(False).alias("dangling")), "node", "left").withColumn("dangling", F.coalesce("dangling", F.lit(True)))
+
+
+def in_order(walked: DataFrame) -> DataFrame:
+    """A walk's rows as they are shown: by seed, depth and node."""
+    return walked.orderBy("seed", "depth", "node")
 
 
 def neighbours(digests: DataFrame, edges: DataFrame) -> DataFrame:
@@ -87,12 +86,12 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
     Each step's links are checkpointed, so plans stay short. Links that ``rounds`` don't settle are an error.
     """
     e = existing(edges, nodes).where("src <> dst")
-    links = _stored(e.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    links = stored(e.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     for _ in range(rounds):
         both = links.union(links.select("v", "u"))
-        large = _stored(both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = stored(both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         met = large.join(_least(large), "u")
-        new = _stored(met.select("u", F.col("m").alias("v")).union(met.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
+        new = stored(met.select("u", F.col("m").alias("v")).union(met.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
         settled = new.count() == links.count() and new.join(links, ["u", "v"], "left_anti").isEmpty()
         links = new
         if settled:

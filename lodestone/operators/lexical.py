@@ -1,13 +1,20 @@
-"""Inverted index and BM25 over two weighted fields."""
+"""Inverted index and BM25 over two weighted fields; a stated set of queries over all documents in blocks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: BM25's usual constants, the floor of a term's weight and the fields' weights.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 FIELD_WEIGHTS = (1.0, 0.5)
+#: Query terms that are sent to every executor; more are joined by term.
+SMALL = 50_000
 
 
 def postings(docs: DataFrame, id_col: str, fields: list[tuple[Column, float]]) -> tuple[DataFrame, DataFrame]:
@@ -30,11 +37,13 @@ def bm25(index: DataFrame, lengths: DataFrame, terms: DataFrame) -> DataFrame:
     """
     stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     wanted = terms.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hits = index.join(wanted.select("term").distinct(), "term", "left_semi")
+    few = wanted.limit(SMALL + 1).count() <= SMALL
+    only = wanted.select("term").distinct()
+    hits = index.join(F.broadcast(only) if few else only, "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = df.join(F.broadcast(stats)).select("term", "avg_len", F.when(idf <= 0, IDF_FLOOR).otherwise(idf).alias("idf"))
-    scored = hits.join(weight, "term").join(wanted, "term").join(lengths, "id")
+    weight = df.join(F.broadcast(stats)).select("term", "avg_len", F.when(idf <= 0, IDF_FLOOR).otherwise(idf).alias("idf")).join(wanted, "term")
+    scored = hits.join(F.broadcast(weight) if few else weight, "term").join(lengths, "id")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return scored.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
@@ -44,3 +53,116 @@ def phrase_hits(docs: DataFrame, id_col: str, tokens: Column, phrase: list[str])
     n = len(phrase)
     at = F.filter(F.sequence(F.lit(0), F.size("t") - n), lambda i: F.slice("t", i + 1, n) == F.array(*map(F.lit, phrase)))
     return docs.select(F.col(id_col).alias("id"), tokens.alias("t")).where(F.size("t") >= n).select("id", F.size(at).cast("long").alias("n")).where("n > 0")
+
+
+class Terms:
+    """A stated query set: its terms, and how often each query names each of them."""
+
+    #: Terms of all queries together; a larger set is to be ranked in several calls.
+    MOST = 1 << 20
+
+    def __init__(self, terms: DataFrame):
+        rows = terms.groupBy("query_id", "term").agg(F.count("*").alias("times")).limit(self.MOST + 1).collect()
+        if len(rows) > self.MOST:
+            raise ValueError(f"more than {self.MOST} query terms in one call")
+        self.queries = sorted({r.query_id for r in rows})
+        self.terms = sorted({r.term for r in rows})
+        number, place = {t: i for i, t in enumerate(self.terms)}, {q: i for i, q in enumerate(self.queries)}
+        cells = sorted((number[r.term], place[r.query_id], r.times) for r in rows)
+        self.term, self.query, self.times = (np.array([c[k] for c in cells], np.int64) for k in range(3))
+        self.at = np.searchsorted(self.term, np.arange(len(self.terms) + 1))
+
+
+def _weighted_counts(batch: pa.RecordBatch, weights: list[float], known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term number, weighted count) of the query terms in a batch's token lists, and each row's length."""
+    rows, codes, worth = [], [], []
+    length = np.zeros(batch.num_rows, np.int64)
+    for k, weight in enumerate(weights):
+        lists = batch.column(k + 1)
+        n = np.diff(lists.offsets.to_numpy())
+        code = pc.index_in(lists.flatten(), value_set=known)
+        hit = pc.is_valid(code).to_numpy(zero_copy_only=False)
+        length += n
+        rows.append(np.repeat(np.arange(batch.num_rows), n)[hit])
+        codes.append(pc.drop_null(code).to_numpy().astype(np.int64))
+        worth.append(np.full(int(hit.sum()), weight))
+    row, code, worth = np.concatenate(rows), np.concatenate(codes), np.concatenate(worth)
+    key, at = np.unique(row * len(known) + code, return_inverse=True)
+    return key // max(1, len(known)), key % max(1, len(known)), np.bincount(at, weights=worth, minlength=len(key)), length
+
+
+def _frequencies(weights: list[float], known: list[str]):
+    """A task's documents with each term; the row without a term has its documents and their tokens."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, docs, tokens, names = np.zeros(len(known), np.int64), 0, 0, pa.array(known, pa.string())
+        for b in batches:
+            _, code, _, length = _weighted_counts(b, weights, names)
+            df += np.bincount(code, minlength=len(known))
+            docs, tokens = docs + b.num_rows, tokens + int(length.sum())
+        on = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([*on.tolist(), -1], pa.int32()), pa.array([*df[on].tolist(), docs], pa.int64()), pa.array([0] * len(on) + [tokens], pa.int64())], names=["term", "n", "tokens"])
+
+    return count
+
+
+def _scorer(weights: list[float], asked: Terms, idf: np.ndarray, mean: float, k: int, digits: int | None, cells: int = 1 << 22):
+    """The k best documents of each batch for each query: postings are scattered term by term into dense scores."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(asked.terms, pa.string())
+        step = max(1, cells // max(1, len(asked.queries)))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                b = whole.slice(lo, step)
+                row, code, tf, length = _weighted_counts(b, weights, names)
+                part = idf[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / mean))
+                o = np.argsort(code, kind="stable")
+                row, part, at = row[o], part[o], np.searchsorted(code[o], np.arange(len(asked.terms) + 1))
+                total, met = np.zeros((len(asked.queries), b.num_rows)), np.zeros((len(asked.queries), b.num_rows), bool)
+                for t in np.flatnonzero(np.diff(at)).tolist():
+                    r, p = row[at[t] : at[t + 1]], part[at[t] : at[t + 1]]
+                    for j in range(asked.at[t], asked.at[t + 1]):
+                        q = asked.query[j]
+                        total[q, r] += asked.times[j] * p
+                        met[q, r] = True
+                if digits is not None:
+                    total = np.round(total, digits)
+                total[~met] = -np.inf
+                ids = b.column(0)
+                order = np.asarray(pc.array_sort_indices(ids))  # of equal scores the smaller ids stay
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                for q in range(len(asked.queries)):
+                    s = total[q]
+                    cut = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+                    on = np.flatnonzero((s >= cut) & met[q])
+                    on = on[np.lexsort((place[on], -s[on]))][:k]
+                    if len(on):
+                        yield pa.RecordBatch.from_arrays([pa.array([asked.queries[q]] * len(on)), ids.take(pa.array(on)), pa.array(s[on])], names=["query_id", "id", "score"])
+
+    return score
+
+
+def rank(docs: DataFrame, id_col: str, fields: list[tuple[Column, float]], terms: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """query_id, id, score, rank: the k best documents of every query, scored as ``bm25`` does.
+
+    Documents stay where they are: two passes over their tokens, one for the terms' document
+    frequencies, one that scores each block of documents against the whole query set.
+    """
+    asked = Terms(terms)
+    tokens = docs.select(F.col(id_col).alias("id"), *(t.alias(f"f{i}") for i, (t, _) in enumerate(fields)))
+    weights = [w for _, w in fields]
+    seen = tokens.mapInArrow(_frequencies(weights, asked.terms), "term int, n long, tokens long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).collect()  # one row a query term
+    total = next((r for r in seen if r.term == -1), None)
+    n, mean = (total.n, total.tokens / total.n) if total and total.n and total.tokens else (0, 1.0)
+    df = np.zeros(len(asked.terms))
+    for r in seen:
+        if r.term >= 0:
+            df[r.term] = r.n
+    idf = np.log((n - df + 0.5) / (df + 0.5))
+    idf = np.where(idf <= 0, IDF_FLOOR, idf)
+    out = f"query_id {terms.schema['query_id'].dataType.simpleString()}, id {tokens.schema['id'].dataType.simpleString()}, score double"
+    best = tokens.mapInArrow(_scorer(weights, asked, idf, mean, k, digits), out)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

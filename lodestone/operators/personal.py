@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalar import ascii_like, canonical_instant, cursor_after
 from lodestone.functions.seal import divergence_id
 from lodestone.operators.keyed import appended
+from lodestone.operators.stored import numbered_from_one
 from lodestone.schemas import PERSONAL, ConstraintError, empty
 
 ORIGIN = ["origin_device", "origin_id"]
@@ -39,6 +40,11 @@ def merged(records: DataFrame) -> DataFrame:
     return records.groupBy("content_digest").agg(F.first("content", True).alias("content"), F.first("occurred_at", True).alias("occurred_at"), F.first("metadata", True).alias("metadata"), F.min("created_at").alias("created_at"), F.max("tombstoned").alias("tombstoned"))
 
 
+def sighting_counts(sightings: DataFrame) -> DataFrame:
+    """content_digest, sightings: how often each record was seen."""
+    return sightings.groupBy(F.col("record_digest").alias("content_digest")).agg(F.count("*").alias("sightings"))
+
+
 def _check_origins(sightings: DataFrame) -> None:
     if not sightings.groupBy(*ORIGIN).agg(F.countDistinct("record_digest").alias("n")).where("n > 1").isEmpty():
         raise ConstraintError("an origin points to two records")
@@ -68,8 +74,7 @@ def merge(state: PersonalState, records: DataFrame, sightings: DataFrame, tags:
 def _number(state: PersonalState, digests: DataFrame, operation: str) -> PersonalState:
     """Changes and outbox rows for ``digests``, numbered on from the state's cursor by one committer."""
     at = state["promotion_state"]
-    n = F.row_number().over(Window.orderBy("record_digest"))
-    rows = digests.select("record_digest", n.alias("n")).join(F.broadcast(at)).select("epoch", (F.col("sequence") + F.col("n")).alias("sequence"), "record_digest")
+    rows = numbered_from_one(digests.select("record_digest"), "n", "record_digest").join(F.broadcast(at)).select("epoch", (F.col("sequence") + F.col("n")).alias("sequence"), "record_digest")
     last = rows.agg(F.max("sequence").alias("last"))
     return state.having(
         promotion_changes=state["promotion_changes"].unionByName(rows.select("epoch", "sequence", F.lit(operation).alias("operation"), "record_digest")),
@@ -107,12 +112,23 @@ def acknowledge(state: PersonalState, epoch: int, sequence: int) -> PersonalStat
     return state.having(promotion_outbox=state["promotion_outbox"].withColumn("state", F.when(done, "promoted").otherwise(F.col("state"))))
 
 
+def missing_predecessors(changes: DataFrame, epoch: int, sequence: int) -> DataFrame:
+    """Changes whose predecessor in their epoch is missing, and those that share a place: joins by (epoch, sequence).
+
+    The first change of the cursor's epoch follows the cursor, that of any other epoch follows 0.
+    """
+    start = F.when(F.col("epoch") == epoch, F.lit(sequence)).otherwise(F.lit(0))
+    places = changes.groupBy("epoch", "sequence").agg(F.count("*").alias("__n"))
+    after = places.select("epoch", (F.col("sequence") + 1).alias("sequence"), F.lit(True).alias("__follows"))
+    wrong = places.join(after, ["epoch", "sequence"], "left").where((F.col("__follows").isNull() & (F.col("sequence") != start + 1)) | (F.col("__n") > 1))
+    return changes.join(wrong.select("epoch", "sequence"), ["epoch", "sequence"], "left_semi")
+
+
 def gaps(changes: DataFrame, epoch: int, sequence: int) -> DataFrame:
-    """Changes of a bundle that don't follow their predecessor (the first: the cursor) by one in one epoch."""
-    w = Window.orderBy("epoch", "sequence")  # one bundle: the rest of an epoch, in one task
-    before = F.coalesce(F.lag("sequence").over(w), F.when(F.col("epoch") == epoch, F.lit(sequence)).otherwise(F.lit(0)))
-    marked = changes.withColumn("__before", before).withColumn("__epoch", F.coalesce(F.lag("epoch").over(w), F.col("epoch")))
-    return marked.where("sequence <> __before + 1 OR __epoch <> epoch").drop("__before", "__epoch")
+    """Changes of a bundle that don't follow their predecessor (the first: the cursor) by one, or lie beyond its first epoch."""
+    first = changes.agg(F.min("epoch").alias("__first"))
+    later = changes.join(F.broadcast(first), F.col("epoch") > F.col("__first"), "left_semi")
+    return missing_predecessors(changes, epoch, sequence).unionByName(later).distinct()
 
 
 def flag_divergence(state: PersonalState, a: str, b: str) -> PersonalState:
@@ -142,7 +158,8 @@ def active(state: PersonalState) -> DataFrame:
 
 
 def recall(state: PersonalState, limit: int, query: str | None = None, tag: str | None = None) -> DataFrame:
-    """Active records by recency, with their tags and number of sightings."""
+    """Active records by recency, with their tags and number of sightings; the limit is held to 1..100."""
+    limit = max(1, min(100, limit))
     r = active(state)
     if query is not None:
         r = r.where(ascii_like(F.col("content"), query))
@@ -151,14 +168,24 @@ def recall(state: PersonalState, limit: int, query: str | None = None, tag: str
         r = r.join(tags.where(F.col("tag") == tag), "content_digest", "left_semi")
     top = r.orderBy(F.desc("created_at"), "content_digest").limit(limit)
     t = tags.groupBy("content_digest").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
-    s = state["sightings"].groupBy(F.col("record_digest").alias("content_digest")).agg(F.count("*").alias("sightings"))
+    s = sighting_counts(state["sightings"])
     out = top.join(t, "content_digest", "left").join(s, "content_digest", "left")
     return out.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).withColumn("sightings", F.coalesce("sightings", F.lit(0))).orderBy(F.desc("created_at"), "content_digest")
 
 
+def local_records(state: PersonalState) -> DataFrame:
+    """The records that this device captured itself."""
+    return state["canonical_records"].join(state["captures"].select(F.col("record_digest").alias("content_digest")), "content_digest", "left_semi")
+
+
+def replica_only(state: PersonalState) -> DataFrame:
+    """record_digest of what only other devices brought."""
+    return state["replica_records"].join(state["captures"].select("record_digest"), "record_digest", "left_anti")
+
+
 def reset_replica(state: PersonalState) -> PersonalState:
     """The state without what only replicas brought, cursor included."""
-    gone = state["replica_records"].join(state["captures"].select("record_digest"), "record_digest", "left_anti")
+    gone = replica_only(state)
     out = {}
     for name, key in (("canonical_records", "content_digest"), ("sightings", "record_digest"), ("record_tags", "record_digest"), ("personal_embeddings", "record_digest"), ("personal_embedding_queue", "record_digest"), ("personal_embedding_failures", "record_digest")):
         out[name] = state[name].join(gone.select(F.col("record_digest").alias(key)), key, "left_anti").select(*state[name].columns)
@@ -170,9 +197,9 @@ def reset_replica(state: PersonalState) -> PersonalState:
 
 def bump_epoch(state: PersonalState) -> PersonalState:
     """A new epoch whose changes are a whole snapshot of the local records, numbered from 1 in order of digest."""
-    mine = state["canonical_records"].join(state["captures"].select(F.col("record_digest").alias("content_digest")), "content_digest", "left_semi")
+    mine = local_records(state)
     at = state["promotion_state"].select((F.col("epoch") + 1).alias("epoch"))
-    rows = mine.select("content_digest", "tombstoned", F.row_number().over(Window.orderBy("content_digest")).cast("long").alias("sequence")).join(F.broadcast(at))
+    rows = numbered_from_one(mine.select("content_digest", "tombstoned"), "sequence", "content_digest").join(F.broadcast(at))
     changes = rows.select("epoch", "sequence", F.when(F.col("tombstoned"), "tombstone").otherwise("upsert").alias("operation"), F.col("content_digest").alias("record_digest"))
     return state.having(promotion_changes=changes, promotion_outbox=changes.select("epoch", "sequence", "record_digest", F.lit("pending").alias("state")), promotion_state=at.join(F.broadcast(rows.agg(F.count("*").alias("sequence")))))
 

@@ -27,6 +27,11 @@ def belief_at(memories: DataFrame, digests: DataFrame, sequence: int) -> DataFra
     return m.select("record_digest", belief_state(F.lit(sequence), F.col("recorded_seq"), F.col("superseded_seq"), F.col("retracted_seq")).alias("belief"))
 
 
+def lookup(memories: DataFrame, digests: DataFrame) -> DataFrame:
+    """The records of the given digests (column digest); unknown ones give no row."""
+    return memories.join(digests.select(F.col("digest").alias("record_digest")).distinct(), "record_digest", "left_semi")
+
+
 def current_as_of(memories: DataFrame, sequence: int, limit: int | None = None) -> DataFrame:
     out = memories.where(believed_at(F.lit(sequence), F.col("recorded_seq"), F.col("superseded_seq"), F.col("retracted_seq"))).orderBy("recorded_seq")
     return out.limit(limit) if limit else out

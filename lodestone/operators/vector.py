@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.scalar import all_finite, cosine, live
+from lodestone.functions.scalar import all_finite, live
 from lodestone.operators.keyed import replace_by_key
 from lodestone.schemas import ConstraintError
 
@@ -31,10 +35,115 @@ def vector_search(embeddings: DataFrame, memories: DataFrame, profile: str, quer
     wrong = e.where(F.size("vector") != len(query)).limit(1)
     if not wrong.isEmpty():
         raise ConstraintError("the query has another dimension than the space")
-    near = e.join(m.select("record_digest"), "record_digest", "left_semi").select("record_digest", cosine(F.col("vector"), F.array(*(F.lit(float(x)) for x in query))).alias("cosine"))
+    kind = e.schema["record_digest"].dataType.simpleString()
+    near = e.join(m.select("record_digest"), "record_digest", "left_semi").select("record_digest", "vector")
+    near = near.mapInArrow(_nearest(np.array([query], np.float64), limit), f"record_digest {kind}, cosine double")
     return near.orderBy(F.desc("cosine"), "record_digest").limit(limit)
 
 
+def _rows(lists: pa.Array) -> np.ndarray:
+    """Vectors of one length as unit rows of doubles; a zero vector stays zero."""
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(norm == 0, 1, norm)
+
+
+def _kept(score: np.ndarray, ids: pa.Array, k: int) -> np.ndarray:
+    """Places of the k best scores, ties by id."""
+    on = np.arange(len(score))
+    if len(score) > k:
+        on = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+    rank = np.asarray(ids.take(pa.array(on)).rank("ascending")) if hasattr(ids, "rank") else np.argsort(np.argsort(ids.take(pa.array(on)).to_numpy(zero_copy_only=False)))
+    return on[np.lexsort((rank, -score[on]))][:k]
+
+
+def _nearest(query: np.ndarray, k: int):
+    unit = query / max(float(np.sqrt((query * query).sum())), 1e-300)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s = (_rows(b.column(1)) @ unit.T).ravel()
+                on = _kept(s, b.column(0), k)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(on)), pa.array(s[on])], names=["record_digest", "cosine"])
+
+    return nearest
+
+
+def _blocks(rows: int):
+    """Rows of (space, id, vector) as blocks of one space and length: space, dimensions, block, ids and unit rows as bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k = TaskContext.get().partitionId(), 0
+        held: dict[tuple, list] = {}
+
+        def emit(key, got) -> pa.RecordBatch:
+            nonlocal k
+            ids = pa.concat_arrays([g[0] for g in got])
+            k += 1
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], spaces), pa.array([key[1]], pa.int32()), pa.array([(part << 24) + k]), pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([np.concatenate([g[1] for g in got]).tobytes()], pa.binary())], names=["space", "dims", "block", "ids", "unit"])
+
+        for b in batches:
+            spaces = b.schema.field("space").type
+            dims = np.diff(b.column(2).offsets.to_numpy())
+            keys = list(zip(b.column(0).to_pylist(), dims.tolist(), strict=True))
+            for key in sorted(set(keys), key=str):
+                at = pa.array([i for i, x in enumerate(keys) if x == key])
+                held.setdefault(key, []).append((b.column(1).take(at), _rows(b.column(2).take(at))))
+                if sum(len(g[0]) for g in held[key]) >= rows:
+                    yield emit(key, held.pop(key))
+        for key, got in held.items():
+            yield emit(key, got)
+
+    return pack
+
+
+def _meet(k: int, digits: int | None):
+    """The k best partners of a block's rows among another block's, by one matrix product."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j in range(batch.num_rows):
+                q_ids, ids = batch.column("q_ids")[j].values, batch.column("ids")[j].values
+                dims = max(1, batch.column("dims")[j].as_py())
+                q, x = (np.frombuffer(batch.column(c)[j].as_buffer(), np.float64).reshape(-1, dims) for c in ("q_unit", "unit"))
+                score = q @ x.T
+                if digits is not None:
+                    score = np.round(score, digits)
+                same = batch.column("q_block")[j].as_py() == batch.column("block")[j].as_py()
+                for i in range(len(q)):
+                    s = score[i]
+                    if same:
+                        s = s.copy()
+                        s[i] = -np.inf
+                    on = _kept(s, ids, k)
+                    on = on[s[on] > -np.inf]
+                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(np.full(len(on), i))), ids.take(pa.array(on)), pa.array(s[on])], names=["query_id", "id", "cosine"])
+
+    return meet
+
+
+def neighbours(embeddings: DataFrame, id_col: str, space_col: str, vec_col: str, k: int, digits: int | None = None, block_rows: int = 4096) -> DataFrame:
+    """query_id, id, cosine, rank: the k nearest of every vector in its own space, all pairs of it in blocks.
+
+    Rows are packed where they are; blocks of a space meet, so a space that holds most rows is many
+    tasks, not one. Null vectors and vectors with nulls take no part.
+    """
+    spark = embeddings.sparkSession
+    e = embeddings.select(F.col(space_col).alias("space"), F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vector")).where(F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull()))
+    kind = {n: e.schema[n].dataType.simpleString() for n in ("space", "id")}
+    blocks = e.mapInArrow(_blocks(block_rows), f"space {kind['space']}, dims int, block long, ids array<{kind['id']}>, unit binary")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    q = blocks.select("space", "dims", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("unit").alias("q_unit"))
+    # each pair of blocks of a space has a place of its own: a block is dealt to all stripes of one side
+    side = max(1, int(parts**0.5))
+    left = q.withColumn("i", F.pmod(F.xxhash64("q_block"), F.lit(side))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(side - 1).cast("long"))))
+    right = blocks.withColumn("j", F.pmod(F.xxhash64("block"), F.lit(side))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(side - 1).cast("long"))))
+    met = left.join(right.hint("merge"), ["space", "dims", "i", "j"])
+    best = met.select("dims", "q_block", "q_ids", "q_unit", "block", "ids", "unit").mapInArrow(_meet(k, digits), f"query_id {kind['id']}, id {kind['id']}, cosine double")
+    return top_k_by_query(best, "query_id", "cosine", "id", k)
+
+
 def top_k_by_query(scored: DataFrame, query: str, score: str, key: str, k: int) -> DataFrame:
     """Rank within each query by score, ties by key."""
     w = Window.partitionBy(query).orderBy(F.desc(score), key)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalar import derive, last_decimal
 from lodestone.functions.seal import NAMESPACE, seal_column
 from lodestone.functions.text import fixed_text_udf
 from lodestone.operators.keyed import insert_absent
+from lodestone.operators.stored import numbered_from_one
 from lodestone.schemas import EDGE_KINDS, ConstraintError
 
 #: Which columns carry which seal's fields.
@@ -84,14 +85,15 @@ def verify_derivations(specs: DataFrame, observations: DataFrame, memories_claim
     return s.select("record_digest", problem.isNull().alias("verified"), problem.alias("problem"), "made")
 
 
-def numbered(store: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
-    """``new`` rows with recorded_seq going on from the store's last, in the order given.
+def watermark(memories: DataFrame) -> DataFrame:
+    """sequence: the last one given, 0 for an empty store; one row."""
+    return memories.agg(F.coalesce(F.max("recorded_seq"), F.lit(0)).cast("long").alias("sequence"))
 
-    One committer allocates; the batch of one document is numbered in one partition.
-    """
-    last = store.agg(F.coalesce(F.max("recorded_seq"), F.lit(0)).alias("last"))
-    n = F.row_number().over(Window.orderBy(*order))
-    return new.drop("recorded_seq").withColumn("__n", n).join(F.broadcast(last)).withColumn("recorded_seq", F.col("last") + F.col("__n")).drop("__n", "last")
+
+def numbered(store: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    """``new`` rows with recorded_seq going on from the store's last, in the order given; one committer allocates."""
+    last = watermark(store).select(F.col("sequence").alias("last"))
+    return numbered_from_one(new.drop("recorded_seq"), "__n", *order).join(F.broadcast(last)).withColumn("recorded_seq", F.col("last") + F.col("__n")).drop("__n", "last")
 
 
 def supersede(memories: DataFrame, edges: DataFrame, retired: str, replacement: str, at: str) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalar
@@ -31,6 +32,8 @@ class RecallOptions:
     profile: str | None = None
     query_vector: list[float] | None = None
     use_entities: bool = True
+    use_lexical: bool = True
+    use_semantic: bool = True
 
     def __post_init__(self):
         self.limit = max(1, min(100, self.limit))
@@ -55,8 +58,9 @@ class Index:
     tokens: DataFrame
 
     @classmethod
-    def build(cls, memories: DataFrame) -> Index:
-        t = memories.select("record_digest", index_tokens_udf("claim").alias("c"), index_tokens_udf(F.coalesce("source_locator", F.lit(""))).alias("l"))
+    def build(cls, memories: DataFrame, tokens: Callable[[Column], Column] = index_tokens_udf) -> Index:
+        """``tokens`` cuts a text into terms: folded and stemmed ones unless another is given."""
+        t = memories.select("record_digest", tokens(F.col("claim")).alias("c"), tokens(F.coalesce("source_locator", F.lit(""))).alias("l"))
         p, n = lexical.postings(t, "record_digest", [(F.col("c"), lexical.FIELD_WEIGHTS[0]), (F.col("l"), lexical.FIELD_WEIGHTS[1])])
         return cls(p, n, t)
 
@@ -97,16 +101,16 @@ def recall(memories: DataFrame, edges: DataFrame, options: RecallOptions, index:
     fetch = o.limit * OVERFETCH
     state = memories.select("record_digest", "claim", "occurred_at", scalar.live(F.col("superseded_at"), F.col("retracted_at")).alias("live"), F.col("superseded_at").isNull().alias("unsuperseded"))
     branches, withheld = [], []
-    text = lexical_branch(index, o.query)
+    text = lexical_branch(index, o.query) if o.use_lexical else None
     if text is not None:
         top = text.orderBy(F.desc("score"), "record_digest").limit(fetch).join(state.select("record_digest", "live"), "record_digest")
         keep = F.lit(True) if o.include_retired else F.col("live")
         branches.append(_blank(top.where(keep), "lexical", lexical=F.col("score")))
         withheld.append(top.where(~keep).select("record_digest"))
-    if o.profile and o.query_vector and embeddings is not None:
+    if o.use_semantic and o.profile and o.query_vector and embeddings is not None:
         near = vector_search(embeddings, memories, o.profile, o.query_vector, fetch, o.include_retired)
         branches.append(_blank(near, "semantic", semantic=F.col("cosine")))
-    elif o.profile:
+    elif o.use_semantic and o.profile:
         degraded.append("semantic: no query vector")
     if o.use_entities and dictionary is not None and mentions is not None and dictionary.mentions(o.query):
         hits = entity_search(o.query, dictionary, mentions, memories, fetch, o.include_retired)
@@ -123,9 +127,9 @@ def recall(memories: DataFrame, edges: DataFrame, options: RecallOptions, index:
         seeds = seeds.unionByName(_blank(reached.where(keep), "provenance", hops=F.col("depth")))
         withheld.append(reached.where(~keep).select("record_digest"))
     merged = seeds.groupBy("record_digest").agg(F.max("lexical").alias("lexical"), F.max("semantic").alias("semantic"), F.max("shared").alias("shared"), F.min("hops").alias("hops"), F.array_sort(F.collect_set("branch")).alias("branches"))
-    best = F.max("lexical").over(Window.partitionBy(F.lit(0)))  # at most the branches' over-fetched candidates
+    best = merged.agg(F.max("lexical").alias("best"))
     age = scalar.age_days(F.lit(o.as_of), F.col("occurred_at"))
-    scored = merged.join(state, "record_digest").withColumn("best", best).select(
+    scored = merged.join(state, "record_digest").join(F.broadcast(best)).select(
         "record_digest", "claim", "branches", "hops", (~F.col("unsuperseded")).alias("superseded"),
         scalar.blended(F.when(F.col("lexical").isNotNull(), scalar.lexical_share(F.col("lexical"), F.col("best"))), F.when(F.col("semantic").isNotNull(), scalar.clamp01(F.col("semantic"))), F.when(F.col("shared").isNotNull(), scalar.saturation(F.col("shared"))), F.when(F.col("hops").isNotNull(), scalar.graph_decay(F.col("hops"))), scalar.recency(age)).alias("score"),
     )

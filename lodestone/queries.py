@@ -81,11 +81,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    docs = _read(spark, d, "documents").select("doc_id", scalar.words_of(F.col("text")).alias("t"))
-    index, lengths = lexical.postings(docs, "doc_id", [(F.col("t"), 1.0)])
+    docs = _read(spark, d, "documents").select("doc_id", "text")
     terms = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(scalar.words_of(F.col("text"))).alias("term"))
-    scored = lexical.bm25(index, lengths, terms).withColumn("score", F.round("score", 6))
-    return vector.top_k_by_query(scored, "query_id", "score", "id", 10)
+    return lexical.rank(docs, "doc_id", [(scalar.words_of(F.col("text")), 1.0)], terms, 10, digits=6)
 
 
 @query(f"WITH {BM25} SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 10")
@@ -145,10 +143,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, v
 SELECT query_id, vec_id, cosine, rank FROM r WHERE rank <= 3""")
 def vector_topk(spark, d):
     """RT9, FM7, PF3, TK2: each vector's neighbours in its own space."""
-    e = _read(spark, d, "embeddings")
-    a = e.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    s = a.join(e, "label").where("query_id <> vec_id").select("query_id", "vec_id", F.round(scalar.cosine(F.col("q"), F.col("embedding")), 6).alias("cosine"))
-    return vector.top_k_by_query(s, "query_id", "cosine", "vec_id", 3)
+    out = vector.neighbours(_read(spark, d, "embeddings"), "vec_id", "label", "embedding", 3, digits=6)
+    return out.select("query_id", F.col("id").alias("vec_id"), "cosine", "rank")
 
 
 @query("""SELECT label, count(*) AS n, sum(CASE WHEN abs(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) - 1) < 1e-3 THEN 1 ELSE 0 END)::BIGINT AS unit FROM embeddings GROUP BY label""")

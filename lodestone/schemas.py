@@ -115,8 +115,12 @@ def assert_constraints(df: DataFrame, table: str) -> DataFrame:
     return df
 
 
+def dangling(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
+    """The rows of ``child`` whose non-null ``column`` isn't a ``key`` of ``parent``."""
+    return child.where(F.col(column).isNotNull()).join(parent.select(F.col(key).alias("__key")), F.col(column) == F.col("__key"), "left_anti")
+
+
 def assert_references(child: DataFrame, column: str, parent: DataFrame, key: str, what: str) -> None:
     """Every non-null ``column`` of ``child`` is a ``key`` of ``parent``."""
-    lost = child.where(F.col(column).isNotNull()).join(parent.select(F.col(key).alias("__key")), F.col(column) == F.col("__key"), "left_anti")
-    if not lost.isEmpty():
+    if not dangling(child, column, parent, key).isEmpty():
         raise ConstraintError(f"{what}: dangling {column}")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.functions.scalar import cursor_after
-from lodestone.operators.personal import PersonalState, gaps, merge_divergences, merged
+from lodestone.operators.personal import PersonalState, gaps, merge_divergences, merged, missing_predecessors
 from lodestone.schemas import ConstraintError
 from lodestone.sources.envelope import transition_fingerprint
 
@@ -79,6 +79,9 @@ def advance(spark: SparkSession, root: str, batch: DataFrame) -> bool:
     end = fresh.agg(F.max(F.struct("epoch", "sequence")).alias("end")).first().end
     if end is None:
         return False
+    fresh = fresh.distinct()  # a change that is played twice in one batch
+    if not missing_predecessors(fresh, epoch, sequence).isEmpty():
+        raise ConstraintError("the batch has a gap, or two changes in one place")
     rows = fresh.select("content_digest", "content", "occurred_at", "metadata", "created_at", (F.col("tombstoned") | (F.col("operation") == "tombstone")).alias("tombstoned"))
     if version:
         rows = spark.read.parquet(f"{root}/records/v{version}").unionByName(rows)
