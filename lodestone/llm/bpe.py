@@ -178,7 +178,7 @@ class Counter:
         """Whether tokens x, y can follow each other in an encoding."""
         key = (x, y)
         if (ok := self._fits.get(key)) is None:
-            if len(self._fits) > 300_000:
+            if len(self._fits) > 200_000:
                 self._fits.clear()
             ok = self._fits[key] = self.merge(self.bytes[x] + self.bytes[y]) == [x, y]
         return ok
@@ -201,7 +201,7 @@ class Counter:
             if known is None:
                 known = self._step(states, word, end)
                 if end <= 32:
-                    if len(self._trie) > 300_000:
+                    if len(self._trie) > 200_000:
                         self._trie.clear()
                     self._trie[word[:end]] = known
             states.append(known)
@@ -233,11 +233,14 @@ class Counter:
 class Compiled:
     """Known pre-tokens of one tokenizer: hash -> count and tokens; refilled when it grows past its bound."""
 
-    LIMIT = 1_000_000
+    LIMIT = 300_000
 
     def __init__(self, path: str, quick: bool = False):
         self.counter = Counter(path)
-        self.tokens = (self.counter.ranked() if quick else None) or self.counter.tokens
+        library = self.counter.ranked() if quick else None
+        self.tokens = library or self.counter.tokens
+        if library:  # the library has its own copy of the merge table
+            self.counter.vocab, self.counter.rank, self.counter.bytes = {}, {}, {}
         self._clear()
 
     def _clear(self) -> None:

@@ -139,15 +139,37 @@ def _starts(t: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
 
 
-@tidy
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of lists that hold two sets and more; copies posted by several tasks once."""
-    for starts, (token, fp, n, pos) in whole_lists(batches, ["token", "fp", "n", "pos"]):
-        keep = np.r_[True, (token[1:] != token[:-1]) | (fp[1:] != fp[:-1])]
-        owner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(token)]))
-        size = np.bincount(owner[keep], minlength=len(starts))
-        keep &= size[owner] > 1
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, fp, n, pos)], names=["token", "fp", "n", "pos"])
+def _partnered(size: np.ndarray, n: np.ndarray, left: np.ndarray, percent: int, most: int = 256) -> np.ndarray:
+    """Rows of lists (of ``size`` rows each) that sizes and positions let pair with another row of their list."""
+    out = np.ones(len(n), bool)
+    start = np.cumsum(size) - size
+    for m in np.unique(size[size <= most]).tolist():  # longer lists are kept whole here
+        lists = start[size == m]
+        for part in np.array_split(lists, max(1, len(lists) * m * m >> 20)):
+            at = part[:, None] + np.arange(m)
+            a, b = n[at], left[at]
+            pair = np.minimum(b[:, :, None], b[:, None, :]) >= pair_overlap(a[:, :, None], a[:, None, :], percent)
+            pair[:, np.arange(m), np.arange(m)] = False
+            out[at] = pair.any(2)
+    return out
+
+
+def _gather(percent: int):
+    """The rows of lists that hold two sets and more, and can pair with another; copies posted by several tasks once."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cols in whole_lists(batches, ["token", "fp", "n", "pos"]):
+            token, fp = cols[:2]
+            once = np.r_[True, (token[1:] != token[:-1]) | (fp[1:] != fp[:-1])]
+            cols = [c[once] for c in cols]
+            size = np.diff(np.r_[_starts(cols[0]), len(cols[0])])
+            several = np.repeat(size > 1, size)
+            token, fp, n, pos = (c[several] for c in cols)
+            n = n.astype(np.int64)
+            on = _partnered(size[size > 1], n, n - pos, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(token[on]), pa.array(fp[on]), pa.array(n[on].astype(np.int32)), pa.array(pos[on])], names=["token", "fp", "n", "pos"])
+
+    return tidy(gather)
 
 
 #: An overlap that nothing is known of. Negative overlaps are bounds from above: -1 - bound.
@@ -335,7 +357,7 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
     posts = d.where(F.col("id").isNotNull()).select("text").mapInArrow(_post(k, percent, levels.tobytes()), "token long, fp long, n int, pos int")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     by_list = lambda x, *order: x.repartition(parts, "token").sortWithinPartitions("token", *order)
-    lists = ws.save(by_list(posts, "n", "fp").mapInArrow(_gather, "token long, fp long, n int, pos int"), "lists")
+    lists = ws.save(by_list(posts, "n", "fp").mapInArrow(_gather(percent), "token long, fp long, n int, pos int"), "lists")
     ws.release()
     exact = F.col("shared") * (100 + percent) >= F.lit(percent) * (F.col("n") + F.col("leader_n"))
     unknown = F.lit(UNKNOWN).cast("long")

@@ -25,12 +25,12 @@ STREAM = 1 << 19
 
 def slices(batch: pa.RecordBatch, column: int, most: int = STREAM) -> Iterator[tuple[int, int, list[str]]]:
     """Runs of rows (first, end, texts) of about ``most`` characters; a longer text is a run of its own."""
-    texts = pc.fill_null(batch.column(column), "")
-    total = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
+    texts = batch.column(column)
+    total = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     a = 0
     while a < len(total):
         b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
-        yield a, b, texts.slice(a, b - a).to_pylist()
+        yield a, b, pc.fill_null(texts.slice(a, b - a), "").to_pylist()
         a = b
 
 

@@ -29,17 +29,27 @@ def trim() -> None:
         pass
 
 
+def begin(keeps: bool) -> None:
+    """A task begins: tables that its operator doesn't keep go."""
+    if not keeps and _held:
+        _held.clear()
+        trim()
+
+
 def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False):
     """A task's function that leaves the worker as it found it; with ``keeps`` tables from ``held`` stay for the next task."""
 
     @wraps(f)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not keeps and _held:
-            _held.clear()
-            trim()
+        from lodestone.llm import worker  # the worker's module: this function travels by value
+
+        worker.begin(keeps)
         try:
-            yield from f(batches)
+            for n, batch in enumerate(f(batches)):
+                yield batch
+                if n % 16 == 15:
+                    worker.trim()
         finally:
-            trim()
+            worker.trim()
 
     return run
