@@ -16,7 +16,7 @@ from lodestone.functions import scalar
 from lodestone.functions.text import index_tokens_udf
 from lodestone.operators import conflict, context, entity, evaluate, graph, keyed, lexical, personal, temporal, vector, write
 from lodestone.plans.recall import Index, RecallOptions, recall
-from lodestone.schemas import violations
+from lodestone.schemas import dangling, violations
 from lodestone.sources.snapshot import table_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,12 +147,12 @@ def vector_topk(spark, d):
     return out.select("query_id", F.col("id").alias("vec_id"), "cosine", "rank")
 
 
-@query("""SELECT label, count(*) AS n, sum(CASE WHEN abs(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) - 1) < 1e-3 THEN 1 ELSE 0 END)::BIGINT AS unit FROM embeddings GROUP BY label""")
+@query("""SELECT label, count(*) AS n, sum(CASE WHEN len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN 1 ELSE 0 END)::BIGINT AS unit FROM embeddings GROUP BY label""")
 def vector_norms(spark, d):
-    """FM8, FM12: normalized vectors are unit vectors; here the stored ones are counted."""
+    """FM8, FM12: every finite vector that isn't zero has norm one once it is normalized; here doubled ones."""
     e = _read(spark, d, "embeddings").where(scalar.all_finite(F.col("embedding")))
-    unit = F.abs(scalar._dot(F.col("embedding"), F.col("embedding")) - 1) < 1e-3
-    return e.groupBy("label").agg(F.count("*").alias("n"), F.count(F.when(unit, 1)).alias("unit"))
+    unit = scalar.l2_normalized(F.transform("embedding", lambda x: x * 2))
+    return e.groupBy("label").agg(F.count("*").alias("n"), F.count(F.when(F.abs(scalar._dot(unit, unit) - 1) < 1e-5, 1)).alias("unit"))
 
 
 @query("SELECT count(v.vec_id) AS embedded, count(*) AS total FROM documents d LEFT JOIN embeddings v ON d.doc_id = v.vec_id")
@@ -393,16 +393,27 @@ def constraint_violations(spark, d):
 def dangling_references(spark, d):
     """PF17: lines whose part isn't among the larger ones."""
     li = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return li.join(_read(spark, d, "part").where("p_size > 10").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_anti")
+    return dangling(li, "l_partkey", _read(spark, d, "part").where("p_size > 10"), "p_partkey")
 
 
-@query("""SELECT l_orderkey, l_linenumber, p_name, s_name, n_name, count(*) AS lines FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
-LEFT JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL""")
+@query(f"""WITH {_edges_sql()}, o AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS pk, min(l_suppkey) AS sk, min(l_quantity)::INTEGER AS q FROM lineitem GROUP BY ALL),
+b AS (SELECT l_orderkey, string_agg(concat_ws('|', l_orderkey * 10 + l_linenumber, q, p_brand, s_name, coalesce(n_name, '-')), ',' ORDER BY l_linenumber) AS observations
+  FROM o JOIN part ON p_partkey = pk JOIN supplier ON s_suppkey = sk LEFT JOIN nation ON n_nationkey = CASE WHEN l_linenumber % 2 = 0 THEN sk % 25 END GROUP BY l_orderkey),
+g AS (SELECT k, count(*) AS n FROM (SELECT src AS k FROM e UNION ALL SELECT dst FROM e) GROUP BY k)
+SELECT o_orderkey AS record_digest, o_orderpriority AS claim, coalesce(observations, '') AS observations, coalesce(n, 0) AS edges
+FROM orders LEFT JOIN b ON l_orderkey = o_orderkey LEFT JOIN g ON k = o_orderkey""")
 def record_detail(spark, d):
-    """RT13, JN4: three inner joins and an outer one."""
-    li, p, s, n = (_read(spark, d, t) for t in ("lineitem", "part", "supplier", "nation"))
-    j = li.join(p, li["l_partkey"] == p["p_partkey"]).join(s, li["l_suppkey"] == s["s_suppkey"]).join(n, s["s_nationkey"] == n["n_nationkey"], "left")
-    return j.groupBy("l_orderkey", "l_linenumber", "p_name", "s_name", "n_name").agg(F.count("*").alias("lines"))
+    """RT13, JN4: lines stand for observations, parts for policies, suppliers for suites, nations for references."""
+    li = _read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"), F.min("l_quantity").cast("int").cast("string").alias("value_text"))
+    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("observation_identity")
+    observations = li.select(key.alias("identity"), "value_text", F.col("pk").alias("policy_identity"), F.col("sk").alias("suite_identity"), F.when(F.col("l_linenumber") % 2 == 0, F.col("sk") % 25).cast("int").alias("reference_identity"))
+    policies = _read(spark, d, "part").select(F.col("p_partkey").alias("identity"), F.col("p_brand").alias("metric"), F.col("p_type").alias("unit"))
+    suites = _read(spark, d, "supplier").select(F.col("s_suppkey").alias("identity"), F.col("s_name").alias("suite_name"))
+    references = _read(spark, d, "nation").select(F.col("n_nationkey").alias("identity"), F.col("n_name").alias("runtime_identity"))
+    m = _read(spark, d, "orders").select(F.col("o_orderkey").alias("record_digest"), F.col("o_orderpriority").alias("claim"))
+    out = write.record_detail(m, _edges(spark, d), li.select(F.col("l_orderkey").alias("record_digest"), key), observations, policies, suites, references, m.select(F.col("record_digest").alias("digest")))
+    line = F.transform("observations", lambda o: F.concat_ws("|", o["observation_identity"].cast("string"), o["value_text"], o["metric"], o["suite_name"], F.coalesce(o["reference_runtime"], F.lit("-"))))
+    return out.select("record_digest", "claim", F.coalesce(F.array_join(line, ","), F.lit("")).alias("observations"), F.coalesce(F.array_size("edges"), F.lit(0)).cast("long").alias("edges"))
 
 
 @query("""WITH b AS (SELECT doc_id, CASE WHEN doc_id % 89 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 97 <> 0)
@@ -470,6 +481,15 @@ def context_append_set(spark, d):
 
 # ---- personal store and change log
 
+def _personal(spark, d, **tables):
+    """Documents as a personal store's records; those with a label were captured here, toxic ones are forgotten."""
+    docs, labels = _read(spark, d, "documents"), _read(spark, d, "labels")
+    toxic = labels.where("toxic = 1").select("doc_id", F.lit(True).alias("toxic"))
+    records = docs.join(toxic, "doc_id", "left").select(F.col("doc_id").cast("string").alias("content_digest"), F.col("text").alias("content"), F.lit(None).cast("string").alias("occurred_at"), F.lit("{}").alias("metadata"), F.lit("2024-01-01T00:00:00.000Z").alias("created_at"), F.coalesce("toxic", F.lit(False)).alias("tombstoned"))
+    captures = labels.select(F.lit("here").alias("origin_device"), F.col("doc_id").cast("string").alias("origin_id"), F.col("doc_id").cast("string").alias("record_digest"))
+    return personal.PersonalState.new(spark).having(**{"canonical_records": records, "captures": captures, **tables})
+
+
 def _log(spark, d):
     e = _read(spark, d, "events")
     w = Window.partitionBy("epoch").orderBy("ts", "event_id")
@@ -479,7 +499,7 @@ def _log(spark, d):
 LOG = "g AS (SELECT *, event_id // 1000 AS epoch, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY ts, event_id) AS sequence FROM events)"
 
 
-@query(f"WITH {LOG}, a AS (SELECT * FROM g WHERE epoch > 3 OR (epoch = 3 AND sequence > 400)) SELECT epoch, sequence, event_id FROM a WHERE epoch = (SELECT min(epoch) FROM a) ORDER BY sequence LIMIT 500")
+@query(f"WITH {LOG}, a AS (SELECT * FROM g WHERE epoch > 3 OR (epoch = 3 AND sequence > 400)) SELECT epoch, sequence, event_id FROM a WHERE epoch = (SELECT min(epoch) FROM a)")
 def change_export(spark, d):
     """ST4, PF9, WN2: the changes after (3, 400), to the end of their epoch."""
     return personal.export_changes(_log(spark, d), 3, 400).select("epoch", "sequence", "event_id")
@@ -488,39 +508,41 @@ def change_export(spark, d):
 @query(f"""WITH {LOG}, h AS (SELECT * FROM g WHERE sequence % 50 <> 0), l AS (SELECT *, lag(sequence) OVER (PARTITION BY epoch ORDER BY sequence) AS before FROM h)
 SELECT epoch, sequence FROM l WHERE sequence <> coalesce(before, 0) + 1""")
 def change_gaps(spark, d):
-    """ST7, WN4: successors that are missing after every fiftieth change was taken out."""
-    h = _log(spark, d).where("sequence % 50 <> 0")
-    before = F.coalesce(F.lag("sequence").over(Window.partitionBy("epoch").orderBy("sequence")), F.lit(0))
-    return h.withColumn("before", before).where("sequence <> before + 1").select("epoch", "sequence")
+    """ST7, WN4: changes whose predecessor is missing after every fiftieth was taken out."""
+    return personal.missing_predecessors(_log(spark, d).where("sequence % 50 <> 0"), 0, 0).select("epoch", "sequence")
 
 
-@query("""SELECT user_id, props, min(ts)::VARCHAR AS created_at, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) = 1 AS tombstoned, count(*) AS sightings FROM events GROUP BY user_id, props""")
+@query("""SELECT user_id || '|' || props AS content_digest, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f') AS created_at, bool_or(event_type = 'error') AS tombstoned, count(*) AS sightings FROM events GROUP BY user_id, props""")
 def merge_records(spark, d):
     """ST8, AG12, AG13, JN14: an error is a tombstone, which stays."""
-    e = _read(spark, d, "events")
-    stamp = F.regexp_replace(F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS"), r"\.?0+$", "")
-    whole = F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss")
-    text = F.when(F.length(stamp) > 19, stamp).otherwise(whole)
-    return e.groupBy("user_id", "props").agg(text.alias("created_at"), F.max(F.col("event_type") == "error").alias("tombstoned"), F.count("*").alias("sightings"))
+    digest = F.concat_ws("|", F.col("user_id").cast("string"), "props")
+    e = _read(spark, d, "events").select(digest.alias("content_digest"), F.col("props").alias("content"), F.lit(None).cast("string").alias("occurred_at"), F.col("props").alias("metadata"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created_at"), (F.col("event_type") == "error").alias("tombstoned"))
+    seen = personal.sighting_counts(e.select(F.col("content_digest").alias("record_digest")))
+    return personal.merged(e).join(seen, "content_digest").select("content_digest", "created_at", "tombstoned", "sightings")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def replica_only(spark, d):
-    """JN12: documents without a label of their own."""
-    return _read(spark, d, "documents").select("doc_id").join(_read(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    """JN12: all documents came from replicas, those with a label were captured here as well."""
+    state = _personal(spark, d, replica_records=_read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_digest")))
+    return personal.replica_only(state).select(F.col("record_digest").cast("long").alias("doc_id"))
 
 
 @query("SELECT DISTINCT d.doc_id FROM documents d JOIN labels l USING (doc_id)")
 def local_captures(spark, d):
     """JN13, JN9: a semi-join instead of a join and a distinct."""
-    return _read(spark, d, "documents").select("doc_id").join(_read(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    return personal.local_records(_personal(spark, d)).select(F.col("content_digest").cast("long").alias("doc_id"))
 
 
-@query("""SELECT conv_id, turn FROM conversations WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the') AND role = 'user'""")
+@query("""SELECT conv_id || ':' || turn AS content_digest, lpad(turn::VARCHAR, 6, '0') AS created_at, role AS tags, 1 AS sightings FROM conversations
+WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the') AND role = 'user' ORDER BY created_at DESC, content_digest LIMIT 100""")
 def local_context(spark, d):
-    """RT17, RT19, PF7, PF8, FS9: a match that folds ASCII case only."""
-    c = _read(spark, d, "conversations")
-    return c.where(scalar.ascii_like(F.col("text"), "ThE") & (F.col("role") == "user")).select("conv_id", "turn")
+    """RT17, RT19, PF7, PF8, FS9, TK7: the 100 latest records with a match that folds ASCII case only, under a tag."""
+    c = _read(spark, d, "conversations").withColumn("content_digest", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    records = c.select("content_digest", F.col("text").alias("content"), F.lit(None).cast("string").alias("occurred_at"), F.lit("{}").alias("metadata"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("created_at"), F.lit(False).alias("tombstoned"))
+    state = personal.PersonalState.new(spark).having(canonical_records=records, record_tags=c.select(F.col("content_digest").alias("record_digest"), F.col("role").alias("tag")), sightings=c.select(F.col("content_digest").alias("record_digest")))
+    out = personal.recall(state, 100, "ThE", "user")
+    return out.select("content_digest", "created_at", F.array_join("tags", ",").alias("tags"), F.col("sightings").cast("int").alias("sightings"))
 
 
 @query("""WITH a AS (SELECT least(user_id, event_id % 50) AS x, greatest(user_id, event_id % 50) AS y, event_type = 'purchase' AS k, event_id FROM events WHERE user_id <> event_id % 50)
@@ -535,32 +557,28 @@ def divergence_merge(spark, d):
     return out.select(F.col("digest_a").alias("x"), F.col("digest_b").alias("y"), "status", "acknowledged_at")
 
 
-@query("""SELECT (row_number() OVER (ORDER BY sha256(text), doc_id))::BIGINT AS sequence, doc_id FROM documents""")
+@query("""SELECT 2::BIGINT AS epoch, (row_number() OVER (ORDER BY doc_id::VARCHAR))::BIGINT AS sequence, CASE WHEN toxic = 1 THEN 'tombstone' ELSE 'upsert' END AS operation, doc_id FROM documents JOIN labels USING (doc_id)""")
 def epoch_snapshot(spark, d):
-    """ST12, WN2: a dense renumbering in order of digest, by range partitions and offsets rather than one task."""
-    t = _read(spark, d, "documents").select(F.sha2("text", 256).alias("digest"), "doc_id")
-    bucket = F.conv(F.substring("digest", 1, 2), 16, 10).cast("int")  # 256 ordered ranges of digests
-    t = t.withColumn("bucket", bucket)
-    before = t.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = F.row_number().over(Window.partitionBy("bucket").orderBy("digest", "doc_id"))
-    return t.withColumn("n", n).join(F.broadcast(before.select("bucket", "before")), "bucket").select((F.col("n") + F.col("before")).alias("sequence"), "doc_id")
+    """ST12, WN2: a new epoch holds all local records, numbered in order of digest by ranges rather than in one task."""
+    state = personal.bump_epoch(_personal(spark, d))
+    return state["promotion_changes"].select("epoch", "sequence", "operation", F.col("record_digest").cast("long").alias("doc_id"))
 
 
-@query("""SELECT count(*) AS active, count(v.vec_id) AS ready, count(*) FILTER (v.vec_id IS NULL AND l.toxic = 1) AS failed, count(*) FILTER (v.vec_id IS NULL AND l.toxic IS DISTINCT FROM 1) AS pending
-FROM documents d LEFT JOIN embeddings v ON v.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+@query("""WITH s AS (SELECT count(*) AS active, count(v.vec_id) AS ready, count(*) FILTER (v.vec_id IS NULL AND l.toxic = 1) AS failed, count(*) FILTER (v.vec_id IS NULL AND l.toxic IS DISTINCT FROM 1) AS pending
+FROM documents d LEFT JOIN embeddings v ON v.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic IS DISTINCT FROM 1)
+SELECT *, (SELECT count(*) FROM embeddings) AS queued, 0::BIGINT AS divergences, 0::BIGINT AS open_divergences, (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) AS tombstoned,
+CASE WHEN failed > 0 THEN 'degraded' WHEN pending > 0 THEN 'catching-up' ELSE 'healthy' END AS health FROM s""")
 def semantic_status(spark, d):
-    """RT18, AG14: ready before failed before pending; toxic labels stand for failures."""
-    docs = _read(spark, d, "documents").select("doc_id")
-    r = _read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("ready"))
-    f = _read(spark, d, "labels").where("toxic = 1").select("doc_id", F.lit(True).alias("failed"))
-    s = docs.join(r, "doc_id", "left").join(f, "doc_id", "left").select(F.when(F.col("ready"), "ready").when(F.col("failed"), "failed").otherwise("pending").alias("s"))
-    return s.agg(F.count("*").alias("active"), *(F.count(F.when(F.col("s") == x, 1)).alias(x) for x in ("ready", "failed", "pending")))
+    """RT18, AG14: ready before failed before pending; toxic documents are forgotten, their failures don't count."""
+    e = _read(spark, d, "embeddings").select(F.lit("p").alias("profile_identity"), F.col("vec_id").cast("string").alias("record_digest"))
+    failed = _read(spark, d, "labels").where("toxic = 1").select(F.lit("p").alias("profile_identity"), F.col("doc_id").cast("string").alias("record_digest"))
+    return personal.status(_personal(spark, d, personal_embeddings=e, personal_embedding_failures=failed, personal_embedding_queue=e), "p")
 
 
 @query("SELECT l_suppkey, list_sort(list(l_quantity))[count(*) // 2 + 1] AS middle FROM lineitem GROUP BY l_suppkey")
 def upper_median(spark, d):
     """AG17: the upper middle of a sorted list."""
-    return _read(spark, d, "lineitem").groupBy("l_suppkey").agg(evaluate.upper_median("l_quantity").alias("middle"))
+    return evaluate.upper_medians(_read(spark, d, "lineitem"), "l_suppkey", "l_quantity")
 
 
 @query("SELECT event_id, event_id // 1000 AS epoch, event_id % 1000 AS sequence FROM events")
