@@ -83,23 +83,19 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str,
     if marks is None:
         return d.select("id", F.size(alnum_words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     marks = marks.distinct()
-    marks = ws.save(marks, "marks")
     marks = F.broadcast(marks) if bounded(marks, 8) else marks
     found = d.select(row, F.explode_outer(let(alnum_words(F.col("text")), prints)).alias("mark")).join(marks, "mark").groupBy("row").agg(F.collect_set("mark").alias("marks"))
 
     def starts(w: Column) -> Column:
         return F.concat(*(_starts(w, m, g) for m, g in shapes))
 
-    # `marks` is null where no fingerprint met
-    met = by_row_id(d.select(row, "text"), ws.save(found, "found"), "row")
-    seen = let(alnum_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.when(F.col("marks").isNotNull(), starts(w)).alias("at")))
-    near = ws.save(met.select("row", seen.alias("x")).select("row", F.col("x.n").alias("n_words"), F.col("x.at").alias("at")), "near")
-    hits = near.where("at IS NOT NULL").select("row", F.explode("at").alias("s")).select("row", "s.start", "s.m", "s.wtext").distinct()
-    wins = ws.save(wins.drop("m"), "windows")
+    met = by_row_id(d.select(row, "text"), ws.save(found, "found", narrow=True), "row").where("marks IS NOT NULL")
+    hits = met.select("row", F.explode(let(alnum_words(F.col("text")), starts)).alias("s")).select("row", "s.start", "s.m", "s.wtext").distinct()
+    wins = wins.drop("m")
     met = hits.join(F.broadcast(wins) if bounded(wins) else wins, "wtext")
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "m")), lambda s: F.sequence(s["start"], s["start"] + s["m"] - 1)))))
     # in a struct, as a set leaves out bare nulls
     items = F.sort_array(F.transform(F.collect_set(F.struct("item")), lambda s: s["item"]))
-    hit = ws.save(met.groupBy("row").agg(covered.cast("long").alias("n_hit"), items.alias("items")), "hit")
-    out = by_row_id(near.select("row", "n_words"), hit, "row")
+    hit = ws.save(met.groupBy("row").agg(covered.cast("long").alias("n_hit"), items.alias("items")), "hit", narrow=True)
+    out = by_row_id(d.select(row, F.size(alnum_words(F.col("text"))).cast("long").alias("n_words")), hit, "row")
     return out.select("row.id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

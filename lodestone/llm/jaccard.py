@@ -313,16 +313,16 @@ def _arrays(k: int):
 
 def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, ws: Workspace, name: str) -> DataFrame:
     """leader, leader_n, fp, n, shared for the pairs: overlaps of the full sets, or -1 - bound where a bound rules a link out."""
-    pairs = ws.save(pairs.select("leader", "leader_n", "fp", "n"), f"{name}-pairs")
+    pairs = ws.save(pairs.select("leader", "leader_n", "fp", "n"), f"{name}-pairs", narrow=True)
     ids = pairs.select(F.explode(F.array("leader", "fp")).alias("fp")).distinct()
-    wanted = ws.save(ids.join(reps, "fp").select("rep").distinct(), f"{name}-wanted")
+    wanted = ws.save(ids.join(reps, "fp").select("rep").distinct(), f"{name}-wanted", narrow=True)
     w = F.broadcast(wanted) if bounded(wanted, 8) else wanted
     sets = docs.join(w, F.col("id") == F.col("rep"), "left_semi").select("text").mapInArrow(_arrays(k), "fp long, bits binary, set array<long>")
     sets = ws.save(sets, f"{name}-sets")
     bits = sets.select("fp", "bits")
     # rows that repeat an id bring their set twice: one answer a pair, below
     met = pairs.join(bits.hint("merge"), "fp").join(bits.select(F.col("fp").alias("leader"), F.col("bits").alias("theirs")).hint("merge"), "leader")
-    bound = ws.save(met.select("leader", "leader_n", "fp", "n", "bits", "theirs").mapInArrow(_possible(percent), "leader long, leader_n int, fp long, n int, shared long, possible boolean").distinct(), f"{name}-bound")
+    bound = ws.save(met.select("leader", "leader_n", "fp", "n", "bits", "theirs").mapInArrow(_possible(percent), "leader long, leader_n int, fp long, n int, shared long, possible boolean").distinct(), f"{name}-bound", narrow=True)
     pairs = bound.where("possible").drop("shared", "possible")
     # the sets stay where they are as long as the pairs' ids are few: only the members' sets travel, to their leaders
     few = bounded(pairs, 32)
@@ -331,7 +331,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent:
     leaders = sets.join(heads, "fp", "left_semi").select(F.col("fp").alias("leader"), F.col("set").alias("theirs"))
     met = sets.select("fp", "set").join(p, "fp").join(leaders.hint("merge"), "leader")
     shared = met.select("leader", "leader_n", "fp", "n", F.size(F.array_intersect("set", "theirs")).cast("long").alias("shared")).groupBy("leader", "leader_n", "fp", "n").agg(F.max("shared").alias("shared"))
-    out = ws.save(shared.union(bound.where("not possible").drop("possible")), f"{name}-shared")
+    out = ws.save(shared.union(bound.where("not possible").drop("possible")), f"{name}-shared", narrow=True)
     ws.drop(f"{name}-sets")
     return out
 
@@ -374,22 +374,22 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
 
     # later leaders: in lists that the links leave in parts
     answers = first.select("leader", "fp", F.col("shared").alias("s"))
-    known = _with_root(led.where("more").join(answers.hint("merge"), ["leader", "fp"], "left"), roots)
+    known = _with_root(led.where("more", narrow=True).join(answers.hint("merge"), ["leader", "fp"], "left"), roots)
     own = F.when(F.col("leader") == F.col("fp"), F.col("n").cast("long")).otherwise(F.coalesce("s", unknown))
     known = known.select("token", "fp", "n", "pos", "fame", "root", F.col("leader_n").cast("long").alias("size1"), own.alias("shared1"))
     led = ws.save(by_list(known, F.desc("fame"), "fp").mapInArrow(_lead(percent, True), LED), "led2")
     ws.drop("led1")
     second = _verify(led.where("pair and not sure").select("leader", "leader_n", "fp", "n").distinct(), d, reps, k, percent, ws, "second")
-    links = links.union(second.where(exact).select("leader", "fp")).union(ws.save(led.where("sure").select("leader", "fp").distinct(), "proven"))
+    links = links.union(second.where(exact).select("leader", "fp")).union(ws.save(led.where("sure").select("leader", "fp").distinct(), "proven", narrow=True))
     roots = components(links.select(F.col("leader").alias("a"), F.col("fp").alias("b")), Workspace(spark, "links2"))
     ws.release()
 
     # what is still apart and open after two leaders' answers is verified pair by pair
     answers = second.select("leader", "fp", F.col("shared").alias("s"))
-    known = _with_root(led.where("more").drop("root").join(answers.hint("merge"), ["leader", "fp"], "left"), roots)
+    known = _with_root(led.where("more", narrow=True).drop("root").join(answers.hint("merge"), ["leader", "fp"], "left"), roots)
     known = known.select("token", "fp", "n", "pos", "root", "size1", "shared1", F.col("leader_n").cast("long").alias("size2"), own.alias("shared2"))
     more = by_list(known, "n", "fp").mapInArrow(_rest(percent), "leader long, leader_n int, fp long, n int, sure boolean")
-    more = ws.save(more.groupBy("leader", "leader_n", "fp", "n").agg(F.max("sure").alias("sure")), "more")
+    more = ws.save(more.groupBy("leader", "leader_n", "fp", "n").agg(F.max("sure").alias("sure")), "more", narrow=True)
     ws.drop("led2")
     third = _verify(more.where("not sure").drop("sure"), d, reps, k, percent, ws, "third")
     links = links.union(third.where(exact).select("leader", "fp")).union(more.where("sure").select("leader", "fp"))

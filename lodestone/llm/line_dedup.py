@@ -34,15 +34,15 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float, min_
     totals = p.groupBy("host").agg(F.count("*").alias("pages"))
     each = p.select("host", F.explode_outer(F.array_distinct(_lines(F.col("text")))).alias("line")).where(F.trim("line") != "")
     by_hash = each.groupBy("host", F.xxhash64("line").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    small = bounded(totals := ws.save(totals, "totals"))
+    small = bounded(totals := ws.save(totals, "totals", narrow=True))
     t = F.broadcast(totals) if small else totals
     above = (F.col("n") > F.col("pages") * F.lit(ratio)) & (F.col("n") >= min_pages)
-    often = ws.save(by_hash.join(t.withColumnRenamed("host", "th"), F.col("host").eqNullSafe(F.col("th"))).where(above).select("host", "h"), "often")
+    often = ws.save(by_hash.join(t.withColumnRenamed("host", "th"), F.col("host").eqNullSafe(F.col("th"))).where(above).select("host", "h"), "often", narrow=True)
     o = often.select(F.col("host").alias("oh"), F.col("h").alias("ohash"))
     o = F.broadcast(o) if bounded(often) else o
     exact = each.join(o, F.col("host").eqNullSafe(F.col("oh")) & (F.xxhash64("line") == F.col("ohash")), "left_semi").groupBy("host", "line").agg(F.count("*").alias("n"))
     kept = exact.join(t.withColumnRenamed("host", "th"), F.col("host").eqNullSafe(F.col("th"))).where(above)
-    return ws.save(kept.groupBy("host").agg(F.sort_array(F.collect_set("line")).alias("lines")), "boilerplate")
+    return ws.save(kept.groupBy("host").agg(F.sort_array(F.collect_set("line")).alias("lines")), "boilerplate", narrow=True)
 
 
 def line_dedup(pages: DataFrame, host: Column, text_col: str, ratio: float = 0.1, min_pages: int = 3, salts: int = 64) -> DataFrame:

@@ -218,45 +218,45 @@ def name_parts(surface: Column) -> Column:
 def drawn_apart(entities: DataFrame, secret: str, ws: Workspace, most_attempts: int = 40) -> DataFrame:
     """kind, canon, gender, made for distinct (kind, canon, gender): no two share a surrogate, none is an entity."""
     key = ["kind", "canon", "gender"]
-    open_ = ws.save(entities.withColumn("secret", F.sha2(F.lit(secret), 256)), "open0")
+    open_ = ws.save(entities.withColumn("secret", F.sha2(F.lit(secret), 256)), "open0", narrow=True)
     real = open_.select("kind", F.col("canon").alias("low")).distinct()
     settled: DataFrame | None = None
     for attempt in range(most_attempts):
         seed = F.sha2(F.concat_ws("\u0001", "secret", "kind", "canon", "gender", F.lit(str(attempt))), 256)
         drawn = open_.withColumn("seed", seed).withColumn("made", surrogate(F.col("kind"), F.col("canon"), F.col("gender"), F.col("seed"), attempt))
-        drawn = ws.save(drawn.select(*key, "secret", "made", F.lower("made").alias("low")), f"drawn{attempt}")
+        drawn = ws.save(drawn.select(*key, "secret", "made", F.lower("made", narrow=True).alias("low")), f"drawn{attempt}", narrow=True)
         # the check: of a shared surrogate one entity keeps it; an entity's own text or an earlier surrogate frees it
         keeper = drawn.groupBy("kind", "low").agg(F.min(F.struct("canon", "gender")).alias("who")).select("kind", "low", "who.canon", "who.gender")
         taken = real if settled is None else real.union(settled.select("kind", "low"))
         clear = drawn.join(keeper, [*key, "low"], "left_semi").join(taken, ["kind", "low"], "left_anti")
-        clear = ws.save(clear, f"clear{attempt}")
+        clear = ws.save(clear, f"clear{attempt}", narrow=True)
         settled = clear if settled is None else settled.union(clear)
-        open_ = ws.save(drawn.join(clear.select(*key), key, "left_anti").select(*key, "secret"), f"open{attempt + 1}")
+        open_ = ws.save(drawn.join(clear.select(*key), key, "left_anti").select(*key, "secret"), f"open{attempt + 1}", narrow=True)
         if open_.isEmpty():
-            return settled.select(*key, "made")
+            return settled.select(*key, "made", narrow=True)
     raise ValueError("a format that can't grow has no surrogates left")
 
 
 def surrogates(surfaces: DataFrame, secret: str, ws: Workspace) -> DataFrame:
     """surface, replacement, kind for distinct (surface, gender); a name is put together from its parts."""
-    typed = ws.save(surfaces.withColumn("kind", entity_type(F.col("surface"))), "typed")
+    typed = ws.save(surfaces.withColumn("kind", entity_type(F.col("surface"))), "typed", narrow=True)
     plain = typed.where("kind <> 'PERSON'").select("surface", "kind", canonical(F.col("kind"), F.col("surface")).alias("canon"), F.lit("x").alias("gender"))
     people = typed.where("kind = 'PERSON'").groupBy("surface").agg(F.min("gender").alias("gender"))
     parts = people.select("surface", "gender", F.posexplode(name_parts(F.col("surface"))).alias("place", "p")).select("surface", "gender", "place", "p.part", "p.kind").withColumn("canon", F.lower("part"))
     # a given name's gender: what its own title tells, else other titles of the corpus, else the known names
     told = parts.where("kind = 'GIVEN' AND gender <> 'x'").groupBy("canon").agg(F.min("gender").alias("told"))
     gender = F.when(F.col("kind") != "GIVEN", "x").when(F.col("gender") != "x", F.col("gender")).otherwise(F.coalesce("told", F.try_element_at(_genders(), F.col("canon")), F.lit("x")))
-    parts = ws.save(parts.join(told, "canon", "left").withColumn("gender", gender).drop("told"), "parts")
+    parts = ws.save(parts.join(told, "canon", "left").withColumn("gender", gender).drop("told"), "parts", narrow=True)
     key = ["kind", "canon", "gender"]
     entities = plain.select(*key).union(parts.where("kind IN ('GIVEN', 'FAMILY')").select(*key)).distinct()
-    made = ws.save(drawn_apart(entities, secret, ws), "made")
-    plain = plain.join(made, key).select("surface", render(F.col("kind"), F.col("surface"), F.col("made")).alias("replacement"), "kind")
+    made = ws.save(drawn_apart(entities, secret, ws), "made", narrow=True)
+    plain = plain.join(made, key).select("surface", render(F.col("kind"), F.col("surface"), F.col("made", narrow=True)).alias("replacement"), "kind")
     letter = F.substring("part", 1, 1)
     seed = F.sha2(F.concat(F.lit(secret), letter), 256)
     other = F.char(65 + F.pmod(F.ascii(letter) - 64 + _draw(seed, 0, 25), F.lit(26)))  # one of the 25 others
     initial = F.concat(F.when(letter.rlike("^[A-Z]$"), other).otherwise(_same_kind(seed, letter)), F.lit("."))
-    part = F.when(F.col("kind") == "INITIAL", initial).when(F.col("kind") == "PARTICLE", F.col("part")).otherwise(render(F.col("kind"), F.col("part"), F.col("made")))
-    names = parts.join(made, key, "left").groupBy("surface").agg(F.array_sort(F.collect_list(F.struct("place", part.alias("text")))).alias("parts"))
+    part = F.when(F.col("kind") == "INITIAL", initial).when(F.col("kind") == "PARTICLE", F.col("part")).otherwise(render(F.col("kind"), F.col("part"), F.col("made", narrow=True)))
+    names = parts.join(made, key, "left").groupBy("surface").agg(F.array_sort(F.collect_list(F.struct("place", part.alias("text")))).alias("parts", narrow=True))
     return plain.union(names.select("surface", F.array_join(F.transform("parts", lambda p: p["text"]), " "), F.lit("PERSON")))
 
 
@@ -277,8 +277,8 @@ def replace_pii(docs: DataFrame, id_col: str, text_col: str, secret: str) -> Dat
     told = F.create_map(*(F.lit(y) for t, g in {**TITLES, **{t.upper(): g for t, g in TITLES.items()}}.items() for y in (t, g)))
     people = F.transform(F.regexp_extract_all("text", F.lit(TITLED), F.lit(1)), lambda x: F.struct(F.regexp_replace(x, r"^[^ ]+ ", "").alias("surface"), F.element_at(told, title(x)).alias("gender")))
     others = F.transform("found", lambda x: F.struct(x.alias("surface"), F.lit("x").alias("gender")))
-    each = ws.save(mentions.select("row", F.explode_outer(F.array_distinct(F.concat(others, people))).alias("m")).select("row", "m.surface", "m.gender").where("surface is not null").distinct(), "mentions")
-    table = ws.save(surrogates(each.select("surface", "gender").distinct(), secret, ws), "surrogates")
+    each = ws.save(mentions.select("row", F.explode_outer(F.array_distinct(F.concat(others, people))).alias("m")).select("row", "m.surface", "m.gender").where("surface is not null").distinct(), "mentions", narrow=True)
+    table = ws.save(surrogates(each.select("surface", "gender").distinct(), secret, ws), "surrogates", narrow=True)
     swaps = each.select("row", "surface").distinct().join(F.broadcast(table) if bounded(table) else table, "surface")
     # full names that are known from a title are replaced without one, too, the longest first
     full = F.array_sort(F.collect_list(F.when((F.col("kind") == "PERSON") & F.contains("surface", F.lit(" ")), F.struct((-F.length("surface")).alias("n"), "surface", "replacement"))))
@@ -289,7 +289,7 @@ def replace_pii(docs: DataFrame, id_col: str, text_col: str, secret: str) -> Dat
     parts, found = F.split(text_col, ANY, -1), F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0))
     untitled = lambda p: F.aggregate("__names", p, lambda t, x: F.regexp_replace(t, _known(x["surface"]), x["replacement"]))
     counted = lambda p: F.size(F.flatten(F.transform("__names", lambda x: F.regexp_extract_all(p, _known(x["surface"]), F.lit(0)))))
-    pieces = F.zip_with(parts, found, lambda p, s: F.struct(untitled(p).alias("part"), F.coalesce(F.try_element_at("__swap", s), s, F.lit("")).alias("made"), (counted(p) + F.when(s.isNull(), 0).otherwise(1)).alias("n")))
+    pieces = F.zip_with(parts, found, lambda p, s: F.struct(untitled(p).alias("part"), F.coalesce(F.try_element_at("__swap", s), s, F.lit("")).alias("made", narrow=True), (counted(p) + F.when(s.isNull(), 0).otherwise(1)).alias("n")))
     whole = met.select(*cols, F.when(F.col("__swap").isNotNull(), pieces).alias("__pieces"))
     woven = F.array_join(F.transform("__pieces", lambda x: F.concat(x["part"], x["made"])), "")
     n = F.aggregate("__pieces", F.lit(0).cast("long"), lambda a, x: a + x["n"])

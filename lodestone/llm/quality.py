@@ -156,13 +156,13 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host
     shape = T.StructType([*rows.schema, T.StructField("__logit", T.DoubleType())])
     seen = rows.select(F.col(text_col).alias("t"), "__host", "__path").mapInArrow(_appender(model, 0, "__logit"), "t string, __host string, __path string, __logit double")
     p = 1 / (1 + F.exp(-F.col("__logit")))
-    paths = ws.save(seen.groupBy("__host", "__path").agg(F.count("*").alias("n"), F.sum(p).alias("good")), "paths")
+    paths = ws.save(seen.groupBy("__host", "__path").agg(F.count("*").alias("n"), F.sum(p).alias("good")), "paths", narrow=True)
     hosts = paths.groupBy("__host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     rate = min(0.999, max(0.001, (total.good or 0.0) / total.n)) if total.n else 0.5
     k_host = _strength(hosts, F.lit(rate))
     hosts = hosts.select("__host", F.col("n").alias("hn"), F.col("good").alias("hg"))
-    joined = ws.save(paths.join(hosts, "__host").withColumn("hm", (k_host * rate + F.col("hg")) / (k_host + F.col("hn"))), "posteriors")
+    joined = ws.save(paths.join(hosts, "__host").withColumn("hm", (k_host * rate + F.col("hg")) / (k_host + F.col("hn"))), "posteriors", narrow=True)
     k_path = _strength(joined, F.col("hm"))
     table = joined.select(F.col("__host").alias("__h"), F.col("__path").alias("__p"), "n", "good", "hn", "hg")
     table = F.broadcast(table) if bounded(table, 128) else table

@@ -23,7 +23,7 @@ null id are scored too; an empty table gives no rows; without labels of both cla
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from lodestone.llm.bpe import GAP, NUMBER, OTHER, QUOTE, SPACE, char_classes
 from lodestone.llm.hashing import span_hashes
 from lodestone.llm.token_counts import slices
-from lodestone.llm.worker import tidy
+from lodestone.llm.worker import tidy, trim
 
 ALPHABET, DECAY, REACH = 48, 0.8, 9
 #: Subsequences that are merged at a time, and the characters from which a word is summed in a dense vector instead.
-MERGED, DENSE = 1 << 20, 1 << 15
+MERGED, DENSE = 1 << 17, 1 << 15
 NONE = 255
 #: Signs that stand for letters inside a word.
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -236,16 +236,18 @@ class Machine:
 
 def fit(texts: list[list[str]], toxic: np.ndarray, landmarks: int, shares: tuple[float, float] = (1.0, 1.0), rounds: int = 4, cost: float = 0.5) -> Machine:
     """A machine from bags of words; deterministic. shares: how many labelled texts each sampled one of class 0, 1 stands for."""
-    vocabulary, index = np.unique(np.array([w for t in texts for w in t] or [""], object).astype(str), return_inverse=True)
-    vocab = vocabulary.tolist()
-    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts]) if len(index) == sum(map(len, texts)) else np.zeros(0, np.int64)
-    index = index[: len(doc)]
+    vocab = sorted({w for t in texts for w in t}) or [""]
+    number = {w: i for i, w in enumerate(vocab)}
+    index = np.fromiter((number[w] for t in texts for w in t), np.int64)
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     y = toxic.astype(bool)
     df1 = np.bincount(index[y[doc]], minlength=len(vocab)).astype(float)
     df0 = np.bincount(index[~y[doc]], minlength=len(vocab)).astype(float)
     odds = np.log((df1 + 0.1) / (y.sum() + 1)) - np.log((df0 + 0.1) / ((~y).sum() + 1))
     codes, first, end = _encode_words(vocab)
-    sound = np.bincount(np.concatenate([w for w, _, _ in _triples(codes, first, end)] or [np.zeros(0, np.int64)]), minlength=len(vocab)) > 0
+    sound = np.zeros(len(vocab), bool)
+    for word, _, _ in subsequences(codes, first, end):
+        sound[word] = True
     odds = np.where(sound, odds * np.log1p(df1), -np.inf)
     # landmarks: the most telling words that are no near copies of each other, then common clean words
     ranked = np.argsort(-odds, kind="stable")[: 16 * landmarks]
@@ -349,13 +351,15 @@ def _scorer(machine: Machine, column: int):
     return tidy(score)
 
 
-def bags(texts: list[str]) -> list[list[str]]:
-    """Distinct trimmed words of each text."""
+def bags(texts: Iterable[str]) -> list[list[str]]:
+    """Distinct trimmed words of each text; equal words are one string."""
     out: list[list[str]] = []
+    known: dict[str, str] = {}
     for t in texts:
         _, owner, first, end, joined = _spans([t])
         _, first, end = _join_single(owner, first, end)
-        out.append(sorted({joined[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)}))
+        words = {joined[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)}
+        out.append(sorted(known.setdefault(w, w) for w in words))
     return out
 
 
@@ -372,14 +376,23 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     # the sample's texts come as their distinct words, so that long texts stay small on the driver
     texts = docs.select(F.col(id_col).alias("__id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("__text"))
     sample = texts.join(F.broadcast(picked), F.col("__id") == F.col("lid")).select("lid", "y", F.array_join(F.array_distinct(F.split("__text", r"\s+")), " ").alias("t"))
-    train = sorted(sample.toLocalIterator(), key=lambda r: (r.lid, r.t))
-    y = np.array([r.y for r in train], int)
+    labelled: list[int] = []
+
+    def read() -> Iterator[str]:
+        for r in sample.orderBy("lid", "t").toLocalIterator():
+            labelled.append(r.y)
+            yield r.t
+
+    train = bags(read())
+    y = np.array(labelled, int)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if not len(y) or y.min() == y.max():
         return d.select("id", F.lit(0.0).alias("score"))
     # classes are sampled apart: each text stands for its class's share of the labels
     every = {r.y: r.n for r in known.groupBy("y").agg(F.countDistinct("lid").alias("n")).collect()}
     shares = tuple(every[k] / max(1, sum(r.y == k for r in rows)) for k in (0, 1))
-    machine = fit(bags([r.t for r in train]), y, landmarks, shares)
+    machine = fit(train, y, landmarks, shares)
+    del train
+    trim()
     id_type = d.schema["id"].dataType.simpleString()
     return d.mapInArrow(_scorer(machine, 1), f"id {id_type}, score double")
