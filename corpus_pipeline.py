@@ -44,14 +44,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     classes = ws.save(jaccard_components(docs, "doc_id", "text", k=5, percent=80).where("`group` IS NOT NULL").select("id", "text_hash", "group"), "classes")
     row = F.struct("id", "text_hash")
     groups = classes.groupBy("group").agg(F.min(row).alias("kept"), F.count("*").alias("n"), F.countDistinct("id", "text_hash").alias("different")).where("n > 1")
-    groups = ws.save(groups, "groups")
+    groups = ws.save(groups, "groups", narrow=True)
     kept = groups.select("kept.id", "kept.text_hash")
     gone = classes.join(groups.select("group"), "group", "left_semi").select("id", "text_hash").distinct().join(kept, ["id", "text_hash"], "left_anti")
-    gone = _small(ws.save(gone, "gone"), 16)
+    gone = _small(ws.save(gone, "gone", narrow=True), 16)
     mine = [F.col("doc_id") == F.col("id"), F.xxhash64("text") == F.col("text_hash")]
     left = docs.join(gone, mine, "left_anti")
     # equal rows of one id: only those that stay and have a twin are brought together
-    twins = _small(ws.save(groups.where("n > different").select("kept.id", "kept.text_hash"), "twins"), 16)
+    twins = _small(ws.save(groups.where("n > different").select("kept.id", "kept.text_hash"), "twins", narrow=True), 16)
     return left.join(twins, mine, "left_anti").unionByName(left.join(twins, mine, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
@@ -60,7 +60,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     key = F.sha2("text", 256)
     leaks = decontaminate(docs.select(key.alias("key"), "text"), bench, "key", "text", "item_id", "text").where("n_hit > 0")
-    gone = Workspace(spark, "leaks").save(leaks.select(F.col("id").alias("__id")).distinct(), "gone")
+    gone = Workspace(spark, "leaks").save(leaks.select(F.col("id").alias("__id")).distinct(), "gone", narrow=True)
     return docs.join(_small(gone, 64), key == F.col("__id"), "left_anti")
 
 
