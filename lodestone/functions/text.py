@@ -179,6 +179,20 @@ def strict_object(text: str) -> dict:
     return value
 
 
+@F.pandas_udf(T.BooleanType())
+def strict_object_column(text: pd.Series) -> pd.Series:
+    """Whether a text is an object that ``strict_object`` takes; null for null."""
+
+    def sound(t: str) -> bool:
+        try:
+            strict_object(t)
+        except ValueError:
+            return False
+        return True
+
+    return pd.Series([None if t is None else sound(t) for t in text], dtype=object)
+
+
 def nfc(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 

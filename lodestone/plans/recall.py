@@ -56,18 +56,19 @@ class Index:
     postings: DataFrame
     lengths: DataFrame
     tokens: DataFrame
+    phrases: Callable[[str], list[list[str]]] = query_phrases
 
     @classmethod
-    def build(cls, memories: DataFrame, tokens: Callable[[Column], Column] = index_tokens_udf) -> Index:
-        """``tokens`` cuts a text into terms: folded and stemmed ones unless another is given."""
+    def build(cls, memories: DataFrame, tokens: Callable[[Column], Column] = index_tokens_udf, phrases: Callable[[str], list[list[str]]] = query_phrases) -> Index:
+        """``tokens`` cuts a text into terms and ``phrases`` a query: folded and stemmed ones unless others are given."""
         t = memories.select("record_digest", tokens(F.col("claim")).alias("c"), tokens(F.coalesce("source_locator", F.lit(""))).alias("l"))
         p, n = lexical.postings(t, "record_digest", [(F.col("c"), lexical.FIELD_WEIGHTS[0]), (F.col("l"), lexical.FIELD_WEIGHTS[1])])
-        return cls(p, n, t)
+        return cls(p, n, t, phrases)
 
 
 def lexical_branch(index: Index, query: str) -> DataFrame | None:
     """record_digest, score; None for a query without terms. A term with underscores matches as a phrase."""
-    phrases = query_phrases(query)
+    phrases = index.phrases(query)
     if not phrases:
         return None
     spark = index.postings.sparkSession

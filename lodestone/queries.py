@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone import store_queries
 from lodestone.functions import scalar
 from lodestone.functions.text import index_tokens_udf
 from lodestone.operators import conflict, context, entity, evaluate, graph, keyed, lexical, personal, temporal, vector, write
@@ -609,8 +610,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | store_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | store_queries.ORACLES
