@@ -12,7 +12,12 @@ placed at a time, and the plan is a list of runs (length, first rank, how many,
 offset) whose number depends on the number of lengths, not of documents. Ranks within a length come
 from per-task counts and a window over tasks, never from one sorted partition.
 
-Defined cases: a null text is an empty one: its separator only; rows that repeat an id are packed
+Without other limits the capacities are ``tokens`` documents and ``tokens`` squared of attention: these
+never turn a piece away that the tokens would take, but their residuals count in the score, so that
+of sequences with room alike the one with more and longer pieces is filled first.
+
+Defined cases: a null text is an empty one: its separator only; ties of score go to the kind that
+came first, so that a plan is the same each time; rows that repeat an id are packed
 each; null ids are packed too; a text longer than a sequence gives its short piece first; a piece
 alone beyond a capacity gets a sequence of its own; an empty table gives no rows.
 """
@@ -145,7 +150,7 @@ def _placer(runs: list[tuple[int, int, int, int, int]], names: list[str]):
     return tidy(put)
 
 
-def best_fit_pack(docs: DataFrame, id_col: str, text_col: str, path: str, separator: int, tokens: int = 1024, documents: int | None = None, attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), by: str = "norm") -> DataFrame:
+def best_fit_pack(docs: DataFrame, id_col: str, text_col: str, path: str, separator: int, tokens: int = 1024, documents: int | None = None, attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.1, 0.1), by: str = "norm") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece and its place."""
     ws = Workspace(docs.sparkSession, "packing")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

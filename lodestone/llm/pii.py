@@ -224,7 +224,7 @@ def drawn_apart(entities: DataFrame, secret: str, ws: Workspace, most_attempts:
     for attempt in range(most_attempts):
         seed = F.sha2(F.concat_ws("\u0001", "secret", "kind", "canon", "gender", F.lit(str(attempt))), 256)
         drawn = open_.withColumn("seed", seed).withColumn("made", surrogate(F.col("kind"), F.col("canon"), F.col("gender"), F.col("seed"), attempt))
-        drawn = ws.save(drawn.select(*key, "secret", "made", F.lower("made", narrow=True).alias("low")), f"drawn{attempt}", narrow=True)
+        drawn = ws.save(drawn.select(*key, "secret", "made", F.lower("made").alias("low")), f"drawn{attempt}", narrow=True)
         # the check: of a shared surrogate one entity keeps it; an entity's own text or an earlier surrogate frees it
         keeper = drawn.groupBy("kind", "low").agg(F.min(F.struct("canon", "gender")).alias("who")).select("kind", "low", "who.canon", "who.gender")
         taken = real if settled is None else real.union(settled.select("kind", "low"))
@@ -233,7 +233,7 @@ def drawn_apart(entities: DataFrame, secret: str, ws: Workspace, most_attempts:
         settled = clear if settled is None else settled.union(clear)
         open_ = ws.save(drawn.join(clear.select(*key), key, "left_anti").select(*key, "secret"), f"open{attempt + 1}", narrow=True)
         if open_.isEmpty():
-            return settled.select(*key, "made", narrow=True)
+            return settled.select(*key, "made")
     raise ValueError("a format that can't grow has no surrogates left")
 
 
@@ -250,13 +250,13 @@ def surrogates(surfaces: DataFrame, secret: str, ws: Workspace) -> DataFrame:
     key = ["kind", "canon", "gender"]
     entities = plain.select(*key).union(parts.where("kind IN ('GIVEN', 'FAMILY')").select(*key)).distinct()
     made = ws.save(drawn_apart(entities, secret, ws), "made", narrow=True)
-    plain = plain.join(made, key).select("surface", render(F.col("kind"), F.col("surface"), F.col("made", narrow=True)).alias("replacement"), "kind")
+    plain = plain.join(made, key).select("surface", render(F.col("kind"), F.col("surface"), F.col("made")).alias("replacement"), "kind")
     letter = F.substring("part", 1, 1)
     seed = F.sha2(F.concat(F.lit(secret), letter), 256)
     other = F.char(65 + F.pmod(F.ascii(letter) - 64 + _draw(seed, 0, 25), F.lit(26)))  # one of the 25 others
     initial = F.concat(F.when(letter.rlike("^[A-Z]$"), other).otherwise(_same_kind(seed, letter)), F.lit("."))
-    part = F.when(F.col("kind") == "INITIAL", initial).when(F.col("kind") == "PARTICLE", F.col("part")).otherwise(render(F.col("kind"), F.col("part"), F.col("made", narrow=True)))
-    names = parts.join(made, key, "left").groupBy("surface").agg(F.array_sort(F.collect_list(F.struct("place", part.alias("text")))).alias("parts", narrow=True))
+    part = F.when(F.col("kind") == "INITIAL", initial).when(F.col("kind") == "PARTICLE", F.col("part")).otherwise(render(F.col("kind"), F.col("part"), F.col("made")))
+    names = parts.join(made, key, "left").groupBy("surface").agg(F.array_sort(F.collect_list(F.struct("place", part.alias("text")))).alias("parts"))
     return plain.union(names.select("surface", F.array_join(F.transform("parts", lambda p: p["text"]), " "), F.lit("PERSON")))
 
 
@@ -289,7 +289,7 @@ def replace_pii(docs: DataFrame, id_col: str, text_col: str, secret: str) -> Dat
     parts, found = F.split(text_col, ANY, -1), F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0))
     untitled = lambda p: F.aggregate("__names", p, lambda t, x: F.regexp_replace(t, _known(x["surface"]), x["replacement"]))
     counted = lambda p: F.size(F.flatten(F.transform("__names", lambda x: F.regexp_extract_all(p, _known(x["surface"]), F.lit(0)))))
-    pieces = F.zip_with(parts, found, lambda p, s: F.struct(untitled(p).alias("part"), F.coalesce(F.try_element_at("__swap", s), s, F.lit("")).alias("made", narrow=True), (counted(p) + F.when(s.isNull(), 0).otherwise(1)).alias("n")))
+    pieces = F.zip_with(parts, found, lambda p, s: F.struct(untitled(p).alias("part"), F.coalesce(F.try_element_at("__swap", s), s, F.lit("")).alias("made"), (counted(p) + F.when(s.isNull(), 0).otherwise(1)).alias("n")))
     whole = met.select(*cols, F.when(F.col("__swap").isNotNull(), pieces).alias("__pieces"))
     woven = F.array_join(F.transform("__pieces", lambda x: F.concat(x["part"], x["made"])), "")
     n = F.aggregate("__pieces", F.lit(0).cast("long"), lambda a, x: a + x["n"])
