@@ -184,3 +184,48 @@ def test_quality_keeps_good_and_shrinks_sparse_sites(spark):
     kept = quality(d, labels.limit(0), "doc_id", "text", F.col("host"), F.col("host")).collect()
     assert all(r.quality_keep and r.quality_score == 0.5 for r in kept)
     assert quality(d.limit(0), labels, "doc_id", "text", F.col("host"), F.col("host")).collect() == []
+
+
+def test_quality_posteriors_match_a_plain_recomputation(spark):
+    """Evidence, shrinkage and posterior odds made again from their definitions, document by document."""
+    import pyarrow as pa
+
+    from lodestone.llm import quality as q
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeiounrstlm") for _ in range(rng.randint(2, 7)))
+    rows = []
+    for i in range(150):
+        good = i % 3 != 0
+        w = [word() for _ in range(rng.randint(5, 40))]
+        rows.append((i, " ".join(w) if good else "|".join(x + "$$" for x in w), f"h{min(i % 11, 4)}", f"h{min(i % 11, 4)}/p{i % 2}", int(good)))
+    rows += [(200, None, "h1", None, 1), (201, "", None, None, 0), (202, "lone words stand here", "only", "only/x", 1), (3, rows[3][1], "h3", "h3/p1", 0)]
+    d = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows[:120]], "doc_id long, quality int")
+    got = sorted(((r.doc_id, r.host or "", r.quality_score, r.quality_keep) for r in q.quality(d, labels, "doc_id", "text", F.col("host"), F.col("path")).collect()))
+    model = q.train(d, labels, "doc_id", "text", "quality", 4000)
+    logit = model.logit(q.features(pa.array([r[1] for r in rows], pa.string())))
+    p = 1 / (1 + np.exp(-logit))
+    host, path = [r[2] for r in rows], [(r[2], r[3]) for r in rows]
+    group = lambda keys: {k: (sum(x == k for x in keys), sum(p[i] for i, x in enumerate(keys) if x == k)) for k in set(keys)}
+    hosts, paths = group(host), group(path)
+    rate = min(0.999, max(0.001, p.mean()))
+
+    def strength(groups, prior):
+        kept = [(n, good, prior(k)) for k, (n, good) in groups.items() if n > 1]
+        spread, n = sum(n * (good / n - m) ** 2 for n, good, m in kept), sum(n for n, _, _ in kept)
+        between = (spread - sum(m * (1 - m) for _, _, m in kept)) / n
+        v = sum(m * (1 - m) for _, _, m in kept) / len(kept)
+        return min(1e4, max(1.0, v / between - 1)) if between > 0 else 1e4
+
+    k_host = strength(hosts, lambda _: rate)
+    k_path = strength(paths, lambda k: (k_host * rate + hosts[k[0]][1]) / (k_host + hosts[k[0]][0]))
+    want = []
+    for i, r in enumerate(rows):
+        hm = (k_host * rate + hosts[host[i]][1] - p[i]) / (k_host + hosts[host[i]][0] - 1)
+        pm = (k_path * hm + paths[path[i]][1] - p[i]) / (k_path + paths[path[i]][0] - 1)
+        pm = min(0.999, max(0.001, pm))
+        score = 1 / (1 + np.exp(-(logit[i] + 0.5 * (np.log(pm / (1 - pm)) - np.log(rate / (1 - rate))))))
+        want.append((r[0], r[2] or "", score, bool(score >= 0.3)))
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9 and a[3] == b[3]
