@@ -69,6 +69,11 @@ def canonical_instant(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d:[0-5]\d\.\d{3}Z$") & F.try_to_timestamp(c).isNotNull(), F.lit(False))
 
 
+def canonical_now(at: Column | None = None) -> Column:
+    """The canonical text of a moment, the present one by default: for stamps of writes, never for reads."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp() if at is None else at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def is_digest(c: Column) -> Column:
     return F.coalesce(c.rlike("^[0-9a-f]{64}$"), F.lit(False))
 

@@ -14,10 +14,35 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators import write
 from lodestone.operators.keyed import difference
+from lodestone.plans.recall import Index
 from lodestone.schemas import EVIDENCE, ConstraintError, assert_constraints, assert_references, empty
+from lodestone.sources import files
 
 VERSION = 3
+#: What a commit derives from the claims, so that no index is older than them.
+INDEX = {"index_postings": "term string, id string, tf double", "index_lengths": "id string, len long", "index_tokens": "record_digest string, c array<string>, l array<string>"}
+
+
+def _with(table: str, column: str, kind: str):
+    """A step that gives a table a column which older snapshots lack."""
+
+    def step(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        df = tables.get(table)
+        return {} if df is None or column in df.columns else {table: df.withColumn(column, F.lit(None).cast(kind))}
+
+    return step
+
+
+def _backfill(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Retirements from before sequences were kept take their replacement's sequence."""
+    df = tables.get("memories")
+    return {} if df is None else {"memories": write.backfilled(df)}
+
+
+#: The steps that lead to each version from the one before.
+MIGRATIONS = {2: [_with("memories", "recorded_at", "string")], 3: [_with("memories", "superseded_seq", "long"), _with("memories", "retracted_seq", "long"), _backfill]}
 #: Tables compared by content in a verification, and the key of each; the rest are counted.
 CONTENT = {"memories": "record_digest", "artifacts": "sha256_hex", "observations": "identity", "measurement_policies": "identity", "evaluation_suites": "identity", "reference_executions": "identity", "entities": "id"}
 
@@ -35,7 +60,10 @@ class EvidenceStore:
         self.snapshot = self._head() if at is None else at
         if read_only and self.snapshot == 0:
             raise FileNotFoundError(f"no store at {root}")
-        self._tables = self._read(f"pointers/{self.snapshot:020d}.json")["tables"] if self.snapshot else {}
+        head = self._read(f"pointers/{self.snapshot:020d}.json") if self.snapshot else {"version": VERSION, "tables": {}}
+        self._tables, self.version = head["tables"], head["version"]
+        if self.version > VERSION:
+            raise ConstraintError(f"the store has version {self.version}, this library reads up to {VERSION}")
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> EvidenceStore:
@@ -63,6 +91,32 @@ class EvidenceStore:
         at = self._tables.get(name)
         return self.spark.read.schema(EVIDENCE[name]).parquet(f"{self.root}/{at}") if at else empty(self.spark, name)
 
+    def index(self) -> Index:
+        """The text index of this snapshot's claims, as the commit that changed them last made it."""
+        p, n, t = (self.spark.read.schema(INDEX[k]).parquet(f"{self.root}/{self._tables[k]}") if k in self._tables else self.spark.createDataFrame([], INDEX[k]) for k in INDEX)
+        return Index(p, n, t)
+
+    def migrate(self, at: str) -> int:
+        """Bring an older store to this version as one new snapshot; the steps' versions and ``at`` are recorded."""
+        if self.version == VERSION:
+            return self.snapshot
+        raw = {name: self.spark.read.parquet(f"{self.root}/{path}") for name, path in self._tables.items() if name in EVIDENCE}
+        changed: dict[str, DataFrame] = {}
+        for version in range(self.version + 1, VERSION + 1):
+            for step in MIGRATIONS[version]:
+                done = step(raw)
+                raw, changed = raw | done, changed | done
+        stamps = self.spark.createDataFrame([(v, at) for v in range(self.version + 1, VERSION + 1)], EVIDENCE["schema_migrations"])
+        return self.commit({**changed, "schema_migrations": self.table("schema_migrations").unionByName(stamps)})
+
+    def digest(self) -> str:
+        """One digest of this snapshot's files, wherever it lies."""
+        found = None
+        for name, path in sorted(self._tables.items()):
+            one = files.walk(self.spark, f"{self.root}/{path}").withColumn("path", F.concat(F.lit(name + "/"), F.col("path")))
+            found = one if found is None else found.unionByName(one)
+        return files.identity(found) if found is not None else files.identity(self.spark.createDataFrame([], "path string, bytes long, sha256 string"))
+
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in EVIDENCE}
 
@@ -82,6 +136,10 @@ class EvidenceStore:
             raise PermissionError("the store is open read-only")
         stage = f"snapshots/{uuid.uuid4().hex}"
         staged = {}
+        if "memories" in changed:
+            for f in EVIDENCE["memories"].split(","):
+                if f.split()[0] not in changed["memories"].columns:
+                    raise ConstraintError(f"memories lack {f.split()[0]}")
         for name, df in changed.items():
             df.select(*(F.col(f.split()[0]).cast(" ".join(f.split()[1:])) for f in _fields(EVIDENCE[name]))).write.mode("errorifexists").parquet(f"{self.root}/{stage}/{name}")
             staged[name] = f"{stage}/{name}"
@@ -93,6 +151,11 @@ class EvidenceStore:
         if dry_run:
             self._fs.delete(self._path(f"{self.root}/{stage}"), True)
             return self.snapshot
+        if "memories" in staged:  # the derived index goes with every commit of claims
+            made = Index.build(self.spark.read.schema(EVIDENCE["memories"]).parquet(f"{self.root}/{staged['memories']}"))
+            for k, df in zip(INDEX, (made.postings, made.lengths, made.tokens), strict=True):
+                df.select(*(F.col(f.split()[0]).cast(" ".join(f.split()[1:])) for f in _fields(INDEX[k]))).write.mode("errorifexists").parquet(f"{self.root}/{stage}/{k}")
+                staged[k] = f"{stage}/{k}"
         tables = self._tables | staged
         pointer = self._path(f"{self.root}/pointers/{self.snapshot + 1:020d}.json")
         if self._fs.exists(pointer):
@@ -104,7 +167,7 @@ class EvidenceStore:
         out.close()
         if not self._fs.rename(part, pointer):
             raise SnapshotConflict(f"snapshot {self.snapshot + 1} exists")
-        self.snapshot, self._tables = self.snapshot + 1, tables
+        self.snapshot, self._tables, self.version = self.snapshot + 1, tables, VERSION
         return self.snapshot
 
     def stats(self) -> DataFrame:
@@ -120,6 +183,29 @@ class EvidenceStore:
         return copy.stats()
 
 
+class MemoryStore:
+    """The same checks and reads over frames that are written nowhere: for one session's work and for tests."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.snapshot, self._tables = spark, 0, {}
+
+    def table(self, name: str) -> DataFrame:
+        return self._tables.get(name, empty(self.spark, name))
+
+    tables = EvidenceStore.tables
+    validate = EvidenceStore.validate
+    stats = EvidenceStore.stats
+
+    def index(self) -> Index:
+        return Index.build(self.table("memories"))
+
+    def commit(self, changed: dict[str, DataFrame], dry_run: bool = False) -> int:
+        self.validate(changed)
+        if not dry_run:
+            self._tables, self.snapshot = self._tables | changed, self.snapshot + 1
+        return self.snapshot
+
+
 def _fields(schema: str) -> list[str]:
     return [f.strip() for f in schema.split(",")]
 
@@ -149,4 +235,4 @@ def verify_replica(source: dict[str, DataFrame], replica: dict[str, DataFrame],
     return out
 
 
-__all__ = ["EvidenceStore", "SnapshotConflict", "ConstraintError", "table_counts", "verify_replica"]
+__all__ = ["EvidenceStore", "MemoryStore", "SnapshotConflict", "ConstraintError", "table_counts", "verify_replica"]
