@@ -21,7 +21,7 @@ def _local_root() -> str:
 def shared_root(spark) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only for a local session, as executors of a cluster don't share it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (root or _local_root()).rstrip("/")
 

@@ -123,8 +123,9 @@ def hybrid_recall(spark, d):
     """RT1, RT5-RT8, FS2, AG10: stemmed index, provenance and conflicts; not expressible in SQL."""
     docs = _read(spark, d, "documents")
     m = docs.select(F.format_string("%012d", "doc_id").alias("record_digest"), F.col("text").alias("claim"), F.col("source").alias("source_locator"), F.lit("1998-01-01T00:00:00Z").alias("occurred_at"), F.when(F.col("doc_id") % 97 == 0, "1998-02-01").alias("superseded_at"), F.lit(None).cast("string").alias("retracted_at"))
-    key = F.format_string("%012d", (F.col("doc_id") * 31 + 7) % 1000)
-    e = docs.select(F.format_string("%012d", "doc_id").alias("src"), key.alias("dst"), F.when(F.col("doc_id") % 5 == 0, "contradicts").otherwise("supports").alias("edge_kind")).where("src <> dst")
+    n = docs.agg(F.count("*").alias("n"))
+    key = F.format_string("%012d", (F.col("doc_id") * 31 + 7) % F.col("n"))
+    e = docs.join(F.broadcast(n)).select(F.format_string("%012d", "doc_id").alias("src"), key.alias("dst"), F.when(F.col("doc_id") % 5 == 0, "contradicts").otherwise("supports").alias("edge_kind")).where("src <> dst")
     text = _read(spark, d, "benchmark").orderBy("item_id").first().text
     return recall(m, e, RecallOptions(text, limit=20, as_of="1998-07-01T00:00:00Z", hops=1), Index.build(m)).hits.select("record_digest", "branches", "hops", "score", "conflicts")
 
@@ -264,9 +265,9 @@ def graph_components(spark, d):
 # ---- conflicts
 
 def _same_text(spark, d):
-    docs = _read(spark, d, "documents").select("doc_id", "source", "text")
-    b = docs.select(F.col("doc_id").alias("dst"), F.col("source").alias("s2"), "text")
-    return docs.join(b, "text").where("doc_id < dst AND source <> s2").select(F.col("doc_id").alias("src"), "dst", F.lit("contradicts").alias("edge_kind"))
+    docs = _read(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("digest"))  # the texts stay where they are
+    b = docs.select(F.col("doc_id").alias("dst"), F.col("source").alias("s2"), "digest")
+    return docs.join(b, "digest").where("doc_id < dst AND source <> s2").select(F.col("doc_id").alias("src"), "dst", F.lit("contradicts").alias("edge_kind"))
 
 
 SAME = "c AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id AND a.source <> b.source)"
