@@ -227,12 +227,20 @@ def _lead(percent: int, later: bool):
     return tidy(lead)
 
 
-def _rest(percent: int, side: int = 512):
-    """Pairs that are still apart and that neither leader's answers settle; ``sure`` marks those that they prove."""
+OPEN = ["token", "fp", "n", "pos", "root", "size1", "shared1", "size2", "shared2"]
+
+
+def _rest(percent: int, rows_only: bool, side: int = 512):
+    """Pairs that are still apart and that neither leader's answers settle; ``sure`` marks those that they prove.
+
+    With ``rows_only`` the rows that have such a pair; else rows bring their sets' bitmaps, and only
+    pairs that these leave possible go out.
+    """
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for starts, cols in whole_lists(batches, ["token", "fp", "n", "pos", "root", "size1", "shared1", "size2", "shared2"]):
-            _, fp, n, pos, root, size1, shared1, size2, shared2 = cols
+        for starts, cols in whole_lists(batches, OPEN if rows_only else [*OPEN, "bits"]):
+            _, fp, n, pos, root, size1, shared1, size2, shared2 = cols[:9]
+            alive = np.zeros(len(fp), bool)
             n, left = n.astype(np.int64), n.astype(np.int64) - pos  # shingles from a row's position on
             ends = np.r_[starts[1:], len(fp)]
             bad = np.maximum.reduceat(root, starts) != np.minimum.reduceat(root, starts)
@@ -255,8 +263,16 @@ def _rest(percent: int, side: int = 512):
                             continue
                         open_, sure = _bounds(n[x], n[y], need, [(size1[x], shared1[x], shared1[y]), (size2[x], shared2[x], shared2[y])])
                         p, q = np.nonzero(pair & open_)
-                        if len(p):
-                            out.append((fp[x0 + p], n[x0 + p], fp[blocks[j] + q], n[blocks[j] + q], sure[p, q]))
+                        if rows_only:
+                            alive[x0 + p] = alive[blocks[j] + q] = True
+                            continue
+                        sure, need = sure[p, q], np.broadcast_to(need, pair.shape)[p, q]
+                        p, q = x0 + p, blocks[j] + q
+                        ok = np.fromiter((y or most_shared(cols[9][i], cols[9][j], n[i], n[j]) >= m for i, j, y, m in zip(p.tolist(), q.tolist(), sure.tolist(), need.tolist(), strict=True)), bool, len(p))
+                        if ok.any():
+                            out.append((fp[p[ok]], n[p[ok]], fp[q[ok]], n[q[ok]], sure[ok]))
+            if rows_only:
+                yield pa.RecordBatch.from_arrays([pa.array(c[alive]) for c in cols], names=OPEN)
             if out:
                 c = [np.concatenate(z) for z in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1].astype(np.int32)), pa.array(c[2]), pa.array(c[3].astype(np.int32)), pa.array(c[4])], names=["leader", "leader_n", "fp", "n", "sure"])
@@ -311,26 +327,34 @@ def _arrays(k: int):
     return tidy(arrays)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, ws: Workspace, name: str) -> DataFrame:
-    """leader, leader_n, fp, n, shared for the pairs: overlaps of the full sets, or -1 - bound where a bound rules a link out."""
-    pairs = ws.save(pairs.select("leader", "leader_n", "fp", "n"), f"{name}-pairs", narrow=True)
-    ids = pairs.select(F.explode(F.array("leader", "fp")).alias("fp")).distinct()
+def _sets(ids: DataFrame, docs: DataFrame, reps: DataFrame, k: int, ws: Workspace, name: str) -> DataFrame:
+    """fp, bits, set of the sets that ``ids`` (column fp) names, read from their first documents."""
     wanted = ws.save(ids.join(reps, "fp").select("rep").distinct(), f"{name}-wanted", narrow=True)
     w = F.broadcast(wanted) if bounded(wanted, 8) else wanted
     sets = docs.join(w, F.col("id") == F.col("rep"), "left_semi").select("text").mapInArrow(_arrays(k), "fp long, bits binary, set array<long>")
-    sets = ws.save(sets, f"{name}-sets")
-    bits = sets.select("fp", "bits")
-    # rows that repeat an id bring their set twice: one answer a pair, below
-    met = pairs.join(bits.hint("merge"), "fp").join(bits.select(F.col("fp").alias("leader"), F.col("bits").alias("theirs")).hint("merge"), "leader")
-    bound = ws.save(met.select("leader", "leader_n", "fp", "n", "bits", "theirs").mapInArrow(_possible(percent), "leader long, leader_n int, fp long, n int, shared long, possible boolean").distinct(), f"{name}-bound", narrow=True)
-    pairs = bound.where("possible").drop("shared", "possible")
+    return ws.save(sets, f"{name}-sets")
+
+
+def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """leader, leader_n, fp, n, shared: the overlap of each pair's full sets."""
     # the sets stay where they are as long as the pairs' ids are few: only the members' sets travel, to their leaders
     few = bounded(pairs, 32)
     heads = pairs.select(F.col("leader").alias("fp")).distinct()
     p, heads = (F.broadcast(pairs), F.broadcast(heads)) if few else (pairs, heads)
     leaders = sets.join(heads, "fp", "left_semi").select(F.col("fp").alias("leader"), F.col("set").alias("theirs"))
     met = sets.select("fp", "set").join(p, "fp").join(leaders.hint("merge"), "leader")
-    shared = met.select("leader", "leader_n", "fp", "n", F.size(F.array_intersect("set", "theirs")).cast("long").alias("shared")).groupBy("leader", "leader_n", "fp", "n").agg(F.max("shared").alias("shared"))
+    # rows that repeat an id bring their set twice: one answer a pair
+    return met.select("leader", "leader_n", "fp", "n", F.size(F.array_intersect("set", "theirs")).cast("long").alias("shared")).groupBy("leader", "leader_n", "fp", "n").agg(F.max("shared").alias("shared"))
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, ws: Workspace, name: str) -> DataFrame:
+    """leader, leader_n, fp, n, shared for the pairs: overlaps of the full sets, or -1 - bound where a bound rules a link out."""
+    pairs = ws.save(pairs.select("leader", "leader_n", "fp", "n"), f"{name}-pairs", narrow=True)
+    sets = _sets(pairs.select(F.col("leader").alias("fp")).union(pairs.select("fp")).distinct(), docs, reps, k, ws, name)
+    bits = sets.select("fp", "bits")
+    met = pairs.join(bits.hint("merge"), "fp").join(bits.select(F.col("fp").alias("leader"), F.col("bits").alias("theirs")).hint("merge"), "leader")
+    bound = ws.save(met.select("leader", "leader_n", "fp", "n", "bits", "theirs").mapInArrow(_possible(percent), "leader long, leader_n int, fp long, n int, shared long, possible boolean").distinct(), f"{name}-bound", narrow=True)
+    shared = _exact(bound.where("possible").drop("shared", "possible"), sets)
     out = ws.save(shared.union(bound.where("not possible").drop("possible")), f"{name}-shared", narrow=True)
     ws.drop(f"{name}-sets")
     return out
@@ -384,22 +408,28 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
     roots = components(links.select(F.col("leader").alias("a"), F.col("fp").alias("b")), Workspace(spark, "links2"))
     ws.release()
 
-    # what is still apart and open after two leaders' answers is verified pair by pair
+    # what is still apart and open after two leaders' answers: the rows, then with bitmaps their possible pairs
     answers = second.select("leader", "fp", F.col("shared").alias("s"))
     known = _with_root(led.where("more").drop("root").join(answers.hint("merge"), ["leader", "fp"], "left"), roots)
     known = known.select("token", "fp", "n", "pos", "root", "size1", "shared1", F.col("leader_n").cast("long").alias("size2"), own.alias("shared2"))
-    more = by_list(known, "n", "fp").mapInArrow(_rest(percent), "leader long, leader_n int, fp long, n int, sure boolean")
-    more = ws.save(more.groupBy("leader", "leader_n", "fp", "n").agg(F.max("sure").alias("sure")), "more", narrow=True)
+    rows_open = ws.save(by_list(known, "n", "fp").mapInArrow(_rest(percent, True), known.schema), "open")
     ws.drop("led2")
-    third = _verify(more.where("not sure").drop("sure"), d, reps, k, percent, ws, "third")
+    sets = _sets(rows_open.select("fp").distinct(), d, reps, k, ws, "third")
+    # texts under one id may share a set: one bitmap a set
+    bits = sets.groupBy("fp").agg(F.first("bits").alias("bits"))
+    more = by_list(rows_open.join(bits.hint("merge"), "fp").select(*OPEN, "bits"), "n", "fp").mapInArrow(_rest(percent, False), "leader long, leader_n int, fp long, n int, sure boolean")
+    more = ws.save(more.groupBy("leader", "leader_n", "fp", "n").agg(F.max("sure").alias("sure")), "more", narrow=True)
+    third = ws.save(_exact(more.where("not sure").drop("sure"), sets), "third-shared", narrow=True)
     links = links.union(third.where(exact).select("leader", "fp")).union(more.where("sure").select("leader", "fp"))
     roots = components(links.select(F.col("leader").alias("a"), F.col("fp").alias("b")), Workspace(spark, "links3"))
+    ws.drop("third-sets")
     ws.release()
 
     # a class is named by its smallest document
     rooted = _with_root(reps, roots)
     classes = rooted.groupBy("root").agg(F.min("rep").alias("least"))
     moved = ws.save(rooted.join(classes.hint("merge"), "root").select("fp", "least", F.col("root").alias("group")), "moved")
+    ws.drop("reps", *(f"{r}-{t}" for r in ("first", "second", "third") for t in ("pairs", "wanted", "bound", "shared")), "proven", "open", "more")
     out = rows.join(moved.withColumnRenamed("fp", "__fp").hint("merge"), F.col("fp") == F.col("__fp"), "left")
     named = F.col("doc_id").isNotNull()
     return out.select(F.col("doc_id").alias("id"), F.col("n").alias("n_shingles"), F.when(named, F.coalesce("least", "doc_id")).alias("component_id"), F.when(named, F.col("group")).alias("group"), "text_hash")

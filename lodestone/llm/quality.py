@@ -10,10 +10,11 @@ of a document are its evidence's odds, moved from the global rate to its path's
 Bounds: the classifier is fitted on ``most_rows`` labelled texts of each class (the smallest
 hashes of their ids); hosts and paths are counted over all documents.
 
-Defined cases: null and empty texts are documents without words; a null host or path is a group of
-its own; without labels of both classes the evidence is even (probability one half) and all are
-kept; repeated rows count each; an empty table gives no rows; the input's columns come back as
-they are, with quality_score and quality_keep (names already taken are replaced).
+Defined cases: null and empty texts are documents without words; texts of any length are read whole;
+ties at the threshold are kept; rows with null or repeated ids are scored each; a null host or path
+is a group of its own; without labels of both classes the evidence is even (probability one half)
+and all are kept; repeated rows count each; an empty table gives no rows; the input's columns come
+back as they are, with quality_score and quality_keep (names already taken are replaced).
 """
 
 from __future__ import annotations

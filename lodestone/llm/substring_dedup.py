@@ -361,6 +361,7 @@ def substring_dedup(docs: DataFrame, id_col: str, text_col: str, length: int = 1
     gone = found.where(F.col("key").isNull()).select("doc", "start", "windows").union(more)
     ranges = gone.repartition(parts, "doc").sortWithinPartitions("doc", "start").mapInArrow(_merge(length), "doc long, a long, b long")
     cuts = ws.save(ranges.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("cuts")), "cuts")
+    ws.drop("found", "wanted")
     ws.release()
     cuts_type = "array<struct<a:bigint,b:bigint>>"
     out = d.join(cuts.hint("merge"), F.col("id") == F.col("doc"), "left").select("id", "text", "cuts")

@@ -21,7 +21,7 @@ def shared_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = _local_root()
     return root.rstrip("/")
@@ -41,6 +41,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        self._marked = False
 
     def save(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
         """Write ``df`` and return the written table.
@@ -52,13 +53,22 @@ class Workspace:
         if narrow:
             df = df.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
         df.write.mode("overwrite").option("compression", "zstd").parquet(at)
+        if not self._marked:  # results may read their tables until the session ends; then they go
+            path = self._path(self.path)
+            self._marked = bool(self._fs(path).deleteOnExit(path))
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    def _path(self, at: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+
+    def _fs(self, path):
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later plan reads."""
+        for name in names:
+            at = self._path(f"{self.path}/{name}")
+            self._fs(at).delete(at, True)
 
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of jobs whose frames are gone."""
