@@ -281,8 +281,8 @@ def _rest(percent: int, rows_only: bool, side: int = 512):
 
 
 def bitmap(g: np.ndarray) -> bytes:
-    """Which of the cells, a power of two and at least four a shingle, hold a shingle of the set."""
-    cells = 1 << max(6, int(4 * len(g) - 1).bit_length())
+    """Which of the cells, a power of two and at least two a shingle, hold a shingle of the set."""
+    cells = 1 << max(6, int(2 * len(g) - 1).bit_length())
     out = np.zeros(cells, bool)
     out[(g & np.uint64(cells - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -317,22 +317,45 @@ def _possible(percent: int):
     return tidy(possible)
 
 
+def _bitmaps(k: int):
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runs(batches, 0):
+            g, at = shingle_sets(b.column(0), k)
+            bits = [bitmap(g[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(set_prints(g, at).view(np.int64)), pa.array(bits, pa.binary())], names=["fp", "bits"])
+
+    return tidy(bitmaps)
+
+
 def _arrays(k: int):
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs(batches, 0):
             g, at = shingle_sets(b.column(0), k)
-            bits = [bitmap(g[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(set_prints(g, at).view(np.int64)), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(g.view(np.int64)))], names=["fp", "bits", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(set_prints(g, at).view(np.int64)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(g.view(np.int64)))], names=["fp", "set"])
 
     return tidy(arrays)
 
 
-def _sets(ids: DataFrame, docs: DataFrame, reps: DataFrame, k: int, ws: Workspace, name: str) -> DataFrame:
-    """fp, bits, set of the sets that ``ids`` (column fp) names, read from their first documents."""
-    wanted = ws.save(ids.join(reps, "fp").select("rep").distinct(), f"{name}-wanted", narrow=True)
-    w = F.broadcast(wanted) if bounded(wanted, 8) else wanted
-    sets = docs.join(w, F.col("id") == F.col("rep"), "left_semi").select("text").mapInArrow(_arrays(k), "fp long, bits binary, set array<long>")
-    return ws.save(sets, f"{name}-sets")
+class Sets:
+    """The corpus's sets by their prints, read again from their first documents: bitmaps of many, whole sets of few."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, k: int, ws: Workspace):
+        self.docs, self.reps, self.k, self.ws = docs, reps, k, ws
+
+    def _texts(self, ids: DataFrame, name: str) -> DataFrame:
+        wanted = self.ws.save(ids.join(self.reps, "fp").select("rep").distinct(), f"{name}-wanted", narrow=True)
+        w = F.broadcast(wanted) if bounded(wanted, 8) else wanted
+        return self.docs.join(w, F.col("id") == F.col("rep"), "left_semi").select("text")
+
+    def bitmaps(self, ids: DataFrame, name: str) -> DataFrame:
+        """fp, bits: one row a set, though texts under one id may share it."""
+        made = self.ws.save(self._texts(ids, f"{name}-bits").mapInArrow(_bitmaps(self.k), "fp long, bits binary"), f"{name}-bits")
+        return made.groupBy("fp").agg(F.first("bits").alias("bits"))
+
+    def whole(self, pairs: DataFrame, name: str) -> DataFrame:
+        """fp, set of both sides of the pairs."""
+        ids = pairs.select(F.col("leader").alias("fp")).union(pairs.select("fp")).distinct()
+        return self.ws.save(self._texts(ids, f"{name}-sets").mapInArrow(_arrays(self.k), "fp long, set array<long>"), f"{name}-sets")
 
 
 def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -347,14 +370,15 @@ def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("leader", "leader_n", "fp", "n", F.size(F.array_intersect("set", "theirs")).cast("long").alias("shared")).groupBy("leader", "leader_n", "fp", "n").agg(F.max("shared").alias("shared"))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, ws: Workspace, name: str) -> DataFrame:
+def _verify(pairs: DataFrame, sets: Sets, percent: int, ws: Workspace, name: str) -> DataFrame:
     """leader, leader_n, fp, n, shared for the pairs: overlaps of the full sets, or -1 - bound where a bound rules a link out."""
     pairs = ws.save(pairs.select("leader", "leader_n", "fp", "n"), f"{name}-pairs", narrow=True)
-    sets = _sets(pairs.select(F.col("leader").alias("fp")).union(pairs.select("fp")).distinct(), docs, reps, k, ws, name)
-    bits = sets.select("fp", "bits")
+    bits = sets.bitmaps(pairs.select(F.col("leader").alias("fp")).union(pairs.select("fp")).distinct(), name)
     met = pairs.join(bits.hint("merge"), "fp").join(bits.select(F.col("fp").alias("leader"), F.col("bits").alias("theirs")).hint("merge"), "leader")
-    bound = ws.save(met.select("leader", "leader_n", "fp", "n", "bits", "theirs").mapInArrow(_possible(percent), "leader long, leader_n int, fp long, n int, shared long, possible boolean").distinct(), f"{name}-bound", narrow=True)
-    shared = _exact(bound.where("possible").drop("shared", "possible"), sets)
+    bound = ws.save(met.select("leader", "leader_n", "fp", "n", "bits", "theirs").mapInArrow(_possible(percent), "leader long, leader_n int, fp long, n int, shared long, possible boolean"), f"{name}-bound", narrow=True)
+    ws.drop(f"{name}-bits")
+    possible = bound.where("possible").drop("shared", "possible")
+    shared = _exact(possible, sets.whole(possible, name))
     out = ws.save(shared.union(bound.where("not possible").drop("possible")), f"{name}-shared", narrow=True)
     ws.drop(f"{name}-sets")
     return out
@@ -386,12 +410,13 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
     exact = F.col("shared") * (100 + percent) >= F.lit(percent) * (F.col("n") + F.col("leader_n"))
     unknown = F.lit(UNKNOWN).cast("long")
 
+    sets = Sets(d, reps, k, ws)
     # first leaders: the set that the most lists hold
     fame = lists.groupBy("fp").agg(F.count("*").alias("fame"))
     known = lists.join(fame.hint("merge"), "fp").select("token", "fp", "n", "pos", "fame", F.col("fp").alias("root"), F.lit(0).cast("long").alias("size1"), unknown.alias("shared1"))
     led = ws.save(by_list(known, F.desc("fame"), "fp").mapInArrow(_lead(percent, False), LED), "led1")
     ws.drop("lists")
-    first = _verify(led.where("pair").select("leader", "leader_n", "fp", "n").distinct(), d, reps, k, percent, ws, "first")
+    first = _verify(led.where("pair").select("leader", "leader_n", "fp", "n").distinct(), sets, percent, ws, "first")
     links = first.where(exact).select("leader", "fp")
     roots = components(links.select(F.col("leader").alias("a"), F.col("fp").alias("b")), Workspace(spark, "links1"))
     ws.release()
@@ -403,7 +428,7 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
     known = known.select("token", "fp", "n", "pos", "fame", "root", F.col("leader_n").cast("long").alias("size1"), own.alias("shared1"))
     led = ws.save(by_list(known, F.desc("fame"), "fp").mapInArrow(_lead(percent, True), LED), "led2")
     ws.drop("led1")
-    second = _verify(led.where("pair and not sure").select("leader", "leader_n", "fp", "n").distinct(), d, reps, k, percent, ws, "second")
+    second = _verify(led.where("pair and not sure").select("leader", "leader_n", "fp", "n").distinct(), sets, percent, ws, "second")
     links = links.union(second.where(exact).select("leader", "fp")).union(ws.save(led.where("sure").select("leader", "fp").distinct(), "proven", narrow=True))
     roots = components(links.select(F.col("leader").alias("a"), F.col("fp").alias("b")), Workspace(spark, "links2"))
     ws.release()
@@ -414,12 +439,12 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
     known = known.select("token", "fp", "n", "pos", "root", "size1", "shared1", F.col("leader_n").cast("long").alias("size2"), own.alias("shared2"))
     rows_open = ws.save(by_list(known, "n", "fp").mapInArrow(_rest(percent, True), known.schema), "open")
     ws.drop("led2")
-    sets = _sets(rows_open.select("fp").distinct(), d, reps, k, ws, "third")
-    # texts under one id may share a set: one bitmap a set
-    bits = sets.groupBy("fp").agg(F.first("bits").alias("bits"))
+    bits = sets.bitmaps(rows_open.select("fp").distinct(), "third")
     more = by_list(rows_open.join(bits.hint("merge"), "fp").select(*OPEN, "bits"), "n", "fp").mapInArrow(_rest(percent, False), "leader long, leader_n int, fp long, n int, sure boolean")
     more = ws.save(more.groupBy("leader", "leader_n", "fp", "n").agg(F.max("sure").alias("sure")), "more", narrow=True)
-    third = ws.save(_exact(more.where("not sure").drop("sure"), sets), "third-shared", narrow=True)
+    ws.drop("third-bits")
+    unproven = more.where("not sure").drop("sure")
+    third = ws.save(_exact(unproven, sets.whole(unproven, "third")), "third-shared", narrow=True)
     links = links.union(third.where(exact).select("leader", "fp")).union(more.where("sure").select("leader", "fp"))
     roots = components(links.select(F.col("leader").alias("a"), F.col("fp").alias("b")), Workspace(spark, "links3"))
     ws.drop("third-sets")
@@ -429,7 +454,7 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, k: int = 5,
     rooted = _with_root(reps, roots)
     classes = rooted.groupBy("root").agg(F.min("rep").alias("least"))
     moved = ws.save(rooted.join(classes.hint("merge"), "root").select("fp", "least", F.col("root").alias("group")), "moved")
-    ws.drop("reps", *(f"{r}-{t}" for r in ("first", "second", "third") for t in ("pairs", "wanted", "bound", "shared")), "proven", "open", "more")
+    ws.drop("reps", *(f"{r}-{t}" for r in ("first", "second", "third") for t in ("pairs", "bits-wanted", "sets-wanted", "bound", "shared")), "proven", "open", "more")
     out = rows.join(moved.withColumnRenamed("fp", "__fp").hint("merge"), F.col("fp") == F.col("__fp"), "left")
     named = F.col("doc_id").isNotNull()
     return out.select(F.col("doc_id").alias("id"), F.col("n").alias("n_shingles"), F.when(named, F.coalesce("least", "doc_id")).alias("component_id"), F.when(named, F.col("group")).alias("group"), "text_hash")
