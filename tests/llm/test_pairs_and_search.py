@@ -2,9 +2,12 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.llm import jaccard
 from lodestone.llm.components import components
 from lodestone.llm.jaccard import jaccard_components
 from lodestone.llm.topk import exact_top_k
@@ -130,3 +133,40 @@ def test_components_of_chains_and_stars(spark):
 def test_components_that_do_not_settle_are_an_error(spark):
     with pytest.raises(ValueError):
         components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"), Workspace(spark, "test"), most_rounds=1)
+
+
+def test_bitmaps_bound_overlaps_from_above():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60, 400):
+        for m in (n, n + n // 4 + 1):
+            for share in (0.0, 0.5, 0.9, 1.0):
+                common = rng.integers(0, 2**63, int(share * n), np.uint64)
+                x, y = (np.unique(np.r_[common, rng.integers(0, 2**63, k - len(common), np.uint64)]) for k in (n, m))
+                bound = jaccard.most_shared(jaccard.bitmap(x), jaccard.bitmap(y), len(x), len(y))
+                assert len(np.intersect1d(x, y)) <= bound <= min(len(x), len(y))
+
+
+def test_lists_are_whole_whatever_their_batches():
+    token = np.sort(np.random.default_rng(4).integers(0, 40, 500))
+    whole = pa.table({"token": token, "place": np.arange(500)})
+    for size in (1, 7, 100, 500):
+        parts = list(jaccard.whole_lists(iter(whole.to_batches(size)), ["token", "place"]))
+        assert np.concatenate([c[1] for _, c in parts]).tolist() == list(range(500))
+        starts = [c[0][s] for at, c in parts for s in at]
+        assert starts == sorted(set(token.tolist()))
+
+
+def test_blocks_of_a_list_skip_no_pair():
+    rng = np.random.default_rng(5)
+    n = np.sort(rng.integers(10, 60, 90)).astype(np.int32)
+    pos = (rng.random(90) * 0.2 * n).astype(np.int32)
+    batch = pa.RecordBatch.from_pydict({"token": np.zeros(90, np.int64), "fp": np.arange(90), "n": n, "pos": pos, "root": rng.integers(0, 60, 90), **{c: np.full(90, 30 if c[:4] == "size" else jaccard.UNKNOWN) for c in ("size1", "shared1", "size2", "shared2")}})
+    root = batch.column("root").to_numpy()
+    left = n.astype(int) - pos
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if root[i] != root[j] and min(left[i], left[j]) >= jaccard.pair_overlap(int(n[i] + 0), int(n[j]), 80)}
+    bits = pa.array([b"\xff" * 16] * 90, pa.binary())  # full bitmaps rule nothing out
+    for side in (2, 7, 512):
+        rows = pa.Table.from_batches(jaccard._rest(80, True, side)(iter([batch])))
+        assert set(rows.column("fp").to_pylist()) == {x for p in want for x in p}
+        pairs = pa.Table.from_batches(jaccard._rest(80, False, side)(iter([pa.RecordBatch.from_arrays([*batch.columns, bits], names=[*batch.schema.names, "bits"])])))
+        assert set(zip(pairs.column("leader").to_pylist(), pairs.column("fp").to_pylist(), strict=True)) == want
