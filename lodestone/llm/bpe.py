@@ -178,7 +178,7 @@ class Counter:
         """Whether tokens x, y can follow each other in an encoding."""
         key = (x, y)
         if (ok := self._fits.get(key)) is None:
-            if len(self._fits) > 200_000:
+            if len(self._fits) > 500_000:
                 self._fits.clear()
             ok = self._fits[key] = self.merge(self.bytes[x] + self.bytes[y]) == [x, y]
         return ok
@@ -201,7 +201,7 @@ class Counter:
             if known is None:
                 known = self._step(states, word, end)
                 if end <= 32:
-                    if len(self._trie) > 200_000:
+                    if len(self._trie) > 400_000:
                         self._trie.clear()
                     self._trie[word[:end]] = known
             states.append(known)
@@ -233,9 +233,11 @@ class Counter:
 class Compiled:
     """Known pre-tokens of one tokenizer: hash -> count and tokens; refilled when it grows past its bound."""
 
-    LIMIT = 300_000
+    #: Pre-tokens held where a library learns new ones quickly, and where the byte transducer is run for each.
+    QUICK, LIMIT = 300_000, 1_000_000
 
     def __init__(self, path: str, quick: bool = False):
+        self.limit = self.QUICK if quick else self.LIMIT
         self.counter = Counter(path)
         library = self.counter.ranked() if quick else None
         self.tokens = library or self.counter.tokens
@@ -283,7 +285,7 @@ def encode(texts: list[str], path: str, quick: bool = False) -> tuple[np.ndarray
     A special token's string inside a text is a pre-token of its own, as the library has it.
     """
     table = compiled(path, quick)
-    if len(table.keys) > table.LIMIT:
+    if len(table.keys) > table.limit:
         table._clear()
     special = table.counter.special
     pieces: list[str] = []
