@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.align import align_corpus
+from lodestone.llm.bpe_codec import bpe_decode, bpe_encode
 from lodestone.llm.decontaminate import decontaminate
+from lodestone.llm.infill import fill_in_middle, restored
 from lodestone.llm.jaccard import jaccard_components
 from lodestone.llm.line_dedup import line_dedup
 from lodestone.llm.packing import best_fit_pack
@@ -134,6 +137,44 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align_corpus(docs, "text", tokenizer_path(), tokenizer_path("piece_bpe_32k.model"), digest=True)
+
+
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe_encode(docs, "text", tokenizer_path()).withColumn("ids_sha256", F.sha2("ids", 256))
+    out = bpe_decode(ids, "ids", tokenizer_path())
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    hashes = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashes)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (
+  SELECT doc_id, text, regexp_extract_all(text, '(?s)[A-Za-z]+|[^A-Za-z]') AS t,
+    ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+), c AS (
+  SELECT *, len(t) AS n, least(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS a, greatest(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u
+), p AS (
+  SELECT doc_id, text, n, form, array_to_string(t[1:a], '') AS prefix, array_to_string(t[a + 1:b], '') AS middle, array_to_string(t[b + 1:], '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict:
     return {
         "op1_exact_topk": op1_exact_topk,
@@ -146,8 +187,11 @@ def queries() -> dict:
         "op8_decontaminate": op8_decontaminate,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_bpe_codec": op12_bpe_codec,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_decontaminate": OP8_SQL, "op13_fill_in_middle": OP13_SQL}
