@@ -94,9 +94,15 @@ def plain_alignment(texts, libraries):
             continue
         spans = lambda raw: list(zip(np.cumsum([0, *map(len, raw)])[:-1].tolist(), np.cumsum([*map(len, raw)]).tolist()))
         sa, sb = spans(raw_a), spans(raw_b)
-        ends = sorted({e for _, e in sa} & {e for _, e in sb})
-        inside = lambda ids, s, lo, hi: ",".join(str(i) for i, (x, y) in zip(ids, s) if lo <= x and y <= hi)
-        groups = ";".join(f"{inside(a, sa, lo, hi)}|{inside(b, sb, lo, hi)}" for lo, hi in zip([0, *ends], ends))
+        both = {e for _, e in sa} & {e for _, e in sb}
+        sides = []
+        for ids, spans_of in ((a, sa), (b, sb)):
+            sides.append([[]])
+            for i, (_, e) in zip(ids, spans_of):
+                sides[-1][-1].append(str(i))
+                if e in both:
+                    sides[-1].append([])
+        groups = ";".join(f"{','.join(x)}|{','.join(y)}" for x, y in zip(*sides) if x)
         links, j = [], 0
         for i, (x, y) in zip(a, sa):
             while j and sb[j - 1][1] > x:
