@@ -1,4 +1,4 @@
-"""Inverted index and BM25 over two weighted fields; a stated set of queries over all documents in blocks."""
+"""Inverted index with positions, phrases and BM25 over weighted fields; a stated set of queries over all documents in blocks."""
 
 from __future__ import annotations
 
@@ -13,21 +13,44 @@ from pyspark.sql import functions as F
 #: BM25's usual constants, the floor of a term's weight and the fields' weights.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 FIELD_WEIGHTS = (1.0, 0.5)
+#: Positions of a field begin at its number times this, so that no phrase runs from one field into the next.
+FIELD_BITS = 28
 #: Query terms that are sent to every executor; more are joined by term.
 SMALL = 50_000
 
 
 def postings(docs: DataFrame, id_col: str, fields: list[tuple[Column, float]]) -> tuple[DataFrame, DataFrame]:
-    """(term, id, tf) with tf weighted by field, and (id, len) over all fields; each field a token array."""
+    """(term, id, tf, at) with tf weighted by field and at the term's positions, and (id, len) over all fields; each field a token array."""
     tokens = docs.select(F.col(id_col).alias("id"), *(t.alias(f"f{i}") for i, (t, _) in enumerate(fields)))
-    each = F.flatten(F.array(*(_weighted(f"f{i}", weight) for i, (_, weight) in enumerate(fields))))
-    rows = tokens.select("id", F.explode(each).alias("t")).groupBy("id", "t.term").agg(F.sum("t.w").alias("tf"))
+    each = F.flatten(F.array(*(_weighted(f"f{i}", weight, i << FIELD_BITS) for i, (_, weight) in enumerate(fields))))
+    rows = tokens.select("id", F.explode(each).alias("t")).groupBy("id", "t.term").agg(F.sum("t.w").alias("tf"), F.sort_array(F.collect_list("t.at")).alias("at"))
     lengths = tokens.select("id", sum((F.size(f"f{i}") for i in range(len(fields))), F.lit(0)).alias("len"))
-    return rows.select("term", "id", "tf"), lengths
+    return rows.select("term", "id", "tf", "at"), lengths
 
 
-def _weighted(column: str, weight: float) -> Column:
-    return F.transform(column, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+def _weighted(column: str, weight: float, first: int) -> Column:
+    return F.transform(column, lambda t, i: F.struct(t.alias("term"), F.lit(weight).alias("w"), (i + first).alias("at")))
+
+
+def phrase_postings(index: DataFrame, phrases: DataFrame, weights: tuple[float, ...] = FIELD_WEIGHTS) -> DataFrame:
+    """term, id, tf, at of ``phrases`` (phrase, terms): where all terms of a phrase stand side by side, as a term of its own.
+
+    Each phrase's rarest term says which documents are met at all; there the terms' positions, each less
+    its place in the phrase, are intersected. Neither texts nor documents without that term are read.
+    """
+    words = phrases.select("phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("place", "term"))
+    few = words.limit(SMALL + 1).count() <= SMALL
+    small = lambda df: F.broadcast(df) if few else df
+    hits = index.join(small(words), "term").select("phrase", "n", "place", "id", "at")
+    df = hits.groupBy("phrase", "place").agg(F.count("*").alias("df"))
+    rarest = df.groupBy("phrase").agg(F.min(F.struct("df", "place")).alias("best")).select("phrase", F.col("best.place").alias("place"))
+    near = hits.join(small(rarest), ["phrase", "place"], "left_semi").select("phrase", "id")
+    met = hits.join(near, ["phrase", "id"], "left_semi").groupBy("phrase", "n", "id").agg(F.sort_array(F.collect_list(F.struct("place", "at"))).alias("p"))
+    begins = lambda p: F.transform(p["at"], lambda x: x - p["place"])
+    at = F.aggregate(F.slice("p", 2, F.greatest(F.col("n") - 1, F.lit(1))), begins(F.col("p")[0]), lambda found, p: F.array_intersect(found, begins(p)))
+    worth = F.aggregate("at", F.lit(0.0), lambda sum_, x: sum_ + F.element_at(F.array(*map(F.lit, weights)), F.shiftright(x, FIELD_BITS) + 1))
+    found = met.where(F.size("p") == F.col("n")).select(F.col("phrase").alias("term"), "id", at.alias("at")).where(F.size("at") > 0)
+    return found.select("term", "id", worth.alias("tf"), F.sort_array("at").alias("at"))
 
 
 def bm25(index: DataFrame, lengths: DataFrame, terms: DataFrame) -> DataFrame:
@@ -48,13 +71,6 @@ def bm25(index: DataFrame, lengths: DataFrame, terms: DataFrame) -> DataFrame:
     return scored.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
-def phrase_hits(docs: DataFrame, id_col: str, tokens: Column, phrase: list[str]) -> DataFrame:
-    """id, n: how often the tokens of ``phrase`` stand side by side."""
-    n = len(phrase)
-    at = F.filter(F.sequence(F.lit(0), F.size("t") - n), lambda i: F.slice("t", i + 1, n) == F.array(*map(F.lit, phrase)))
-    return docs.select(F.col(id_col).alias("id"), tokens.alias("t")).where(F.size("t") >= n).select("id", F.size(at).cast("long").alias("n")).where("n > 0")
-
-
 class Terms:
     """A stated query set: its terms, and how often each query names each of them."""
 

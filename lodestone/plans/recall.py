@@ -51,11 +51,10 @@ class RecallResult:
 
 @dataclass
 class Index:
-    """The derived text index of a memories table: build once, save, reuse."""
+    """The derived text index of a memories table: build once, save, reuse; a store keeps it in parts."""
 
     postings: DataFrame
     lengths: DataFrame
-    tokens: DataFrame
     phrases: Callable[[str], list[list[str]]] = query_phrases
 
     @classmethod
@@ -63,7 +62,7 @@ class Index:
         """``tokens`` cuts a text into terms and ``phrases`` a query: folded and stemmed ones unless others are given."""
         t = memories.select("record_digest", tokens(F.col("claim")).alias("c"), tokens(F.coalesce("source_locator", F.lit(""))).alias("l"))
         p, n = lexical.postings(t, "record_digest", [(F.col("c"), lexical.FIELD_WEIGHTS[0]), (F.col("l"), lexical.FIELD_WEIGHTS[1])])
-        return cls(p, n, t, phrases)
+        return cls(p, n, phrases)
 
 
 def lexical_branch(index: Index, query: str) -> DataFrame | None:
@@ -73,16 +72,10 @@ def lexical_branch(index: Index, query: str) -> DataFrame | None:
         return None
     spark = index.postings.sparkSession
     postings = index.postings
-    terms = []
-    for p in phrases:
-        if len(p) == 1:
-            terms.append(p[0])
-            continue
-        name = "\u0000".join(p)
-        terms.append(name)
-        parts = [lexical.phrase_hits(index.tokens, "record_digest", F.col(c), p).select("id", (F.col("n") * w).alias("w")) for c, w in zip("cl", lexical.FIELD_WEIGHTS, strict=True)]
-        found = parts[0].union(parts[1]).groupBy("id").agg(F.sum("w").alias("tf"))
-        postings = postings.unionByName(found.select(F.lit(name).alias("term"), "id", "tf"))
+    terms = ["\u0000".join(p) for p in phrases]
+    adjacent = [(t, p) for t, p in dict(zip(terms, phrases, strict=True)).items() if len(p) > 1]
+    if adjacent:
+        postings = postings.unionByName(lexical.phrase_postings(postings, spark.createDataFrame(adjacent, "phrase string, terms array<string>")))
     wanted = spark.createDataFrame([(0, t) for t in terms], "query_id int, term string")
     return lexical.bm25(postings, index.lengths, wanted).select(F.col("id").alias("record_digest"), "score")
 

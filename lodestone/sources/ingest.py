@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.seal import sha256_hex
 from lodestone.operators import write
-from lodestone.operators.entity import Dictionary, reindex
-from lodestone.operators.keyed import insert_absent
+from lodestone.operators.entity import Dictionary, index_mentions
+from lodestone.operators.keyed import insert_absent, replace_by_key
 from lodestone.schemas import ConstraintError
-from lodestone.sources.snapshot import EvidenceStore
+from lodestone.sources.snapshot import KEYS, EvidenceStore
 
 #: The sections of a document and their fields; "?" marks those that may be absent.
 SECTIONS = {
@@ -72,9 +72,13 @@ def ingest(store: EvidenceStore, text: str, dry_run: bool = False) -> dict:
     doc, spark = parse(text), store.spark
     at = doc["recorded_at"]
     tables = store.tables()
-    changed: dict[str, DataFrame] = {}
+    fresh: dict[str, DataFrame] = {}  # rows that are new or changed
     inserted = present = 0
 
+    def have(table: str) -> DataFrame:
+        """The table with this document's rows."""
+        return replace_by_key(tables[table], fresh[table], KEYS[table]).select(*tables[table].columns) if table in fresh else tables[table]
+
     def put(table: str, rows: list[dict], schema: str, aliases: list[str], count: bool = False) -> dict[str, str]:
         nonlocal inserted, present
         if not rows:
@@ -83,12 +87,12 @@ def ingest(store: EvidenceStore, text: str, dry_run: bool = False) -> dict:
         df = write.sealed(spark.createDataFrame([tuple(r.values()) for r in rows], schema), table)
         done = write.put(tables[table], df, table).collect()  # one document's rows
         by = {tuple(str(getattr(r, c)) for c in rows[0]): getattr(r, key) for r in done}
-        fresh = [r for r in done if r.outcome == "inserted"]
+        added = [r for r in done if r.outcome == "inserted"]
         if count:
-            inserted, present = inserted + len(fresh), present + len(done) - len(fresh)
+            inserted, present = inserted + len(added), present + len(done) - len(added)
         cols = tables[table].columns
-        new = spark.createDataFrame([tuple(r[c] if c in r else None for c in cols) for r in (x.asDict() for x in fresh)], tables[table].schema)
-        changed[table] = tables[table].unionByName(new)
+        if added:
+            fresh[table] = spark.createDataFrame([tuple(r[c] if c in r else None for c in cols) for r in (x.asDict() for x in added)], tables[table].schema)
         return {a: by[tuple(str(v) for v in r.values())] for a, r in zip(aliases, rows, strict=True)}
 
     def ids(name: str) -> list[str]:
@@ -120,8 +124,8 @@ def ingest(store: EvidenceStore, text: str, dry_run: bool = False) -> dict:
                 left, right = (_alias(observation, d.get(k), "observation") for k in sides[d["transform"]])
                 specs.append((claim[r["id"]], d["transform"], left, right, d["decimals"]))
         specs_df = spark.createDataFrame(specs, "record_digest string, transform string, left string, right string, decimals int")
-        verified = write.verify_derivations(specs_df, changed.get("observations", tables["observations"]), df)
-        refused = write.evidence_gate(df, changed.get("artifacts", tables["artifacts"]), verified).where("refusal IS NOT NULL").select("alias", "refusal").collect()
+        verified = write.verify_derivations(specs_df, have("observations"), df)
+        refused = write.evidence_gate(df, have("artifacts"), verified).where("refusal IS NOT NULL").select("alias", "refusal").collect()
         if refused:
             raise IngestError("; ".join(f"claim {r.alias}: {r.refusal}" for r in refused))
         done = insert_absent(tables["memories"].select("record_digest"), df.select("record_digest", "alias"), ["record_digest"])
@@ -132,30 +136,41 @@ def ingest(store: EvidenceStore, text: str, dry_run: bool = False) -> dict:
         new = write.numbered(tables["memories"], df.join(order, "alias"), ["place"]).withColumn("recorded_at", F.lit(at))
         missing = [f for f in tables["memories"].schema if f.name not in new.columns]
         new = new.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in missing)).select(*tables["memories"].columns)
-        changed["memories"] = tables["memories"].unionByName(new)
+        if "inserted" in outcome.values():
+            fresh["memories"] = new
         bridge = df.select("record_digest", F.explode("observation_identities").alias("observation_identity")).distinct()
-        old = tables["memory_observations"]
-        changed["memory_observations"] = old.unionByName(bridge.join(old, ["record_digest", "observation_identity"], "left_anti"))
+        bridge = bridge.join(tables["memory_observations"], ["record_digest", "observation_identity"], "left_anti")
+        if not bridge.isEmpty():
+            fresh["memory_observations"] = bridge
 
-    edges = tables["provenance_edges"]
+    before = edges = tables["provenance_edges"]
     for r in doc.get("edge", []):
         edges = write.add_edge(edges, _alias(claim, r["from"], "claim"), _alias(claim, r["to"], "claim"), r["kind"], at)
-    memories = changed.get("memories", tables["memories"])
+    memories = have("memories")
+    retired = []
     for r in doc.get("supersede", []):
         memories, edges = write.supersede(memories, edges, _alias(claim, r["retired"], "claim"), _alias(claim, r["replacement"], "claim"), at)
-        changed["memories"] = memories
-    if doc.get("edge") or doc.get("supersede"):
-        changed["provenance_edges"] = edges
+        retired.append(_alias(claim, r["retired"], "claim"))
+    if retired:
+        written = fresh["memories"].select("record_digest") if "memories" in fresh else tables["memories"].limit(0).select("record_digest")
+        fresh["memories"] = memories.join(written.unionByName(spark.createDataFrame([(d,) for d in retired], "record_digest string")).distinct(), "record_digest", "left_semi")
+    edges = edges.join(before.select("src", "dst", "edge_kind"), ["src", "dst", "edge_kind"], "left_anti")
+    if not edges.isEmpty():
+        fresh["provenance_edges"] = edges
     if rows := doc.get("entity", []):
         e = write.sealed(spark.createDataFrame([(r["name"], r["type"], sorted(set(r.get("aliases", [])))) for r in rows], "canonical_name string, entity_type string, aliases array<string>"), "entities")
-        changed["entities"] = tables["entities"].join(e, "id", "left_anti").unionByName(e.select(*tables["entities"].columns))
-    entities = changed.get("entities", tables["entities"])
-    if "entities" in changed or "memories" in changed:
-        dictionary = Dictionary.of(entities)
+        e = e.select(*tables["entities"].columns).join(tables["entities"], "id", "left_anti").select(*tables["entities"].columns)
+        if not e.isEmpty():
+            fresh["entities"] = e
+    if "entities" in fresh or "memories" in fresh:
+        dictionary = Dictionary.of(have("entities"))
         if dictionary.forms:
-            changed["mentions"] = reindex(memories, tables["mentions"].limit(0), dictionary)
-    if changed:
-        store.commit(changed, dry_run)
+            # a new dictionary is another extractor: it reads all claims, and the rows of earlier ones stay beside its own
+            mentions = index_mentions(have("memories") if "entities" in fresh else fresh["memories"], dictionary)
+            if not mentions.isEmpty():
+                fresh["mentions"] = mentions
+    if fresh:
+        store.commit(dry_run=dry_run, rows=fresh)
     return {"inserted": inserted, "already_present": present, "edges": len(doc.get("edge", [])), "entities": len(doc.get("entity", [])), "superseded": len(doc.get("supersede", [])), "dry_run": dry_run, "snapshot": store.snapshot}
 
 

@@ -1,28 +1,40 @@
 """The evidence store on Parquet: immutable snapshots, one pointer, one committer.
 
-A commit writes every changed table into a new snapshot folder, checks it, and then publishes the
-snapshot by creating its pointer file, which fails if another committer was first. Readers pin a
-snapshot's id and never see half of one. Paths go through Hadoop's file system, so any store that
-Spark reads will do.
+A commit writes what changed into a new snapshot folder, checks it, and then publishes the snapshot by
+creating its pointer file, which fails if another committer was first. Readers pin a snapshot's id and
+never see half of one. Paths go through Hadoop's file system, so any store that Spark reads will do.
+
+A table is a list of parts: a commit of ``changed`` replaces it by one base, a commit of ``rows`` and
+``gone`` adds a part of just those rows and keys (see ``operators.parts``), which costs its own size. The
+text index of claims is kept the same way, so that a commit of ten claims writes the postings of ten.
+``compact`` turns parts into a base again.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import write
-from lodestone.operators.keyed import difference
+from lodestone.operators.keyed import difference, replace_by_key
+from lodestone.operators.parts import Part, merged, touched
 from lodestone.plans.recall import Index
 from lodestone.schemas import EVIDENCE, ConstraintError, assert_constraints, assert_references, empty
 from lodestone.sources import files
 
-VERSION = 3
+VERSION = 4
 #: What a commit derives from the claims, so that no index is older than them.
-INDEX = {"index_postings": "term string, id string, tf double", "index_lengths": "id string, len long", "index_tokens": "record_digest string, c array<string>, l array<string>"}
+INDEX = {"index_postings": "term string, id string, tf double, at array<int>", "index_lengths": "id string, len long"}
+#: What tells the rows of a table that can be added to in parts.
+KEYS = {
+    "memories": ["record_digest"], "artifacts": ["sha256_hex"], "measurement_policies": ["identity"], "evaluation_suites": ["identity"], "reference_executions": ["identity"], "observations": ["identity"],
+    "memory_observations": ["record_digest", "observation_identity"], "provenance_edges": ["src", "dst", "edge_kind"], "entities": ["id"], "mentions": ["record_digest", "extractor_identity"],
+    "embedding_profiles": ["identity"], "embeddings": ["profile_identity", "record_digest"], "tags": ["name"], "memory_tags": ["record_digest", "tag"], "sessions": ["id"], **dict.fromkeys(INDEX, ["id"]),
+}
 
 
 def _with(table: str, column: str, kind: str):
@@ -41,8 +53,18 @@ def _backfill(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {} if df is None else {"memories": write.backfilled(df)}
 
 
+def _reindexed(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The index has positions from here on: a commit of all claims makes it anew."""
+    return {name: tables[name] for name in ("memories",) if name in tables}
+
+
 #: The steps that lead to each version from the one before.
-MIGRATIONS = {2: [_with("memories", "recorded_at", "string")], 3: [_with("memories", "superseded_seq", "long"), _with("memories", "retracted_seq", "long"), _backfill]}
+MIGRATIONS = {2: [_with("memories", "recorded_at", "string")], 3: [_with("memories", "superseded_seq", "long"), _with("memories", "retracted_seq", "long"), _backfill], 4: [_reindexed]}
+#: Columns that name rows of other tables: child, column, parent, key.
+REFERENCES = [
+    ("memory_observations", "observation_identity", "observations", "identity"), ("memory_observations", "record_digest", "memories", "record_digest"),
+    ("observations", "policy_identity", "measurement_policies", "identity"), ("mentions", "entity_id", "entities", "id"), ("embeddings", "profile_identity", "embedding_profiles", "identity"),
+]
 #: Tables compared by content in a verification, and the key of each; the rest are counted.
 CONTENT = {"memories": "record_digest", "artifacts": "sha256_hex", "observations": "identity", "measurement_policies": "identity", "evaluation_suites": "identity", "reference_executions": "identity", "entities": "id"}
 
@@ -87,20 +109,41 @@ class EvidenceStore:
         finally:
             stream.close()
 
+    def _list(self, name: str, tables: dict | None = None) -> list[dict]:
+        """The parts of a table; older snapshots name a single folder."""
+        at = (self._tables if tables is None else tables).get(name, [])
+        return [{"rows": at}] if isinstance(at, str) else at
+
+    def _load(self, name: str, schema: str, tables: dict | None = None) -> DataFrame:
+        read = lambda at, df: self.spark.read.schema(df.schema).parquet(f"{self.root}/{at}")
+        shape = self.spark.createDataFrame([], schema)
+        parts = self._list(name, tables)
+        if not parts:
+            return shape
+        if len(parts) == 1:
+            return read(parts[0]["rows"], shape)
+        keys = KEYS[name]
+        return merged([Part(read(p["rows"], shape), read(p["touched"], shape.select(*keys)) if p.get("touched") else None, p.get("keys", 0)) for p in parts], keys)
+
     def table(self, name: str) -> DataFrame:
-        at = self._tables.get(name)
-        return self.spark.read.schema(EVIDENCE[name]).parquet(f"{self.root}/{at}") if at else empty(self.spark, name)
+        return self._load(name, EVIDENCE[name])
 
     def index(self) -> Index:
-        """The text index of this snapshot's claims, as the commit that changed them last made it."""
-        p, n, t = (self.spark.read.schema(INDEX[k]).parquet(f"{self.root}/{self._tables[k]}") if k in self._tables else self.spark.createDataFrame([], INDEX[k]) for k in INDEX)
-        return Index(p, n, t)
+        """The text index of this snapshot's claims, as the commits that changed them made it."""
+        return Index(*(self._load(k, schema) for k, schema in INDEX.items()))
+
+    def parts(self) -> DataFrame:
+        """table, part, keys, bytes of every part, the newest last: what each commit wrote."""
+        size = lambda at: self._fs.getContentSummary(self._path(f"{self.root}/{at}")).getLength()
+        rows = [(name, k, p.get("keys", 0), size(p["rows"]) + (size(p["touched"]) if p.get("touched") else 0)) for name in sorted(self._tables) for k, p in enumerate(self._list(name))]
+        return self.spark.createDataFrame(rows, "table string, part int, keys long, bytes long")
 
     def migrate(self, at: str) -> int:
         """Bring an older store to this version as one new snapshot; the steps' versions and ``at`` are recorded."""
         if self.version == VERSION:
             return self.snapshot
-        raw = {name: self.spark.read.parquet(f"{self.root}/{path}") for name, path in self._tables.items() if name in EVIDENCE}
+        read = lambda name: self.spark.read.parquet(f"{self.root}/{self._list(name)[0]['rows']}") if len(self._list(name)) == 1 else self.table(name)
+        raw = {name: read(name) for name in self._tables if name in EVIDENCE}
         changed: dict[str, DataFrame] = {}
         for version in range(self.version + 1, VERSION + 1):
             for step in MIGRATIONS[version]:
@@ -112,51 +155,105 @@ class EvidenceStore:
     def digest(self) -> str:
         """One digest of this snapshot's files, wherever it lies."""
         found = None
-        for name, path in sorted(self._tables.items()):
-            one = files.walk(self.spark, f"{self.root}/{path}").withColumn("path", F.concat(F.lit(name + "/"), F.col("path")))
-            found = one if found is None else found.unionByName(one)
+        for name in sorted(self._tables):
+            for k, part in enumerate(self._list(name)):
+                for kind in ("rows", "touched"):
+                    if part.get(kind):
+                        one = files.walk(self.spark, f"{self.root}/{part[kind]}").withColumn("path", F.concat(F.lit(f"{name}/{k}/{kind}/"), F.col("path")))
+                        found = one if found is None else found.unionByName(one)
         return files.identity(found) if found is not None else files.identity(self.spark.createDataFrame([], "path string, bytes long, sha256 string"))
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in EVIDENCE}
 
-    def validate(self, tables: dict[str, DataFrame]) -> None:
-        for name, df in tables.items():
+    def validate(self, new: dict[str, DataFrame], after: Callable[[str], DataFrame] | None = None, whole: set[str] | None = None) -> None:
+        """Rules and references of ``new`` rows among the tables as they will be.
+
+        References to a table in ``whole``, which is replaced or loses rows, are checked from all rows.
+        """
+        after = after or (lambda n: new[n] if n in new else self.table(n))
+        for name, df in new.items():
             assert_constraints(df, name)
-        have = lambda n: tables.get(n, self.table(n))
-        assert_references(have("memory_observations"), "observation_identity", have("observations"), "identity", "memory_observations")
-        assert_references(have("memory_observations"), "record_digest", have("memories"), "record_digest", "memory_observations")
-        assert_references(have("observations"), "policy_identity", have("measurement_policies"), "identity", "observations")
-        assert_references(have("mentions"), "entity_id", have("entities"), "id", "mentions")
-        assert_references(have("embeddings"), "profile_identity", have("embedding_profiles"), "identity", "embeddings")
-
-    def commit(self, changed: dict[str, DataFrame], dry_run: bool = False) -> int:
-        """Publish the changed tables as the next snapshot; a failed check leaves the head where it was."""
+        for child, column, parent, key in REFERENCES:
+            if parent in (new if whole is None else whole):
+                assert_references(after(child), column, after(parent), key, child)
+            elif child in new:
+                assert_references(new[child], column, after(parent), key, child)
+
+    def _write(self, df: DataFrame, schema: str, at: str) -> None:
+        df.select(*(F.col(f.split()[0]).cast(" ".join(f.split()[1:])) for f in _fields(schema))).write.mode("errorifexists").parquet(f"{self.root}/{at}")
+
+    def commit(self, changed: dict[str, DataFrame] | None = None, dry_run: bool = False, rows: dict[str, DataFrame] | None = None, gone: dict[str, DataFrame] | None = None) -> int:
+        """Publish the next snapshot; a failed check leaves the head where it was.
+
+        Tables in ``changed`` are replaced as a whole. Others get a part: ``rows`` that are new or take the
+        place of those with their keys, and the keys of rows that are ``gone``.
+        """
         if self.read_only:
             raise PermissionError("the store is open read-only")
+        changed, rows, gone = changed or {}, dict(rows or {}), gone or {}
+        for name in gone:
+            rows.setdefault(name, empty(self.spark, name))
         stage = f"snapshots/{uuid.uuid4().hex}"
-        staged = {}
-        if "memories" in changed:
-            for f in EVIDENCE["memories"].split(","):
-                if f.split()[0] not in changed["memories"].columns:
-                    raise ConstraintError(f"memories lack {f.split()[0]}")
+        for given in (changed, rows):
+            if "memories" in given:
+                for f in EVIDENCE["memories"].split(","):
+                    if f.split()[0] not in given["memories"].columns:
+                        raise ConstraintError(f"memories lack {f.split()[0]}")
+        staged: dict[str, list[dict]] = {}
+
+        def add(name: str, df: DataFrame, schema: str, lost: DataFrame | None) -> None:
+            """A part beside those that the table has; the first one is its base."""
+            at, keys = f"{stage}/{name}", KEYS[name]
+            self._write(df, schema, f"{at}/rows")
+            written = self.spark.read.schema(schema).parquet(f"{self.root}/{at}/rows")
+            if not self._list(name):
+                staged[name] = [{"rows": f"{at}/rows"}]
+                return
+            touched(written, lost, keys).write.parquet(f"{self.root}/{at}/touched")
+            count = self.spark.read.parquet(f"{self.root}/{at}/touched").count()
+            staged[name] = [*self._list(name), {"rows": f"{at}/rows", "touched": f"{at}/touched", "keys": count}]
+
         for name, df in changed.items():
-            df.select(*(F.col(f.split()[0]).cast(" ".join(f.split()[1:])) for f in _fields(EVIDENCE[name]))).write.mode("errorifexists").parquet(f"{self.root}/{stage}/{name}")
-            staged[name] = f"{stage}/{name}"
+            self._write(df, EVIDENCE[name], f"{stage}/{name}")
+            staged[name] = [{"rows": f"{stage}/{name}"}]
+        for name, df in rows.items():
+            if name in changed or name not in KEYS:
+                raise ConstraintError(f"{name} can't be added to in parts here")
+            add(name, df, EVIDENCE[name], gone.get(name))
+        new = {n: self.spark.read.schema(EVIDENCE[n]).parquet(f"{self.root}/{parts[-1]['rows']}") for n, parts in staged.items()}
         try:
-            self.validate({n: self.spark.read.schema(EVIDENCE[n]).parquet(f"{self.root}/{at}") for n, at in staged.items()})
+            self.validate(new, lambda n: self._load(n, EVIDENCE[n], self._tables | staged), {*changed, *gone})
         except Exception:
             self._fs.delete(self._path(f"{self.root}/{stage}"), True)
             raise
         if dry_run:
             self._fs.delete(self._path(f"{self.root}/{stage}"), True)
             return self.snapshot
-        if "memories" in staged:  # the derived index goes with every commit of claims
-            made = Index.build(self.spark.read.schema(EVIDENCE["memories"]).parquet(f"{self.root}/{staged['memories']}"))
-            for k, df in zip(INDEX, (made.postings, made.lengths, made.tokens), strict=True):
-                df.select(*(F.col(f.split()[0]).cast(" ".join(f.split()[1:])) for f in _fields(INDEX[k]))).write.mode("errorifexists").parquet(f"{self.root}/{stage}/{k}")
-                staged[k] = f"{stage}/{k}"
-        tables = self._tables | staged
+        if "memories" in new:  # the derived index goes with every commit of claims
+            made = Index.build(new["memories"])
+            for k, df in zip(INDEX, (made.postings, made.lengths), strict=True):
+                if "memories" in changed:
+                    self._write(df, INDEX[k], f"{stage}/{k}")
+                    staged[k] = [{"rows": f"{stage}/{k}"}]
+                else:
+                    # a claim without a token has no row of its own here, yet takes the place of its earlier ones
+                    lost = new["memories"].select("record_digest")
+                    lost = lost.unionByName(gone["memories"].select("record_digest")) if "memories" in gone else lost
+                    add(k, df, INDEX[k], lost.withColumnRenamed("record_digest", "id"))
+        return self._publish(self._tables | staged)
+
+    def compact(self, *names: str) -> int:
+        """The merged rows of tables with several parts (all of them, if none is named) as their new bases."""
+        if self.read_only:
+            raise PermissionError("the store is open read-only")
+        stage, schemas = f"snapshots/{uuid.uuid4().hex}", EVIDENCE | INDEX
+        many = [n for n in (names or self._tables) if len(self._list(n)) > 1]
+        for name in many:
+            self._write(self._load(name, schemas[name]), schemas[name], f"{stage}/{name}")
+        return self._publish(self._tables | {n: [{"rows": f"{stage}/{n}"}] for n in many}) if many else self.snapshot
+
+    def _publish(self, tables: dict[str, list[dict]]) -> int:
         pointer = self._path(f"{self.root}/pointers/{self.snapshot + 1:020d}.json")
         if self._fs.exists(pointer):
             raise SnapshotConflict(f"snapshot {self.snapshot + 1} exists")
@@ -199,10 +296,16 @@ class MemoryStore:
     def index(self) -> Index:
         return Index.build(self.table("memories"))
 
-    def commit(self, changed: dict[str, DataFrame], dry_run: bool = False) -> int:
-        self.validate(changed)
+    def commit(self, changed: dict[str, DataFrame] | None = None, dry_run: bool = False, rows: dict[str, DataFrame] | None = None, gone: dict[str, DataFrame] | None = None) -> int:
+        changed, rows, gone = changed or {}, dict(rows or {}), gone or {}
+        after = dict(changed)
+        for name in {*rows, *gone}:
+            new = rows.get(name, empty(self.spark, name))
+            left = self.table(name).join(gone[name].select(*KEYS[name]), KEYS[name], "left_anti") if name in gone else self.table(name)
+            after[name] = replace_by_key(left, new, KEYS[name]).select(*self.table(name).columns)
+        self.validate(changed | rows, lambda n: after.get(n, self.table(n)), {*changed, *gone})
         if not dry_run:
-            self._tables, self.snapshot = self._tables | changed, self.snapshot + 1
+            self._tables, self.snapshot = self._tables | after, self.snapshot + 1
         return self.snapshot
 
 

@@ -103,7 +103,7 @@ def test_older_stores_are_migrated(spark, tmp_path):
     assert store.version == 1
     store.migrate("2024-01-01T00:00:00Z")
     again = EvidenceStore.open_read_only(spark, root)
-    assert again.version == VERSION and {r.version for r in again.table("schema_migrations").collect()} == {2, 3}
+    assert again.version == VERSION and {r.version for r in again.table("schema_migrations").collect()} == {2, 3, 4}
     assert {r.record_digest: r.superseded_seq for r in again.table("memories").collect()} == {HEX[1]: 2, HEX[2]: None}
     assert EvidenceStore.open_read_only(spark, root, 1).table("memories").where("superseded_seq is not null").isEmpty()
     assert store.migrate("later") == store.snapshot == 2
