@@ -17,6 +17,8 @@ FIELD_WEIGHTS = (1.0, 0.5)
 FIELD_BITS = 28
 #: Query terms that are sent to every executor; more are joined by term.
 SMALL = 50_000
+#: Terms that a scan is told by name: as many as Spark turns into separate equalities, which row groups and Bloom filters are skipped by.
+NAMED = 10
 
 
 def postings(docs: DataFrame, id_col: str, fields: list[tuple[Column, float]]) -> tuple[DataFrame, DataFrame]:
@@ -32,6 +34,15 @@ def _weighted(column: str, weight: float, first: int) -> Column:
     return F.transform(column, lambda t, i: F.struct(t.alias("term"), F.lit(weight).alias("w"), (i + first).alias("at")))
 
 
+def of_terms(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings of ``terms`` (term): a few are named in the scan, which skips row groups by them; more are joined."""
+    few = [r.term for r in terms.select("term").distinct().limit(NAMED + 1).collect()]
+    if len(few) <= NAMED:
+        return index.where(F.col("term").isin(few))
+    small = terms.limit(SMALL + 1).count() <= SMALL
+    return index.join(F.broadcast(terms.select("term").distinct()) if small else terms.select("term").distinct(), "term", "left_semi")
+
+
 def phrase_postings(index: DataFrame, phrases: DataFrame, weights: tuple[float, ...] = FIELD_WEIGHTS) -> DataFrame:
     """term, id, tf, at of ``phrases`` (phrase, terms): where all terms of a phrase stand side by side, as a term of its own.
 
@@ -41,7 +52,7 @@ def phrase_postings(index: DataFrame, phrases: DataFrame, weights: tuple[float,
     words = phrases.select("phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("place", "term"))
     few = words.limit(SMALL + 1).count() <= SMALL
     small = lambda df: F.broadcast(df) if few else df
-    hits = index.join(small(words), "term").select("phrase", "n", "place", "id", "at")
+    hits = of_terms(index, words).join(small(words), "term").select("phrase", "n", "place", "id", "at")
     df = hits.groupBy("phrase", "place").agg(F.count("*").alias("df"))
     rarest = df.groupBy("phrase").agg(F.min(F.struct("df", "place")).alias("best")).select("phrase", F.col("best.place").alias("place"))
     near = hits.join(small(rarest), ["phrase", "place"], "left_semi").select("phrase", "id")
@@ -61,8 +72,7 @@ def bm25(index: DataFrame, lengths: DataFrame, terms: DataFrame) -> DataFrame:
     stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     wanted = terms.groupBy("query_id", "term").agg(F.count("*").alias("times"))
     few = wanted.limit(SMALL + 1).count() <= SMALL
-    only = wanted.select("term").distinct()
-    hits = index.join(F.broadcast(only) if few else only, "term", "left_semi")
+    hits = of_terms(index, wanted)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = df.join(F.broadcast(stats)).select("term", "avg_len", F.when(idf <= 0, IDF_FLOOR).otherwise(idf).alias("idf")).join(wanted, "term")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,17 @@ class RecallResult:
     degraded: list[str] = field(default_factory=list)
 
 
+class TextForms(NamedTuple):
+    """How texts, and how queries, are cut into terms."""
+
+    tokens: Callable[[Column], Column]
+    phrases: Callable[[str], list[list[str]]]
+
+
+#: Folded and stemmed terms.
+STEMMED = TextForms(index_tokens_udf, query_phrases)
+
+
 @dataclass
 class Index:
     """The derived text index of a memories table: build once, save, reuse; a store keeps it in parts."""

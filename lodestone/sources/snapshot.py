@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import write
 from lodestone.operators.keyed import difference, replace_by_key
 from lodestone.operators.parts import Part, merged, touched
-from lodestone.plans.recall import Index
+from lodestone.plans.recall import STEMMED, Index, TextForms
 from lodestone.schemas import EVIDENCE, ConstraintError, assert_constraints, assert_references, empty
 from lodestone.sources import files
 
@@ -60,6 +60,8 @@ def _reindexed(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 #: The steps that lead to each version from the one before.
 MIGRATIONS = {2: [_with("memories", "recorded_at", "string")], 3: [_with("memories", "superseded_seq", "long"), _with("memories", "retracted_seq", "long"), _backfill], 4: [_reindexed]}
+#: The column by which a table is looked up, by schema.
+CLUSTERED = {EVIDENCE["memories"]: "record_digest", INDEX["index_postings"]: "term"}
 #: Columns that name rows of other tables: child, column, parent, key.
 REFERENCES = [
     ("memory_observations", "observation_identity", "observations", "identity"), ("memory_observations", "record_digest", "memories", "record_digest"),
@@ -74,8 +76,8 @@ class SnapshotConflict(RuntimeError):
 
 
 class EvidenceStore:
-    def __init__(self, spark: SparkSession, root: str, read_only: bool = False, at: int | None = None):
-        self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
+    def __init__(self, spark: SparkSession, root: str, read_only: bool = False, at: int | None = None, text: TextForms = STEMMED):
+        self.spark, self.root, self.read_only, self.text = spark, root.rstrip("/"), read_only, text
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -88,8 +90,9 @@ class EvidenceStore:
             raise ConstraintError(f"the store has version {self.version}, this library reads up to {VERSION}")
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str) -> EvidenceStore:
-        return cls(spark, root)
+    def open(cls, spark: SparkSession, root: str, text: TextForms = STEMMED) -> EvidenceStore:
+        """``text`` says how claims and queries are cut into terms: the same each time a store is opened."""
+        return cls(spark, root, text=text)
 
     @classmethod
     def open_read_only(cls, spark: SparkSession, root: str, at: int | None = None) -> EvidenceStore:
@@ -130,7 +133,7 @@ class EvidenceStore:
 
     def index(self) -> Index:
         """The text index of this snapshot's claims, as the commits that changed them made it."""
-        return Index(*(self._load(k, schema) for k, schema in INDEX.items()))
+        return Index(*(self._load(k, schema) for k, schema in INDEX.items()), self.text.phrases)
 
     def parts(self) -> DataFrame:
         """table, part, keys, bytes of every part, the newest last: what each commit wrote."""
@@ -181,7 +184,12 @@ class EvidenceStore:
                 assert_references(new[child], column, after(parent), key, child)
 
     def _write(self, df: DataFrame, schema: str, at: str) -> None:
-        df.select(*(F.col(f.split()[0]).cast(" ".join(f.split()[1:])) for f in _fields(schema))).write.mode("errorifexists").parquet(f"{self.root}/{at}")
+        """Rows that are looked up by a column lie in its order, with Bloom filters, so that a lookup skips most row groups."""
+        df = df.select(*(F.col(f.split()[0]).cast(" ".join(f.split()[1:])) for f in _fields(schema)))
+        out = df.write
+        if by := CLUSTERED.get(schema):
+            out = df.repartitionByRange(by).sortWithinPartitions(by).write.option(f"parquet.bloom.filter.enabled#{by}", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.block.size", 16 << 20)
+        out.mode("errorifexists").parquet(f"{self.root}/{at}")
 
     def commit(self, changed: dict[str, DataFrame] | None = None, dry_run: bool = False, rows: dict[str, DataFrame] | None = None, gone: dict[str, DataFrame] | None = None) -> int:
         """Publish the next snapshot; a failed check leaves the head where it was.
@@ -231,7 +239,7 @@ class EvidenceStore:
             self._fs.delete(self._path(f"{self.root}/{stage}"), True)
             return self.snapshot
         if "memories" in new:  # the derived index goes with every commit of claims
-            made = Index.build(new["memories"])
+            made = Index.build(new["memories"], *self.text)
             for k, df in zip(INDEX, (made.postings, made.lengths), strict=True):
                 if "memories" in changed:
                     self._write(df, INDEX[k], f"{stage}/{k}")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scalar
 from lodestone.functions.text import nfc_column, strict_object_column
-from lodestone.operators import entity, graph, personal, temporal, vector, write
+from lodestone.operators import entity, graph, lexical, personal, temporal, vector, write
 from lodestone.operators.stored import shared_root
-from lodestone.plans.recall import Index, RecallOptions, recall
+from lodestone.plans.recall import Index, RecallOptions, TextForms, recall
 from lodestone.sources import files
 from lodestone.sources.envelope import key_id, open_envelope, public_key, seal_envelope
 from lodestone.sources.ingest import ingest
@@ -284,6 +284,18 @@ def manifest_totals(spark, d):
     return files.totals(_read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.octet_length("text").cast("long").alias("bytes")))
 
 
+#: Plain lower-case words, which SQL can cut too.
+PLAIN = TextForms(scalar.words_of, lambda q: [[w] for w in q.split()])
+
+
+def _claims(docs: DataFrame) -> DataFrame:
+    """Documents as records of a store, in the order of their ids."""
+    text = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    return docs.select(
+        F.col("doc_id").cast("long").alias("recorded_seq"), F.sha2(F.col("doc_id").cast("string"), 256).alias("record_digest"), F.col("text").alias("claim"), F.lit("external").alias("evidence_class"), *text("source_artifact_sha256", "source_locator", "harness_run_id", "occurred_at", "recorded_at", "superseded_by", "superseded_at"), F.lit(None).cast("long").alias("superseded_seq"), *text("retracted_at", "retraction_reason"), F.lit(None).cast("long").alias("retracted_seq"),
+    )
+
+
 WORDS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
@@ -307,7 +319,56 @@ def recall_counts(spark, d):
     words = scalar.words_of(F.col("text"))
     longest = _read(spark, d, "benchmark").orderBy("item_id").limit(1).select(F.explode(F.array_distinct(words)).alias("w")).orderBy(F.desc(F.length("w")), "w").limit(3).collect()
     text = " ".join(r.w for r in longest)
-    return recall(m, e, RecallOptions(text, limit=20, hops=1), Index.build(m, scalar.words_of, lambda q: [[w] for w in q.split()])).counts
+    return recall(m, e, RecallOptions(text, limit=20, hops=1), Index.build(m, *PLAIN)).counts
+
+
+@query(f"""WITH s AS (SELECT CASE WHEN doc_id % 10 = 3 THEN source || ' ' || lang ELSE text END AS text FROM documents WHERE doc_id % 10 <> 5 AND trim(text) <> ''),
+t AS (SELECT row_number() OVER () AS r, unnest({WORDS.format("text")}) AS term FROM s)
+SELECT term, count(DISTINCT r) AS df, count(*)::DOUBLE AS tf FROM t GROUP BY term""")
+def incremental_index(spark, d):
+    """UF4, WR1, WR6: claims come in two commits, some get another text, some go; each commit writes its own postings, and the merged index is that of the last state."""
+    docs = _read(spark, d, "documents").where(F.trim("text") != "")
+    store = EvidenceStore.open(spark, _folder(spark, "segments"), PLAIN)
+    store.commit(rows={"memories": _claims(docs.where("doc_id % 10 < 7"))})
+    store.commit(rows={"memories": _claims(docs.where("doc_id % 10 >= 7"))})
+    changed = docs.where("doc_id % 10 = 3").withColumn("text", F.concat_ws(" ", "source", "lang"))
+    store.commit(rows={"memories": _claims(changed)}, gone={"memories": _claims(docs.where("doc_id % 10 = 5")).select("record_digest")})
+    return store.index().postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query("""WITH l AS (SELECT max(o_orderkey) AS last FROM orders WHERE o_orderkey % 97 <> 0)
+SELECT sha256(o_orderkey::VARCHAR) AS record_digest, o_orderkey AS recorded_seq, CASE WHEN o_orderkey % 50 = 1 THEN sha256(last::VARCHAR) END AS superseded_by, CASE WHEN o_orderkey % 50 = 1 THEN last END AS superseded_seq, compacted
+FROM orders, l, (SELECT unnest([false, true]) AS compacted) WHERE o_orderkey % 97 <> 0""")
+def delta_commits(spark, d):
+    """WR1, WR6, SC1: a base, a part of new records, a part of retirements and removals; read merged, and once more after a compaction."""
+    m = _memories(spark, d)
+    store = EvidenceStore.open(spark, _folder(spark, "deltas"), PLAIN)
+    store.commit(rows={"memories": m.where("recorded_seq % 10 <> 9")})
+    store.commit(rows={"memories": m.where("recorded_seq % 10 = 9")})
+    last = m.where("recorded_seq % 97 <> 0").agg(F.max("recorded_seq").alias("last"))
+    by = F.sha2(F.col("last").cast("string"), 256)
+    retired = m.where("recorded_seq % 50 = 1 AND recorded_seq % 97 <> 0").join(F.broadcast(last)).withColumn("superseded_by", by).withColumn("superseded_at", F.lit("2024-01-01T00:00:00Z")).withColumn("superseded_seq", F.col("last")).drop("last")
+    store.commit(rows={"memories": retired}, gone={"memories": m.where("recorded_seq % 97 = 0").select("record_digest")})
+    before = store.snapshot
+    store.compact()
+    seen = lambda at, compacted: EvidenceStore.open_read_only(spark, store.root, at).table("memories").select("record_digest", "recorded_seq", "superseded_by", "superseded_seq", F.lit(compacted).alias("compacted"))
+    return seen(before, False).union(seen(store.snapshot, True))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {WORDS.format("text")} AS t FROM documents), b AS (SELECT item_id, {WORDS.format("text")} AS w, 2 + item_id % 3 AS n FROM benchmark),
+q AS (SELECT item_id, n, array_to_string(w[1:n], ' ') AS phrase FROM b WHERE len(w) >= n),
+g AS (SELECT doc_id, n, array_to_string(t[p:p + n - 1], ' ') AS phrase FROM (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS p FROM d, (SELECT unnest([2, 3, 4]) AS n) WHERE len(t) >= n))
+SELECT item_id, doc_id, count(*) AS times FROM q JOIN g USING (n, phrase) GROUP BY ALL""")
+def phrase_search(spark, d):
+    """FS1, X3: the first two to four words of every benchmark item as a phrase, found by positions in stored postings."""
+    docs, items = _read(spark, d, "documents"), _read(spark, d, "benchmark")
+    at = _folder(spark, "positions")
+    lexical.postings(docs, "doc_id", [(scalar.words_of(F.col("text")), 1.0)])[0].write.parquet(at)
+    n = (F.col("item_id") % 3 + 2).cast("int")
+    asked = items.select("item_id", n.alias("n"), scalar.words_of(F.col("text")).alias("w")).where("size(w) >= n").select("item_id", F.slice("w", F.lit(1), F.col("n")).alias("terms"))
+    asked = asked.withColumn("phrase", F.array_join("terms", " "))
+    found = lexical.phrase_postings(spark.read.parquet(at), asked.select("phrase", "terms").distinct())
+    return found.join(asked.select("phrase", "item_id"), F.col("term") == F.col("phrase")).select("item_id", F.col("id").alias("doc_id"), F.size("at").cast("long").alias("times"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey // 2 AS dst FROM customer WHERE c_custkey > 1), k AS (SELECT c_custkey AS seed, c_custkey AS node, 0 AS depth FROM customer WHERE c_custkey % 100 = 7 UNION ALL SELECT seed, dst, depth + 1 FROM k JOIN e ON node = src WHERE depth < 4)
