@@ -7,7 +7,8 @@ and check digit, addresses their shape and top-level domain, tokens their charac
 is found after a title; its given names and its family name are entities of their own, so that
 "Dr. Maria Keller", "Frau Keller" and an untitled "Maria Keller" in the same text stay one person;
 given names keep script and gender, which the titles of the whole corpus or a list of known names
-tell, initials stay initials, particles (von, de) stay.
+tell, initials become other initials, one for one, particles (von, de) stay. As parts keep apart by their
+kind, and names keep their number of parts, two names never become one.
 
 A collision check over all distinct entities finds surrogates that two entities share or that are
 themselves entities of the corpus; those are drawn again under the next attempt, from formats that
@@ -27,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.exprs import by_row_id
+from lodestone.llm.exprs import by_row_id, let
 from lodestone.llm.workspace import Workspace, bounded
 
 #: Courtesy titles and the gender that they tell (m, f; x: either).
@@ -45,12 +46,19 @@ SYLLABLES = {
 }
 #: Endings of invented given names by script and gender.
 ENDINGS = {"Latin": {"m": "us", "f": "ina"}, "Cyrillic": {"m": "ан", "f": "ина"}, "Greek": {"m": "ος", "f": "ίνα"}}
+#: Capitals that initials are drawn from, by script and marks.
+INITIALS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞĆČĐŁŃŚŠŹŻŽ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 #: Particles of family names, which stay.
 PARTICLES = ["von", "van", "der", "den", "dem", "zu", "zum", "de", "del", "della", "des", "du", "di", "da", "dos", "la", "le", "el", "bin", "al"]
 #: A name's part: a capital, then a small letter or mark, then any letters; dotted initials and particles may precede it.
 _NAME = r"(?:\p{Lu}\.[ -]?){0,9}+(?:(?:" + "|".join(PARTICLES) + r") ){0,3}+\p{Lu}[\p{Ll}\p{M}'’-][\p{L}\p{M}'’-]*+"
-#: After a title in capitals: one or two words in capitals.
-_CAPS = r"\p{Lu}[\p{Lu}\p{M}'’-]++(?![\p{L}\p{N}])"
+#: A part in capitals.
+_CAPS = r"(?:\p{Lu}\.[ -]?){0,9}+\p{Lu}[\p{Lu}\p{M}'’-]++(?![\p{L}\p{N}])"
+_PART = f"(?:{_NAME}|{_CAPS})"
+#: A name is as many parts as follow each other; behind a title in capitals, where a whole text may be in
+#: capitals, up to four parts in capitals.
+_WHOLE = f"{_PART}(?: {_PART})*+"
+_SHOUTED = f"(?:{_NAME}(?: {_PART})*+|{_CAPS}(?: {_CAPS}){{0,3}}+)"
 _TITLE = "|".join(TITLES)
 _CAPS_TITLE = "|".join(sorted({t.upper() for t in TITLES}))
 #: Patterns by type, tried in this order at each place. No pattern backtracks over what it has passed.
@@ -62,11 +70,11 @@ PATTERNS = {
     "IP": r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "SSN": r"(?<![\p{L}\p{N}])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}])",
     "TOKEN": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,})(?![\p{L}\p{N}])",
-    "PERSON": r"(?<=(?<![\p{L}])(?:" + _TITLE + r")\.? )" + _NAME + "(?: " + _NAME + "){0,2}|(?<=(?<![\\p{L}])(?:" + _CAPS_TITLE + r")\.? )" + _CAPS + "(?: " + _CAPS + ")?",
+    "PERSON": r"(?<=(?<![\p{L}])(?:" + _TITLE + r")\.? )" + _WHOLE + r"|(?<=(?<![\p{L}])(?:" + _CAPS_TITLE + r")\.? )" + _SHOUTED,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A title and its name, for the gender.
-TITLED = r"(?<![\p{L}])((?:" + _TITLE + r")\.? " + _NAME + "(?: " + _NAME + r"){0,2}|(?:" + _CAPS_TITLE + r")\.? " + _CAPS + "(?: " + _CAPS + ")?)"
+TITLED = r"(?<![\p{L}])((?:" + _TITLE + r")\.? " + _WHOLE + "|(?:" + _CAPS_TITLE + r")\.? " + _SHOUTED + ")"
 #: Texts without these cannot hold an entity; the keys and [a-f]{32} are tokens that need no digit.
 HINT = r"[@\d]|AKIA|gh[pousr]_|sk-|[a-f]{32}|(?<![\p{L}])(?:" + _TITLE + "|" + _CAPS_TITLE + r")\.? \p{L}"
 
@@ -207,12 +215,30 @@ def render(kind: Column, surface: Column, canon: Column) -> Column:
     return F.when(kind.isin("CARD", "PHONE", "SSN"), F.concat(by_digit, longer)).when(kind == "IBAN", by_char).when(shout, F.upper(canon)).otherwise(canon)
 
 
+def _next_letter(letter: Column, secret: str) -> Column:
+    """An initial's surrogate: the next letter of its alphabet in a keyed circular order.
+
+    So no two initials share one and none stays; letters beyond these alphabets stay as they are.
+    """
+    out = letter
+    for alphabet in INITIALS:
+        drawn = F.transform(F.array(*map(F.lit, alphabet)), lambda c: F.struct(F.xxhash64(F.lit(secret), c).alias("at"), c.alias("c")))
+        circle = F.transform(F.array_sort(drawn), lambda x: x["c"])
+        out = F.when(letter.isin(list(alphabet)), F.element_at(circle, F.pmod(F.array_position(circle, letter), F.lit(len(alphabet))).cast("int") + 1)).otherwise(out)
+    return out
+
+
 def name_parts(surface: Column) -> Column:
     """A name's parts (place, part, kind): initials and particles stay what they are, the last other part is the family name."""
     words = F.filter(F.split(F.regexp_replace(surface, r"(\p{Lu}\.)(?=[^ ])", "$1 "), "[ ]+"), lambda w: w != "")
-    kinds = F.transform(words, lambda w: F.when(w.rlike(r"^\p{Lu}\.-?$"), "INITIAL").when(w.isin(PARTICLES), "PARTICLE").otherwise("GIVEN"))
-    last = F.size(kinds) - F.array_position(F.reverse(kinds), "GIVEN").cast("int")
-    return F.zip_with(words, F.transform(kinds, lambda k, i: F.when((i == last) & (k == "GIVEN"), "FAMILY").otherwise(k)), lambda w, k: F.struct(w.alias("part"), k.alias("kind")))
+    kind = lambda w: F.when(w.rlike(r"^\p{Lu}\.-?$"), "INITIAL").when(w.isin(PARTICLES), "PARTICLE").otherwise("GIVEN")
+    parts = F.transform(words, lambda w: F.struct(w.alias("part"), kind(w).alias("kind")))
+
+    def told(p: Column) -> Column:
+        last = F.size(p) - F.array_position(F.reverse(F.transform(p, lambda x: x["kind"])), "GIVEN").cast("int")
+        return let(last, lambda n: F.transform(p, lambda x, i: F.struct(x["part"].alias("part"), F.when((i == n) & (x["kind"] == "GIVEN"), "FAMILY").otherwise(x["kind"]).alias("kind"))))
+
+    return let(parts, told)
 
 
 def drawn_apart(entities: DataFrame, secret: str, ws: Workspace, most_attempts: int = 40) -> DataFrame:
@@ -251,10 +277,7 @@ def surrogates(surfaces: DataFrame, secret: str, ws: Workspace) -> DataFrame:
     entities = plain.select(*key).union(parts.where("kind IN ('GIVEN', 'FAMILY')").select(*key)).distinct()
     made = ws.save(drawn_apart(entities, secret, ws), "made", narrow=True)
     plain = plain.join(made, key).select("surface", render(F.col("kind"), F.col("surface"), F.col("made")).alias("replacement"), "kind")
-    letter = F.substring("part", 1, 1)
-    seed = F.sha2(F.concat(F.lit(secret), letter), 256)
-    other = F.char(65 + F.pmod(F.ascii(letter) - 64 + _draw(seed, 0, 25), F.lit(26)))  # one of the 25 others
-    initial = F.concat(F.when(letter.rlike("^[A-Z]$"), other).otherwise(_same_kind(seed, letter)), F.lit("."))
+    initial = F.concat(_next_letter(F.substring("part", 1, 1), secret), F.lit("."))
     part = F.when(F.col("kind") == "INITIAL", initial).when(F.col("kind") == "PARTICLE", F.col("part")).otherwise(render(F.col("kind"), F.col("part"), F.col("made")))
     names = parts.join(made, key, "left").groupBy("surface").agg(F.array_sort(F.collect_list(F.struct("place", part.alias("text")))).alias("parts"))
     return plain.union(names.select("surface", F.array_join(F.transform("parts", lambda p: p["text"]), " "), F.lit("PERSON")))

@@ -206,6 +206,38 @@ def test_pii_names_with_inner_capitals_and_keys_without_digits(spark):
     assert out[99][1] == 1 and out[99][0].endswith(". Then NASA came")
 
 
+def test_pii_initials_stay_apart(spark):
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rows = [(i, f"Dr. {c}. Smith spoke") for i, c in enumerate(letters)] + [(100 + i, f"Frau {c}. {d}. Smith") for i, (c, d) in enumerate(zip(letters, letters[1:] + "A"))] + [(200 + i, f"Herr {c}. Smith") for i, c in enumerate("ÀÉÜŁАБЯΑΩ")]
+    out = {r.doc_id: r.text for r in replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", "k").collect()}
+    family = re.match(r"Dr\. [A-Z]\. (\w+) spoke", out[0])[1]
+    assert family != "Smith" and len(set(out.values())) == len(rows)
+    turned = {c: out[i][4] for i, c in enumerate(letters)}
+    assert sorted(turned.values()) == list(letters) and all(a != b for a, b in turned.items())
+    assert all(out[100 + i] == f"Frau {turned[c]}. {turned[d]}. {family}" for i, (c, d) in enumerate(zip(letters, letters[1:] + "A")))
+    assert all(out[200 + i] != t and out[200 + i].endswith(f". {family}") for i, t in ((k - 200, t) for k, t in rows if k >= 200))
+
+
+def test_pii_names_of_many_parts_and_in_capitals_leave_nothing(spark):
+    names = {
+        "Dr. Maria Anna Luisa Keller": 4, "Mr SMITH": 1, "MR JOHN PAUL SMITH": 3, "Mr John SMITH": 2, "MR John Smith": 2, "Frau Ana Lena Rosa Ida von der Leyen": 7, "MRS J. SMITH": 2, "Prof. Dvořák-Nováková": 1, "MISS ANNA O'BRIEN": 2,
+        "Mr " + " ".join(f"Name{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)): 40,
+    }
+    rows = [(i, f"Yesterday {n}, who left. Then NASA came") for i, n in enumerate(names)] + [(90, "Mr " + "Aa " * 3_000), (91, "MR SMITH WENT AWAY IN HIS OLD CAR")]
+    out = {r.doc_id: (r.text, r.n_entities) for r in replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", "k").collect()}
+    for i, (n, size) in enumerate(names.items()):
+        title, *parts = n.split(" ")
+        got = re.fullmatch(rf"Yesterday {re.escape(title)} (.*), who left\. Then NASA came", out[i][0])[1].split(" ")
+        assert out[i][1] == 1 and len(got) == len(parts) == size
+        for was, now in zip(parts, got):
+            assert was != now or was in pii.PARTICLES
+            assert was.isupper() == now.isupper() and was.endswith(".") == now.endswith(".")
+    # the same part of a name is the same in every name
+    word = lambda i, k: out[i][0].split(", who")[0].split(" ")[k].lower()
+    assert word(1, 2) == word(2, 4) == word(3, 3) == word(4, 3) == word(6, 3) and word(2, 2) == word(3, 2) == word(4, 2)
+    assert "Aa" not in out[90][0].split(" ") and out[91][0].endswith(" HIS OLD CAR") and "SMITH" not in out[91][0]
+
+
 def test_pii_names_stay_one_person(spark):
     rows = [
         (1, "Dr. Maria Keller came. Frau Keller sat, and Maria Keller spoke. Maria Kellermann left. MRS KELLER, MR ADAM KELLER"),
