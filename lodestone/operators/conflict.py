@@ -1,4 +1,4 @@
-"""Contradictions: pairs among candidates, obligations of an answer, and the gate."""
+"""Contradictions: pairs among candidates, classes of records that all contradict each other, obligations of an answer, and the gate."""
 
 from __future__ import annotations
 
@@ -14,6 +14,27 @@ def contradictions(edges: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("me"), F.col("dst").alias("other")).union(e.select(F.col("dst"), F.col("src"))).distinct()
 
 
+def classes(records: DataFrame, id_col: str, topic: str, side: str) -> DataFrame:
+    """id, class, members, conflicts: records of one ``topic`` contradict each other where their ``side`` differs.
+
+    A class of n records would be up to n * n / 2 pairs; here it is n rows. ``class`` is its smallest id,
+    ``members`` its records and ``conflicts`` the records that contradict this one: the class less its own
+    side. Records without a contradiction, or without a topic, aren't returned; a null side is one of its own.
+    Sides are counted before they meet their class, so that a topic that many records share is no hot key.
+    """
+    sides = records.where(F.col(topic).isNotNull()).groupBy(F.col(topic).alias("topic"), F.col(side).alias("side")).agg(F.count("*").alias("own"), F.min(id_col).alias("first"))
+    whole = sides.groupBy("topic").agg(F.sum("own").alias("members"), F.min("first").alias("class"), F.count("*").alias("sides")).where("sides > 1")
+    met = sides.join(whole.drop("sides"), "topic").select(F.col("topic").alias("__topic"), F.col("side").alias("__side"), "class", "members", (F.col("members") - F.col("own")).alias("conflicts"))
+    mine = records.select(F.col(id_col).alias("id"), F.col(topic).alias("__topic"), F.col(side).alias("side"))
+    return mine.join(met, (mine["__topic"] == met["__topic"]) & mine["side"].eqNullSafe(met["__side"])).select("id", "class", "side", "members", "conflicts")
+
+
+def members(classed: DataFrame, asked: DataFrame) -> DataFrame:
+    """id, other: what contradicts the ``asked`` ids (column id), from their classes; the answer of one question, not of all."""
+    mine = classed.join(asked.select("id").distinct(), "id", "left_semi").select("id", "class", F.col("side").alias("mine"))
+    return mine.join(classed.select("class", "side", F.col("id").alias("other")), "class").where(~F.col("mine").eqNullSafe(F.col("side"))).select("id", "other")
+
+
 def conflicts_of(hits: DataFrame, edges: DataFrame) -> DataFrame:
     """record_digest, conflicts: every record that contradicts a hit."""
     c = contradictions(edges)

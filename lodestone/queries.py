@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestone import store_queries
 from lodestone.functions import scalar
 from lodestone.functions.text import index_tokens_udf
-from lodestone.operators import conflict, context, entity, evaluate, graph, keyed, lexical, personal, temporal, vector, write
+from lodestone.operators import conflict, contain, context, entity, evaluate, graph, keyed, lexical, personal, temporal, vector, write
 from lodestone.plans.recall import Index, RecallOptions, recall
 from lodestone.schemas import dangling, violations
 from lodestone.sources.snapshot import table_counts
@@ -98,9 +98,10 @@ h AS (SELECT rel.lang AS class, rel.item_id, avg(CASE WHEN rank <= 5 THEN 1.0 EL
   FROM rel LEFT JOIN r ON rel.item_id = r.item_id AND rel.doc_id = r.doc_id GROUP BY ALL)
 SELECT class, round(avg(rc)::DOUBLE, 6) AS recall, round(avg(rr)::DOUBLE, 6) AS mrr, count(*) AS queries FROM h GROUP BY class""")
 def eval_mrr_recall_at_k(spark, d):
-    """AG16, RT20: relevant are the documents that hold an item's text, classes are languages."""
+    """AG16: relevant are the documents that hold an item's text, classes are languages."""
     b, docs = _read(spark, d, "benchmark"), _read(spark, d, "documents")
-    rel = docs.join(F.broadcast(b.select("item_id", F.col("text").alias("needle"))), F.contains("text", "needle")).select(F.col("item_id").alias("query_id"), F.col("lang").alias("class"), F.col("doc_id").alias("id"))
+    held = contain.containing(docs, "doc_id", "text", b, "item_id", "text")
+    rel = held.join(docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("class")), "id").select(F.col("needle_id").alias("query_id"), "class", "id")
     out = evaluate.evaluate(_ranked(spark, d).select("query_id", "id", "rank"), rel)
     return out.select("class", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), "queries")
 
@@ -286,6 +287,21 @@ def conflicts_of_hits(spark, d):
     return out.select("record_digest", F.array_join(F.transform("conflicts", lambda x: x.cast("string")), ",").alias("conflicts"))
 
 
+@query(f"""WITH {SAME}, s AS (SELECT a, b FROM c UNION SELECT b, a FROM c), g AS (SELECT text, min(doc_id) AS class, count(*) AS members FROM documents GROUP BY text)
+SELECT a AS doc_id, class, members, count(*) AS conflicts FROM s JOIN documents d ON d.doc_id = s.a JOIN g ON g.text = d.text GROUP BY ALL""")
+def conflict_classes(spark, d):
+    """RT6, JN20: contradictions as classes with counts: one row a record, however many contradict it."""
+    docs = _read(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("digest"))
+    return conflict.classes(docs, "doc_id", "digest", "source").select(F.col("id").alias("doc_id"), "class", "members", "conflicts")
+
+
+@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def texts_containing(spark, d):
+    """AG16: the documents that hold a benchmark item's text, by the rarest word of each item."""
+    out = contain.containing(_read(spark, d, "documents"), "doc_id", "text", _read(spark, d, "benchmark"), "item_id", "text")
+    return out.select(F.col("needle_id").alias("item_id"), F.col("id").alias("doc_id"))
+
+
 @query(f"""WITH {SAME}, s AS (SELECT a, b FROM c UNION SELECT b, a FROM c)
 SELECT s.a AS cited, s.b AS other FROM s JOIN labels l ON l.doc_id = s.a WHERE NOT (least(s.a, s.b) % 2 = 0)""")
 def conflict_obligations(spark, d):

@@ -17,7 +17,7 @@ from lodestone.sources import files
 from lodestone.sources.envelope import key_id, open_envelope, public_key, seal_envelope
 from lodestone.sources.ingest import ingest
 from lodestone.sources.snapshot import EvidenceStore, verify_replica
-from lodestone.streaming.change_log import advance, current, import_bundle
+from lodestone.streaming.change_log import WIRE, advance, current, follow, import_bundle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -278,6 +278,18 @@ def followed_log(spark, d):
     return current(spark, root).select(F.col("content_digest").cast("long").alias("digest"), F.col("created_at").alias("created"), "tombstoned")
 
 
+@query("SELECT user_id AS digest, min(ts)::DATE::VARCHAR AS created, bool_or(event_type = 'error') AS tombstoned FROM events GROUP BY user_id")
+def streamed_log(spark, d):
+    """ST13, ST16, ST17: the change log as a stream of files, one a micro-batch, the first one twice; each batch writes the records it names."""
+    e = _read(spark, d, "events")
+    wire = e.select(F.lit(1).cast("long").alias("epoch"), (F.col("event_id") + 1 - e.agg(F.min("event_id")).first()[0]).alias("sequence"), F.when(F.col("event_type") == "error", "tombstone").otherwise("upsert").alias("operation"), F.col("user_id").cast("string").alias("content_digest"), F.lit("x").alias("content"), F.lit(None).cast("string").alias("occurred_at"), F.lit("{}").alias("metadata"), F.date_format("ts", "yyyy-MM-dd").alias("created_at"), F.lit(False).alias("tombstoned"))
+    root, n = _folder(spark, "stream"), e.count()
+    for lo, hi in ((0, n // 4), (0, n // 4), (n // 4, n // 2), (n // 2, n)):
+        wire.where(F.col("sequence").between(lo + 1, hi)).coalesce(1).write.mode("append").parquet(f"{root}/inbox")
+        follow(spark.readStream.schema(WIRE).option("maxFilesPerTrigger", 1).parquet(f"{root}/inbox"), f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    return current(spark, f"{root}/table").select(F.col("content_digest").cast("long").alias("digest"), F.col("created_at").alias("created"), "tombstoned")
+
+
 @query("SELECT count(*) AS file_count, sum(strlen(text))::BIGINT AS bytes FROM documents")
 def manifest_totals(spark, d):
     """AG20: the totals of a manifest."""

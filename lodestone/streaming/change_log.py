@@ -1,8 +1,11 @@
 """Change logs as streams: exactly-once merging by cursor, batch or Structured Streaming.
 
 Each micro-batch goes through one function that reads the stored cursor, keeps what lies after it,
-refuses gaps and equivocation, merges, and writes the new cursor with the merged tables as the
-batch's commit. A batch that is played again finds its cursor and changes nothing.
+refuses gaps and equivocation, merges the batch's own rows by key, and writes them as a part with the new
+cursor as the batch's commit. A batch that is played again finds its cursor and changes nothing.
+
+Merging is associative (the earliest creation, any tombstone), so a batch neither reads nor writes a record
+that it doesn't name; readers merge the parts, and after ``FOLD`` of them a batch folds them into a base.
 """
 
 from __future__ import annotations
@@ -65,16 +68,29 @@ def import_bundle(state: PersonalState, payload: dict, changes: DataFrame, diver
     return out, ImportOutcome(True, *through)
 
 
-def advance(spark: SparkSession, root: str, batch: DataFrame) -> bool:
-    """Merge one batch of wire rows into the table at ``root``; late and repeated rows fall to the cursor filter."""
-    head = f"{root}/head"
+#: Parts that a reader merges before a batch folds them into one.
+FOLD = 16
+HEAD = "version long, epoch long, sequence long, base long"
+
+
+def _head(spark: SparkSession, root: str) -> tuple[int, int, int, int]:
+    """(version, epoch, sequence, base): versions from base on are parts; heads from before parts name a whole."""
     try:
-        last = spark.read.schema("version long, epoch long, sequence long").parquet(head).orderBy(F.desc("version")).first()
+        last = spark.read.schema(HEAD).parquet(f"{root}/head").orderBy(F.desc("version")).first()
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         last = None
-    version, epoch, sequence = (last.version, last.epoch, last.sequence) if last else (0, 0, 0)
+    return (last.version, last.epoch, last.sequence, last.base or last.version) if last else (0, 0, 0, 1)
+
+
+def _parts(spark: SparkSession, root: str, base: int, version: int) -> DataFrame:
+    return spark.read.parquet(*(f"{root}/records/v{v}" for v in range(base, version + 1)))
+
+
+def advance(spark: SparkSession, root: str, batch: DataFrame) -> bool:
+    """Merge one batch of wire rows into the table at ``root``; late and repeated rows fall to the cursor filter."""
+    version, epoch, sequence, base = _head(spark, root)
     fresh = batch.where(cursor_after(F.col("epoch"), F.col("sequence"), epoch, sequence))
     end = fresh.agg(F.max(F.struct("epoch", "sequence")).alias("end")).first().end
     if end is None:
@@ -83,17 +99,18 @@ def advance(spark: SparkSession, root: str, batch: DataFrame) -> bool:
     if not missing_predecessors(fresh, epoch, sequence).isEmpty():
         raise ConstraintError("the batch has a gap, or two changes in one place")
     rows = fresh.select("content_digest", "content", "occurred_at", "metadata", "created_at", (F.col("tombstoned") | (F.col("operation") == "tombstone")).alias("tombstoned"))
-    if version:
-        rows = spark.read.parquet(f"{root}/records/v{version}").unionByName(rows)
+    if version - base + 1 >= FOLD:
+        rows, base = _parts(spark, root, base, version).unionByName(rows), version + 1
     merged(rows).write.mode("overwrite").parquet(f"{root}/records/v{version + 1}")
     # the head row is the commit: a batch that failed before it is merged again from the old version
-    spark.createDataFrame([(version + 1, end.epoch, end.sequence)], "version long, epoch long, sequence long").coalesce(1).write.mode("append").parquet(head)
+    spark.createDataFrame([(version + 1, end.epoch, end.sequence, base)], HEAD).coalesce(1).write.mode("append").parquet(f"{root}/head")
     return True
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    last = spark.read.parquet(f"{root}/head").orderBy(F.desc("version")).first()
-    return spark.read.parquet(f"{root}/records/v{last.version}")
+    version, _, _, base = _head(spark, root)
+    parts = _parts(spark, root, base, version)
+    return merged(parts) if version > base else parts
 
 
 def follow(changes: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
