@@ -36,6 +36,17 @@ def put(store: DataFrame, new: DataFrame, table: str) -> DataFrame:
     return insert_absent(store, new, [key])
 
 
+def register_spaces(store: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` embedding spaces under their seals, with their outcome: one that is known already stays as it was first registered.
+
+    Lists of digests are sorted before sealing; the backend is noted, but no part of the identity. A space
+    with anything else changed has another seal, so vectors of the two never meet.
+    """
+    lists = [c for c, t in new.dtypes if t == "array<string>"]
+    tidy = new.select(*(F.array_sort(c).alias(c) if c in lists else F.col(c) for c in new.columns))
+    return put(store, sealed(tidy, "embedding_profiles"), "embedding_profiles")
+
+
 def observation_defects() -> Column:
     """Codes of what is wrong with an observation; empty if it is sound."""
     rel = F.col("quantity_kind") == "relative"

@@ -13,6 +13,7 @@ from lodestone.functions.text import nfc_column, strict_object_column
 from lodestone.operators import entity, graph, lexical, personal, temporal, vector, write
 from lodestone.operators.stored import shared_root
 from lodestone.plans.recall import Index, RecallOptions, TextForms, recall
+from lodestone.schemas import EVIDENCE, violations
 from lodestone.sources import files
 from lodestone.sources.envelope import key_id, open_envelope, public_key, seal_envelope
 from lodestone.sources.ingest import ingest
@@ -383,6 +384,76 @@ def phrase_search(spark, d):
     return found.join(asked.select("phrase", "item_id"), F.col("term") == F.col("phrase")).select("item_id", F.col("id").alias("doc_id"), F.size("at").cast("long").alias("times"))
 
 
+@query(f"""WITH d AS (SELECT doc_id, {WORDS.format("text")} AS t FROM documents), q AS (SELECT term FROM (SELECT DISTINCT unnest({WORDS.format("(SELECT text FROM benchmark ORDER BY item_id LIMIT 1)")}) AS term) ORDER BY length(term) DESC, term LIMIT 3),
+w AS (SELECT term, count(*) AS times FROM (SELECT term FROM q UNION ALL SELECT 'token') GROUP BY term), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM w) GROUP BY ALL),
+s AS (SELECT count(*) AS n, avg(len(t)) AS avg_len FROM d), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+i AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END::DOUBLE AS idf, avg_len FROM f, s),
+b AS (SELECT doc_id, sum(times * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / avg_len)))::DOUBLE AS score FROM p JOIN w USING (term) JOIN i USING (term) JOIN d USING (doc_id) GROUP BY doc_id),
+top AS (SELECT doc_id FROM b ORDER BY score DESC, doc_id LIMIT 80), l AS (SELECT doc_id FROM top WHERE doc_id % 9 <> 4),
+v AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
+m AS (SELECT vec_id AS doc_id FROM embeddings, v WHERE vec_id % 9 <> 4 AND vec_id IN (SELECT doc_id FROM documents) ORDER BY list_cosine_similarity(embedding::DOUBLE[], v) DESC, vec_id LIMIT 80),
+n AS (SELECT doc_id FROM documents WHERE doc_id % 9 <> 4 AND list_contains(string_split_regex(lower(text), '[^0-9a-z]+'), 'token') ORDER BY doc_id LIMIT 80),
+seeds AS (SELECT doc_id FROM l UNION SELECT doc_id FROM m UNION SELECT doc_id FROM n),
+e AS (SELECT doc_id AS a, (doc_id * 31 + 7) % (SELECT count(*) FROM documents) AS b FROM documents), u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+r AS (SELECT DISTINCT u.b AS doc_id FROM seeds JOIN u ON u.a = seeds.doc_id WHERE u.b IN (SELECT doc_id FROM documents)),
+k AS (SELECT doc_id FROM r WHERE doc_id % 9 <> 4), h AS (SELECT doc_id FROM top WHERE doc_id % 9 = 4 UNION SELECT doc_id FROM r WHERE doc_id % 9 = 4)
+SELECT (SELECT count(*) FROM l) AS lexical, (SELECT count(*) FROM m) AS semantic, (SELECT count(*) FROM n) AS entity, (SELECT count(*) FROM k) AS provenance,
+(SELECT count(*) FROM (SELECT doc_id FROM seeds UNION SELECT doc_id FROM k)) AS "unique", (SELECT string_agg(printf('%012d', doc_id), ',' ORDER BY doc_id) FROM h) AS withheld, 'semantic: no query vector' AS degraded""")
+def recall_branches(spark, d):
+    """RT1, RT3, RT4, RT7, RT8, AG10, SO3: all four branches at once, with what was withheld; without a query vector the semantic branch says so."""
+    docs, vectors = _read(spark, d, "documents"), _read(spark, d, "embeddings")
+    key = lambda c: F.format_string("%012d", c)
+    m = docs.select(key("doc_id").alias("record_digest"), F.col("text").alias("claim"), F.lit(None).cast("string").alias("source_locator"), F.lit(None).cast("string").alias("occurred_at"), F.when(F.col("doc_id") % 9 == 4, "1998").alias("superseded_at"), F.lit(None).cast("string").alias("retracted_at"))
+    n = docs.agg(F.count("*").alias("n"))
+    e = docs.join(F.broadcast(n)).select(key("doc_id").alias("src"), key((F.col("doc_id") * 31 + 7) % F.col("n")).alias("dst"), F.lit("supports").alias("edge_kind")).where("src <> dst")
+    words = scalar.words_of(F.col("text"))
+    longest = _read(spark, d, "benchmark").orderBy("item_id").limit(1).select(F.explode(F.array_distinct(words)).alias("w")).orderBy(F.desc(F.length("w")), "w").limit(3).collect()
+    text = " ".join([*(r.w for r in longest), "token"])
+    space = vectors.select(F.lit("p").alias("profile_identity"), key("vec_id").alias("record_digest"), F.col("embedding").alias("vector"))
+    asked = vectors.orderBy("vec_id").first().embedding
+    known = entity.Dictionary.of(spark.createDataFrame([("first", "token", "t", [])], "id string, canonical_name string, entity_type string, aliases array<string>"))
+    index = Index.build(m, *PLAIN)
+    run = lambda vector: recall(m, e, RecallOptions(text, limit=20, hops=1, profile="p", query_vector=vector), index, space, entity.index_mentions(m, known), known)
+    full, poor = run(asked), run(None)
+    withheld = full.withheld.agg(F.array_join(F.sort_array(F.collect_list("record_digest")), ",").alias("withheld"))  # at most the fetch and its neighbours
+    return full.counts.join(F.broadcast(withheld)).withColumn("degraded", F.lit(", ".join(poor.degraded)))
+
+
+@query("""SELECT count(*) FILTER (o_orderkey % 7 = 0) > 0 AS untimed, 'Unresolvable' AS outcome, NULL::BIGINT AS sequence, min(o_orderkey) FILTER (o_orderkey % 7 = 0) AS first_untimed FROM orders
+UNION ALL SELECT false, 'Resolved', max(o_orderkey) FILTER (strftime(o_orderdate, '%Y-%m-%d') <= '1996-06-30'), NULL FROM orders""")
+def untimed_instants(spark, d):
+    """AG6: an instant before all timed records, where some have no time: which one is the first; and one that resolves."""
+    m = _memories(spark, d)
+    some = m.withColumn("recorded_at", F.when(F.col("recorded_seq") % 7 != 0, F.col("recorded_at")))
+    out = lambda rows, at, flag: temporal.seq_at(rows, at).select(F.lit(flag).alias("untimed"), "outcome", "sequence", "first_untimed")
+    return out(some, "1900-01-01", True).union(out(m, "1996-06-30", False))
+
+
+@query("""SELECT sha256(o_orderkey::VARCHAR) AS record_digest, CASE WHEN o_orderkey % 26 = 0 THEN 'superseded-paired,retired-after-written' ELSE 'retired-after-written' END AS broken FROM orders WHERE o_orderkey % 13 = 0""")
+def early_retirements(spark, d):
+    """PF16, FS8: retirements before the writing are refused by name, also where half of a retirement is missing."""
+    m = _memories(spark, d).withColumn("superseded_seq", F.when(F.col("recorded_seq") % 13 == 0, F.col("recorded_seq") - 1))
+    m = m.withColumn("superseded_at", F.when(F.col("recorded_seq") % 26 == 0, "2024-01-01T00:00:00Z"))
+    return violations(m, "memories").select("record_digest", F.array_join("broken", ",").alias("broken"))
+
+
+@query("""WITH l AS (SELECT DISTINCT label FROM embeddings) SELECT label, step, CASE step WHEN 2 THEN 'already-present' ELSE 'inserted' END AS outcome FROM l, (SELECT unnest([1, 2, 3]) AS step)""")
+def registered_spaces(spark, d):
+    """WR8: a space for each label; the same one with its lists in another order and another backend is known, one with other dimensions is new."""
+    labels = _read(spark, d, "embeddings").select(F.col("label").cast("string").alias("model_family")).distinct()
+
+    def spaces(weights: list[str], dimensions: int, backend: str) -> DataFrame:
+        return labels.select("model_family", F.lit("r1").alias("model_revision"), F.array(*map(F.lit, weights)).alias("weight_sha256"), F.array(F.lit("t")).alias("tokenizer_sha256"), F.lit(dimensions).alias("dimensions"), F.lit("mean").alias("pooling"), F.lit("l2").alias("normalization"), F.lit("search").alias("task_instruction"), F.lit(backend).alias("backend"))
+
+    store, out = spark.createDataFrame([], EVIDENCE["embedding_profiles"]), None
+    for step, given in enumerate((spaces(["a", "b"], 64, "one"), spaces(["b", "a"], 64, "two"), spaces(["a", "b"], 65, "one")), 1):
+        done = write.register_spaces(store, given)
+        store = store.unionByName(done.where("outcome = 'inserted'").drop("outcome"))
+        one = done.select(F.col("model_family").cast("int").alias("label"), F.lit(step).alias("step"), "outcome")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("""WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey // 2 AS dst FROM customer WHERE c_custkey > 1), k AS (SELECT c_custkey AS seed, c_custkey AS node, 0 AS depth FROM customer WHERE c_custkey % 100 = 7 UNION ALL SELECT seed, dst, depth + 1 FROM k JOIN e ON node = src WHERE depth < 4)
 SELECT seed, node, depth FROM k""")
 def ancestry(spark, d):
