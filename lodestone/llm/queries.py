@@ -51,8 +51,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their source as the host; lines on over a tenth of a source's documents go."""
-    out = line_dedup(_table(spark, sf_dir, "documents"), F.col("source"), "text", ratio=0.1, min_pages=3)
+    """Documents with their source as the host; lines on over 3 percent of a source's documents go."""
+    out = line_dedup(_table(spark, sf_dir, "documents"), F.col("source"), "text")
     return out.select("doc_id", "source", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -63,7 +63,7 @@ WITH l AS (
 ), t AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 b AS (
   SELECT l.source, line FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source WHERE trim(line) <> ''
-  GROUP BY l.source, line, pages HAVING count(DISTINCT doc_id) > pages * 0.1::DOUBLE AND count(DISTINCT doc_id) >= 3
+  GROUP BY l.source, line, pages HAVING count(DISTINCT doc_id) > pages * 0.03::DOUBLE AND count(DISTINCT doc_id) >= 3
 ), m AS (
   SELECT l.*, b.line IS NOT NULL AS gone FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND l.line = b.line
 ), g AS (

@@ -149,6 +149,16 @@ def test_line_dedup(spark):
     assert line_dedup(d.limit(0), F.col("source"), "text").collect() == []
 
 
+def test_line_dedup_around_the_bar(spark):
+    """Of 200 pages a line on 6 stays (3 percent), one on 7 goes; a very long text is read to its end."""
+    lines = lambda i: [f"own {i}", *(["on six"] if i < 6 else []), *(["on seven"] if i < 7 else [])]
+    rows = [(i, "h", "\n".join(lines(i))) for i in range(199)] + [(199, "h", "x" * 2_000_000 + "\non six and more\n" + "y\n" * 100_000 + "on seven")]
+    rows = [(i, s, t if i != 6 else f"own {i}") for i, s, t in rows]
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, source string, text string"), F.col("source"), "text").collect()}
+    assert got[0] == "own 0\non six" and got[5] == "own 5\non six" and got[6] == "own 6" and got[8] == "own 8"
+    assert got[199].endswith("y\ny") and got[199].startswith("xxx") and len(got[199]) == 2_000_000 + 1 + 15 + 2 * 100_000
+
+
 def test_pii_surrogates(spark):
     rows = [
         (1, "Mr. John Smith met Mrs Anna Lee and Dr. John Smith; (212) 555-1234 or 212-555-1234. IBAN DE89 3704 0044 0532 0130 00, SSN 123-45-6789"),
