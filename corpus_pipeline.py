@@ -33,8 +33,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on over a tenth of a source's documents go; a document stays, if with an empty text."""
-    out = line_dedup(docs, F.col("source"), "text", ratio=0.1, min_pages=3)
+    """Lines on over 3 percent of a source's documents go; a document stays, if with an empty text."""
+    out = line_dedup(docs, F.col("source"), "text")
     return out.select(*(F.length("text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes))
 
 
