@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,40 @@ from lodestone.functions.seal import seal
 from lodestone.operators.keyed import replace_by_key
 
 ALGORITHM = "longest-match-word-bounded.v1"
+#: Dictionaries with more forms than this go through an automaton, whose time doesn't grow with their number.
+FEW = 64
+#: Other than ASCII letters and digits.
+_OUTSIDE = np.array([not chr(b).isalnum() or b > 127 for b in range(256)])
+
+
+def _starts_and_ends(raw: bytes, forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of every place of every form in ``raw``, by one pass of an Aho-Corasick automaton."""
+    automaton = _automaton(tuple(forms))
+    found = np.fromiter((x for end, size in automaton.iter(raw.decode("latin-1")) for x in (end + 1, size)), np.int64).reshape(-1, 2)
+    return found[:, 0] - found[:, 1], found[:, 0]
+
+
+@lru_cache(maxsize=2)
+def _automaton(forms: tuple[bytes, ...]):
+    """Built once a worker; bytes go in as the characters of their numbers, so that places are in bytes."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for f in forms:
+        automaton.add_word(f.decode("latin-1"), len(f))
+    automaton.make_automaton()
+    return automaton
+
+
+def leftmost_longest(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which spans stay: from the left, at each free place the longest."""
+    order = np.lexsort((-end, start))
+    kept, free = [], 0
+    for k, a, b in zip(order.tolist(), start[order].tolist(), end[order].tolist(), strict=True):
+        if a >= free:
+            kept.append(k)
+            free = b
+    return np.array(kept, np.int64)
 
 
 class Dictionary:
@@ -28,7 +63,7 @@ class Dictionary:
         for form, eid in self.forms:
             self.entity.setdefault(form.encode(), eid)
         # the longest form comes first, so that it is the one taken at a place
-        self._pattern = "|".join(re.escape(form) for form, _ in dict.fromkeys((f, 0) for f, _ in self.forms)).encode()
+        self._pattern = "|".join(re.escape(form) for form, _ in dict.fromkeys((f, 0) for f, _ in self.forms)).encode() if len(self.entity) <= FEW else ""
 
     @classmethod
     def of(cls, entities: DataFrame) -> Dictionary:
@@ -37,7 +72,15 @@ class Dictionary:
 
     def spans(self, raw: bytes) -> Iterator[tuple[str, int, int]]:
         """Non-overlapping spans in lower-cased bytes, bounded by other than ASCII letters and digits."""
-        if self.entity:
+        if len(self.entity) > FEW:
+            start, end = _starts_and_ends(raw, list(self.entity))
+            outside = np.append(_OUTSIDE[np.frombuffer(raw, np.uint8)], True)
+            alone = (outside[start - 1] | (start == 0)) & outside[end]
+            start, end = start[alone], end[alone]
+            for k in leftmost_longest(start, end).tolist():
+                a, b = int(start[k]), int(end[k])
+                yield self.entity[raw[a:b]], a, b
+        elif self.entity:
             word = rb"[0-9A-Za-z]"
             for m in re.finditer(rb"(?<!" + word + rb")(?:" + self._pattern + rb")(?!" + word + rb")", raw):
                 yield self.entity[m[0]], m.start(), m.end()
@@ -52,7 +95,7 @@ def _finder(dictionary: Dictionary):
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [t.lower().encode() for t in b.column(1).to_pylist()]
+            raw = [t.encode() for t in b.column(1).to_pylist()]
             at = np.cumsum([0, *(len(t) + 1 for t in raw)])
             found = list(dictionary.spans(b"\x00".join(raw)))
             start, end = (np.array([f[k] for f in found], np.int64) for k in (1, 2))
@@ -65,7 +108,7 @@ def _finder(dictionary: Dictionary):
 def index_mentions(memories: DataFrame, dictionary: Dictionary) -> DataFrame:
     """The mention rows of every claim under this dictionary."""
     kind = memories.schema["record_digest"].dataType.simpleString()
-    claims = memories.where("claim IS NOT NULL").select("record_digest", "claim")
+    claims = memories.where("claim IS NOT NULL").select("record_digest", F.lower("claim").alias("claim"))
     found = claims.mapInArrow(_finder(dictionary), f"record_digest {kind}, entity_id string, start_offset int, end_offset int")
     return found.withColumn("extractor_identity", F.lit(dictionary.identity))
 

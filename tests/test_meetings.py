@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import conflict
+from lodestone.operators import conflict, entity, keyed
 from lodestone.operators.contain import containing
 from lodestone.streaming import change_log
 from tests.test_stores import wire
@@ -49,3 +49,36 @@ def test_batches_write_their_own_records(spark, tmp_path, monkeypatch):
         seen = {r.content_digest: (r.created_at, r.tombstoned) for r in change_log.current(spark, root).collect()}
         assert seen == {d: (min(x[4] for x in rows[: k + 2] if x[3] == d), any(x[2] == "tombstone" for x in rows[: k + 2] if x[3] == d)) for d in {x[3] for x in rows[: k + 2]}}
     assert sizes == [2, 2, 2, 4, 2, 2]  # the fourth batch folds three parts
+
+
+def test_the_automaton_finds_what_the_pattern_does(spark, monkeypatch):
+    rng = random.Random(9)
+    forms = ["new york", "new", "york", "york city", "new york city hall", "é", "a-b", "b", "x" * 40, *("".join(rng.choice("abn ") for _ in range(rng.randint(1, 6))).strip() or "n" for _ in range(150))]
+    rows = [(f"e{k}", f, []) for k, f in enumerate(dict.fromkeys(forms))]
+    text = [" ".join(rng.choice([*forms, "zz", "new-york", "éa", "1b", "_b_", "B"]) for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["", "new york city hall", "newyork city"]
+    found = {}
+    for few in (0, 10_000):
+        monkeypatch.setattr(entity, "FEW", few)
+        d = entity.Dictionary(rows)
+        found[few] = [d.mentions(t) for t in text]
+    assert found[0] == found[10_000] and sum(map(len, found[0])) > 200
+    assert entity.Dictionary([]).mentions("a") == []
+
+
+def test_a_hundred_thousand_forms(spark):
+    forms = spark.range(100_000).select(F.concat(F.lit("entity"), "id").alias("id")).select("id", F.col("id").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"))
+    d = entity.Dictionary.of(forms)
+    m = spark.range(300).select(F.col("id").cast("string").alias("record_digest"), F.concat(F.lit("about Entity"), F.col("id") * 331, F.lit(" and entity"), F.col("id"), F.lit("x, entity99999")).alias("claim"))
+    got = {(r.record_digest, r.entity_id) for r in entity.index_mentions(m, d).collect()}
+    assert got == {(str(i), f"entity{i * 331}") for i in range(300)} | {(str(i), "entity99999") for i in range(300)}
+
+
+def test_only_ranges_that_differ_are_met(spark):
+    a = spark.range(20_000).select(F.col("id").cast("string").alias("k"), (F.col("id") * 7).alias("v"))
+    b = a.where("k <> '17'").withColumn("v", F.when(F.col("k").isin("5", "4711"), F.lit(0)).otherwise(F.col("v"))).union(spark.createDataFrame([("new", 1), ("9", 63)], "k string, v long"))
+    ranges = keyed.differing_ranges(a, b, "k", ["v"])
+    assert ranges.count() == 5  # the lost one, two changed ones, the new one, and the one that is there twice
+    assert keyed.within(a, "k", ranges).count() < 100
+    got = keyed.difference(keyed.within(a, "k", ranges), keyed.within(b, "k", ranges), "k", ["v"])
+    assert {(r.key, r.status) for r in got.collect()} == {(r.key, r.status) for r in keyed.difference(a, b, "k", ["v"]).collect()} == {("17", "Missing"), ("new", "Extra"), ("5", "Diverged"), ("4711", "Diverged")}
+    assert keyed.differing_ranges(a, a, "k", ["v"]).count() == 0
