@@ -25,16 +25,33 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
     raise ValueError(f"unknown direction {direction!r}")
 
 
-def walk(seeds: DataFrame, edges: DataFrame, hops: int, direction: str = "forward") -> DataFrame:
+#: Edges of one node that go to one place; a node with more is a hub. Hubs up to this number are sent to every task.
+HUB, SMALL = 10_000, 50_000
+
+
+def _dealt(steps: DataFrame, hub: int):
+    """(steps with their share, a function that deals a frontier over shares): hubs' edges lie in shares of about ``hub``."""
+    hubs = stored(steps.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > hub).select("node", F.ceil(F.col("n") / hub).alias("shares")))
+    if hubs.isEmpty():
+        return steps.withColumn("share", F.lit(0).cast("long")), lambda frontier: frontier.withColumn("share", F.lit(0).cast("long"))
+    known = F.broadcast(hubs) if hubs.limit(SMALL + 1).count() <= SMALL else hubs
+    shares = F.coalesce("shares", F.lit(1).cast("long"))
+    placed = steps.join(known, "node", "left").withColumn("share", F.pmod(F.xxhash64("next"), shares)).drop("shares")
+    return placed, lambda frontier: frontier.join(known, "node", "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))).drop("shares")
+
+
+def walk(seeds: DataFrame, edges: DataFrame, hops: int, direction: str = "forward", hub: int = HUB) -> DataFrame:
     """seed, node, depth: the fewest steps from each seed (column ``seed``) to each node within ``hops``.
 
-    One frontier a level; nodes met before fall out by an anti-join, so cycles end by themselves.
+    One frontier a level; nodes met before fall out by an anti-join, so cycles end by themselves. A node
+    with over ``hub`` edges has them dealt over shares, and the frontier goes to each of them, so that no
+    task holds all edges of a hub.
     """
-    steps = directed(edges, direction).select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    steps, dealt = _dealt(directed(edges, direction).select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct(), hub)
     seen = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct()
     frontier = seen
     for depth in range(1, hops + 1):
-        frontier = frontier.join(steps, "node").select("seed", F.col("next").alias("node")).distinct()
+        frontier = dealt(frontier).join(steps, ["node", "share"]).select("seed", F.col("next").alias("node")).distinct()
         frontier = frontier.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
         if depth < hops:  # each level is stored once: its plan would be part of every later one, twice
             frontier = stored(frontier)

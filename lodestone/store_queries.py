@@ -466,6 +466,17 @@ def registered_spaces(spark, d):
     return out
 
 
+@query("""WITH n AS (SELECT 'n' || n_nationkey AS seed, n_nationkey AS k FROM nation), c AS (SELECT seed, c_custkey FROM n JOIN customer ON c_nationkey = k)
+SELECT seed, seed AS node, 0 AS depth FROM n UNION ALL SELECT seed, 'c' || c_custkey, 1 FROM c UNION ALL SELECT seed, 'o' || o_orderkey, 2 FROM c JOIN orders ON o_custkey = c_custkey""")
+def hub_walk(spark, d):
+    """RT11, JN7: from nations back to their customers and these customers' orders; nations are hubs, whose edges are dealt over shares."""
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    customers = _read(spark, d, "customer").select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst"))
+    orders = _read(spark, d, "orders").select(name("o", "o_orderkey").alias("src"), name("c", "o_custkey").alias("dst"))
+    seeds = _read(spark, d, "nation").select(name("n", "n_nationkey").alias("seed"))
+    return graph.walk(seeds, customers.union(orders).withColumn("edge_kind", F.lit("supports")), 2, "backward", hub=16)
+
+
 @query("""WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey // 2 AS dst FROM customer WHERE c_custkey > 1), k AS (SELECT c_custkey AS seed, c_custkey AS node, 0 AS depth FROM customer WHERE c_custkey % 100 = 7 UNION ALL SELECT seed, dst, depth + 1 FROM k JOIN e ON node = src WHERE depth < 4)
 SELECT seed, node, depth FROM k""")
 def ancestry(spark, d):

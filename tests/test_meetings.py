@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import conflict, entity, keyed
+from lodestone.operators import conflict, entity, graph, keyed
 from lodestone.operators.contain import containing
 from lodestone.streaming import change_log
 from tests.test_stores import wire
@@ -82,3 +82,15 @@ def test_only_ranges_that_differ_are_met(spark):
     got = keyed.difference(keyed.within(a, "k", ranges), keyed.within(b, "k", ranges), "k", ["v"])
     assert {(r.key, r.status) for r in got.collect()} == {(r.key, r.status) for r in keyed.difference(a, b, "k", ["v"]).collect()} == {("17", "Missing"), ("new", "Extra"), ("5", "Diverged"), ("4711", "Diverged")}
     assert keyed.differing_ranges(a, a, "k", ["v"]).count() == 0
+
+
+def test_a_hub_is_dealt_over_shares(spark):
+    star = spark.range(40_000).select(F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst"), F.lit("supports").alias("edge_kind")).union(spark.createDataFrame([(7, 50_000, "supports"), (-2, -1, "supports"), (7, -1, "supports")], "src long, dst long, edge_kind string"))
+    seeds = spark.createDataFrame([(-1,), (-2,), (7,)], "seed long")
+    flat, dealt = (graph.walk(seeds, star, 2, hub=h) for h in (1 << 40, 1000))
+    view = lambda df: df.groupBy("seed", "depth").agg(F.count("*").alias("n"), F.sum("node").alias("s")).orderBy("seed", "depth").collect()
+    assert view(dealt) == view(flat) and dealt.exceptAll(flat).isEmpty()
+    steps, deal = graph._dealt(star.select(F.col("src").alias("node"), F.col("dst").alias("next")), 1000)
+    sizes = [r["count"] for r in steps.where("node = -1").groupBy("share").count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 1300
+    assert deal(spark.createDataFrame([(-1,), (7,)], "node long")).count() == 41
