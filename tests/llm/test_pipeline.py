@@ -1,7 +1,13 @@
 import random
 import re
+import zlib
+from collections import Counter
 
-from lodestone.llm.queries import oracle_sql, queries
+from pyspark.sql import functions as F
+
+from lodestone.llm.quality import quality
+from lodestone.llm.queries import oracle_sql, queries, tokenizer_path
+from tests.llm.test_text_ops import LOWER, brute_hits
 
 
 def test_registry_has_every_operator():
@@ -72,3 +78,94 @@ def test_every_stage_takes_an_empty_table(spark, tmp_path):
     for name, stage in cp.STAGES:
         out = stage(spark, empty, str(tmp_path))
         assert out.collect() == [] and (name == "packing" or out.columns == empty.columns), name
+
+
+def plain_lines(rows):
+    """Line dedup of (id, text, source), line by line."""
+    pages, on = Counter(s for _, _, s in rows), Counter()
+    for _, t, s in rows:
+        on.update((s, line) for line in set((t or "").split("\n")) if line.strip())
+    gone = {(s, line) for (s, line), n in on.items() if n >= 3 and n > pages[s] * 0.03}
+    return [(i, "\n".join(x for x in (t or "").split("\n") if (s, x) not in gone), s) for i, t, s in rows]
+
+
+def plain_near(rows):
+    """The rows that stay of each group of near duplicates: the smallest id."""
+    sets = []
+    for _, t, _ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    group = list(range(len(rows)))
+
+    def top(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group[top(a)] = top(b)
+    best = {}
+    for k, r in enumerate(rows):
+        best[top(k)] = min(best.get(top(k), r[0]), r[0])
+    return [r for k, r in enumerate(rows) if not sets[k] or best[top(k)] == r[0]]
+
+
+def plain_clean(rows, items):
+    return [r for r in rows if brute_hits([(0, r[1])], items)[0][1] == 0]
+
+
+def test_stages_match_plain_versions_one_after_another(spark, tmp_path):
+    import corpus_pipeline as cp
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeiounrstlm") for _ in range(rng.randint(3, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n)) + "."
+    item, menus = prose(24), [prose(5) for _ in range(4)]
+    rows = [(i, prose(rng.choice([8, 60, 140])), f"s{i % 3}") for i in range(90)]
+    for k in range(0, 40, 4):  # exact and near copies, some of them on other sites
+        w = rows[k][1].split(" ")
+        w[rng.randrange(len(w))] = word()
+        rows.append((100 + k, " ".join(w), f"s{rng.randrange(3)}"))
+        rows.append((200 + k, rows[k + 1][1], rows[k + 1][2]))
+    rows += [(300 + k, prose(20) + "\n" + " ".join(item.split(" ")[k : k + 9 + k]), "s1") for k in range(6)] + [(400, None, "s2"), (401, "", None), (402, " ".join(prose(9) for _ in range(300)), "s0")]
+    rows = [(i, t if not t or rng.random() < 0.4 else f"{rng.choice(menus)}\n{t}\n{rng.choice(menus)}", s) for i, t, s in rows]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    d = str(tmp_path / "sf")
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 90, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    stage = dict(cp.STAGES)
+    see = lambda df: sorted(((r.doc_id, r.text, r.source) for r in df.collect()), key=str)
+    keep = {r.doc_id for r in quality(docs, spark.read.parquet(f"{d}/labels.parquet"), "doc_id", "text", F.col("source"), F.concat_ws("/", "source", "lang")).where("quality_keep").collect()}
+    assert see(stage["quality"](spark, docs, d)) == sorted((r for r in rows if r[0] in keep), key=str)
+    lined = stage["line_dedup"](spark, docs, d)
+    assert see(lined) == sorted(plain_lines(rows), key=str) and see(lined) != sorted(rows, key=str)
+    assert all(r.n_chars == len(r.text) for r in lined.collect())
+    rows2 = plain_lines(rows)
+    alone = stage["near_duplicates"](spark, lined, d)
+    assert see(alone) == sorted(plain_near(rows2), key=str) and len(rows2) - 20 <= len(see(alone)) + 4 < len(rows2)
+    rows3 = plain_near(rows2)
+    clean = stage["decontamination"](spark, alone, d)
+    assert see(clean) == sorted(plain_clean(rows3, [(1, item)]), key=str) and len(see(clean)) < len(rows3)
+    rows4, tokenizer = plain_clean(rows3, [(1, item)]), Tokenizer.from_file(tokenizer_path())
+    packed = stage["packing"](spark, clean, d).collect()
+    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t, _ in rows4}
+    pieces, full = {}, {}
+    for r in packed:
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length and zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part)) == r.ids_crc32
+        pieces.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
+        full.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, x in ids.items():
+        at = 0
+        for k, (piece, start, length) in enumerate(sorted(pieces[i])):
+            assert (piece, start) == (k, at)
+            at += length
+        assert at == len(x)
+    for spans in full.values():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(n for _, n in spans) <= 1024
+    assert len(full) <= 1 + -(-sum(map(len, ids.values())) // 1024)
