@@ -132,11 +132,33 @@ def _frequencies(weights: list[float], known: list[str]):
     return count
 
 
+def kept_rows(score: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k best finite scores; of equal scores the smaller ids stay.
+
+    All rows are cut at once; only a row with more scores at its bar than places is looked at by itself.
+    """
+    n = score.shape[1]
+    bar = np.partition(score, n - k, 1)[:, n - k] if n > k else np.full(len(score), -np.inf)
+    row, col = np.nonzero((score >= bar[:, None]) & (score > -np.inf))
+    many = np.bincount(row, minlength=len(score)) > k
+    if many.any():
+        place = np.empty(n, np.int64)
+        place[np.asarray(pc.array_sort_indices(ids))] = np.arange(n)
+        crowded = np.flatnonzero(many[row])
+        o = crowded[np.lexsort((place[col[crowded]], -score[row[crowded], col[crowded]], row[crowded]))]
+        first = np.flatnonzero(np.r_[True, row[o][1:] != row[o][:-1]])
+        nth = np.arange(len(o)) - np.repeat(first, np.diff(np.r_[first, len(o)]))
+        left = np.ones(len(row), bool)
+        left[o[nth >= k]] = False
+        row, col = row[left], col[left]
+    return row, col
+
+
 def _scorer(weights: list[float], asked: Terms, idf: np.ndarray, mean: float, k: int, digits: int | None, cells: int = 1 << 22):
     """The k best documents of each batch for each query: postings are scattered term by term into dense scores."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(asked.terms, pa.string())
+        names, names_of = pa.array(asked.terms, pa.string()), pa.array(asked.queries)
         step = max(1, cells // max(1, len(asked.queries)))
         for whole in batches:
             for lo in range(0, whole.num_rows, step):
@@ -155,17 +177,8 @@ def _scorer(weights: list[float], asked: Terms, idf: np.ndarray, mean: float, k:
                 if digits is not None:
                     total = np.round(total, digits)
                 total[~met] = -np.inf
-                ids = b.column(0)
-                order = np.asarray(pc.array_sort_indices(ids))  # of equal scores the smaller ids stay
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                for q in range(len(asked.queries)):
-                    s = total[q]
-                    cut = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-                    on = np.flatnonzero((s >= cut) & met[q])
-                    on = on[np.lexsort((place[on], -s[on]))][:k]
-                    if len(on):
-                        yield pa.RecordBatch.from_arrays([pa.array([asked.queries[q]] * len(on)), ids.take(pa.array(on)), pa.array(s[on])], names=["query_id", "id", "score"])
+                q, on = kept_rows(total, b.column(0), k)
+                yield pa.RecordBatch.from_arrays([names_of.take(pa.array(q)), b.column(0).take(pa.array(on)), pa.array(total[q, on])], names=["query_id", "id", "score"])
 
     return score
 

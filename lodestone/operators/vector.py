@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.scalar import all_finite, live
 from lodestone.operators.keyed import replace_by_key
+from lodestone.operators.lexical import kept_rows
 from lodestone.schemas import ConstraintError
 
 
@@ -111,14 +112,10 @@ def _meet(k: int, digits: int | None):
                 if digits is not None:
                     score = np.round(score, digits)
                 same = batch.column("q_block")[j].as_py() == batch.column("block")[j].as_py()
-                for i in range(len(q)):
-                    s = score[i]
-                    if same:
-                        s = s.copy()
-                        s[i] = -np.inf
-                    on = _kept(s, ids, k)
-                    on = on[s[on] > -np.inf]
-                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(np.full(len(on), i))), ids.take(pa.array(on)), pa.array(s[on])], names=["query_id", "id", "cosine"])
+                if same:
+                    np.fill_diagonal(score, -np.inf)
+                row, on = kept_rows(score, ids, k)
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(row)), ids.take(pa.array(on)), pa.array(score[row, on])], names=["query_id", "id", "cosine"])
 
     return meet
 

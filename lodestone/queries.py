@@ -89,7 +89,7 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {BM25} SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 10")
 def lexical_recall(spark, d):
-    """RT2, FS1, FS3, TK1, WN1: every benchmark item as a query over all documents."""
+    """RT2, TK1, WN1: every benchmark item as a query over all documents."""
     return _ranked(spark, d).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
@@ -121,7 +121,7 @@ def recency_blend(spark, d):
 
 @query()
 def hybrid_recall(spark, d):
-    """RT1, RT5-RT8, FS2, AG10: stemmed index, provenance and conflicts; not expressible in SQL."""
+    """RT1, RT5, RT6, FS2: stemmed index, provenance and conflicts; not expressible in SQL."""
     docs = _read(spark, d, "documents")
     m = docs.select(F.format_string("%012d", "doc_id").alias("record_digest"), F.col("text").alias("claim"), F.col("source").alias("source_locator"), F.lit("1998-01-01T00:00:00Z").alias("occurred_at"), F.when(F.col("doc_id") % 97 == 0, "1998-02-01").alias("superseded_at"), F.lit(None).cast("string").alias("retracted_at"))
     n = docs.agg(F.count("*").alias("n"))
@@ -200,7 +200,7 @@ def valid_window_known_by(spark, d):
 @query(f"""WITH {RECORDS} SELECT CASE WHEN max(recorded_seq) FILTER (occurred_at <= '1996-06-30') IS NULL THEN 'BeforeFirst' ELSE 'Resolved' END AS outcome,
 max(recorded_seq) FILTER (occurred_at <= '1996-06-30') AS sequence FROM m""")
 def sequence_at_instant(spark, d):
-    """SQ3, FD2, AG5, AG6."""
+    """SQ3, FD2, AG5."""
     return temporal.seq_at(_records(spark, d), "1996-06-30").select("outcome", "sequence")
 
 
@@ -376,7 +376,7 @@ def evidence_gate(spark, d):
 @query("""WITH h AS (SELECT sha256(text) AS digest, doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n FROM documents)
 SELECT digest, doc_id, CASE WHEN n = 1 THEN 'inserted' ELSE 'already-present' END AS outcome FROM h""")
 def idempotent_write(spark, d):
-    """SO7, FA6, WR1: texts keyed by digest, the first one is inserted."""
+    """FA6, WR1: texts keyed by digest into an empty store, the first one is inserted."""
     new = _read(spark, d, "documents").select(F.sha2("text", 256).alias("digest"), "doc_id")
     return keyed.insert_absent(new.limit(0), new, ["digest"])
 
@@ -402,7 +402,7 @@ def observation_defects(spark, d):
 
 @query("SELECT o_orderkey AS src, 'no-loop' AS broken FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT o_orderkey, 'kind' FROM orders WHERE o_orderkey % 13 = 0 AND o_orderkey % 11 <> 0 UNION ALL SELECT o_orderkey, 'kind' FROM orders WHERE o_orderkey % 13 = 0 AND o_orderkey % 11 = 0")
 def constraint_violations(spark, d):
-    """PF15, PF16: loops and unknown kinds among planted edges."""
+    """PF15: loops and unknown kinds among planted edges."""
     o = _read(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.when(F.col("o_orderkey") % 11 == 0, F.col("o_orderkey")).otherwise(F.col("o_orderkey") + 1).alias("dst"), F.when(F.col("o_orderkey") % 13 == 0, "likes").otherwise("supports").alias("edge_kind"))
     return violations(o, "provenance_edges").select("src", F.explode("broken").alias("broken"))
 

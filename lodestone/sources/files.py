@@ -153,15 +153,18 @@ def export_neighbourhood(nodes: DataFrame, edges: DataFrame, dest: str) -> None:
 
 
 def export_neighbourhood_npz(nodes: DataFrame, edges: DataFrame, spark: SparkSession, dest: str, most: int = 100_000) -> None:
-    """The same as arrays for numpy: sorted nodes, labels, and edges as pairs of node numbers; refused beyond ``most`` nodes."""
+    """The same as arrays for numpy: sorted nodes, labels, and edges as pairs of node numbers; refused beyond ``most`` nodes or fifty times as many edges."""
     rows = nodes.select(F.col("node").cast("string").alias("node"), F.substring("claim", 1, 80).alias("label")).orderBy("node").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"a neighbourhood of more than {most} nodes is no drawing")
     place = {r.node: i for i, r in enumerate(rows)}
     ends = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
     known = nodes.select(F.col("node").cast("string").alias("k"))
-    kept = ends.join(known, F.col("src") == F.col("k"), "left_semi").join(known, F.col("dst") == F.col("k"), "left_semi").orderBy("src", "dst").limit(most * 50)
-    pairs = np.array([(place[r.src], place[r.dst]) for r in kept.collect()], np.int64).reshape(-1, 2)
+    kept = ends.join(known, F.col("src") == F.col("k"), "left_semi").join(known, F.col("dst") == F.col("k"), "left_semi").orderBy("src", "dst")
+    drawn = kept.limit(most * 50 + 1).collect()
+    if len(drawn) > most * 50:
+        raise ValueError(f"a neighbourhood of more than {most * 50} edges is no drawing")
+    pairs = np.array([(place[r.src], place[r.dst]) for r in drawn], np.int64).reshape(-1, 2)
     out = io.BytesIO()
     np.savez(out, nodes=np.array([r.node for r in rows]), labels=np.array([r.label or "" for r in rows]), edges=pairs)
     _put(spark, dest, [out.getvalue()])

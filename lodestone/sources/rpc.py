@@ -16,6 +16,9 @@ from lodestone.sources.snapshot import EvidenceStore
 #: Error codes of JSON-RPC 2.0.
 PARSE, REQUEST, METHOD, PARAMS, INTERNAL = -32700, -32600, -32601, -32602, -32603
 
+#: Records of one answer: more withheld ones are marked as cut, a longer trace is refused.
+WITHHELD, TRACED = 400, 1000
+
 
 class Session:
     """The calls of a store; every answer is bounded by its clamped limit."""
@@ -31,12 +34,16 @@ class Session:
         only_fields(a, {"query", "limit", "hops", "as_of", "include_retired", "lexical", "semantic", "entities"})
         o = RecallOptions(required_text(a, "query"), clamped("limit", a.get("limit")), a.get("as_of"), clamped("hops", a.get("hops")), bool(a.get("include_retired")), use_entities=a.get("entities", True), use_lexical=a.get("lexical", True), use_semantic=a.get("semantic", True))
         out = recall(self.store.table("memories"), self.store.table("provenance_edges"), o, self.store.index())
-        return {"hits": self._rows(out.hits, o.limit), "withheld": [r.record_digest for r in out.withheld.limit(400).collect()], "counts": self._rows(out.counts, 1)[0], "degraded": out.degraded}
+        withheld = [r.record_digest for r in out.withheld.limit(WITHHELD + 1).collect()]
+        return {"hits": self._rows(out.hits, o.limit), "withheld": withheld[:WITHHELD], "withheld_cut": len(withheld) > WITHHELD, "counts": self._rows(out.counts, 1)[0], "degraded": out.degraded}
 
     def trace(self, a: dict) -> list[dict]:
         only_fields(a, {"digest", "hops"})
         seeds = self.store.spark.createDataFrame([(required_digest(a, "digest"),)], "seed string")
-        return self._rows(graph.in_order(graph.trace(seeds, self.store.table("provenance_edges"), self.store.table("memories"), clamped("trace_hops", a.get("hops")))), 1000)
+        rows = self._rows(graph.in_order(graph.trace(seeds, self.store.table("provenance_edges"), self.store.table("memories"), clamped("trace_hops", a.get("hops")))), TRACED + 1)
+        if len(rows) > TRACED:
+            raise ArgumentError(f"the trace has more than {TRACED} records: ask for fewer hops")
+        return rows
 
     def as_of(self, a: dict) -> dict:
         only_fields(a, {"instant", "limit"})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scalar
 from lodestone.functions.text import nfc_column, strict_object_column
-from lodestone.operators import entity, graph, lexical, personal, temporal, vector, write
+from lodestone.operators import entity, graph, keyed, lexical, personal, temporal, vector, write
 from lodestone.operators.stored import shared_root
 from lodestone.plans.recall import Index, RecallOptions, TextForms, recall
 from lodestone.schemas import EVIDENCE, violations
@@ -24,6 +24,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+WORDS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+
 def query(sql: str):
     def add(f):
         QUERIES[f.__name__] = f
@@ -147,7 +150,7 @@ def active_records(spark, d):
 @query(f"""WITH {CAPTURED}, q AS (SELECT *, row_number() OVER (ORDER BY c_custkey % 60, digest) AS place FROM c)
 SELECT digest AS record_digest, CASE WHEN place > 500 THEN 'queued' WHEN length(c_name) = 18 AND c_custkey % 7 = 0 THEN 'input-too-large' ELSE 'embedded' END AS outcome FROM q""")
 def embedding_queue(spark, d):
-    """ST14, ST15, TK8, JN15, UF1: a new space queues all active records; one bounded batch is worked off, poison is remembered."""
+    """ST14, ST15, TK8, JN15: a new space queues all active records; one bounded batch is worked off, poison is remembered."""
     state = personal.activate_profile(_captured(spark, d), "p")
     state = personal.activate_profile(state, "p")  # the same space again changes nothing
     bad = (F.length("content") == 18) & (F.substring("content", -9, 9).cast("long") % 7 == 0)
@@ -200,7 +203,7 @@ def branch_scores(spark, d):
 
 @query("SELECT vec_id, round(embedding[1]::DOUBLE * CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END, 6) AS head FROM embeddings")
 def embeddings_put(spark, d):
-    """WR9, PF14: vectors of the right length take the place of the same record's earlier ones."""
+    """WR9: vectors of the right length take the place of the same record's earlier ones."""
     e = _read(spark, d, "embeddings").select(F.lit("p").alias("profile_identity"), F.col("vec_id").alias("record_digest"), F.col("embedding").alias("vector"))
     new = e.where("record_digest % 3 = 0").withColumn("vector", F.transform("vector", lambda x: (x * 2).cast("float")))
     return vector.put_embeddings(e, new, {"p": 64}).select(F.col("record_digest").alias("vec_id"), F.round(F.get("vector", 0).cast("double"), 6).alias("head"))
@@ -227,7 +230,7 @@ def vector_scan(spark, d):
 
 @query("SELECT 'Nation ' || n_name || ' has key ' || n_nationkey AS claim, 'observed' AS evidence_class, sha256(n_name) AS source_artifact_sha256, row_number() OVER (ORDER BY n_nationkey) AS recorded_seq FROM nation")
 def ingested_document(spark, d):
-    """SC7, WR10, WR12: a document of artifacts, claims and edges is taken in as a whole; a second time nothing is new."""
+    """SC7, WR10: a document of artifacts, claims and edges is taken in as a whole; a second time nothing is new."""
     rows = _read(spark, d, "nation").withColumn("sha", F.sha2("n_name", 256)).orderBy("n_nationkey").collect()  # twenty-five nations
     text = 'version = 1\nrecorded_at = "2024-01-01T00:00:00Z"\n'
     for r in rows:
@@ -268,6 +271,45 @@ def reindexed_entities(spark, d):
     return new.groupBy(F.col("entity_id").alias("entity")).agg(F.count("*").alias("mentions"))
 
 
+@query("""WITH k AS (SELECT sha256(text) AS digest, doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS nth FROM documents), h AS (SELECT DISTINCT digest FROM k WHERE doc_id % 2 = 0)
+SELECT k.digest, doc_id, CASE WHEN h.digest IS NULL AND n = 1 THEN 'inserted' ELSE 'already-present' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY doc_id) AS n FROM k WHERE doc_id % 2 = 1) k LEFT JOIN h USING (digest)""")
+def writes_into_a_store(spark, d):
+    """SO7, WR1: texts of odd documents into a store that holds those of the even ones: what it has stays, of repeats the first goes in."""
+    t = _read(spark, d, "documents").select(F.sha2("text", 256).alias("digest"), "doc_id")
+    return keyed.insert_absent(t.where("doc_id % 2 = 0"), t.where("doc_id % 2 = 1"), ["digest"])
+
+
+@query("""SELECT sha256(c_custkey::VARCHAR) AS record_digest, string_agg(tag, ',' ORDER BY tag) AS tags FROM (SELECT c_custkey, c_mktsegment AS tag FROM customer UNION SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 0) GROUP BY c_custkey""")
+def tag_union(spark, d):
+    """SO6: a second device's tags join those of the first and take none away, also when they come twice."""
+    state = _captured(spark, d)
+    c, n = _read(spark, d, "customer").where("c_custkey % 3 = 0"), _read(spark, d, "nation")
+    more = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.sha2(F.col("c_custkey").cast("string"), 256).alias("record_digest"), F.col("n_name").alias("tag"))
+    none = [state[t].limit(0) for t in ("canonical_records", "sightings")]
+    for _ in range(2):
+        state = personal.merge(state, *none, more)
+    return state["record_tags"].groupBy("record_digest").agg(F.array_join(F.sort_array(F.collect_list("tag")), ",").alias("tags"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {WORDS.format("text")} AS t, {WORDS.format("source")} AS l FROM documents),
+q AS (SELECT item_id, unnest({WORDS.format("text")}) AS term FROM benchmark UNION ALL SELECT item_id, s FROM benchmark, (SELECT DISTINCT unnest({WORDS.format("source")}) AS s FROM documents)), w AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+p AS (SELECT doc_id, term, sum(weight) AS tf FROM (SELECT doc_id, unnest(t) AS term, 1.0 AS weight FROM d UNION ALL SELECT doc_id, unnest(l), 0.5 FROM d) GROUP BY ALL),
+s AS (SELECT count(*) AS n, avg(len(t) + len(l)) AS avg_len FROM d), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+i AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END::DOUBLE AS idf, avg_len FROM f, s),
+b AS (SELECT item_id, doc_id, round(sum(times * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * (len(t) + len(l)) / avg_len)))::DOUBLE, 6) AS score FROM p JOIN w USING (term) JOIN i USING (term) JOIN d USING (doc_id) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM b)
+SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 10""")
+def weighted_fields(spark, d):
+    """FS3: texts at full weight and sources at half of it, ranked for every benchmark item and the names of all sources."""
+    docs, items = _read(spark, d, "documents"), _read(spark, d, "benchmark")
+    words = lambda c: scalar.words_of(F.col(c))
+    sources = docs.select(F.explode(words("source")).alias("term")).distinct()  # a few site names
+    terms = items.select(F.col("item_id").alias("query_id"), F.explode(words("text")).alias("term")).union(items.select("item_id").join(F.broadcast(sources)))
+    fields = list(zip((words("text"), words("source")), lexical.FIELD_WEIGHTS, strict=True))
+    out = lexical.rank(docs, "doc_id", fields, terms, 10, digits=6)
+    return out.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+
+
 @query("""WITH f AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^0-9a-z]+')) AS form FROM benchmark), w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^0-9a-z]+')) AS form FROM documents)
 SELECT form AS entity, count(*) AS mentions, count(DISTINCT doc_id) AS records FROM w WHERE form IN (SELECT form FROM f WHERE length(form) >= 3) GROUP BY form""")
 def large_dictionary(spark, d):
@@ -282,7 +324,7 @@ def large_dictionary(spark, d):
 
 @query("SELECT user_id AS digest, min(ts)::DATE::VARCHAR AS created, bool_or(event_type = 'error') AS tombstoned FROM events GROUP BY user_id")
 def followed_log(spark, d):
-    """ST13, ST16, ST17: a change log is merged batch by batch; overlapping and repeated batches change nothing twice."""
+    """ST13, ST17: a change log is merged batch by batch; overlapping and repeated batches change nothing twice."""
     e = _read(spark, d, "events")
     wire = e.select(F.lit(1).cast("long").alias("epoch"), (F.col("event_id") + 1 - e.agg(F.min("event_id")).first()[0]).alias("sequence"), F.when(F.col("event_type") == "error", "tombstone").otherwise("upsert").alias("operation"), F.col("user_id").cast("string").alias("content_digest"), F.lit("x").alias("content"), F.lit(None).cast("string").alias("occurred_at"), F.lit("{}").alias("metadata"), F.date_format("ts", "yyyy-MM-dd").alias("created_at"), F.lit(False).alias("tombstoned"))
     root, n = _folder(spark, "log"), e.count()
@@ -321,9 +363,6 @@ def _claims(docs: DataFrame) -> DataFrame:
     )
 
 
-WORDS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-
-
 @query(f"""WITH d AS (SELECT doc_id, {WORDS.format("text")} AS t FROM documents), q AS (SELECT term FROM (SELECT DISTINCT unnest({WORDS.format("(SELECT text FROM benchmark ORDER BY item_id LIMIT 1)")}) AS term) ORDER BY length(term) DESC, term LIMIT 3),
 w AS (SELECT term, count(*) AS times FROM q GROUP BY term), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM w) GROUP BY ALL),
 s AS (SELECT count(*) AS n, avg(len(t)) AS avg_len FROM d), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestone.operators import conflict, entity, graph, keyed
+from lodestone.operators import conflict, entity, graph, keyed, lexical
 from lodestone.operators.contain import containing
 from lodestone.streaming import change_log
 from tests.test_stores import wire
@@ -94,3 +96,16 @@ def test_a_hub_is_dealt_over_shares(spark):
     sizes = [r["count"] for r in steps.where("node = -1").groupBy("share").count().collect()]
     assert len(sizes) == 40 and max(sizes) < 1300
     assert deal(spark.createDataFrame([(-1,), (7,)], "node long")).count() == 41
+
+
+def test_rows_keep_their_best():
+    rng = np.random.default_rng(3)
+    ids = pa.array(rng.permutation(50))
+    for k in (1, 3, 50, 80):
+        score = rng.integers(0, 6, (20, 50)).astype(float)
+        score[rng.random((20, 50)) < 0.3] = -np.inf
+        score[4] = -np.inf
+        row, col = lexical.kept_rows(score, ids, k)
+        for q in range(20):
+            want = sorted((-score[q, j], ids[j].as_py()) for j in range(50) if score[q, j] > -np.inf)[:k]
+            assert sorted((-score[q, j], ids[int(j)].as_py()) for j in col[row == q].tolist()) == want

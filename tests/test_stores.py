@@ -106,6 +106,21 @@ def test_ingest_is_whole_idempotent_and_checked(spark, tmp_path):
     assert got == {("memories", "Diverged"), ("artifacts", "Missing"), ("provenance_edges", "Count"), ("schema", "SchemaVersion")}
 
 
+def test_a_new_dictionary_leaves_other_extractors_rows(spark, tmp_path):
+    """Mentions belong to an extractor: a document with a new entity makes another one, which reads all claims; earlier rows stay."""
+    store = EvidenceStore.open(spark, str(tmp_path / "store"))
+    ingest(store, DOC)
+    (first,) = store.table("mentions").collect()
+    ingest(store, 'version = 1\nrecorded_at = "2024-08-02T00:00:00Z"\n[[entity]]\nname = "speedup"\ntype = "word"\n')
+    by = {}
+    for r in store.table("mentions").collect():
+        by.setdefault(r.extractor_identity, []).append(r)
+    assert by.pop(first.extractor_identity) == [first]
+    ((rows),) = by.values()
+    assert len(rows) == 2 and {r.entity_id for r in rows} == {r.id for r in store.table("entities").collect()}
+    assert {r.part for r in store.parts().where("table = 'mentions'").collect()} == {0, 1}
+
+
 def wire(spark, rows):
     return spark.createDataFrame([(e, s, op, k, f"text {k}", None, "{}", at, False) for e, s, op, k, at in rows], WIRE)
 
