@@ -6,9 +6,9 @@ Two machines are composed:
   pre-token begins. A column is one long stream cut into chunks; every chunk's map from entry
   state to exit state is computed for all states at once, the maps compose by a parallel prefix
   scan, and each chunk is then read again from its now known entry state;
-* the counter, a transducer over bytes compiled on demand from the merge table: a state is a
-  prefix's last token, each transition carries the change in emitted tokens, and states are shared
-  between pre-tokens. A pre-token's exit count (or its tokens) is looked up by its hash.
+* the counter, a transducer over bytes compiled on demand from the merge table: see ``transducer``,
+  which counts tokens. Where the tokens themselves are wanted (``encode``), a pre-token's tokens are
+  looked up by its hash.
 
 Only files of this kind are accepted: byte-level pre-tokens by the usual pattern, no normalizer.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import regex
@@ -152,7 +153,10 @@ class Counter:
         self.rank = {(self.vocab[raw(x)], self.vocab[raw(y)]): (k, self.vocab[raw(x + y)]) for k, (x, y) in enumerate(pairs)}
         self.bytes = {i: t for t, i in self.vocab.items()}
         self.alphabet = [self.vocab[bytes([b])] for b in range(256)]
-        self._fits: dict[tuple[int, int], bool] = {}
+        #: How tokens are made: (rank, left, right). Ordered: each in one way, after its parts.
+        self.made = {new: (k, x, y) for (x, y), (k, new) in self.rank.items()}
+        self.ordered = len(self.made) == len(self.rank) and all(self.made.get(t, (-1,))[0] < k for k, *parts in self.made.values() for t in parts)
+        self._single: dict[int, bool] = {}
         self._trie: dict[bytes, tuple[int, int]] = {}
 
     def merge(self, word: bytes) -> list[int]:
@@ -174,26 +178,41 @@ class Counter:
             ids = out
         return ids
 
-    def _adjacent(self, x: int, y: int) -> bool:
-        """Whether tokens x, y can follow each other in an encoding."""
-        key = (x, y)
-        if (ok := self._fits.get(key)) is None:
-            if len(self._fits) > 500_000:
-                self._fits.clear()
-            ok = self._fits[key] = self.merge(self.bytes[x] + self.bytes[y]) == [x, y]
+    def single(self, t: int) -> bool:
+        """Whether a token's bytes by themselves are encoded as that token."""
+        if (ok := self._single.get(t)) is None:
+            ok = self._single[t] = self.merge(self.bytes[t]) == [t]
         return ok
 
+    def adjacent(self, x: int, y: int) -> bool:
+        """Whether tokens x, y can follow each other in an encoding; both are encoded as themselves.
+
+        Merges are undone from the latest on, and at one rank from the right, as they are made from the
+        left. The tokens at the border stand there until the merge undone last: if their own merge came
+        before it, it would have been made.
+        """
+        if not self.ordered:
+            return self.merge(self.bytes[x] + self.bytes[y]) == [x, y]
+        until = 1 << 30
+        while True:
+            if (pair := self.rank.get((x, y))) is not None and pair[0] < until:
+                return False
+            p, q = self.made.get(x), self.made.get(y)
+            if q is not None and (p is None or q[0] >= p[0]):
+                until, y = q[0] + 1, q[1]  # at one rank the border's pair, lying left, comes first
+            elif p is not None:
+                until, x = p[0], p[2]
+            else:
+                return True
+
     def _step(self, states: list[tuple[int, int]], word: bytes, end: int) -> tuple[int, int]:
         """The state after word[:end], from the states of its shorter prefixes: (last token, tokens so far)."""
         for start in range(max(0, end - self.longest), end):
             t = self.vocab.get(word[start:end])
-            if t is not None and (start == 0 and self.merge_single(word[:end], t) or start and self._adjacent(states[start - 1][0], t)):
+            if t is not None and self.single(t) and (start == 0 or self.adjacent(states[start - 1][0], t)):
                 return t, (states[start - 1][1] if start else 0) + 1
         raise ValueError("a byte has no token")
 
-    def merge_single(self, word: bytes, token: int) -> bool:
-        return len(word) == 1 or self.merge(word) == [token]
-
     def run(self, word: bytes) -> list[tuple[int, int]]:
         states: list[tuple[int, int]] = []
         for end in range(1, len(word) + 1):
@@ -242,7 +261,7 @@ class Compiled:
         library = self.counter.ranked() if quick else None
         self.tokens = library or self.counter.tokens
         if library:  # the library has its own copy of the merge table
-            self.counter.vocab, self.counter.rank, self.counter.bytes = {}, {}, {}
+            self.counter.vocab, self.counter.rank, self.counter.bytes, self.counter.made = {}, {}, {}, {}
         self._clear()
 
     def _clear(self) -> None:
@@ -278,19 +297,24 @@ def compiled(path: str, quick: bool = False) -> Compiled:
     return held(("tokenizer", path, quick), lambda: Compiled(path, quick))
 
 
-def encode(texts: list[str], path: str, quick: bool = False) -> tuple[np.ndarray, np.ndarray, Compiled]:
-    """(text number of each pre-token, its place in the compiled table, the table).
+class Split(NamedTuple):
+    """A run of texts as one stream, cut into pre-tokens."""
 
-    ``quick`` takes the tokens of new pre-tokens from a library instead of the byte transducer.
-    A special token's string inside a text is a pre-token of its own, as the library has it.
-    """
-    table = compiled(path, quick)
-    if len(table.keys) > table.limit:
-        table._clear()
-    special = table.counter.special
+    joined: str  #: the pieces, each with a closing character of its own
+    codes: np.ndarray  #: code points of ``joined``
+    ends: np.ndarray  #: where the closing characters lie
+    a: np.ndarray  #: first character of each pre-token
+    b: np.ndarray  #: and the one behind its last
+    piece: np.ndarray  #: each pre-token's piece
+    owner: np.ndarray  #: each piece's text
+    extra: list[tuple[int, int]]  #: pieces that are special tokens: (piece, id)
+
+
+def split(texts: list[str], special: dict[str, int]) -> Split:
+    """The pre-tokens of ``texts``. A special token's string inside a text is a piece of its own, left empty."""
     pieces: list[str] = []
     owner: list[int] = []
-    extra: list[tuple[int, int]] = []  # pieces that are special tokens: (piece number, id)
+    extra: list[tuple[int, int]] = []
     cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
     for k, t in enumerate(texts):
         if cut is None or not any(s in t for s in special):
@@ -300,25 +324,34 @@ def encode(texts: list[str], path: str, quick: bool = False) -> tuple[np.ndarray
         for p in cut.split(t):
             if p in special:
                 extra.append((len(pieces), special[p]))
+                p = ""
             pieces.append(p)
             owner.append(k)
-    is_special = np.zeros(len(pieces), bool)
-    is_special[[p for p, _ in extra]] = True
-    joined = "\x00".join("" if s else p for p, s in zip(pieces, is_special.tolist(), strict=True)) + "\x00"
+    joined = "".join(p + "\x00" for p in pieces)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    length = np.fromiter((0 if s else len(p) for p, s in zip(pieces, is_special.tolist(), strict=True)), np.int64, len(pieces))
-    ends = np.cumsum(length + 1) - 1
+    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1) - 1
     classes = char_classes()[codes]
     classes[ends] = END
-    first = begins(classes)
+    first = begins(classes) if len(codes) else np.zeros(0, bool)
     first[ends] = True
     a = np.flatnonzero(first)
-    b = np.append(a[1:], len(codes))
+    b = np.append(a, len(codes))[1:]
     real = np.ones(len(codes), bool)
     real[ends] = False
-    keep = real[a]
-    a, b = a[keep], b[keep]
-    piece = np.searchsorted(ends, a)
+    a, b = a[real[a]], b[real[a]]
+    return Split(joined, codes, ends, a, b, np.searchsorted(ends, a), np.asarray(owner, np.int64), extra)
+
+
+def encode(texts: list[str], path: str, quick: bool = False) -> tuple[np.ndarray, np.ndarray, Compiled]:
+    """(text number of each pre-token, its place in the compiled table, the table).
+
+    ``quick`` takes the tokens of new pre-tokens from a library instead of the merge table.
+    A special token's string inside a text is a pre-token of its own, as the library has it.
+    """
+    table = compiled(path, quick)
+    if len(table.keys) > table.limit:
+        table._clear()
+    joined, codes, _, a, b, piece, owner, extra = split(texts, table.counter.special)
     keys = span_hashes(codes, a, b)
     place, known = table.find(keys)
     if not known.all():
@@ -339,7 +372,7 @@ def encode(texts: list[str], path: str, quick: bool = False) -> tuple[np.ndarray
         piece, place = np.concatenate([piece, [p for p, _ in extra]]), np.concatenate([place, at])
         o = np.argsort(piece, kind="stable")
         piece, place = piece[o], place[o]
-    return np.asarray(owner, np.int64)[piece] if len(pieces) else piece, place, table
+    return owner[piece], place, table
 
 
 def text_ids(place: np.ndarray, table: Compiled) -> np.ndarray:

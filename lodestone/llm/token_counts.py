@@ -1,10 +1,9 @@
-"""Token counts of whole texts by compiled finite-state tokenizers (see ``bpe``).
+"""Token counts of whole texts by compiled finite-state tokenizers (see ``bpe`` and ``transducer``).
 
 Defined cases: a null text counts as an empty one (no tokens); a special token's string inside a
 text is that one token; texts of any length are read whole, as one stream with their neighbours;
 rows are answered one by one, so ties, repeats and null ids need no rule; an empty table gives no
-rows; columns that clash with the results' names are replaced by them. Pre-tokens are told apart by
-64-bit hashes.
+rows; columns that clash with the results' names are replaced by them.
 """
 
 from __future__ import annotations
@@ -37,13 +36,12 @@ def slices(batch: pa.RecordBatch, column: int, most: int = STREAM) -> Iterator[t
 
 def _counter(path: str, column: int, schema: pa.Schema):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from lodestone.llm.bpe import encode
+        from lodestone.llm.transducer import token_totals
 
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             for a, b, texts in slices(batch, column):
-                owner, place, table = encode(texts, path)
-                n[a:b] = np.bincount(owner, weights=table.counts[place], minlength=b - a)[: b - a].astype(np.int64)
+                n[a:b] = token_totals(texts, path)
             size = pc.fill_null(pc.cast(pc.binary_length(batch.column(column)), pa.int64()), 0)
             cells = [batch.column(i) for i in range(batch.num_columns) if i != column]
             yield pa.RecordBatch.from_arrays([*cells, size, pa.array(n)], schema=pa.schema([*(f for i, f in enumerate(batch.schema) if i != column), *schema]))

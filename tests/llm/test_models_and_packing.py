@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe
+from lodestone.llm import bpe, transducer
 from lodestone.llm.packing import best_fit_pack, plan_bins
 from lodestone.llm.quality import quality
 from lodestone.llm.queries import tokenizer_path
@@ -36,6 +36,42 @@ def test_transducers_match_the_library(library):
         assert [x.tolist() for x in ids] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_counts_travel_on_transitions(library):
+    texts = odd_texts(1500) + ["x" * 127, "日" * 43, "é" * 64, "a" * 129 + " b", "日" * 700, "-" * 5000 + "a", "no\n\n\n" * 400]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert transducer.token_totals(texts, tokenizer_path()).tolist() == want
+    assert transducer.token_totals([], tokenizer_path()).tolist() == []
+
+
+def test_chunks_of_any_size_and_a_machine_that_is_emptied(monkeypatch, library):
+    words = [w.encode() for w in odd_texts(300, 5) if 0 < len(w.encode()) <= 40]
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    mode = np.zeros(len(raw), np.uint8)
+    mode[np.cumsum([0, *map(len, words[:-1])])] = transducer.BEGIN
+    machine = transducer.Transducer(tokenizer_path())
+    whole = machine.read(raw, mode, len(raw))
+    assert whole.sum() == sum(len(machine.counter.merge(w)) for w in words)
+    for chunk in (41, 64, 1000):
+        assert (machine.read(raw, mode, chunk) == whole).all()
+    monkeypatch.setattr(transducer, "SEGMENT", 500)
+    machine.most = 50
+    assert (machine.counts(raw, mode) == whole).all()
+
+
+def test_neighbours_by_undone_merges_are_those_of_whole_merges():
+    c = bpe.Counter(tokenizer_path())
+    assert c.ordered
+    rng = random.Random(4)
+    tokens = [t for t in sorted(c.bytes) if len(c.bytes[t]) < 12 and c.single(t)]
+    likely = [(x, y) for x, y in c.rank] + [(t, t) for t in tokens]
+    pairs = [rng.choice(likely) for _ in range(3000)] + [(rng.choice(tokens[:2000]), rng.choice(tokens[:2000])) for _ in range(5000)]
+    runs = [c.vocab[t * n] for t in (b"-", b"=", b" ", b"e") for n in range(1, 9) if t * n in c.vocab]
+    pairs += [(x, y) for x in runs for y in runs]
+    for x, y in pairs:
+        if c.single(x) and c.single(y):
+            assert c.adjacent(x, y) == (c.merge(c.bytes[x] + c.bytes[y]) == [x, y])
+
+
 def test_chunk_maps_compose():
     classes = np.random.default_rng(1).integers(0, bpe.CLASSES, 5000).astype(np.uint8)
     assert (bpe.begins(classes, 7) == bpe.begins(classes, 4096)).all()
