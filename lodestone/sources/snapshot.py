@@ -176,9 +176,12 @@ class EvidenceStore:
         References to a table in ``whole``, which is replaced or loses rows, are checked from all rows.
         """
         after = after or (lambda n: new[n] if n in new else self.table(n))
+        held = lambda n: n in self._tables  # noqa: E731, a table that was never written refers to nothing
         for name, df in new.items():
             assert_constraints(df, name)
         for child, column, parent, key in REFERENCES:
+            if child not in new and not held(child):
+                continue
             if parent in (new if whole is None else whole):
                 assert_references(after(child), column, after(parent), key, child)
             elif child in new:
@@ -189,8 +192,9 @@ class EvidenceStore:
         df = df.select(*(F.col(f.split()[0]).cast(" ".join(f.split()[1:])) for f in _fields(schema)))
         out = df.write
         if by := CLUSTERED.get(schema):
-            out = df.repartitionByRange(by).sortWithinPartitions(by).write.option(f"parquet.bloom.filter.enabled#{by}", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.block.size", 16 << 20)
-        out.mode("errorifexists").parquet(f"{self.root}/{at}")
+            # postings come in runs that are in order, and aren't dealt anew: pages and Bloom filters tell a lookup what to skip
+            out = (df if schema == INDEX["index_postings"] else df.repartitionByRange(by).sortWithinPartitions(by)).write.option(f"parquet.bloom.filter.enabled#{by}", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option(f"parquet.bloom.filter.candidates.number#{by}", "10").option("parquet.block.size", 16 << 20)
+        out.mode("errorifexists").option("compression", "zstd").parquet(f"{self.root}/{at}")
 
     def commit(self, changed: dict[str, DataFrame] | None = None, dry_run: bool = False, rows: dict[str, DataFrame] | None = None, gone: dict[str, DataFrame] | None = None) -> int:
         """Publish the next snapshot; a failed check leaves the head where it was.
@@ -219,7 +223,8 @@ class EvidenceStore:
             if not self._list(name):
                 staged[name] = [{"rows": f"{at}/rows"}]
                 return
-            touched(written, lost, keys).write.parquet(f"{self.root}/{at}/touched")
+            # a claim's postings and lengths go with it: their keys are the claims'
+            (lost if name in INDEX else touched(written, lost, keys)).write.option("compression", "zstd").parquet(f"{self.root}/{at}/touched")
             count = self.spark.read.parquet(f"{self.root}/{at}/touched").count()
             staged[name] = [*self._list(name), {"rows": f"{at}/rows", "touched": f"{at}/touched", "keys": count}]
 
@@ -247,8 +252,8 @@ class EvidenceStore:
                     staged[k] = [{"rows": f"{stage}/{k}"}]
                 else:
                     # a claim without a token has no row of its own here, yet takes the place of its earlier ones
-                    lost = new["memories"].select("record_digest")
-                    lost = lost.unionByName(gone["memories"].select("record_digest")) if "memories" in gone else lost
+                    part = staged["memories"][-1]
+                    lost = self.spark.read.parquet(f"{self.root}/{part['touched']}") if part.get("touched") else new["memories"].select("record_digest").distinct()
                     add(k, df, INDEX[k], lost.withColumnRenamed("record_digest", "id"))
         return self._publish(self._tables | staged)
 
@@ -284,8 +289,15 @@ class EvidenceStore:
         """A copy of this snapshot in a place where nothing is yet; returns its row counts."""
         if self._path(dest).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(self._path(dest)):
             raise FileExistsError(dest)
-        copy = EvidenceStore(self.spark, dest)
-        copy.commit(self.tables())
+        copy = EvidenceStore(self.spark, dest, text=self.text)
+        if self.version < VERSION:
+            copy.commit(self.tables())
+            return copy.stats()
+        # the rows of a snapshot were checked when it was made, and its index goes with it
+        stage, schemas = f"snapshots/{uuid.uuid4().hex}", EVIDENCE | INDEX
+        for name in self._tables:
+            copy._write(self._load(name, schemas[name]), schemas[name], f"{stage}/{name}")
+        copy._publish({name: [{"rows": f"{stage}/{name}"}] for name in self._tables})
         return copy.stats()
 
 

@@ -114,3 +114,43 @@ def test_a_phrase_in_a_query_counts_as_a_term(spark, tmp_path):
     store = EvidenceStore.open(spark, str(tmp_path / "phrases"))
     store.commit(rows={"memories": claims(spark, [(1, "the quick brown fox"), (2, "brown and quick"), (3, "fox")])})
     assert {r.record_digest for r in lexical_branch(store.index(), "quick_brown").collect()} == {claims(spark, [(1, "")]).first().record_digest}
+
+
+def test_many_touched_keys_join_only_marked_rows(spark, monkeypatch):
+    from lodestone.operators import parts
+
+    base = spark.range(3000).select(F.when(F.col("id") > 0, F.col("id").cast("string")).alias("k"), F.col("id").alias("v"))
+    changed = spark.range(0, 3000, 7).select(F.when(F.col("id") > 0, F.col("id").cast("string")).alias("k"), (-F.col("id")).alias("v"))
+    gone = spark.range(0, 3000, 11).select(F.col("id").cast("string").alias("k"))
+    given = [Part(base), Part(changed, changed.select("k"), 429), Part(base.limit(0), gone, 273)]
+    few = sorted(map(tuple, merged(given, ["k"]).collect()), key=str)
+    monkeypatch.setattr(parts, "SMALL", 10)
+    many = merged(given, ["k"])
+    assert sorted(map(tuple, many.collect()), key=str) == few
+    sure, maybe = parts._split(base, [(1, given[1]), (2, given[2])], ["k"], 702)
+    assert sure.count() + maybe.count() == 3000 and 660 <= maybe.count() < 900
+    hit = sure.join(gone, "k", "left_semi")
+    assert hit.isEmpty()
+
+
+def test_postings_and_copies_need_no_shuffle(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b a b c", "c a"), (2, "b a", "b c"), (3, None, ""), (4, "d" * 40, "e")], "id int, x string, y string")
+    words = lambda c: F.split(F.coalesce(c, F.lit("")), " ")
+    fields = [(words("x"), 1.0), (words("y"), 0.5)]
+    index, lengths = lexical.postings(docs, "id", fields)
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    whole = sorted((r.term, r.id, r.tf, tuple(r.at)) for r in index.collect())
+    assert [w for w in whole if w[1] == 1] == [("a", 1, 2.5, (0, 2, (1 << 28) + 1)), ("b", 1, 2.0, (1, 3)), ("c", 1, 1.5, (4, 1 << 28))]
+    monkeypatch.setattr(lexical, "TOKENS", 3)
+    few, n = lexical.postings_of(docs, "id", fields, ["a", "c", "z"])
+    assert sorted((r.term, r.id, r.tf, tuple(r.at)) for r in few.collect()) == [w for w in whole if w[0] in ("a", "c")]
+    assert sorted(map(tuple, n.collect())) == sorted(map(tuple, lengths.collect()))
+    store = EvidenceStore.open(spark, str(tmp_path / "s"), PLAIN)
+    store.commit(rows={"memories": claims(spark, [(i, f"running word{i}") for i in range(20)])})
+    store.commit(rows={"memories": claims(spark, [(3, "runs")])}, gone={"memories": claims(spark, [(4, "x")]).select("record_digest")})
+    monkeypatch.setattr(EvidenceStore, "validate", lambda *_: 1 / 0)  # a snapshot was checked when it was made
+    store.backup_to(str(tmp_path / "copy"))
+    copy = EvidenceStore.open_read_only(spark, str(tmp_path / "copy"))
+    view = lambda s: sorted((r.term, r.id, r.tf, tuple(r.at)) for r in s.index().postings.collect())
+    assert view(copy) == view(store) and "running" in {r[0] for r in view(copy)}
+    assert sorted(r.claim for r in copy.table("memories").collect()) == sorted(r.claim for r in store.table("memories").collect())
