@@ -96,3 +96,16 @@ def test_ed25519_published_vectors():
         envelope.open_envelope(e | {"payloadBase64": "e30="}, peers)
     with pytest.raises(PermissionError):
         envelope.open_envelope(e, {})
+
+
+def test_texts_reach_python_in_small_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    from lodestone.functions import text
+
+    monkeypatch.setattr(text, "PIECE", 10)
+    given = pa.array(["aaaa", None, "bbbbbb", "c" * 30, "", "d"])
+    assert list(text._pieces(given)) == [["aaaa", None, "bbbbbb"], ["c" * 30], ["", "d"]] and list(text._pieces(given.slice(4))) == [["", "d"]]
+    rows = spark.createDataFrame([(1, "plainé\n"), (2, "ét"), (3, None), (4, ""), (5, "á̖ 가")], "id int, t string")
+    got = {r.id: (r.n, r.w) for r in rows.select("id", text.nfc_column(rows.t).alias("n"), text.index_tokens_udf("t").alias("w")).collect()}
+    assert got == {1: ("plainé\n", text.index_tokens("plain\u00e9")), 2: ("ét", ["et"]), 3: (None, []), 4: ("", []), 5: ("á̖ 가", ["a", text.fold("가")])}, got
