@@ -16,6 +16,7 @@ from lodestone.operators import lexical
 from lodestone.operators.conflict import conflicting_pairs, conflicts_of
 from lodestone.operators.entity import Dictionary, entity_search
 from lodestone.operators.graph import walk
+from lodestone.operators.stored import stored
 from lodestone.operators.vector import vector_search
 
 BRANCHES = ["lexical", "semantic", "entity", "provenance"]
@@ -72,9 +73,18 @@ class Index:
     @classmethod
     def build(cls, memories: DataFrame, tokens: Callable[[Column], Column] = index_tokens_udf, phrases: Callable[[str], list[list[str]]] = query_phrases) -> Index:
         """``tokens`` cuts a text into terms and ``phrases`` a query: folded and stemmed ones unless others are given."""
-        t = memories.select("record_digest", tokens(F.col("claim")).alias("c"), tokens(F.coalesce("source_locator", F.lit(""))).alias("l"))
-        p, n = lexical.postings(t, "record_digest", [(F.col("c"), lexical.FIELD_WEIGHTS[0]), (F.col("l"), lexical.FIELD_WEIGHTS[1])])
-        return cls(p, n, phrases)
+        return cls(*lexical.postings(memories, "record_digest", _fields(tokens)), phrases)
+
+    @classmethod
+    def of_query(cls, memories: DataFrame, query: str, tokens: Callable[[Column], Column] = index_tokens_udf, phrases: Callable[[str], list[list[str]]] = query_phrases) -> Index:
+        """What one query reads of the index, stored after a single pass over the texts: its terms' postings and all lengths."""
+        terms = [t for p in phrases(query) for t in p]
+        return cls(*lexical.postings_of(memories, "record_digest", _fields(tokens), terms), phrases)
+
+
+def _fields(tokens: Callable[[Column], Column]) -> list[tuple[Column, float]]:
+    """The fields of a record that are indexed, with their weights."""
+    return list(zip((tokens(F.col("claim")), tokens(F.coalesce("source_locator", F.lit("")))), lexical.FIELD_WEIGHTS, strict=True))
 
 
 def lexical_branch(index: Index, query: str) -> DataFrame | None:
@@ -103,7 +113,8 @@ def recall(memories: DataFrame, edges: DataFrame, options: RecallOptions, index:
     Retired matches are reported as withheld unless asked for; counts and conflicting pairs are taken before the cut.
     """
     o, degraded = options, []
-    index = index or Index.build(memories)
+    if index is None and o.use_lexical:
+        index = Index.of_query(memories, o.query)
     fetch = o.limit * OVERFETCH
     state = memories.select("record_digest", "claim", "occurred_at", scalar.live(F.col("superseded_at"), F.col("retracted_at")).alias("live"), F.col("superseded_at").isNull().alias("unsuperseded"))
     branches, withheld = [], []
@@ -125,7 +136,7 @@ def recall(memories: DataFrame, edges: DataFrame, options: RecallOptions, index:
     if not branches:
         seeds = spark.createDataFrame([], "record_digest string, branch string, lexical double, semantic double, shared long, hops int")
     else:
-        seeds = reduce(DataFrame.unionByName, branches)
+        seeds = stored(reduce(DataFrame.unionByName, branches))
     if o.hops and branches:
         reached = walk(seeds.select(F.col("record_digest").alias("seed")).distinct(), edges, o.hops, "both").where("depth > 0")
         reached = reached.groupBy(F.col("node").alias("record_digest")).agg(F.min("depth").alias("depth")).join(state.select("record_digest", "unsuperseded"), "record_digest")
@@ -135,10 +146,11 @@ def recall(memories: DataFrame, edges: DataFrame, options: RecallOptions, index:
     merged = seeds.groupBy("record_digest").agg(F.max("lexical").alias("lexical"), F.max("semantic").alias("semantic"), F.max("shared").alias("shared"), F.min("hops").alias("hops"), F.array_sort(F.collect_set("branch")).alias("branches"))
     best = merged.agg(F.max("lexical").alias("best"))
     age = scalar.age_days(F.lit(o.as_of), F.col("occurred_at"))
-    scored = merged.join(state, "record_digest").join(F.broadcast(best)).select(
+    # the fetched rows and their neighbours: read by the counts, the pairs and the ranking
+    scored = stored(merged.join(state, "record_digest").join(F.broadcast(best)).select(
         "record_digest", "claim", "branches", "hops", (~F.col("unsuperseded")).alias("superseded"),
         scalar.blended(F.when(F.col("lexical").isNotNull(), scalar.lexical_share(F.col("lexical"), F.col("best"))), F.when(F.col("semantic").isNotNull(), scalar.clamp01(F.col("semantic"))), F.when(F.col("shared").isNotNull(), scalar.saturation(F.col("shared"))), F.when(F.col("hops").isNotNull(), scalar.graph_decay(F.col("hops"))), scalar.recency(age)).alias("score"),
-    )
+    ))
     counts = scored.agg(*(F.count(F.when(F.array_contains("branches", b), 1)).alias(b) for b in BRANCHES), F.count("*").alias("unique"))
     pairs = conflicting_pairs(scored, edges)
     ranked = scored.orderBy(F.desc("score"), "record_digest").limit(o.limit)

@@ -16,7 +16,7 @@ from lodestone import store_queries
 from lodestone.functions import scalar
 from lodestone.functions.text import index_tokens_udf
 from lodestone.operators import conflict, contain, context, entity, evaluate, graph, keyed, lexical, personal, temporal, vector, write
-from lodestone.plans.recall import Index, RecallOptions, recall
+from lodestone.plans.recall import RecallOptions, recall
 from lodestone.schemas import dangling, violations
 from lodestone.sources.snapshot import table_counts
 
@@ -128,7 +128,7 @@ def hybrid_recall(spark, d):
     key = F.format_string("%012d", (F.col("doc_id") * 31 + 7) % F.col("n"))
     e = docs.join(F.broadcast(n)).select(F.format_string("%012d", "doc_id").alias("src"), key.alias("dst"), F.when(F.col("doc_id") % 5 == 0, "contradicts").otherwise("supports").alias("edge_kind")).where("src <> dst")
     text = _read(spark, d, "benchmark").orderBy("item_id").first().text
-    return recall(m, e, RecallOptions(text, limit=20, as_of="1998-07-01T00:00:00Z", hops=1), Index.build(m)).hits.select("record_digest", "branches", "hops", "score", "conflicts")
+    return recall(m, e, RecallOptions(text, limit=20, as_of="1998-07-01T00:00:00Z", hops=1)).hits.select("record_digest", "branches", "hops", "score", "conflicts")
 
 
 @query()
