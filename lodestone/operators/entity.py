@@ -13,11 +13,17 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.scalar import live
 from lodestone.functions.seal import seal
+from lodestone.functions.text import pieces_of
 from lodestone.operators.keyed import replace_by_key
+from lodestone.operators.stored import stored
 
 ALGORITHM = "longest-match-word-bounded.v1"
 #: Dictionaries with more forms than this go through an automaton, whose time doesn't grow with their number.
 FEW = 64
+#: Bytes of the forms that every worker holds; of a larger table only the forms that occur, or none.
+FORM_BYTES = 1 << 21
+#: Bits of the bitmap for each form of a larger table, and the most in all (16 MB); a row of the bitmap has PAGE bits.
+BITS, MOST, PAGE = 16, 1 << 27, 1 << 15
 #: Other than ASCII letters and digits.
 _OUTSIDE = np.array([not chr(b).isalnum() or b > 127 for b in range(256)])
 
@@ -55,10 +61,10 @@ def leftmost_longest(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 class Dictionary:
     """Surface forms of entities, longest first; forms of equal length by text, then by entity."""
 
-    def __init__(self, entities: list[tuple[str, str, list[str]]]):
+    def __init__(self, entities: list[tuple[str, str, list[str]]], identity: str | None = None):
         forms = {(form.lower(), eid) for eid, name, aliases in entities for form in [name, *aliases] if form.strip()}
         self.forms = sorted(forms, key=lambda f: (-len(f[0].encode()), f))
-        self.identity = seal("entity-extractor", {"algorithm": ALGORITHM, "entityIdentities": [eid for eid, _, _ in entities]})
+        self.identity = identity or seal("entity-extractor", {"algorithm": ALGORITHM, "entityIdentities": [eid for eid, _, _ in entities]})
         self.entity: dict[bytes, str] = {}
         for form, eid in self.forms:
             self.entity.setdefault(form.encode(), eid)
@@ -91,28 +97,158 @@ class Dictionary:
 
 
 def _finder(dictionary: Dictionary):
-    """The mention rows of batches of (record_digest, claim): a batch is searched as one buffer."""
+    """The mention rows of batches of (record_digest, claim): about a megabyte of claims is searched as one buffer."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [t.encode() for t in b.column(1).to_pylist()]
-            at = np.cumsum([0, *(len(t) + 1 for t in raw)])
-            found = list(dictionary.spans(b"\x00".join(raw)))
-            start, end = (np.array([f[k] for f in found], np.int64) for k in (1, 2))
-            row = np.searchsorted(at, start, "right") - 1
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array([f[0] for f in found], pa.string()), pa.array((start - at[row]).astype(np.int32)), pa.array((end - at[row]).astype(np.int32))], names=["record_digest", "entity_id", "start_offset", "end_offset"])
+            lo = 0
+            for piece in pieces_of(b.column(1)):
+                raw = [t.encode() for t in piece]
+                at = np.cumsum([0, *(len(t) + 1 for t in raw)])
+                found = list(dictionary.spans(b"\x00".join(raw)))
+                start, end = (np.array([f[k] for f in found], np.int64) for k in (1, 2))
+                row = np.searchsorted(at, start, "right") - 1
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lo + row)), pa.array([f[0] for f in found], pa.string()), pa.array((start - at[row]).astype(np.int32)), pa.array((end - at[row]).astype(np.int32))], names=["record_digest", "entity_id", "start_offset", "end_offset"])
+                lo += len(piece)
 
     return find
 
 
+def _claims(memories: DataFrame) -> DataFrame:
+    return memories.where("claim IS NOT NULL").select("record_digest", F.lower("claim").alias("claim"))
+
+
 def index_mentions(memories: DataFrame, dictionary: Dictionary) -> DataFrame:
     """The mention rows of every claim under this dictionary."""
     kind = memories.schema["record_digest"].dataType.simpleString()
-    claims = memories.where("claim IS NOT NULL").select("record_digest", F.lower("claim").alias("claim"))
-    found = claims.mapInArrow(_finder(dictionary), f"record_digest {kind}, entity_id string, start_offset int, end_offset int")
+    found = _claims(memories).mapInArrow(_finder(dictionary), f"record_digest {kind}, entity_id string, start_offset int, end_offset int")
     return found.withColumn("extractor_identity", F.lit(dictionary.identity))
 
 
+def _lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forms of (form, id), as a dictionary holds them."""
+    for b in batches:
+        rows = [(f.lower().encode(), i) for f, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if f and f.strip()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], names=["form", "id"])
+
+
+def _sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_bits`` needs of a buffer: running sums of its bytes times powers of an odd base, and the powers' inverses, modulo 2 ** 64."""
+    base = 0x9E3779B97F4A7C15
+    powers, inverse = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(raw), x % (1 << 64), np.uint64))]) for x in (base, pow(base, -1, 1 << 64)))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:-1])]), inverse
+
+
+def _bits(sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, end: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of a bitmap for the bytes of each span: equal bytes have equal bits."""
+    h = (sums[end] - sums[start]) * inverse[start]
+    for shift, by in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
+    h ^= h >> np.uint64(33)
+    return (h & np.uint64(bits - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _marking(bits: int):
+    """The bits of batches of forms."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(0).to_pylist()
+            at = np.cumsum([0, *map(len, raw)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_bits(*_sums(np.frombuffer(b"".join(raw), np.uint8)), at[:-1], at[1:], bits)))], names=["bit"])
+
+    return mark
+
+
+def _bitmap(forms: DataFrame, bits: int) -> np.ndarray:
+    """The marked bits of all forms, as bytes: at most ``MOST`` bits, whatever the number of forms."""
+    marks = forms.select("form").mapInArrow(_marking(bits), "bit long").select(F.expr(f"bit div {PAGE}").alias("page"), (F.col("bit") % PAGE).alias("place"))
+    found = np.zeros((bits // PAGE, PAGE // 8), np.uint8)
+    for r in marks.groupBy("page").agg(F.bitmap_construct_agg("place").alias("marked")).toLocalIterator():
+        found[r.page] = np.frombuffer(r.marked, np.uint8)
+    return found.reshape(-1)
+
+
+def _candidates(lengths: list[int], bitmap: np.ndarray, places: bool):
+    """The bounded spans of batches of (row, claim) that may be forms: each one with its place, or a piece's different ones."""
+    bits = len(bitmap) * 8
+    marked = lambda bit: bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lo = 0
+            for piece in pieces_of(b.column(1)):
+                raw = [t.encode() for t in piece]
+                at = np.cumsum([0, *(len(t) + 1 for t in raw)])
+                buffer = np.frombuffer(b"\x00".join([*raw, b""]), np.uint8)
+                outside, (sums, inverse) = _OUTSIDE[buffer], _sums(buffer)
+                begins = np.flatnonzero(np.append(True, outside[:-1]))
+                stop = at[np.searchsorted(at, begins, "right")] - 1  # where its claim ends
+                start, size = [], []
+                for n in lengths:
+                    a = begins[begins + n <= stop]
+                    a = a[outside[a + n]]
+                    one, two = _bits(sums, inverse, a, a + n, bits)
+                    a = a[marked(one) & marked(two)]
+                    start.append(a)
+                    size.append(np.full(len(a), n))
+                start, size = np.concatenate(start), np.concatenate(size)
+                ends = np.cumsum(size)
+                data = buffer[np.repeat(start - ends + size, size) + np.arange(int(size.sum()))]
+                form = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data)])
+                if places:
+                    row = np.searchsorted(at, start, "right") - 1
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lo + row)), pa.array((start - at[row]).astype(np.int32)), pa.array((start + size - at[row]).astype(np.int32)), form], names=["row", "start_offset", "end_offset", "form"])
+                else:
+                    yield pa.RecordBatch.from_arrays([form.unique()], names=["form"])
+                lo += len(piece)
+
+    return find
+
+
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of spans in the order of row, start and falling end the ones that ``leftmost_longest`` keeps; a claim may run over batches."""
+    row, free = None, 0
+    for b in batches:
+        kept = []
+        for k, (r, a, e) in enumerate(zip(*(b.column(c).to_pylist() for c in ("row", "start_offset", "end_offset")), strict=True)):
+            if r != row:
+                row, free = r, 0
+            if a >= free:
+                kept.append(k)
+                free = e
+        yield b.take(pa.array(kept, pa.int64()))
+
+
+def index_mentions_of(memories: DataFrame, entities: DataFrame) -> DataFrame:
+    """The mention rows of every claim under an entity table of any size.
+
+    A table beyond ``FORM_BYTES`` stays where it is: a bitmap of its forms' hashes tells which spans of the
+    claims may be forms, and a join by their bytes which ones are. A form that occurs nowhere takes no
+    span from another one, so the forms that occur are the dictionary; where they are too many for a worker
+    too, all spans meet the table and each claim's are chosen in their order.
+    """
+    named = entities.select(F.explode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form"), F.col("id").cast("string").alias("id"))
+    forms = stored(named.mapInArrow(_lowered, "form binary, id string").groupBy("form").agg(F.min("id").alias("id")))
+    size = forms.agg(F.count("*").alias("n"), F.sum(F.length("form")).alias("bytes")).first()
+    if (size.bytes or 0) <= FORM_BYTES:
+        return index_mentions(memories, Dictionary.of(entities))
+    parts = [F.sum(F.conv(F.substring(F.sha2(F.col("id").cast("string"), 256), k, 15), 16, 10).cast("decimal(38,0)")) for k in (1, 16)]
+    identity = seal("entity-extractor", {"algorithm": ALGORITHM, "entityIdentities": ["-".join(map(str, entities.select("id").distinct().agg(F.count("*"), *parts).first()))]})
+    bitmap = _bitmap(forms, min(MOST, max(PAGE, 1 << (BITS * size.n - 1).bit_length())))
+    lengths = sorted(r.n for r in forms.select(F.length("form").alias("n")).distinct().collect())
+    claims = _claims(memories)
+    met = stored(claims.mapInArrow(_candidates(lengths, bitmap, False), "form binary").distinct().join(forms, "form"))
+    if (met.agg(F.sum(F.length("form"))).first()[0] or 0) <= FORM_BYTES:
+        return index_mentions(memories, Dictionary([(r.id, bytes(r.form).decode(), []) for r in met.collect()], identity))
+    kind = memories.schema["record_digest"].dataType.simpleString()
+    rows = claims.select(F.struct(F.monotonically_increasing_id().alias("at"), "record_digest").alias("row"), "claim")
+    spans = rows.mapInArrow(_candidates(lengths, bitmap, True), f"row struct<at: bigint, record_digest: {kind}>, start_offset int, end_offset int, form binary").join(met, "form")
+    spans = spans.select(F.col("row.at").alias("row"), F.col("row.record_digest").alias("record_digest"), F.col("id").alias("entity_id"), "start_offset", "end_offset")
+    spans = spans.repartition("row").sortWithinPartitions("row", "start_offset", F.desc("end_offset")).mapInArrow(_chosen, f"row bigint, record_digest {kind}, entity_id string, start_offset int, end_offset int")
+    return spans.drop("row").withColumn("extractor_identity", F.lit(identity))
+
+
 def reindex(memories: DataFrame, mentions: DataFrame, dictionary: Dictionary) -> DataFrame:
     """The mention table with this extractor's rows made anew."""
     return mentions.where(F.col("extractor_identity") != dictionary.identity).unionByName(index_mentions(memories, dictionary))

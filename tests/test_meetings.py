@@ -75,6 +75,25 @@ def test_a_hundred_thousand_forms(spark):
     assert got == {(str(i), f"entity{i * 331}") for i in range(300)} | {(str(i), "entity99999") for i in range(300)}
 
 
+def test_an_entity_table_beyond_a_worker_stays_where_it_is(spark, monkeypatch):
+    rng = random.Random(4)
+    forms = ["new york", "new", "york", "york city", "New York City Hall", "é", "a-b", "b", "日本", "#b", "x" * 40, *("".join(rng.choice("abn é") for _ in range(rng.randint(1, 6))) for _ in range(150))]
+    entities = spark.createDataFrame([(f"e{k}", f, [f"{f} b"] if k % 3 else None) for k, f in enumerate([*forms, "new", "b"])], "id string, canonical_name string, aliases array<string>")
+    text = [" ".join(rng.choice([*forms, "zz", "NEW-york", "éa", "1b", "_b_", "B", "東日本"]) for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["", None, "new york city hall", "newyork city"]
+    m = spark.createDataFrame([(k % 40, t) for k, t in enumerate(text)], "record_digest int, claim string")
+    rows = lambda df: sorted(tuple(r) for r in df.select("record_digest", "entity_id", "start_offset", "end_offset").collect())
+    want = rows(entity.index_mentions(m, entity.Dictionary.of(entities)))
+    assert len(want) > 200 and rows(entity.index_mentions_of(m, entities)) == want
+    occur = len("".join({f for f in forms if f}))
+    of = monkeypatch.setattr
+    of(entity.Dictionary, "of", None)  # from here on no table is collected
+    far = spark.range(5000).select(F.concat(F.lit("f"), "id").alias("id"), F.concat(F.lit("nowhere"), "id").alias("canonical_name"), F.lit(None).cast("array<string>").alias("aliases"))
+    for limit in (20 * occur, 100):  # the forms that occur are few, or too many as well
+        of(entity, "FORM_BYTES", limit)
+        found = entity.index_mentions_of(m, entities.union(far))
+        assert rows(found) == want and found.select("extractor_identity").distinct().count() == 1
+
+
 def test_only_ranges_that_differ_are_met(spark):
     a = spark.range(20_000).select(F.col("id").cast("string").alias("k"), (F.col("id") * 7).alias("v"))
     b = a.where("k <> '17'").withColumn("v", F.when(F.col("k").isin("5", "4711"), F.lit(0)).otherwise(F.col("v"))).union(spark.createDataFrame([("new", 1), ("9", 63)], "k string, v long"))
