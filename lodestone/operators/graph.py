@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.stored import stored
+from lodestone.operators.stored import parted, stored
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
     raise ValueError(f"unknown direction {direction!r}")
 
 
-#: Edges of one node that go to one place; a node with more is a hub. Hubs up to this number are sent to every task.
+#: Edges of one node that go to one place; a node with more is a hub. Hubs or digests up to this number are sent to every task.
 HUB, SMALL = 10_000, 50_000
 
 
@@ -75,10 +75,14 @@ def in_order(walked: DataFrame) -> DataFrame:
 
 def neighbours(digests: DataFrame, edges: DataFrame) -> DataFrame:
     """digest, other, edge_kind, outgoing: edges out of and into each digest."""
-    d = digests.select(F.col("digest")).distinct()
-    out = d.join(edges, F.col("digest") == F.col("src")).select("digest", F.col("dst").alias("other"), "edge_kind", F.lit(True).alias("outgoing"))
-    into = d.join(edges, F.col("digest") == F.col("dst")).select("digest", F.col("src").alias("other"), "edge_kind", F.lit(False).alias("outgoing"))
-    return out.unionByName(into)
+    out = edges.select(F.col("src").alias("digest"), F.col("dst").alias("other"), "edge_kind", F.lit(True).alias("outgoing"))
+    both = out.unionByName(edges.select(F.col("dst").alias("digest"), F.col("src").alias("other"), "edge_kind", F.lit(False).alias("outgoing")))
+    d = digests.select("digest")
+    if d.limit(SMALL + 1).count() <= SMALL:
+        return both.join(F.broadcast(d), "digest", "left_semi")
+    rows = max(2 * edges.count(), d.count())
+    # an inner join, as Spark would move a semi-join below the dealing
+    return parted(both, rows, "digest").join(parted(d, rows, "digest").distinct(), "digest")
 
 
 def existing(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -34,6 +34,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a part in which a join by key sorts its sides.
+ROWS = 1 << 19
+
+
+def parted(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """One side of a join by ``keys`` whose larger side has ``rows`` rows: dealt into parts of some ``ROWS`` rows.
+
+    A number that is asked for is kept, while adaptive execution puts parts together up to a size of
+    compressed bytes; nor is a side then sent to every task because its files are small.
+    """
+    n = -(-rows // ROWS)
+    return df if n <= 1 else df.repartition(n, *keys).hint("merge")
+
+
 def numbered_from_one(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """``df`` with its rows numbered from 1 without gaps in the given order, by ranges and their offsets.
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import conflict, context, entity, evaluate, graph, keyed, personal, temporal, vector, write
+from lodestone.operators import conflict, context, entity, evaluate, graph, keyed, personal, stored, temporal, vector, write
 from lodestone.plans.recall import RecallOptions, recall
 from lodestone.schemas import EVIDENCE, ConstraintError, assert_constraints, violations
 
@@ -228,3 +228,16 @@ def test_components_of_long_chains_are_whole_or_an_error(spark):
     assert got == {name(i): name(1) for i in chain} | {"alone": "alone"}
     with pytest.raises(ValueError):
         graph.components(nodes, e, rounds=1)
+
+
+def test_neighbours_are_joined_in_parts_of_bounded_rows(spark, monkeypatch):
+    edges = spark.createDataFrame([(i % 50, i * 7 % 90, "supports") for i in range(400)], "src int, dst int, edge_kind string")
+    digests = spark.createDataFrame([(i % 60,) for i in range(100)] + [(None,)], "digest int")
+    want = sorted([(s, d, k, True) for s, d, k in edges.collect() if s < 60] + [(d, s, k, False) for s, d, k in edges.collect() if d < 60])
+    assert sorted(map(tuple, graph.neighbours(digests, edges).collect())) == want
+    monkeypatch.setattr(stored, "ROWS", 100)
+    monkeypatch.setattr(graph, "SMALL", 10)
+    parts = graph.neighbours(digests, edges)
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, parts.collect())) == want
+    assert parts.rdd.getNumPartitions() == 8 and "BroadcastHashJoin" not in plan and plan.count("Exchange hashpartitioning") == 2 == plan.count("REPARTITION_BY_NUM")
