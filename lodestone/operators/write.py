@@ -9,7 +9,7 @@ from lodestone.functions.scalar import derive, last_decimal
 from lodestone.functions.seal import NAMESPACE, seal_column
 from lodestone.functions.text import fixed_text_udf
 from lodestone.operators.keyed import insert_absent
-from lodestone.operators.stored import numbered_from_one
+from lodestone.operators.stored import numbered_from_one, parted
 from lodestone.schemas import EDGE_KINDS, ConstraintError
 
 #: Which columns carry which seal's fields.
@@ -84,9 +84,15 @@ def verify_derivations(specs: DataFrame, observations: DataFrame, memories_claim
     """record_digest, verified, problem for specs (record_digest, transform, left, right, decimals).
 
     Inputs are observations; the stated value is the claim's last decimal, compared at the declared precision.
+    Each join is dealt into parts of bounded rows.
     """
     value = observations.select("identity", F.expr("try_cast(value_text AS double)").alias("v"))
-    s = specs.join(value.toDF("left", "a"), "left", "left").join(value.toDF("right", "b"), "right", "left").join(memories_claims.select("record_digest", "claim"), "record_digest", "left")
+    told = memories_claims.select("record_digest", "claim")
+    n, known, said = specs.count(), value.count(), told.count()
+    s, a, b = parted(specs, max(n, known), "left"), value.toDF("left", "a"), value.toDF("right", "b")
+    s = s.join(parted(a, max(n, known), "left"), "left", "left")
+    s = parted(s, max(n, known), "right").join(parted(b, max(n, known), "right"), "right", "left")
+    s = parted(s, max(n, said), "record_digest").join(parted(told, max(n, said), "record_digest"), "record_digest", "left")
     result = None
     for name in ("ratio", "delta", "percentChange"):
         d = derive(name, F.col("a"), F.col("b"))

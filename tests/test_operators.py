@@ -241,3 +241,15 @@ def test_neighbours_are_joined_in_parts_of_bounded_rows(spark, monkeypatch):
     plan = parts._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, parts.collect())) == want
     assert parts.rdd.getNumPartitions() == 8 and "BroadcastHashJoin" not in plan and plan.count("Exchange hashpartitioning") == 2 == plan.count("REPARTITION_BY_NUM")
+
+
+def test_derivations_are_joined_in_parts_of_bounded_rows(spark, monkeypatch):
+    observations = spark.createDataFrame([(f"o{k}", str(k)) for k in range(300)], "identity string, value_text string")
+    specs = spark.createDataFrame([(f"r{k}", "delta", f"o{k + 7}", f"o{k % 5}" if k % 9 else None, 2) for k in range(200)], "record_digest string, transform string, left string, right string, decimals int")
+    said = spark.createDataFrame([(f"r{k}", f"it is {k + 7 - k % 5 + (k % 10 == 0)}") for k in range(190)], "record_digest string, claim string")
+    whole = write.verify_derivations(specs, observations, said)
+    monkeypatch.setattr(stored, "ROWS", 50)
+    parts = write.verify_derivations(specs, observations, said)
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect())) and parts.where("verified").count() > 100
+    assert "BroadcastHashJoin" not in plan and plan.count("REPARTITION_BY_NUM") == 6 == plan.count("Exchange hashpartitioning")
