@@ -48,6 +48,11 @@ def parted(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df if n <= 1 else df.repartition(n, *keys).hint("merge")
 
 
+def spread(spark, rows: int) -> int:
+    """``rows`` for ``parted``; where they make more than one part, at least as many as make a part a core."""
+    return rows if rows <= ROWS else max(rows, ROWS * spark.sparkContext.defaultParallelism)
+
+
 def numbered_from_one(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """``df`` with its rows numbered from 1 without gaps in the given order, by ranges and their offsets.
 

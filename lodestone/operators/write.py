@@ -9,7 +9,7 @@ from lodestone.functions.scalar import derive, last_decimal
 from lodestone.functions.seal import NAMESPACE, seal_column
 from lodestone.functions.text import fixed_text_udf
 from lodestone.operators.keyed import insert_absent
-from lodestone.operators.stored import numbered_from_one, parted
+from lodestone.operators.stored import numbered_from_one, parted, spread
 from lodestone.schemas import EDGE_KINDS, ConstraintError
 
 #: Which columns carry which seal's fields.
@@ -141,11 +141,36 @@ def backfilled(memories: DataFrame) -> DataFrame:
     return memories.join(r, "superseded_by", "left").withColumn("superseded_seq", F.coalesce("superseded_seq", "__seq")).select(*memories.columns)
 
 
-def record_detail(memories: DataFrame, edges: DataFrame, bridge: DataFrame, observations: DataFrame, policies: DataFrame, suites: DataFrame, references: DataFrame, digests: DataFrame) -> DataFrame:
-    """Records with their observations (with policy, suite and reference) and edges, nested; missing parts are empty lists."""
-    d = digests.select(F.col("digest").alias("record_digest")).distinct()
-    o = bridge.join(d, "record_digest").join(observations.withColumnRenamed("identity", "observation_identity"), "observation_identity").join(policies.select(F.col("identity").alias("policy_identity"), "metric", "unit"), "policy_identity").join(suites.select(F.col("identity").alias("suite_identity"), "suite_name"), "suite_identity").join(references.select(F.col("identity").alias("reference_identity"), F.col("runtime_identity").alias("reference_runtime")), "reference_identity", "left")
+#: Rows up to which a table of names goes to every task.
+NAMES = 1 << 16
+
+
+def record_detail(memories: DataFrame, edges: DataFrame, bridge: DataFrame, observations: DataFrame, policies: DataFrame, suites: DataFrame, references: DataFrame, digests: DataFrame, rows: int | None = None) -> DataFrame:
+    """Records with their observations (with policy, suite and reference) and edges, nested; missing parts are empty lists.
+
+    Observations travel once to their bridge (not at all where both lie by identity), once to each large
+    table of names, and once to their record; small tables of names are looked up there, so that only
+    identities travel. Digests of most records needn't cut the bridge, as the records themselves do.
+    ``rows``: about as many as the bridge has, counted if not given; parts are bounded by it.
+    """
+    many, asked = memories.count(), digests.count()
+    rows = spread(memories.sparkSession, bridge.count() if rows is None else rows)
+    most = max(rows, many, asked)
+    d = parted(digests.select(F.col("digest").alias("record_digest")), most, "record_digest").distinct()
+    b = bridge.join(d, "record_digest") if 2 * asked < many else bridge
+    o = b.join(observations.withColumnRenamed("identity", "observation_identity"), "observation_identity")
+    names = [
+        (policies.select(F.col("identity").alias("policy_identity"), "metric", "unit"), "policy_identity", "inner"),
+        (suites.select(F.col("identity").alias("suite_identity"), "suite_name"), "suite_identity", "inner"),
+        (references.select(F.col("identity").alias("reference_identity"), F.col("runtime_identity").alias("reference_runtime")), "reference_identity", "left"),
+    ]
+    known = [df.count() for df, _, _ in names]
+    for (df, key, how), n in zip(names, known):
+        o = parted(o, max(rows, n), key).join(parted(df, max(rows, n), key), key, how) if n > NAMES else o
+    o = parted(o, most, "record_digest")
+    for (df, key, how), n in zip(names, known):
+        o = o.join(F.broadcast(df), key, how) if n <= NAMES else o
     o = o.groupBy("record_digest").agg(F.sort_array(F.collect_list(F.struct("observation_identity", "value_text", "metric", "unit", "suite_name", "reference_runtime"))).alias("observations"))
     e = edges.select(F.col("src").alias("record_digest"), F.col("dst").alias("other"), "edge_kind", F.lit("out").alias("way")).union(edges.select("dst", "src", "edge_kind", F.lit("in")))
-    e = e.join(d, "record_digest").groupBy("record_digest").agg(F.sort_array(F.collect_list(F.struct("way", "edge_kind", "other"))).alias("edges"))
-    return memories.join(d, "record_digest").join(o, "record_digest", "left").join(e, "record_digest", "left")
+    e = parted(e, most, "record_digest").join(d, "record_digest").groupBy("record_digest").agg(F.sort_array(F.collect_list(F.struct("way", "edge_kind", "other"))).alias("edges"))
+    return parted(memories, most, "record_digest").join(d, "record_digest").join(o, "record_digest", "left").join(e, "record_digest", "left")

@@ -16,6 +16,7 @@ from lodestone import store_queries
 from lodestone.functions import scalar
 from lodestone.functions.text import index_tokens_udf
 from lodestone.operators import conflict, contain, context, entity, evaluate, graph, keyed, lexical, personal, temporal, vector, write
+from lodestone.operators.stored import parted, spread
 from lodestone.plans.recall import RecallOptions, recall
 from lodestone.schemas import dangling, violations
 from lodestone.sources.snapshot import table_counts
@@ -422,14 +423,18 @@ SELECT o_orderkey AS record_digest, o_orderpriority AS claim, coalesce(observati
 FROM orders LEFT JOIN b ON l_orderkey = o_orderkey LEFT JOIN g ON k = o_orderkey""")
 def record_detail(spark, d):
     """RT13, JN4: lines stand for observations, parts for policies, suppliers for suites, nations for references."""
-    li = _read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"), F.min("l_quantity").cast("int").cast("string").alias("value_text"))
     key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("observation_identity")
-    observations = li.select(key.alias("identity"), "value_text", F.col("pk").alias("policy_identity"), F.col("sk").alias("suite_identity"), F.when(F.col("l_linenumber") % 2 == 0, F.col("sk") % 25).cast("int").alias("reference_identity"))
+    # dealt by identity, so that the bridge and the observations meet where they are
+    lines = _read(spark, d, "lineitem").select("*", key)
+    n = spread(spark, lines.count())
+    li = parted(lines, n, "observation_identity").groupBy("observation_identity", "l_linenumber").agg(F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"), F.min("l_quantity").cast("int").cast("string").alias("value_text"))
+    record = F.expr("(observation_identity - l_linenumber) div 10").alias("record_digest")
+    observations = li.select(F.col("observation_identity").alias("identity"), "value_text", F.col("pk").alias("policy_identity"), F.col("sk").alias("suite_identity"), F.when(F.col("l_linenumber") % 2 == 0, F.col("sk") % 25).cast("int").alias("reference_identity"))
     policies = _read(spark, d, "part").select(F.col("p_partkey").alias("identity"), F.col("p_brand").alias("metric"), F.col("p_type").alias("unit"))
     suites = _read(spark, d, "supplier").select(F.col("s_suppkey").alias("identity"), F.col("s_name").alias("suite_name"))
     references = _read(spark, d, "nation").select(F.col("n_nationkey").alias("identity"), F.col("n_name").alias("runtime_identity"))
     m = _read(spark, d, "orders").select(F.col("o_orderkey").alias("record_digest"), F.col("o_orderpriority").alias("claim"))
-    out = write.record_detail(m, _edges(spark, d), li.select(F.col("l_orderkey").alias("record_digest"), key), observations, policies, suites, references, m.select(F.col("record_digest").alias("digest")))
+    out = write.record_detail(m, _edges(spark, d), li.select(record, "observation_identity"), observations, policies, suites, references, m.select(F.col("record_digest").alias("digest")), n)
     line = F.transform("observations", lambda o: F.concat_ws("|", o["observation_identity"].cast("string"), o["value_text"], o["metric"], o["suite_name"], F.coalesce(o["reference_runtime"], F.lit("-"))))
     return out.select("record_digest", "claim", F.coalesce(F.array_join(line, ","), F.lit("")).alias("observations"), F.coalesce(F.array_size("edges"), F.lit(0)).cast("long").alias("edges"))
 

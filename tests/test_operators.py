@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import queries
 from lodestone.operators import conflict, context, entity, evaluate, graph, keyed, personal, stored, temporal, vector, write
 from lodestone.plans.recall import RecallOptions, recall
 from lodestone.schemas import EVIDENCE, ConstraintError, assert_constraints, violations
@@ -253,3 +254,51 @@ def test_derivations_are_joined_in_parts_of_bounded_rows(spark, monkeypatch):
     plan = parts._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect())) and parts.where("verified").count() > 100
     assert "BroadcastHashJoin" not in plan and plan.count("REPARTITION_BY_NUM") == 6 == plan.count("Exchange hashpartitioning")
+
+
+def test_details_travel_in_parts_and_names_by_their_size(spark, monkeypatch):
+    memories = spark.createDataFrame([(k, f"c{k}") for k in range(120)], "record_digest long, claim string")
+    edges = spark.createDataFrame([(k, k * 7 % 120, "supports") for k in range(1, 120)], "src long, dst long, edge_kind string")
+    rows = [(k % 130, k) for k in range(400) if k % 11] + [(5, k) for k in range(0, 40, 3)] + [(7, None)]
+    bridge = spark.createDataFrame(rows, "record_digest long, observation_identity long")
+    seen = [(k, str(k % 4), k % 9, k % 5 if k % 17 else None, k % 3 if k % 2 else None) for k in range(380)]
+    observations = spark.createDataFrame(seen, "identity long, value_text string, policy_identity long, suite_identity long, reference_identity long")
+    policies = spark.createDataFrame([(k, f"m{k}", "s") for k in range(8)], "identity long, metric string, unit string")
+    suites = spark.createDataFrame([(k, f"s{k}") for k in range(5)], "identity long, suite_name string")
+    references = spark.createDataFrame([(k, f"r{k}") for k in range(2)], "identity long, runtime_identity string")
+
+    def detail(asked, **known):
+        return write.record_detail(memories, edges, bridge, observations, policies, suites, references, spark.createDataFrame([(k,) for k in asked], "digest long"), **known)
+
+    def want(asked):
+        o = {i: (v, p, s, r) for i, v, p, s, r in seen}
+        found = lambda k: sorted((i, o[i][0], f"m{o[i][1]}", "s", f"s{o[i][2]}", None if o[i][3] in (None, 2) else f"r{o[i][3]}") for r, i in rows if r == k and i in o and o[i][1] < 8 and o[i][2] is not None)
+        met = lambda k: sorted([("out", "supports", k * 7 % 120)] * (k > 0) + [("in", "supports", a) for a in range(1, 120) if a * 7 % 120 == k])
+        return [(k, f"c{k}", found(k) or None, met(k) or None) for k in sorted({k for k in asked if 0 <= k < 120})]
+
+    def got(df):
+        return sorted((r[0], r[1], r[2] and [tuple(x) for x in r[2]], r[3] and [tuple(x) for x in r[3]]) for r in df.collect())
+
+    most, few = [*range(-3, 110), 4], [5, 7, 90, 129, 400]
+    assert got(detail(most)) == want(most) and got(detail(few)) == want(few)
+    monkeypatch.setattr(stored, "ROWS", 50)
+    assert got(detail(most)) == want(most) and got(detail(few, rows=len(rows))) == want(few)
+    monkeypatch.setattr(write, "NAMES", 2)
+    assert got(detail(most)) == want(most) and got(detail(few)) == want(few)
+    plan = detail(most)._jdf.queryExecution().executedPlan().toString()
+    # the two references alone go to every task; both sides of two tables of names, the observations, the records, their digests (read twice) and edges are dealt
+    assert plan.count("BroadcastHashJoin") == 1 and plan.count("REPARTITION_BY_NUM") == 9
+
+
+def test_lines_meet_their_orders_after_one_shuffle_a_side(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    con = pytest.importorskip("duckdb").connect()
+    for t in ("orders", "lineitem", "part", "supplier", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    want = sorted(con.execute(queries.ORACLES["record_detail"]).fetchall())
+    monkeypatch.setattr(stored, "ROWS", 1000)
+    out = queries.QUERIES["record_detail"](spark, d)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == want
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert sum("hashpartitioning(observation_identity" in x for x in dealt) == 2 and all("REPARTITION_BY_NUM" in x for x in dealt)
